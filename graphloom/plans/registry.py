@@ -20,4 +20,4 @@ def query(key: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import q_graph, q_browse, q_ingest, q_docs, q_sql, q_stream  # noqa: F401
+    from . import q_graph, q_browse, q_ingest, q_docs, q_fold, q_sql, q_stream  # noqa: F401
