@@ -142,6 +142,7 @@ def merge_entities(elements: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     e = entity_rows(elements, doc_col).withColumn("cid", canonical_id(F.col("name"))) \
         .withColumn("_ord", F.struct("chunk_idx", "pos"))
     base = e.groupBy(doc_col, "cid").agg(
+        F.min("_ord").alias("_first"),
         F.min_by("name", "_ord").alias("NODE"),
         F.expr("min_by(label, _ord) FILTER (WHERE label <> '')").alias("label"),
         F.expr("min_by(facets, _ord) FILTER (WHERE size(facets) > 0)").alias("facets"))
@@ -149,7 +150,7 @@ def merge_entities(elements: DataFrame, doc_col: str = "doc_id") -> DataFrame:
           .groupBy(doc_col, "cid", "k").agg(F.min_by("v", "_ord").alias("v"))
           .groupBy(doc_col, "cid").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("attrs")))
     return (base.join(kv, [doc_col, "cid"], "left")
-            .select(doc_col, "cid", "NODE", F.col("NODE").alias("name"),
+            .select(doc_col, "cid", "_first", "NODE", F.col("NODE").alias("name"),
                     F.coalesce("label", F.lit("")).alias("label"),
                     F.coalesce("facets", F.array().cast("array<struct<name:string,axis:string>>")).alias("facets"),
                     F.coalesce("attrs", F.create_map().cast("map<string,string>")).alias("attrs")))
