@@ -872,3 +872,21 @@ UNION ALL SELECT 'nothing', 'VARCHAR' FROM events HAVING COUNT(*) > 0
 def q_infer_column_types(spark, sf):
     ev = read(spark, sf, "events").select(F.expr(INFER_JSON_SPARK).alias("j"))
     return H.infer_column_types(ev, "j")
+
+
+@query("read_text_documents", """
+SELECT doc_id, length(text) AS n_chars, sha256(text) AS sha256 FROM documents
+""")
+def q_read_text_documents(spark, sf):
+    """A10: the documents are written as one ``.txt`` file per document (a
+    distributed write partitioned by doc_id), then read back as bytes,
+    decoded as UTF-8 and fingerprinted."""
+    from ..session import scratch_path
+    base = scratch_path(spark, "texts")
+    read(spark, sf, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(base)
+    docs = S.read_text_documents(spark, base)
+    # The text writer ends each file with one line separator.
+    txt = F.when(F.col("text").endswith("\n"), F.expr("substring(text, 1, length(text) - 1)")) \
+           .otherwise(F.col("text"))
+    return docs.select(F.regexp_extract("doc_uri", r"doc_id=(-?\d+)", 1).cast("long").alias("doc_id"),
+                       F.length(txt).alias("n_chars"), F.sha2(txt, 256).alias("sha256"))
