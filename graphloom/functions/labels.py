@@ -53,14 +53,14 @@ def labels_to_json(c) -> Column:
 
 def structural_label(c) -> Column:
     """The structural label is the first entry of the label vector."""
-    return F.element_at(_c(c), 1)
+    return F.try_element_at(_c(c), F.lit(1))
 
 
 def display_label(labels, label_prop=None) -> Column:
     """LABEL property, else first label that is not ``Entity``, else first."""
     arr = _c(labels)
-    not_entity = F.element_at(F.filter(arr, lambda x: x != F.lit(ENTITY_LABEL)), 1)
-    out = F.coalesce(not_entity, F.element_at(arr, 1))
+    not_entity = F.try_element_at(F.filter(arr, lambda x: x != F.lit(ENTITY_LABEL)), F.lit(1))
+    out = F.coalesce(not_entity, F.try_element_at(arr, F.lit(1)))
     if label_prop is not None:
         out = F.coalesce(_c(label_prop), out)
     return out

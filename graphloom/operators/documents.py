@@ -79,7 +79,7 @@ def rule_extract(chunk: Column, single_label: str | None = None) -> tuple[Column
                                                  empty_f.alias("facets"), empty_m.alias("attrs")))
     rels = F.transform(
         F.when(F.size(names) >= 2, F.sequence(F.lit(2), F.size(names))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.element_at(names, i - 1).alias("source"), F.element_at(names, i).alias("target"),
+        lambda i: F.struct(F.try_element_at(names, i - 1).alias("source"), F.try_element_at(names, i).alias("target"),
                            F.lit(RULE_RELATION).alias("label"), F.lit(RULE_AXIS).alias("axis"),
                            empty_m.alias("attrs")))
     return ents, rels
@@ -197,9 +197,9 @@ def fold_partial_names(entities: DataFrame, doc_col: str = "doc_id") -> DataFram
     toks = F.split(python_strip(F.col("NODE")), r"(?U)\s+")
     e = entities.select(doc_col, "label", "NODE", toks.alias("_t"))
     short = e.filter(F.size("_t") == 1).select(doc_col, "label", F.col("NODE").alias("short"),
-                                                F.lower(F.element_at("_t", 1)).alias("_k"))
+                                                F.lower(F.try_element_at("_t", F.lit(1))).alias("_k"))
     long_ = (e.filter(F.size("_t") > 1)
-             .groupBy(doc_col, "label", F.lower(F.element_at("_t", -1)).alias("_k"))
+             .groupBy(doc_col, "label", F.lower(F.try_element_at("_t", F.lit(-1))).alias("_k"))
              .agg(F.count(F.lit(1)).alias("_n"), F.min("NODE").alias("long")))
     j = short.join(long_, [doc_col, "label", "_k"]).filter(F.col("_n") == 1)
     return j.select(doc_col, "short", "long")

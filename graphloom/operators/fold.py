@@ -199,7 +199,7 @@ def label_vectors(entities: DataFrame, ent_map: DataFrame) -> DataFrame:
                  F.transform("_v", lambda s: s["n"]).alias("label_raw"),
                  F.filter("_v", lambda s: s["i"] == 0).alias("_s"))
     out = entities.join(v, "_ord", "left")
-    struct_canon = F.element_at(F.transform("_s", lambda s: s["c"]), 1)
+    struct_canon = F.try_element_at(F.transform("_s", lambda s: s["c"]), F.lit(1))
     return out.select(*[c for c in ids if c != "label"],
                       F.coalesce(struct_canon, python_strip(F.coalesce("label", F.lit("")))).alias("label"),
                       F.coalesce("labels", F.array().cast("array<string>")).alias("labels"),

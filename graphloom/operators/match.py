@@ -232,12 +232,12 @@ def hops_to_graph(hops: DataFrame, n_hops: int) -> tuple[DataFrame, DataFrame]:
     for h in range(1, n_hops + 1):
         for side in (1, 2):
             idc, lc = f"NODE{side}_HOP_{h}", f"NODE{side}_LABELS_HOP_{h}"
-            lab = (F.element_at(normalize_labels(F.col(lc)), 1)
+            lab = (F.try_element_at(normalize_labels(F.col(lc)), F.lit(1))
                    if lc in hops.columns else F.lit(None).cast("string"))
             nparts.append(hops.select(F.col(idc).alias("id"), lab.alias("label"),
                                       F.struct(F.lit(h).alias("h"), row.alias("r"),
                                                F.lit(side).alias("s")).alias("_ord")))
-        el = F.element_at(normalize_labels(F.col(f"EDGE_LABELS_HOP_{h}")), 1)
+        el = F.try_element_at(normalize_labels(F.col(f"EDGE_LABELS_HOP_{h}")), F.lit(1))
         eparts.append(hops.select(F.col(f"NODE1_HOP_{h}").alias("src"),
                                   F.col(f"NODE2_HOP_{h}").alias("dst"), el.alias("label")))
     n = nparts[0]

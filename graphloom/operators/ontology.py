@@ -27,7 +27,7 @@ def label_counts(nodes: DataFrame) -> DataFrame:
     """count and percent per STRUCTURAL (first) label; the denominator
     counts ALL nodes, unlabeled ones included. One aggregation pass for the
     groups; the total is the sum of the groups (incl. the null group)."""
-    grp = nodes.groupBy(F.element_at("labels", 1).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    grp = nodes.groupBy(F.try_element_at("labels", F.lit(1)).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     tot = grp.agg(F.sum("n").alias("_tot"))
     return (grp.crossJoin(tot).filter(F.col("label").isNotNull())
             .select("label", "n", F.round(F.col("n") * 100.0 / F.col("_tot"), 2).alias("pct")))
@@ -41,7 +41,7 @@ def rel_counts(edges: DataFrame) -> DataFrame:
 
 
 def _struct_labels(g: PropertyGraph) -> DataFrame:
-    return g.nodes.select("NODE", F.element_at("labels", 1).alias("l0"))
+    return g.nodes.select("NODE", F.try_element_at("labels", F.lit(1)).alias("l0"))
 
 
 def schema_triples(g: PropertyGraph) -> DataFrame:
@@ -65,7 +65,7 @@ def label_properties(g: PropertyGraph, sample: bool = False) -> DataFrame:
     props = [c for c in g.nodes.columns if c not in NODE_META]
     present = F.filter(F.array(*[F.when(F.col(_q(p)).isNotNull(), F.lit(p)) for p in props]),
                        lambda x: x.isNotNull())
-    base = g.nodes.select(F.element_at("labels", 1).alias("label"), "NODE", present.alias("keys"))
+    base = g.nodes.select(F.try_element_at("labels", F.lit(1)).alias("label"), "NODE", present.alias("keys"))
     base = base.filter(F.col("label").isNotNull())
     if sample:
         return base.groupBy("label").agg(F.array_sort(F.min_by("keys", "NODE")).alias("keys"))
@@ -137,7 +137,7 @@ def schema_by_axis(g: PropertyGraph, onto: DataFrame | None = None) -> DataFrame
     replaced by their axis (``nkey``: axis of the node's last facet label,
     EntityType default) and with edge types replaced by their axis (``ekey``)."""
     n = g.nodes.filter(F.size("labels") > 0).select(
-        "NODE", F.element_at("labels", 1).alias("l0"), F.element_at("labels", -1).alias("lz"))
+        "NODE", F.try_element_at("labels", F.lit(1)).alias("l0"), F.try_element_at("labels", F.lit(-1)).alias("lz"))
     ax = _axis_of(onto, "entity")
     if ax is not None:
         n = n.join(ax, n.lz == ax._name, "left").withColumn(

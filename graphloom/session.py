@@ -28,6 +28,11 @@ DEFAULT_CONF = {
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
               app: str = "graphloom", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the library's defaults."""
+    # Python workers must import this package for mapInPandas steps.
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root] + paths)
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
