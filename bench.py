@@ -24,7 +24,7 @@ from graphloom.operators import hydrate as H  # noqa: E402
 from graphloom.operators import match as M  # noqa: E402
 from graphloom.operators import ontology as O  # noqa: E402
 from graphloom.operators.match import E, N  # noqa: E402
-from graphloom.plans.tpch import read, tpch_graph, tpch_ontology  # noqa: E402
+from graphloom.plans.tpch import edge_specs, node_specs, read, tpch_ontology  # noqa: E402
 from graphloom.session import get_spark  # noqa: E402
 from graphloom.sources import store  # noqa: E402
 
@@ -47,8 +47,8 @@ def main():
         times[name] = round(time.time() - t0, 3)
 
     root = os.path.join(scratch, "store")
-    timed("build_graph", lambda: store.write_graph(spark, tpch_graph(spark, sf), root, "tpch",
-                                                   ontology=tpch_ontology(spark, sf)))
+    timed("build_graph", lambda: store.build_and_store(spark, node_specs(spark, sf), edge_specs(spark, sf),
+                                                       root, "tpch", ontology=tpch_ontology(spark, sf)))
     g = store.read_graph(spark, root, "tpch")
     wide = read(spark, sf, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey")).alias("NODE"),
                                               "c_mktsegment", "c_acctbal")

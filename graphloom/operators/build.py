@@ -96,7 +96,8 @@ def build_nodes(spark: SparkSession, specs: list[NodeSpec],
              if c not in ("NODE", "_spec", "_lbl", "_facets") and not c.startswith("_o")]
     rows = rows.withColumn("_seq", _seq(rows, ["_lbl"] + props))
     aggs = [F.max_by("_lbl", "_seq").alias("LABEL"),
-            F.array_distinct(F.flatten(F.collect_list(
+            # collect_set: a hot id keeps one entry per distinct label vector.
+            F.array_distinct(F.flatten(F.collect_set(
                 F.concat(F.array("_lbl"), F.col("_facets"))))).alias("_all")]
     if keep_first_label:
         aggs.append(F.min_by("_lbl", "_seq").alias("_first_label"))
@@ -178,33 +179,32 @@ def dropped_rows_report(spark: SparkSession, node_specs: list[NodeSpec],
 
     node: null_id, duplicate (rows merged into an existing id);
     edge: null_id_or_endpoint, missing_endpoint, duplicate.
+    Each side is one aggregation over flagged rows (endpoint existence by
+    two left joins to the distinct node ids); no cross joins.
     """
-    nrows = _node_rows(spark, node_specs)
-    nodes = nrows.filter(F.col("NODE").isNotNull()).select("NODE").distinct()
-    node_stats = nrows.agg(
-        F.sum(F.col("NODE").isNull().cast("long")).alias("null_id"),
-        F.sum(F.col("NODE").isNotNull().cast("long")).alias("nonnull"))
-    n_nodes = nodes.agg(F.count(F.lit(1)).alias("distinct_ids"))
-    node_rep = node_stats.crossJoin(n_nodes).select(
-        F.stack(F.lit(2), F.lit("null_id"), F.col("null_id"),
-                F.lit("duplicate"), F.col("nonnull") - F.col("distinct_ids")).alias("reason", "n"))
-
-    erows = _edge_rows(spark, edge_specs)
-    bad = erows.filter(F.col("ID").isNull() | F.col("src").isNull() | F.col("dst").isNull())
-    good = erows.filter(F.col("ID").isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull())
-    kept = (good.join(nodes.withColumnRenamed("NODE", "src"), "src", "left_semi")
-                .join(nodes.withColumnRenamed("NODE", "dst"), "dst", "left_semi"))
-    stats = (good.agg(F.count(F.lit(1)).alias("good"))
-             .crossJoin(kept.agg(F.count(F.lit(1)).alias("kept"),
-                                 F.count_distinct("src", "dst", "type", "ID").alias("distinct_e")))
-             .crossJoin(bad.agg(F.count(F.lit(1)).alias("bad"))))
-    edge_rep = stats.select(F.stack(
-        F.lit(3), F.lit("null_id_or_endpoint"), F.col("bad"),
-        F.lit("missing_endpoint"), F.col("good") - F.col("kept"),
-        F.lit("duplicate"), F.col("kept") - F.col("distinct_e")).alias("reason", "n"))
-    return (node_rep.select(F.lit("node").alias("kind"), "reason", F.col("n").cast("long").alias("n"))
+    nrows = _node_rows(spark, node_specs).select("NODE")
+    nstats = nrows.agg(F.sum(F.col("NODE").isNull().cast("long")).alias("null_id"),
+                       (F.count("NODE") - F.count_distinct("NODE")).alias("duplicate"))
+    node_rep = nstats.select(F.stack(F.lit(2), F.lit("null_id"), F.col("null_id"),
+                                     F.lit("duplicate"), F.col("duplicate")).alias("reason", "n"))
+    ids = nrows.filter(F.col("NODE").isNotNull()).distinct()
+    erows = _edge_rows(spark, edge_specs).select("ID", "src", "dst", "type")
+    good = F.col("ID").isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull()
+    flagged = (erows.withColumn("_good", good)
+               .join(ids.select(F.col("NODE").alias("src"), F.lit(True).alias("_hs")), "src", "left")
+               .join(ids.select(F.col("NODE").alias("dst"), F.lit(True).alias("_hd")), "dst", "left"))
+    kept = F.col("_good") & F.col("_hs").isNotNull() & F.col("_hd").isNotNull()
+    estats = flagged.agg(
+        F.sum((~F.col("_good")).cast("long")).alias("bad"),
+        F.sum((F.col("_good") & ~kept).cast("long")).alias("missing"),
+        (F.sum(kept.cast("long")) - F.count_distinct(F.when(kept, F.struct("src", "dst", "type", "ID"))))
+        .alias("dup"))
+    edge_rep = estats.select(F.stack(
+        F.lit(3), F.lit("null_id_or_endpoint"), F.col("bad"), F.lit("missing_endpoint"), F.col("missing"),
+        F.lit("duplicate"), F.col("dup")).alias("reason", "n"))
+    return (node_rep.select(F.lit("node").alias("kind"), "reason", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
             .unionByName(edge_rep.select(F.lit("edge").alias("kind"), "reason",
-                                         F.col("n").cast("long").alias("n"))))
+                                         F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))))
 
 
 def check_identifiers(spark: SparkSession, node_specs: list[NodeSpec],

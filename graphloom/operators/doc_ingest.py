@@ -76,7 +76,6 @@ def ingest_documents(spark: SparkSession, store: GraphStore, docs: DataFrame, no
     store.texts.commit(L.record_text(store.texts.current(), todo.select("graph", "doc_uri", "text")))
     created_n = new_nodes.filter(F.col("first_seen_ts") == F.lit(now).cast("timestamp"))
     created_e = new_edges.filter(F.col("first_seen_ts") == F.lit(now).cast("timestamp"))
-    return (batch.agg(F.count(F.lit(1)).alias("documents"))
-            .crossJoin(todo.agg(F.count(F.lit(1)).alias("processed")))
-            .crossJoin(created_n.agg(F.count(F.lit(1)).alias("nodes_created")))
-            .crossJoin(created_e.agg(F.count(F.lit(1)).alias("edges_created"))))
+    from ..functions.frames import counts_row
+    return counts_row([("documents", batch.select("doc_uri")), ("processed", todo.select("doc_uri")),
+                       ("nodes_created", created_n.select("NODE")), ("edges_created", created_e.select("ID"))])

@@ -43,6 +43,11 @@ def hydrate(result: DataFrame, wide: DataFrame, key: str = "NODE", columns="*",
     Null-key rows are dropped; result duplicates kept; matched rows take the
     wide value of same-named columns even when null; unmatched rows keep
     their own; duplicate wide keys -> last row wins.
+
+    Plan: the wide side is de-duplicated by key (one aggregation, partial
+    map-side; its output is already hash-partitioned by key, so the join
+    that follows shuffles only the result side). The result is evaluated
+    once: it is never re-read to build a key filter.
     """
     if columns != "*":
         cols = list(columns)
@@ -50,9 +55,7 @@ def hydrate(result: DataFrame, wide: DataFrame, key: str = "NODE", columns="*",
             raise ValueError(f"columns must include the key {key!r}")
         wide = wide.select(*[F.col(_q(c)) for c in cols + [o for o in (order_by or []) if o not in cols]])
     res = result.filter(F.col(_q(key)).isNotNull())
-    keys = res.select(F.col(_q(key))).distinct()
-    w = wide.join(keys, key, "left_semi")
-    w = dedupe_last(w, key, order_by)
+    w = dedupe_last(wide.filter(F.col(_q(key)).isNotNull()), key, order_by)
     if columns != "*":
         w = w.select(*[F.col(_q(c)) for c in columns])
     wcols = [c for c in w.columns if c != key]
@@ -120,16 +123,19 @@ def match_then_post_join(result: DataFrame, wide: DataFrame, join_sql: str,
 
 
 def rank_by_path_count(paths: DataFrame, wide: DataFrame, key: str, attr: str,
-                       out_col: str = "n") -> DataFrame:
+                       out_col: str = "n", order_by: list | None = None) -> DataFrame:
     """Path count per wide attribute, ranked (highest first).
 
-    Pre-aggregates paths per key BEFORE the join (one row per key instead
-    of one per path), so a hub key holding a third of all paths costs one
-    partial-aggregate row, then joins the (deduplicated) wide attribute.
+    Paths are pre-aggregated per key BEFORE the join (one row per key
+    instead of one per path, partial counts map-side, so a hub key holding a
+    third of all paths costs one row per task); the wide attribute is
+    de-duplicated per key; both sides come out hash-partitioned by key, so
+    the join adds no shuffle. The final group by attribute is tiny.
     """
     per_key = paths.filter(F.col(_q(key)).isNotNull()).groupBy(_q(key)).agg(
         F.count(F.lit(1)).alias("_c"))
-    w = dedupe_last(wide.select(_q(key), _q(attr)).join(per_key.select(_q(key)), key, "left_semi"), key)
+    w = dedupe_last(wide.select(_q(key), _q(attr), *[F.col(_q(o)) for o in (order_by or [])])
+                    .filter(F.col(_q(key)).isNotNull()), key, order_by).select(_q(key), _q(attr))
     j = per_key.join(w, key, "left")
     return (j.groupBy(_q(attr)).agg(F.sum("_c").alias(out_col))
             .orderBy(F.col(out_col).desc(), F.col(_q(attr)).asc_nulls_last()))

@@ -68,7 +68,9 @@ def normalize_node_batch(batch: DataFrame, seq: Column | None = None) -> DataFra
                  name.alias("name"), attrs.alias("attrs"), seq.alias("_seq")))
     one = b.groupBy("NODE").agg(
         F.max_by(F.struct("labels", "label_raw"), "_seq").alias("_last"),
-        F.array_distinct(F.flatten(F.collect_list("labels"))).alias("label_set"),
+        # collect_set dedupes map-side: a node repeated in a third of the
+        # batch keeps one copy per distinct label vector, not one per row.
+        F.array_distinct(F.flatten(F.collect_set("labels"))).alias("label_set"),
         F.expr("max_by(name, _seq) FILTER (WHERE name IS NOT NULL)").alias("name"))
     at = _merge_batch_attrs(b, ["NODE"], F.col("_seq"))
     return (one.join(at, "NODE", "left")
@@ -154,12 +156,10 @@ def ingest_report(state_nodes: DataFrame, state_edges: DataFrame, batch_nodes: D
     created_n = bn.join(state_nodes.select("NODE"), "NODE", "left_anti")
     key = ["src", "dst", "type", "ID"]
     created_e = be.join(state_edges.select(*key), key, "left_anti")
-    return (bn.agg(F.count(F.lit(1)).alias("nodes"),
-                   F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"))
-            .crossJoin(created_n.agg(F.count(F.lit(1)).alias("nodes_created")))
-            .crossJoin(be.agg(F.count(F.lit(1)).alias("edges")))
-            .crossJoin(created_e.agg(F.count(F.lit(1)).alias("edges_created")))
-            .select("nodes", "nodes_created", "edges", "edges_created", "labels"))
+    from ..functions.frames import counts_row
+    return counts_row([("nodes", bn.select("NODE")), ("nodes_created", created_n.select("NODE")),
+                       ("edges", be.select("ID")), ("edges_created", created_e.select("ID"))],
+                      sets={"labels": bn.select(F.explode("labels").alias("l"))})
 
 
 def _variant_type(v: Column) -> Column:

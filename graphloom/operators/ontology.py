@@ -7,10 +7,11 @@ broadcasts when they are measured small.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import DEFAULT_EDGE_AXIS, DEFAULT_NODE_AXIS
+from ..functions.frames import counts_row
 from ..graph import NODE_META, PropertyGraph
 
 
@@ -28,16 +29,17 @@ def label_counts(nodes: DataFrame) -> DataFrame:
     counts ALL nodes, unlabeled ones included. One aggregation pass for the
     groups; the total is the sum of the groups (incl. the null group)."""
     grp = nodes.groupBy(F.try_element_at("labels", F.lit(1)).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    tot = grp.agg(F.sum("n").alias("_tot"))
-    return (grp.crossJoin(tot).filter(F.col("label").isNotNull())
+    # The total is summed over the grouped rows (one per label: schema-sized).
+    tot = F.sum("n").over(Window.partitionBy())
+    return (grp.select("label", "n", tot.alias("_tot")).filter(F.col("label").isNotNull())
             .select("label", "n", F.round(F.col("n") * 100.0 / F.col("_tot"), 2).alias("pct")))
 
 
 def rel_counts(edges: DataFrame) -> DataFrame:
     """edge count and percent per type."""
     grp = edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-    tot = grp.agg(F.sum("n").alias("_tot"))
-    return grp.crossJoin(tot).select("type", "n", F.round(F.col("n") * 100.0 / F.col("_tot"), 2).alias("pct"))
+    tot = F.sum("n").over(Window.partitionBy())
+    return grp.select("type", "n", F.round(F.col("n") * 100.0 / tot, 2).alias("pct"))
 
 
 def _struct_labels(g: PropertyGraph) -> DataFrame:
@@ -75,8 +77,7 @@ def label_properties(g: PropertyGraph, sample: bool = False) -> DataFrame:
 
 def graph_counts(g: PropertyGraph) -> DataFrame:
     """total nodes and edges (two aggregations, one row)."""
-    return (g.nodes.agg(F.count(F.lit(1)).alias("nodes"))
-            .crossJoin(g.edges.agg(F.count(F.lit(1)).alias("edges"))))
+    return counts_row([("nodes", g.nodes), ("edges", g.edges)])
 
 
 def _axis_of(onto: DataFrame | None, kind: str) -> DataFrame | None:

@@ -146,9 +146,8 @@ def q_write_graph(spark, sf):
     from ..session import scratch_path
     from ..sources import store
     root = scratch_path(spark, "store")
-    g = tpch_graph(spark, sf)
-    store.write_graph(spark, g, root, "tpch", ontology=tpch_ontology(spark, sf))
-    back = store.read_graph(spark, root, "tpch")
+    back = store.build_and_store(spark, node_specs(spark, sf), edge_specs(spark, sf), root, "tpch",
+                                 ontology=tpch_ontology(spark, sf))
     lk = spark.read.parquet(store.table_path(root, "tpch", "label_keys"))
     return (back.nodes.agg(F.count(F.lit(1)).alias("n")).select(F.lit("tpch_nodes").alias("tbl"), "n")
             .unionByName(back.edges.agg(F.count(F.lit(1)).alias("n")).select(F.lit("tpch_edges").alias("tbl"), "n"))

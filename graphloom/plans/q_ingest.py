@@ -196,9 +196,10 @@ def q_materialize_label_keys(spark, sf):
 
 
 @query("promote_columns", """
-SELECT COUNT(*) AS nodes_matched, COUNT(*) + COUNT(CASE WHEN c_acctbal >= 0 THEN 1 END) AS properties_set,
-       COUNT(*) AS n_with_seg, ROUND(SUM(c_acctbal), 2) AS sum_acctbal
-FROM customer
+SELECT 'nodes_matched' AS metric, CAST(COUNT(*) AS DOUBLE) AS value FROM customer
+UNION ALL SELECT 'properties_set', CAST(COUNT(*) + COUNT(CASE WHEN c_acctbal >= 0 THEN 1 END) AS DOUBLE) FROM customer
+UNION ALL SELECT 'n_with_seg', CAST(COUNT(*) AS DOUBLE) FROM customer
+UNION ALL SELECT 'sum_acctbal', ROUND(SUM(c_acctbal), 2) FROM customer
 """)
 def q_promote_columns(spark, sf):
     g = tpch_graph(spark, sf)
@@ -211,4 +212,6 @@ def q_promote_columns(spark, sf):
     new_nodes, stats = I.promote_columns(g.nodes, wide, key="NODE", columns=["c_acctbal", "party:segment"])
     chk = new_nodes.agg(F.count("`party:segment`").alias("n_with_seg"),
                         F.round(F.sum("c_acctbal"), 2).alias("sum_acctbal"))
-    return stats.crossJoin(chk)
+    long_ = lambda df: df.select(F.explode(F.create_map(
+        *[x for c in df.columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("metric", "value"))
+    return long_(stats).unionByName(long_(chk))

@@ -72,9 +72,9 @@ def graph_sizes(graphs: list, known: DataFrame | None = None) -> DataFrame:
     name (``known``: column ``graph``) are zero-filled."""
     out = None
     for name, g in graphs:
-        n = g.nodes.agg(F.count(F.lit(1)).alias("nodes"))
-        e = g.edges.agg(F.count(F.lit(1)).alias("edges"))
-        row = n.crossJoin(e).select(F.lit(name).alias("graph"), "nodes", "edges")
+        from ..functions.frames import counts_row
+        row = counts_row([("nodes", g.nodes.select("NODE")), ("edges", g.edges.select("ID"))]) \
+            .select(F.lit(name).alias("graph"), "nodes", "edges")
         out = row if out is None else out.unionByName(row)
     if known is not None:
         kn = known.select("graph")
@@ -96,3 +96,22 @@ def stored_graph_sizes(spark: SparkSession, root: str) -> DataFrame:
     if not gs:
         return spark.createDataFrame([], "graph string, nodes long, edges long")
     return graph_sizes(gs)
+
+
+def build_and_store(spark: SparkSession, node_specs: list, edge_specs: list, root: str, graph: str,
+                    ontology: DataFrame | None = None) -> PropertyGraph:
+    """B1 -> A8 -> B2 -> A8: build and write nodes, then build the edges
+    against the WRITTEN nodes (an id-only column scan) so the node merge is
+    computed once; then write edges partitioned by type and the axis table."""
+    from ..operators.build import build_edges, build_nodes
+    from ..operators.ingest import materialize_label_keys
+    delete_graph(spark, root, graph)
+    nodes = build_nodes(spark, node_specs)
+    (nodes.repartitionByRange("NODE").sortWithinPartitions("NODE")
+     .write.mode("overwrite").parquet(table_path(root, graph, "nodes")))
+    stored = spark.read.parquet(table_path(root, graph, "nodes"))
+    edges = build_edges(spark, edge_specs, stored)
+    edges.write.mode("overwrite").partitionBy("type").parquet(table_path(root, graph, "edges"))
+    materialize_label_keys(stored, ontology).write.mode("overwrite").parquet(
+        table_path(root, graph, "label_keys"))
+    return read_graph(spark, root, graph)
