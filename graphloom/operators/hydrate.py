@@ -141,17 +141,36 @@ def rank_by_path_count(paths: DataFrame, wide: DataFrame, key: str, attr: str,
             .orderBy(F.col(out_col).desc(), F.col(_q(attr)).asc_nulls_last()))
 
 
-def post_join_cascade(result: DataFrame, sources: list, join_sql: str,
+def graph_attr_source(g: PropertyGraph, result: DataFrame, columns: list | None = None) -> DataFrame:
+    """G6 step 1: the graph's own attributes of every id appearing in the
+    result, keeping only rows that carry at least one attribute beyond NODE.
+    With ``columns``, only those attributes are considered; ones the graph
+    does not have read as null (so a skinny graph yields no rows)."""
+    wide = node_attrs(g, candidate_ids(result), id_col="id")
+    if columns is not None:
+        wide = wide.select("NODE", *[F.col(_q(c)) if c in wide.columns else F.lit(None).cast("string").alias(c)
+                                     for c in columns])
+    cols = [c for c in wide.columns if c != "NODE"]
+    has = None
+    for c in cols:
+        x = F.col(_q(c)).isNotNull()
+        has = x if has is None else has | x
+    return wide.filter(has) if has is not None else wide.filter(F.lit(False))
+
+
+def post_join_cascade(result: DataFrame, sources: list, join_sql: str | None = None,
                       cypher_relation: str = "cypher", wide_relation: str = "wide") -> DataFrame:
     """Try each wide source in order (e.g. graph attributes, then a
-    file); the first that yields rows wins and is tagged in ``hydrate_from``;
-    if none does, the raw result rows come back tagged null.
-
-    ``sources`` is a list of ``(tag, DataFrame)``. Graph-attribute sources
-    should be pre-filtered to rows with an attribute beyond the key.
-    """
-    for tag, wide in sources:
-        out = post_join(result, wide, join_sql, cypher_relation, wide_relation)
+    file); the first whose post-join yields rows wins and is tagged in
+    ``hydrate_from``; if none does, the raw result rows come back tagged null.
+
+    ``sources`` items are ``(tag, DataFrame)`` or ``(tag, DataFrame, sql)``
+    (per-source SQL; default ``join_sql``). Emptiness is a bounded
+    ``isEmpty`` per source."""
+    for item in sources:
+        tag, wide = item[0], item[1]
+        sql = item[2] if len(item) > 2 else join_sql
+        out = post_join(result, wide, sql, cypher_relation, wide_relation)
         if not out.isEmpty():
             return out.withColumn("hydrate_from", F.lit(tag))
     return result.withColumn("hydrate_from", F.lit(None).cast("string"))

@@ -49,14 +49,16 @@ def _struct_labels(g: PropertyGraph) -> DataFrame:
 def schema_triples(g: PropertyGraph) -> DataFrame:
     """distinct (structural src label, type, structural dst label).
 
-    Edges are first reduced to distinct (src, type, dst) is NOT done: instead
-    each edge is labelled through two joins and the triples are aggregated
-    (partial aggregation keeps the shuffle at one row per triple per task)."""
+    The source label is attached first and the rows are reduced to distinct
+    (src_label, type, dst) BEFORE the destination join: edges into a hub
+    node (a nation, a region) collapse map-side to one row per source label,
+    so the second join is not skewed by the hub."""
     lab = _struct_labels(g).filter(F.col("l0").isNotNull())
     e = g.edges.select("src", "type", "dst")
     s = lab.select(F.col("NODE").alias("src"), F.col("l0").alias("src_label"))
     d = lab.select(F.col("NODE").alias("dst"), F.col("l0").alias("dst_label"))
-    return e.join(s, "src").join(d, "dst").select("src_label", "type", "dst_label").distinct()
+    half = e.join(s, "src").select("src_label", "type", "dst").distinct()
+    return half.join(d, "dst").select("src_label", "type", "dst_label").distinct()
 
 
 def label_properties(g: PropertyGraph, sample: bool = False) -> DataFrame:

@@ -827,11 +827,9 @@ GROUP BY w.c_mktsegment
 def q_post_join_cascade(spark, sf):
     g = tpch_graph(spark, sf)
     res = _placed_paths(g)
-    # Graph attributes of the result's ids, restricted to rows with an
-    # attribute beyond NODE that the SQL needs (none: customers have no
-    # c_mktsegment column in the graph) -> falls through to the file.
-    graph_wide = M.node_attrs(g, H.candidate_ids(res), id_col="id").select("NODE", "name") \
-        .withColumn("c_mktsegment", F.lit(None).cast("string")).filter(F.col("c_mktsegment").isNotNull())
+    # The skinny graph has no c_mktsegment attribute: step 1 yields no rows
+    # and the cascade falls through to the file.
+    graph_wide = H.graph_attr_source(g, res, ["c_mktsegment"])
     file_wide = read(spark, sf, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey")).alias("NODE"),
                                                    "c_mktsegment")
     return H.post_join_cascade(res, [("graph", graph_wide), ("source", file_wide)], POST_JOIN_SQL)
