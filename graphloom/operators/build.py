@@ -130,27 +130,50 @@ def _edge_rows(spark: SparkSession, specs: list[EdgeSpec]) -> DataFrame:
     return out
 
 
+def _merge_edge_rows(rows: DataFrame) -> DataFrame:
+    props = [c for c in rows.columns
+             if c not in ("ID", "src", "dst", "type", "_spec") and not c.startswith("_o")]
+    if not props:
+        # Property-less specs: the merge is a plain distinct (hash aggregate).
+        return rows.select("src", "dst", "type", "ID").distinct()
+    rows = rows.withColumn("_seq", _seq(rows, props))
+    aggs = [F.expr(f"max_by({_q(p)}, _seq) FILTER (WHERE {_q(p)} IS NOT NULL)").alias(p) for p in props]
+    return rows.groupBy("src", "dst", "type", "ID").agg(*aggs)
+
+
 def build_edges(spark: SparkSession, specs: list[EdgeSpec], nodes: DataFrame) -> DataFrame:
     """B2: edges whose id/src/dst are non-null and whose BOTH endpoints are
     nodes; MERGE identity (src, dst, type, ID); properties last non-null.
 
-    Plan: semi join on src (edges hash-partitioned by src), aggregate on
-    (src, dst, type, ID) reusing that partitioning, then semi join on dst.
+    Specs without properties are merged with a hash ``distinct``; only specs
+    with properties pay for the ordered ``max_by`` merge. An edge id produced
+    by both kinds keeps the properties of the property-carrying rows (a
+    property-less row never erases a value). Endpoint checks are semi joins
+    that Catalyst pushes below the merge.
     """
-    rows = (_edge_rows(spark, specs)
-            .filter(F.col("ID").isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull()))
     ids = nodes.select(F.col("NODE"))
-    rows = rows.join(ids.withColumnRenamed("NODE", "src"), "src", "left_semi")
-    props = [c for c in rows.columns
-             if c not in ("ID", "src", "dst", "type", "_spec") and not c.startswith("_o")]
-    rows = rows.withColumn("_seq", _seq(rows, props))
-    aggs = [F.expr(f"max_by({_q(p)}, _seq) FILTER (WHERE {_q(p)} IS NOT NULL)").alias(p)
-            for p in props]
-    if not aggs:
-        aggs = [F.count(F.lit(1)).alias("_n")]
-    merged = rows.groupBy("src", "dst", "type", "ID").agg(*aggs)
-    merged = merged.join(ids.withColumnRenamed("NODE", "dst"), "dst", "left_semi")
-    return merged.select("ID", "src", "dst", "type", *[F.col(_q(p)) for p in props])
+
+    def endpoints(df):
+        return (df.filter(F.col("ID").isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull())
+                .join(ids.withColumnRenamed("NODE", "src"), "src", "left_semi")
+                .join(ids.withColumnRenamed("NODE", "dst"), "dst", "left_semi"))
+
+    with_p = [s for s in specs if s.properties]
+    without_p = [s for s in specs if not s.properties]
+    key = ["src", "dst", "type", "ID"]
+    parts = []
+    if with_p:
+        parts.append(_merge_edge_rows(endpoints(_edge_rows(spark, with_p))))
+    if without_p:
+        plain = _merge_edge_rows(endpoints(_edge_rows(spark, without_p)))
+        if parts:
+            plain = plain.join(parts[0].select(*key), key, "left_anti")
+        parts.append(plain)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    props = [c for c in out.columns if c not in key]
+    return out.select("ID", "src", "dst", "type", *[F.col(_q(p)) for p in props])
 
 
 def build_graph(spark: SparkSession, node_specs: list[NodeSpec], edge_specs: list[EdgeSpec],
