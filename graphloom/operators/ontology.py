@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import DEFAULT_EDGE_AXIS, DEFAULT_NODE_AXIS
+from ..functions.labels import DEFAULT_EDGE_AXIS, DEFAULT_NODE_AXIS, SAFE_IDENT_PATTERN
 from ..functions.frames import counts_row
 from ..graph import NODE_META, PropertyGraph
 
@@ -70,7 +70,8 @@ def label_properties(g: PropertyGraph, sample: bool = False) -> DataFrame:
     present = F.filter(F.array(*[F.when(F.col(_q(p)).isNotNull(), F.lit(p)) for p in props]),
                        lambda x: x.isNotNull())
     base = g.nodes.select(F.try_element_at("labels", F.lit(1)).alias("label"), "NODE", present.alias("keys"))
-    base = base.filter(F.col("label").isNotNull())
+    # Labels that are not safe identifiers are skipped, as in the reference.
+    base = base.filter(F.col("label").isNotNull() & F.col("label").rlike(SAFE_IDENT_PATTERN))
     if sample:
         return base.groupBy("label").agg(F.array_sort(F.min_by("keys", "NODE")).alias("keys"))
     return (base.select("label", F.explode("keys").alias("k")).groupBy("label")

@@ -71,7 +71,8 @@ def test_normalize_labels(spark):
 
 SAMPLE = ["scan_parquet", "build_edges", "match_path", "match_topk", "result_subgraph", "page_all",
           "subgraph_index_pairs", "schema_by_axis", "hydrate", "rank_by_path_count", "merge_nodes",
-          "chunk_documents", "redirect_relations", "fold_labels", "ledger_upsert", "sql_asof", "sql_rollup_cube"]
+          "chunk_documents", "redirect_relations", "fold_labels", "ledger_upsert", "sql_asof", "sql_rollup_cube",
+          "document_ingest", "stream_tables", "stream_schema_counts", "label_properties"]
 
 
 def _keys():
