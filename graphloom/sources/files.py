@@ -71,7 +71,11 @@ def register_tables(spark: SparkSession, tables: dict, data_dir: str | None = No
         if "." in name:
             db, tbl = name.rsplit(".", 1)
             fmt = detect_format(resolve(path, data_dir))
-            spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
+            # The database directory goes under the shared checkpoint folder,
+            # never into the driver's working directory.
+            from ..session import ensure_checkpoint_dir
+            loc = os.path.join(ensure_checkpoint_dir(spark), "catalog", f"{db}.db").replace("'", "\\'")
+            spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}` LOCATION '{loc}'")
             if fmt == "parquet":
                 p = resolve(path, data_dir).replace("`", "``")
                 spark.sql(f"CREATE OR REPLACE VIEW `{db}`.`{tbl}` AS SELECT * FROM parquet.`{p}`")
