@@ -12,21 +12,20 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import fs
+
 
 class VersionedTable:
     def __init__(self, spark: SparkSession, root: str, schema: str | None = None):
         self.spark, self.root, self.schema = spark, root, schema
-        os.makedirs(root, exist_ok=True)
+        fs.mkdirs(spark, root)
 
     def _pointer(self) -> str:
         return os.path.join(self.root, "_CURRENT")
 
     def version(self) -> int:
-        p = self._pointer()
-        if not os.path.exists(p):
-            return 0
-        with open(p) as f:
-            return int(f.read().strip() or 0)
+        txt = fs.read_text(self.spark, self._pointer())
+        return int(txt.strip() or 0) if txt else 0
 
     def current(self) -> DataFrame:
         v = self.version()
@@ -40,8 +39,5 @@ class VersionedTable:
         v = self.version() + 1
         path = os.path.join(self.root, f"v={v}")
         df.write.mode("overwrite").parquet(path)
-        tmp = self._pointer() + ".tmp"
-        with open(tmp, "w") as f:
-            f.write(str(v))
-        os.replace(tmp, self._pointer())
+        fs.write_text(self.spark, self._pointer(), str(v))
         return self.current()

@@ -34,8 +34,8 @@ def resolve(path: str, data_dir: str | None = None) -> str:
     if data_dir and not os.path.isabs(path) and "://" not in path:
         path = os.path.join(data_dir, path)
     base = path.split("?", 1)[0]
-    if "." not in os.path.basename(base.rstrip("/")) and not os.path.isdir(base):
-        if os.path.exists(base + ".parquet") or "://" in base:
+    if "://" not in base and "." not in os.path.basename(base.rstrip("/")) and not os.path.isdir(base):
+        if os.path.exists(base + ".parquet"):
             return base + ".parquet"
     return base
 
@@ -122,7 +122,8 @@ def preview_tables(spark: SparkSession, sources: dict, n: int = 25) -> DataFrame
     out = None
     for name, path in sources.items():
         p = resolve(path)
-        if "://" not in p and not os.path.exists(p):
+        from . import fs
+        if not fs.exists(spark, p):
             continue
         df = scan(spark, p)
         k = df.columns[0]

@@ -9,12 +9,12 @@ table). The graph key is the last dotted part of the graph's name.
 from __future__ import annotations
 
 import os
-import shutil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
+from . import fs
 
 
 def table_path(root: str, graph: str, kind: str) -> str:
@@ -48,11 +48,9 @@ def read_graph(spark: SparkSession, root: str, graph: str) -> PropertyGraph:
     return PropertyGraph(nodes, edges, name=graph)
 
 
-def list_graphs(root: str) -> list[str]:
-    if not os.path.isdir(root):
-        return []
+def list_graphs(spark: SparkSession, root: str) -> list[str]:
     names = set()
-    for d in os.listdir(root):
+    for d in fs.list_names(spark, root):
         for suf in ("_nodes", "_edges"):
             if d.endswith(suf):
                 names.add(d[: -len(suf)])
@@ -62,9 +60,7 @@ def list_graphs(root: str) -> list[str]:
 def delete_graph(spark: SparkSession, root: str, graph: str) -> None:
     """Drop a graph's tables; idempotent (missing tables are fine)."""
     for kind in ("nodes", "edges", "label_keys"):
-        p = table_path(root, graph, kind)
-        if os.path.exists(p):
-            shutil.rmtree(p)
+        fs.delete(spark, table_path(root, graph, kind))
 
 
 def graph_sizes(graphs: list, known: DataFrame | None = None) -> DataFrame:
@@ -88,7 +84,7 @@ def graph_sizes(graphs: list, known: DataFrame | None = None) -> DataFrame:
 def stored_graph_sizes(spark: SparkSession, root: str) -> DataFrame:
     """A7 over a store folder."""
     gs = []
-    for name in list_graphs(root):
+    for name in list_graphs(spark, root):
         try:
             gs.append((name, read_graph(spark, root, name)))
         except Exception:

@@ -32,7 +32,7 @@ def stream_extract(spark: SparkSession, source_dir: str, schema: str, store: Gra
 
     def each(batch: DataFrame, epoch: int) -> None:
         # The ingest commits (writes) its tables itself; the report is not needed.
-        ingest_documents(spark, store, batch, _now(epoch), uri=f"epoch:{epoch}", **ingest_kw)
+        ingest_documents(batch.sparkSession, store, batch, _now(epoch), uri=f"epoch:{epoch}", **ingest_kw)
 
     q = (src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
