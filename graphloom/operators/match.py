@@ -93,19 +93,40 @@ def undirected_edges(g: PropertyGraph) -> DataFrame:
     return fwd.unionByName(rev)
 
 
+_FLIP = {"->": "<-", "<-": "->", "-": "-"}
+
+
 def match(g: PropertyGraph, pattern: list, where: Column | None = None,
-          unique_edges: bool = True, keep_anonymous: bool = False) -> DataFrame:
-    """Run a linear pattern; one row per match (path)."""
+          unique_edges: bool = True, keep_anonymous: bool = False, start: int | str = 0) -> DataFrame:
+    """Run a linear pattern; one row per match (path).
+
+    ``start`` (node position or alias) is where the join chain begins: put
+    it on the most selective node (label + predicate) and the chain extends
+    to the right end, then to the left end, so every join brings in one hop
+    next to already-matched rows. The result is the same for any start.
+    """
     if not pattern or not isinstance(pattern[0], N) or len(pattern) % 2 == 0:
         raise ValueError("pattern must alternate N, E, N, ... and start/end with N")
-    cur = node_frame(g, pattern[0]).drop("_nk")
-    prev = pattern[0].alias
+    nodes = pattern[0::2]
+    if isinstance(start, str):
+        start = [n.alias for n in nodes].index(start)
+    if not 0 <= start < len(nodes):
+        raise ValueError("start must name a node of the pattern")
+    # Hops in join order: (anchor node, edge as seen from the anchor, new node).
+    hops = []
+    for i in range(start, len(nodes) - 1):
+        e = pattern[2 * i + 1]
+        hops.append((nodes[i], e, e.direction, nodes[i + 1], f"_e{i}"))
+    for i in range(start, 0, -1):
+        e = pattern[2 * i - 1]
+        hops.append((nodes[i], e, _FLIP[e.direction], nodes[i - 1], f"_e{i - 1}"))
+    cur = node_frame(g, nodes[start]).drop("_nk")
     edge_aliases: list[tuple[str, E]] = []
-    for i in range(1, len(pattern), 2):
-        e, n = pattern[i], pattern[i + 1]
-        ea = e.alias or f"_e{i // 2}"
-        ed = edge_frame(g, e, ea)
-        cur = cur.join(ed, F.col(f"{prev}.NODE") == F.col("_near")).drop("_near")
+    for anchor, e, direction, n, auto in hops:
+        ea = e.alias or auto
+        oriented = E(e.alias, e.type, direction, e.where, e.props)
+        ed = edge_frame(g, oriented, ea)
+        cur = cur.join(ed, F.col(f"{anchor.alias}.NODE") == F.col("_near")).drop("_near")
         # Relationship uniqueness (an edge at most once per match) between
         # hops whose type sets can overlap.
         if unique_edges:
@@ -116,7 +137,6 @@ def match(g: PropertyGraph, pattern: list, where: Column | None = None,
         edge_aliases.append((ea, e))
         nd = node_frame(g, n)
         cur = cur.join(nd, F.col("_far") == F.col("_nk")).drop("_far", "_nk")
-        prev = n.alias
     if where is not None:
         cur = cur.filter(where)
     if not keep_anonymous:

@@ -326,7 +326,7 @@ def q_match_path(spark, sf):
     m = M.match(g, [N("s", "supplier"), E(type="SUPPLIED_BY", direction="<-"),
                     N("p", "part", F.col("p_size") == 10), E(type="CONTAINS", direction="<-"),
                     N("o", "orders", F.col("o_totalprice") > 300000), E(type="PLACED", direction="<-"),
-                    N("c", "customer")])
+                    N("c", "customer")], start="p")
     return m.select(F.col("s.NODE").alias("s_node"), F.col("p.NODE").alias("p_node"),
                     F.col("o.NODE").alias("o_node"), F.col("c.NODE").alias("c_node"))
 

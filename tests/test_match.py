@@ -70,3 +70,11 @@ def test_node_attrs_and_records(spark):
     a = M.node_attrs(g, ids)
     assert a.columns == ["NODE", "name", "risk"] and rows(a) == [("p1", "Ann Lee", 10.0)]
     assert M.get_record(g, "nope").count() == 0
+
+
+def test_start_hop_same_result(spark):
+    g = tiny(spark)
+    pat = [N("a", "party"), E("r1", "USES"), N("b", "bank"), E("r2", "USES", direction="<-"), N("c", "party")]
+    base = rows(M.match(g, pat).select("a.NODE", "b.NODE", "c.NODE", "r1.ID", "r2.ID"))
+    for s in (1, 2, "c"):
+        assert rows(M.match(g, pat, start=s).select("a.NODE", "b.NODE", "c.NODE", "r1.ID", "r2.ID")) == base
