@@ -22,9 +22,6 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
     # Broadcast only small, bounded sides; anything larger shuffles.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
-    # Partitioned writes with few partition values (edge types) use
-    # concurrent writers instead of sorting every task by the partition.
-    "spark.sql.maxConcurrentOutputFileWriters": "32",
 }
 
 
