@@ -19,6 +19,17 @@ DEFAULT_NODE_AXIS = "EntityType"
 DEFAULT_EDGE_AXIS = "RelationType"
 # Label every loader-written node carries besides its own labels.
 ENTITY_LABEL = "Entity"
+# Canonical entity id: slug of the lower-cased name (runs outside [a-z0-9]
+# become '-', edge dashes stripped) cut to 48 characters, '-', and the first
+# 8 hex digits of sha1(lower-cased name).
+SLUG_PATTERN = "[^a-z0-9]+"
+SLUG_MAX = 48
+NAME_HASH_LEN = 8
+# Relation id: first 16 hex digits of sha1("src|dst|label").
+RELATION_ID_LEN = 16
+# Uri of a pasted text: "text:" + first 12 hex digits of its sha256.
+TEXT_URI_PREFIX = "text:"
+TEXT_URI_HASH_LEN = 12
 
 
 def _c(c) -> Column:
@@ -83,14 +94,14 @@ def canonical_id(name) -> Column:
     leading/trailing '-' are stripped.
     """
     low = F.lower(_c(name))
-    slug = F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.concat(F.substring(slug, 1, 48), F.lit("-"),
-                    F.substring(F.sha1(low), 1, 8))
+    slug = F.regexp_replace(F.regexp_replace(low, SLUG_PATTERN, "-"), "^-+|-+$", "")
+    return F.concat(F.substring(slug, 1, SLUG_MAX), F.lit("-"),
+                    F.substring(F.sha1(low), 1, NAME_HASH_LEN))
 
 
 def relation_id(src, dst, label) -> Column:
     """``sha1(src|dst|label)[:16]``."""
-    return F.substring(F.sha1(F.concat_ws("|", _c(src), _c(dst), _c(label))), 1, 16)
+    return F.substring(F.sha1(F.concat_ws("|", _c(src), _c(dst), _c(label))), 1, RELATION_ID_LEN)
 
 
 def fingerprint(text) -> Column:
@@ -100,7 +111,7 @@ def fingerprint(text) -> Column:
 
 def text_uri(sha) -> Column:
     """Uri of a pasted text: ``text:<sha[:12]>``."""
-    return F.concat(F.lit("text:"), F.substring(_c(sha), 1, 12))
+    return F.concat(F.lit(TEXT_URI_PREFIX), F.substring(_c(sha), 1, TEXT_URI_HASH_LEN))
 
 
 def graph_key(graph) -> Column:

@@ -57,10 +57,17 @@ def list_graphs(spark: SparkSession, root: str) -> list[str]:
     return sorted(names)
 
 
-def delete_graph(spark: SparkSession, root: str, graph: str) -> None:
-    """Drop a graph's tables; idempotent (missing tables are fine)."""
+def delete_graph(spark: SparkSession, root: str, graph: str, metadata: dict | None = None):
+    """Drop a graph's tables; idempotent (missing tables are fine).
+    With ``metadata`` (name -> ledger/ontology/recipe/text frame with a
+    ``graph`` column) the graph's rows are removed from each and the
+    remaining frames are returned (I15)."""
     for kind in ("nodes", "edges", "label_keys"):
         fs.delete(spark, table_path(root, graph, kind))
+    if metadata is not None:
+        from ..operators.ledger import clear_metadata
+        return clear_metadata(metadata, graph)
+    return None
 
 
 def graph_sizes(graphs: list, known: DataFrame | None = None) -> DataFrame:
