@@ -77,13 +77,13 @@ def main():
 
     def subgraph_full_index_pairs():
         n, e = BR.subgraph_capped(g, None)
-        idx, pairs = BR.subgraph_index_pairs(n, e)
+        idx, pairs = BR.subgraph_index_pairs(n, e, unique_nodes=True)
         run(idx)
         run(pairs)
 
     def subgraph_capped_100k():
         n, e = BR.subgraph_capped(g, 100000)
-        idx, pairs = BR.subgraph_index_pairs(n, e)
+        idx, pairs = BR.subgraph_index_pairs(n, e, unique_nodes=True)
         run(idx)
         run(pairs)
         run(BR.subgraph_totals(g, n, e))
