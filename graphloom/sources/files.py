@@ -154,5 +154,6 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     if bad:
         ext = bad[0]["path"].rsplit(".", 1)[-1].lower()
         raise ValueError(f"unsupported file type: {ext}")
+    # UTF-8 with replacement: invalid byte sequences become U+FFFD.
     return raw.select(F.col("path").alias("doc_uri"),
-                      F.decode(F.col("content"), "UTF-8").alias("text"))
+                      F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
