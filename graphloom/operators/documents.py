@@ -64,6 +64,39 @@ def chunk_documents(docs: DataFrame, max_chunks: int = MAX_CHUNKS, mode: str = "
                        F.posexplode(arr).alias("chunk_idx", "chunk"))
 
 
+def chunk_turns(turns: DataFrame, doc_col: str, order_col: str, text_col: str = "text",
+                max_chunks: int = MAX_CHUNKS, bucket: int | None = 64) -> DataFrame:
+    """H1 over a document stored as ordered parts (e.g. conversation turns)
+    whose text is the parts joined by blank lines, WITHOUT assembling it.
+
+    A blank-line join always separates paragraphs, so the document's
+    paragraphs are each part's paragraphs in part order. The chunk index is
+    the part's offset (paragraphs in earlier parts) + the position inside the
+    part. Offsets are a two-level prefix sum: within a bucket of
+    ``bucket`` consecutive part numbers, plus the sum of earlier buckets
+    (one row per (document, bucket)); a document with a third of all parts is
+    therefore spread over many tasks. ``order_col`` must be numeric when
+    bucketing. Output as :func:`chunk_documents`."""
+    from pyspark.sql import Window
+    t = turns.select(F.col(doc_col), F.col(order_col).alias("_o"),
+                     paragraphs(F.coalesce(F.col(text_col), F.lit(""))).alias("_ps"))
+    t = t.withColumn("_n", F.size("_ps"))
+    bk = F.floor(F.col("_o") / bucket).cast("long") if bucket else F.lit(0).cast("long")
+    t = t.withColumn("_b", bk)
+    within = Window.partitionBy(doc_col, "_b").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("_wo", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+    per_b = t.groupBy(doc_col, "_b").agg(F.sum("_n").alias("_bn"))
+    before = Window.partitionBy(doc_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per_b = per_b.select(doc_col, "_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_bo"),
+                         "_bn")
+    totals = per_b.groupBy(doc_col).agg(F.sum("_bn").alias("_tot"))
+    t = t.join(per_b.select(doc_col, "_b", "_bo"), [doc_col, "_b"]).join(totals, doc_col)
+    ex = t.select(F.col(doc_col), (F.col("_tot") > max_chunks).alias("truncated"),
+                  (F.col("_bo") + F.col("_wo")).alias("_off"), F.posexplode("_ps").alias("_p", "chunk"))
+    ex = ex.withColumn("chunk_idx", (F.col("_off") + F.col("_p")).cast("int"))
+    return ex.filter(F.col("chunk_idx") < max_chunks).select(doc_col, "truncated", "chunk_idx", "chunk")
+
+
 def rule_extract(chunk: Column, single_label: str | None = None) -> tuple[Column, Column]:
     """Default extractor: capitalised word runs are entities (label by run
     length: 1 token -> Term, more -> Name, or ``single_label``); consecutive

@@ -85,9 +85,18 @@ def text_docs(spark, sf):
     return read(spark, sf, "documents").select("doc_id", "text")
 
 
+def conversation_chunks(spark, sf, maxc):
+    """Chunks of the conversation documents computed from the turns (the
+    documents are never assembled)."""
+    c = read(spark, sf, "conversations").withColumnRenamed("conv_id", "doc_id")
+    return D.chunk_turns(c, "doc_id", "turn", max_chunks=maxc)
+
+
 def _elements(spark, sf, maxc=MAXC, single_label=None, docs=None):
-    docs = docs if docs is not None else conversation_docs(spark, sf)
-    ch = D.chunk_documents(docs, max_chunks=maxc)
+    if docs is None:
+        ch = conversation_chunks(spark, sf, maxc)
+    else:
+        ch = D.chunk_documents(docs, max_chunks=maxc)
     return D.extract_elements(ch, single_label=single_label)
 
 
@@ -95,7 +104,7 @@ def _elements(spark, sf, maxc=MAXC, single_label=None, docs=None):
 SELECT doc_id, chunk_idx, chunk, truncated FROM chunks
 """)
 def q_chunk_documents(spark, sf):
-    out = D.chunk_documents(conversation_docs(spark, sf), max_chunks=MAXC)
+    out = conversation_chunks(spark, sf, MAXC)
     return out.select("doc_id", "chunk_idx", "chunk", "truncated")
 
 

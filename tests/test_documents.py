@@ -77,3 +77,17 @@ def test_canonical_id_and_rule_extractor(spark):
     el = D.extract_elements(ch).collect()[0]
     assert [e["name"] for e in el["entities"]] == ["Hello World", "Paris", "Paris"]
     assert [(r["source"], r["target"]) for r in el["relations"]] == [("Hello World", "Paris"), ("Paris", "Paris")]
+
+
+def test_chunk_turns_equals_assembled_documents(spark):
+    turns = spark.createDataFrame(
+        [(1, 0, "a\n\nb"), (1, 1, None), (1, 2, "  "), (1, 3, "c \n"), (1, 4, "\nd\ne"), (1, 9, "f\n\n\ng"),
+         (2, 5, "x"), (2, 7, "y\n\n z ")], "doc_id long, turn long, text string")
+    docs = turns.groupBy("doc_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    for maxc in (2, 3, 40):
+        for b in (None, 2, 64):
+            got = rows(D.chunk_turns(turns, "doc_id", "turn", max_chunks=maxc, bucket=b),
+                       "doc_id", "chunk_idx", "chunk", "truncated")
+            want = rows(D.chunk_documents(docs, max_chunks=maxc), "doc_id", "chunk_idx", "chunk", "truncated")
+            assert got == want, (maxc, b)
