@@ -82,11 +82,10 @@ def main():
         run(pairs)
 
     def subgraph_capped_100k():
-        n, e = BR.subgraph_capped(g, 100000)
-        idx, pairs = BR.subgraph_index_pairs(n, e, unique_nodes=True)
+        idx, pairs = BR.subgraph_capped_pairs(g, 100000)
         run(idx)
         run(pairs)
-        run(BR.subgraph_totals(g, n, e))
+        run(BR.subgraph_totals(g, idx.select("NODE"), pairs.select("ID")))
 
     def page_all():
         npg, epg = BR.page_all(g, 10000)
