@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Strings that read as TRUE when coercing to BOOLEAN.
+# Strings that read as TRUE when coercing to BOOLEAN
+# (used by operators.ingest.coerce_value).
 TRUE_STRINGS = ["true", "t", "1", "yes"]
 
 # Attribute column type names.
@@ -28,43 +29,3 @@ def decimals_to_double(df: DataFrame) -> DataFrame:
             c = c.cast("double")
         cols.append(c.alias(f.name))
     return df.select(*cols)
-
-
-def coerce_string(value, col_type: str) -> Column:
-    """Best-effort cast of a string value to an attribute column type.
-
-    BOOLEAN: membership of lower(trim(v)) in TRUE_STRINGS (else FALSE, never
-    null for a non-null value); BIGINT/DOUBLE: ``try_cast`` (failure -> null);
-    VARCHAR: the string.
-    """
-    v = value if isinstance(value, Column) else F.col(value)
-    t = col_type.upper()
-    if t == TYPE_BOOLEAN:
-        return F.when(v.isNull(), F.lit(None).cast("boolean")).otherwise(
-            F.lower(F.trim(v)).isin(TRUE_STRINGS))
-    if t == TYPE_BIGINT:
-        return v.try_cast("bigint")
-    if t == TYPE_DOUBLE:
-        return v.try_cast("double")
-    return v.cast("string")
-
-
-def json_value_type(value_json) -> Column:
-    """Attribute type of one JSON-encoded value (C4 rules).
-
-    true/false -> BOOLEAN; integer literal -> BIGINT; other number -> DOUBLE;
-    anything else (string, object, array) -> VARCHAR; JSON null -> null.
-    """
-    v = value_json if isinstance(value_json, Column) else F.col(value_json)
-    return (F.when(v.isNull() | (v == "null"), F.lit(None).cast("string"))
-            .when(v.isin("true", "false"), F.lit(TYPE_BOOLEAN))
-            .when(v.rlike(r"^-?[0-9]+$"), F.lit(TYPE_BIGINT))
-            .when(v.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"), F.lit(TYPE_DOUBLE))
-            .otherwise(F.lit(TYPE_VARCHAR)))
-
-
-def json_value_text(value_json) -> Column:
-    """Text of a JSON-encoded scalar: strings unquoted, others as written."""
-    v = value_json if isinstance(value_json, Column) else F.col(value_json)
-    return F.when(v.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")
-                  ).otherwise(v)

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.labels import SAFE_IDENT_PATTERN
+from ..functions.labels import SAFE_IDENT_PATTERN, is_safe_ident
 from ..graph import PropertyGraph
 
 
@@ -251,7 +251,7 @@ def check_identifiers(spark: SparkSession, node_specs: list[NodeSpec],
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    viol = (out.filter(F.col("value").isNull() | ~F.col("value").rlike(SAFE_IDENT_PATTERN))
+    viol = (out.filter(~is_safe_ident("value"))
             .groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")))
     if bad_keys:
         viol = viol.unionByName(spark.createDataFrame(

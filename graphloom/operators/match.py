@@ -84,15 +84,6 @@ def edge_frame(g: PropertyGraph, e: E, alias: str) -> DataFrame:
     return fwd.unionByName(rev)
 
 
-def undirected_edges(g: PropertyGraph) -> DataFrame:
-    """D3 helper: edges in both directions (self-loop once) as (a, b, ID, type)."""
-    e = g.edges.select("ID", "src", "dst", "type")
-    fwd = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), "ID", "type")
-    rev = e.filter(F.col("src") != F.col("dst")).select(
-        F.col("dst").alias("a"), F.col("src").alias("b"), "ID", "type")
-    return fwd.unionByName(rev)
-
-
 _FLIP = {"->": "<-", "<-": "->", "-": "-"}
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import DEFAULT_EDGE_AXIS, DEFAULT_NODE_AXIS, SAFE_IDENT_PATTERN
+from ..functions.labels import DEFAULT_EDGE_AXIS, DEFAULT_NODE_AXIS, SAFE_IDENT_PATTERN, structural_label
 from ..functions.frames import counts_row
 from ..graph import NODE_META, PropertyGraph
 
@@ -28,7 +28,7 @@ def label_counts(nodes: DataFrame) -> DataFrame:
     """count and percent per STRUCTURAL (first) label; the denominator
     counts ALL nodes, unlabeled ones included. One aggregation pass for the
     groups; the total is the sum of the groups (incl. the null group)."""
-    grp = nodes.groupBy(F.try_element_at("labels", F.lit(1)).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    grp = nodes.groupBy(structural_label("labels").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     # The total is summed over the grouped rows (one per label: schema-sized).
     tot = F.sum("n").over(Window.partitionBy())
     return (grp.select("label", "n", tot.alias("_tot")).filter(F.col("label").isNotNull())
@@ -43,7 +43,7 @@ def rel_counts(edges: DataFrame) -> DataFrame:
 
 
 def _struct_labels(g: PropertyGraph) -> DataFrame:
-    return g.nodes.select("NODE", F.try_element_at("labels", F.lit(1)).alias("l0"))
+    return g.nodes.select("NODE", structural_label("labels").alias("l0"))
 
 
 def schema_triples(g: PropertyGraph) -> DataFrame:
@@ -69,7 +69,7 @@ def label_properties(g: PropertyGraph, sample: bool = False) -> DataFrame:
     props = [c for c in g.nodes.columns if c not in NODE_META]
     present = F.filter(F.array(*[F.when(F.col(_q(p)).isNotNull(), F.lit(p)) for p in props]),
                        lambda x: x.isNotNull())
-    base = g.nodes.select(F.try_element_at("labels", F.lit(1)).alias("label"), "NODE", present.alias("keys"))
+    base = g.nodes.select(structural_label("labels").alias("label"), "NODE", present.alias("keys"))
     # Labels that are not safe identifiers are skipped, as in the reference.
     base = base.filter(F.col("label").isNotNull() & F.col("label").rlike(SAFE_IDENT_PATTERN))
     if sample:
@@ -141,7 +141,7 @@ def schema_by_axis(g: PropertyGraph, onto: DataFrame | None = None) -> DataFrame
     replaced by their axis (``nkey``: axis of the node's last facet label,
     EntityType default) and with edge types replaced by their axis (``ekey``)."""
     n = g.nodes.filter(F.size("labels") > 0).select(
-        "NODE", F.try_element_at("labels", F.lit(1)).alias("l0"), F.try_element_at("labels", F.lit(-1)).alias("lz"))
+        "NODE", structural_label("labels").alias("l0"), F.try_element_at("labels", F.lit(-1)).alias("lz"))
     ax = _axis_of(onto, "entity")
     if ax is not None:
         n = n.join(ax, n.lz == ax._name, "left").withColumn(
