@@ -73,3 +73,18 @@ def test_versioned_table(spark):
     t.commit(spark.createDataFrame([(1,)], "x int"))
     cur = t.commit(t.current().union(spark.createDataFrame([(2,)], "x int")))
     assert t.version() == 2 and rows(cur) == [(1,), (2,)]
+
+
+def test_stream_tables_pending_and_drop(spark):
+    from graphloom.streaming import ingest_stream as ST
+    base = tempfile.mkdtemp(prefix="gl-stream-")
+    cols = "kind string, id string, label string, src string, dst string, _ord long"
+    # File 1 holds the edge, file 2 its endpoints.
+    spark.createDataFrame([("edge", "e1", "R", "a", "b", 1)], cols).write.parquet(base + "/in/f1")
+    spark.createDataFrame([("node", "a", "X", None, None, 2), ("node", "b", "X", None, None, 3)], cols) \
+        .write.parquet(base + "/in/f2")
+    src = base + "/in/*"
+    n, e, p = ST.stream_tables(spark, src, cols, base + "/keep", base + "/ck1")
+    assert n.count() == 2 and rows(e.select("ID")) == [("e1",)] and p.count() == 0
+    n, e, p = ST.stream_tables(spark, src, cols, base + "/drop", base + "/ck2", retry_pending=False)
+    assert n.count() == 2 and e.count() == 0
