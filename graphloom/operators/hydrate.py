@@ -37,25 +37,31 @@ def dedupe_last(wide: DataFrame, key: str, order_by: list | None = None) -> Data
 
 
 def hydrate(result: DataFrame, wide: DataFrame, key: str = "NODE", columns="*",
-            order_by: list | None = None) -> DataFrame:
+            order_by: list | None = None, pin_result: bool = True) -> DataFrame:
     """G1: LEFT join result rows to the wide source on ``key``.
 
     Null-key rows are dropped; result duplicates kept; matched rows take the
     wide value of same-named columns even when null; unmatched rows keep
     their own; duplicate wide keys -> last row wins.
 
-    Plan: the wide side is de-duplicated by key (one aggregation, partial
-    map-side; its output is already hash-partitioned by key, so the join
-    that follows shuffles only the result side). The result is evaluated
-    once: it is never re-read to build a key filter.
+    Plan: the traversal result is small next to the wide source, so the wide
+    side is first reduced to the result's distinct keys with a semi join
+    (AQE broadcasts the keys when their measured size is small; otherwise a
+    sort-merge semi join), then de-duplicated, then left-joined. The result
+    is pinned once with a reliable checkpoint (``pin_result``) so the
+    traversal is not evaluated twice (once for the keys, once for the rows).
     """
+    from ..session import cut_lineage
     if columns != "*":
         cols = list(columns)
         if key not in cols:
             raise ValueError(f"columns must include the key {key!r}")
         wide = wide.select(*[F.col(_q(c)) for c in cols + [o for o in (order_by or []) if o not in cols]])
     res = result.filter(F.col(_q(key)).isNotNull())
-    w = dedupe_last(wide.filter(F.col(_q(key)).isNotNull()), key, order_by)
+    if pin_result:
+        res = cut_lineage(res)
+    keys = res.select(F.col(_q(key))).distinct()
+    w = dedupe_last(wide.join(keys, key, "left_semi"), key, order_by)
     if columns != "*":
         w = w.select(*[F.col(_q(c)) for c in columns])
     wcols = [c for c in w.columns if c != key]
@@ -126,16 +132,19 @@ def rank_by_path_count(paths: DataFrame, wide: DataFrame, key: str, attr: str,
                        out_col: str = "n", order_by: list | None = None) -> DataFrame:
     """Path count per wide attribute, ranked (highest first).
 
-    Paths are pre-aggregated per key BEFORE the join (one row per key
+    Paths are pre-aggregated per key BEFORE anything else (one row per key
     instead of one per path, partial counts map-side, so a hub key holding a
-    third of all paths costs one row per task); the wide attribute is
-    de-duplicated per key; both sides come out hash-partitioned by key, so
-    the join adds no shuffle. The final group by attribute is tiny.
+    third of all paths costs one row per task). That per-key table is pinned
+    (reliable checkpoint), the wide attribute is read only for its keys
+    (semi join), de-duplicated per key and joined; the final group by
+    attribute is tiny.
     """
-    per_key = paths.filter(F.col(_q(key)).isNotNull()).groupBy(_q(key)).agg(
-        F.count(F.lit(1)).alias("_c"))
-    w = dedupe_last(wide.select(_q(key), _q(attr), *[F.col(_q(o)) for o in (order_by or [])])
-                    .filter(F.col(_q(key)).isNotNull()), key, order_by).select(_q(key), _q(attr))
+    from ..session import cut_lineage
+    per_key = cut_lineage(paths.filter(F.col(_q(key)).isNotNull()).groupBy(_q(key)).agg(
+        F.count(F.lit(1)).alias("_c")))
+    w = wide.select(_q(key), _q(attr), *[F.col(_q(o)) for o in (order_by or [])]) \
+        .join(per_key.select(_q(key)), key, "left_semi")
+    w = dedupe_last(w, key, order_by).select(_q(key), _q(attr))
     j = per_key.join(w, key, "left")
     return (j.groupBy(_q(attr)).agg(F.sum("_c").alias(out_col))
             .orderBy(F.col(out_col).desc(), F.col(_q(attr)).asc_nulls_last()))
