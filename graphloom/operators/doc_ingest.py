@@ -44,7 +44,9 @@ def ingest_documents(spark: SparkSession, store: GraphStore, docs: DataFrame, no
     ledger = store.ledger.current()
     todo = L.skip_unchanged(ledger, batch)
     chunks = D.chunk_documents(todo.select(F.col("doc_uri").alias("doc_id"), "text"), max_chunks, mode)
-    el = D.extract_elements(chunks, extractor)
+    # Extraction output feeds entities, relations and folding: pin it once
+    # (a user extractor may be costly and must not run twice per chunk).
+    el = cut_lineage(D.extract_elements(chunks, extractor))
     ents = D.merge_entities(el)
     rels = D.merge_relations(D.link_relations(el, ents))
     renames = D.fold_partial_names(ents)

@@ -151,9 +151,15 @@ def fold_names(onto: DataFrame, graph: str, props: DataFrame, uri: str, ts,
             .drop(grp.type_kind))
     resolved = miss.select("type_kind", "name", F.col("gcanon").alias("canonical"), "axis", "ord",
                            (F.col("name") == F.col("leader")).alias("_leader"))
-    mapping = (hit.select("type_kind", "name", "canonical", "axis")
-               .unionByName(resolved.select("type_kind", "name", "canonical", "axis")))
-    rec = resolved.filter("_leader").select(
+    decided = (hit.select("type_kind", "name", "canonical", "axis", "ord", F.lit(False).alias("_leader"))
+               .unionByName(resolved))
+    # One decision per distinct proposed name, pinned once: the entity and
+    # relation rewrites and the new ledger all read it, and a synonym
+    # function is never asked twice.
+    from ..session import cut_lineage
+    decided = cut_lineage(decided)
+    mapping = decided.select("type_kind", "name", "canonical", "axis")
+    rec = decided.filter("_leader").select(
         F.lit(graph).alias("graph"), "type_kind", F.col("name").alias("type_name"),
         F.col("canonical").alias("canonical_name"), "axis", F.lit(uri).alias("first_seen_uri"),
         F.lit(ts).cast("timestamp").alias("first_seen_ts"), "ord")

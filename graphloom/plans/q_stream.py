@@ -61,7 +61,8 @@ def q_stream_extract(spark, sf):
     src = base + "/in"
     _conv_batch(spark, sf, False).repartition(4, "doc_uri").write.mode("overwrite").parquet(src)
     store = GraphStore(spark, base + "/store", "conversations")
-    ST.stream_extract(spark, src, "doc_uri string, text string, ord long", store, base + "/ckpt")
+    ST.stream_extract(spark, src, "doc_uri string, text string, ord long", store, base + "/ckpt",
+                      max_files_per_trigger=2)
     n = store.nodes.current().select(F.lit("node").alias("kind"), F.col("NODE").alias("id"))
     e = store.edges.current().select(F.lit("edge").alias("kind"), F.col("ID").alias("id"))
     return n.unionByName(e)
