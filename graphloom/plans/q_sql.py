@@ -205,7 +205,7 @@ sql_query("sql_cte_subquery", """
 WITH seg_avg AS (SELECT segment, AVG(price) AS a FROM hm GROUP BY segment)
 SELECT h.NODE AS NODE, COUNT(*) AS above_avg
 FROM hm h
-WHERE h.price > (SELECT s.a FROM seg_avg s WHERE s.segment = h.segment)
+WHERE EXISTS (SELECT 1 FROM seg_avg s WHERE s.segment = h.segment AND h.price > s.a)
   AND EXISTS (SELECT 1 FROM hm h2 WHERE h2.NODE = h.NODE AND h2.status = 'O')
 GROUP BY h.NODE
 HAVING COUNT(*) >= (SELECT MAX(cnt) FROM (SELECT COUNT(*) AS cnt FROM hm GROUP BY NODE) t) / 3
