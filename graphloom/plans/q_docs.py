@@ -40,7 +40,7 @@ DOCUMENTS_SQL = DOCS_SQL.replace(
 
 def chunks_sql(maxc, docs_sql=DOCS_SQL):
     return docs_sql + rf""",
-chunks AS (SELECT doc_id, truncated, unnest(cs) AS chunk, unnest(range(len(cs))) AS chunk_idx
+chunks AS (SELECT doc_id, truncated, unnest(cs) AS chunk, CAST(unnest(range(len(cs))) AS INTEGER) AS chunk_idx
            FROM (SELECT doc_id, len(ps) > {maxc} AS truncated, ps[1:{maxc}] AS cs FROM parts))
 """
 
@@ -53,7 +53,7 @@ m AS (SELECT doc_id, chunk_idx, regexp_extract_all(chunk, '[A-Z][a-z]+(?: [A-Z][
 ents AS (SELECT doc_id, chunk_idx, pos, name, {lbl} AS label,
                 left(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 48)
                 || '-' || left(sha1(lower(name)), 8) AS cid
-         FROM (SELECT doc_id, chunk_idx, unnest(m) AS name, unnest(range(len(m))) AS pos FROM m)),
+         FROM (SELECT doc_id, chunk_idx, unnest(m) AS name, CAST(unnest(range(len(m))) AS INTEGER) AS pos FROM m)),
 merged AS (SELECT doc_id, cid, arg_min(name, (chunk_idx, pos)) AS NODE,
                   arg_min(label, (chunk_idx, pos)) FILTER (WHERE label <> '') AS label
            FROM ents GROUP BY doc_id, cid),

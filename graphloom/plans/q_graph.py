@@ -32,8 +32,8 @@ def q_scan_parquet(spark, sf):
 
 
 @query("scan_csv_json", """
-SELECT 'csv' AS fmt, n_nationkey, n_name, n_regionkey FROM nation
-UNION ALL SELECT 'json', n_nationkey, n_name, n_regionkey FROM nation
+SELECT 'csv' AS fmt, CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation
+UNION ALL SELECT 'json', CAST(n_nationkey AS BIGINT), n_name, CAST(n_regionkey AS BIGINT) FROM nation
 """)
 def q_scan_csv_json(spark, sf):
     from ..session import scratch_path
@@ -872,7 +872,7 @@ def q_infer_column_types(spark, sf):
 
 
 @query("read_text_documents", """
-SELECT doc_id, length(text) AS n_chars, sha256(text) AS sha256 FROM documents
+SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS sha256 FROM documents
 """)
 def q_read_text_documents(spark, sf):
     """A10: the documents are written as one ``.txt`` file per document (a

@@ -170,17 +170,17 @@ GROUP BY GROUPING SETS ((segment), (status), ())
 
 sql_query("sql_window_rank", """
 SELECT o_node, NODE,
-       row_number() OVER (PARTITION BY NODE ORDER BY price DESC, o_node) AS rn,
-       rank() OVER (PARTITION BY NODE ORDER BY status) AS rk,
-       dense_rank() OVER (PARTITION BY NODE ORDER BY status) AS drk,
-       ntile(3) OVER (PARTITION BY NODE ORDER BY price DESC, o_node) AS tile
+       CAST(row_number() OVER (PARTITION BY NODE ORDER BY price DESC, o_node) AS BIGINT) AS rn,
+       CAST(rank() OVER (PARTITION BY NODE ORDER BY status) AS BIGINT) AS rk,
+       CAST(dense_rank() OVER (PARTITION BY NODE ORDER BY status) AS BIGINT) AS drk,
+       CAST(ntile(3) OVER (PARTITION BY NODE ORDER BY price DESC, o_node) AS BIGINT) AS tile
 FROM hm
 """)
 
 sql_query("sql_window_frame", """
 SELECT o_node, NODE,
-       SUM(CAST(ROUND(price * 100) AS BIGINT)) OVER (PARTITION BY NODE ORDER BY odate, o_node
-           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_cents,
+       CAST(SUM(CAST(ROUND(price * 100) AS BIGINT)) OVER (PARTITION BY NODE ORDER BY odate, o_node
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_cents,
        AVG(CAST(ROUND(price * 100) AS BIGINT)) OVER (PARTITION BY NODE ORDER BY odate, o_node
            ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS moving_cents,
        lag(price) OVER (PARTITION BY NODE ORDER BY odate, o_node) AS prev_price,
@@ -212,33 +212,33 @@ HAVING COUNT(*) >= (SELECT MAX(cnt) FROM (SELECT COUNT(*) AS cnt FROM hm GROUP B
 """)
 
 sql_query("sql_string_date_math", """
-SELECT o_node, upper(segment) AS seg, substring(o_node, 3) AS okey, length(o_node) AS len,
-       year(odate) AS yr, month(odate) AS mo, ROUND(sqrt(price), 4) AS sq,
+SELECT o_node, upper(segment) AS seg, substring(o_node, 3) AS okey, CAST(length(o_node) AS BIGINT) AS len,
+       CAST(year(odate) AS BIGINT) AS yr, CAST(month(odate) AS BIGINT) AS mo, ROUND(sqrt(price), 4) AS sq,
        CAST(floor(price / 1000) AS BIGINT) AS k, abs(acctbal) AS aa, concat(segment, '-', status) AS tag,
        replace(lower(segment), 'e', '3') AS leet, lpad(CAST(nationkey AS STRING), 3, '0') AS nk
 FROM hm
 """, """
-SELECT o_node, upper(segment) AS seg, substring(o_node, 3) AS okey, length(o_node) AS len,
-       year(odate) AS yr, month(odate) AS mo, ROUND(sqrt(price), 4) AS sq,
+SELECT o_node, upper(segment) AS seg, substring(o_node, 3) AS okey, CAST(length(o_node) AS BIGINT) AS len,
+       CAST(year(odate) AS BIGINT) AS yr, CAST(month(odate) AS BIGINT) AS mo, ROUND(sqrt(price), 4) AS sq,
        CAST(floor(price / 1000) AS BIGINT) AS k, abs(acctbal) AS aa, concat(segment, '-', status) AS tag,
        replace(lower(segment), 'e', '3') AS leet, lpad(CAST(nationkey AS VARCHAR), 3, '0') AS nk
 FROM hm
 """)
 
 sql_query("sql_json_array_map", """
-SELECT 'json' AS kind, event_type AS k, SUM(CAST(get_json_object(props, '$.k') AS BIGINT)) AS v FROM events GROUP BY event_type
+SELECT 'json' AS kind, event_type AS k, CAST(SUM(CAST(get_json_object(props, '$.k') AS BIGINT)) AS BIGINT) AS v FROM events GROUP BY event_type
 UNION ALL
 SELECT 'unnest', lbl, COUNT(*) FROM (SELECT explode(array(segment, status)) AS lbl FROM hm) t GROUP BY lbl
 UNION ALL
-SELECT 'array', segment, SUM(size(filter(array(price, acctbal), x -> x > 1000))) FROM hm GROUP BY segment
+SELECT 'array', segment, CAST(SUM(size(filter(array(price, acctbal), x -> x > 1000))) AS BIGINT) FROM hm GROUP BY segment
 UNION ALL
-SELECT 'map', status, SUM(element_at(map('F', 1, 'O', 2, 'P', 3), status)) FROM hm GROUP BY status
+SELECT 'map', status, CAST(SUM(element_at(map('F', 1, 'O', 2, 'P', 3), status)) AS BIGINT) FROM hm GROUP BY status
 """, """
-SELECT 'json' AS kind, event_type AS k, SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS v FROM events GROUP BY event_type
+SELECT 'json' AS kind, event_type AS k, CAST(SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS v FROM events GROUP BY event_type
 UNION ALL
 SELECT 'unnest', lbl, COUNT(*) FROM (SELECT unnest([segment, status]) AS lbl FROM hm) t GROUP BY lbl
 UNION ALL
-SELECT 'array', segment, SUM(len(list_filter([price, acctbal], lambda x: x > 1000))) FROM hm GROUP BY segment
+SELECT 'array', segment, CAST(SUM(len(list_filter([price, acctbal], lambda x: x > 1000))) AS BIGINT) FROM hm GROUP BY segment
 UNION ALL
-SELECT 'map', status, SUM(MAP {'F': 1, 'O': 2, 'P': 3}[status]) FROM hm GROUP BY status
+SELECT 'map', status, CAST(SUM(MAP {'F': 1, 'O': 2, 'P': 3}[status]) AS BIGINT) FROM hm GROUP BY status
 """)
