@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import langid, ngram_join
 from .shared import documents
 
 QUERIES: dict = {}
@@ -21,6 +21,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir), percent=85, k=4)
 
 
+@_register
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
