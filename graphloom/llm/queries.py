@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, ngram_join
+from . import bpe, langid, ngram_join
 from .shared import documents
 
+#: Vocabulary file of the tokenizer operators (any byte-level BPE file works).
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -26,6 +30,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+@_register
+def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(documents(spark, sf_dir), VOCABULARY)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
