@@ -29,7 +29,10 @@ from pyspark.sql import functions as F
 from . import textnp as T
 
 SLICE = 6 << 20
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_200_000
+
+NO_MERGE = 1 << 40
+LONG_PIECE = 64  # longer pieces are merged one by one, with a heap
 
 # Character classes of the split pattern.
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
@@ -86,6 +89,9 @@ class Vocabulary:
         order = np.argsort(keys)
         self.pair_keys = keys[order]
         self.pair_rank = np.array([r for r, _ in self.merges.values()], np.int64)[order]
+        self.made = np.zeros(len(model["merges"]), np.int64)
+        for r, made in self.merges.values():
+            self.made[r] = made
         self.size = size
         self._build_trie()
         # Tokens that the rules themselves never produce are not proposed.
@@ -137,6 +143,48 @@ class Vocabulary:
                 heapq.heappush(heap, (self.merges[p][0], before[i], p))
         return [t for t, a in zip(ids, alive, strict=True) if a]
 
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each token pair; ``NO_MERGE`` if there is none."""
+        key = a * self.size + b
+        e = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[e] == key, self.pair_rank[e], NO_MERGE)
+
+    def exact_rows(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`exact` for many short spans at once: (span of each token,
+        token). In every round each span merges its lowest, leftmost pair."""
+        size = ends - starts
+        row = np.repeat(np.arange(len(starts)), size)
+        token = self.byte_id[raw[np.arange(len(row)) + np.repeat(starts - (np.cumsum(size) - size), size)]]
+        rank = np.full(len(row), NO_MERGE, np.int64)
+        inner = np.flatnonzero(row[1:] == row[:-1])
+        rank[inner] = self.ranks(token[inner], token[inner + 1])
+        done = []
+        while len(row):
+            begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            length = np.diff(np.r_[begin, len(row)])
+            low = np.minimum.reduceat(rank, begin)
+            ended = np.repeat(low == NO_MERGE, length)
+            done.append((row[ended], token[ended]))
+            lowest = np.repeat(low, length)
+            row, token, rank, lowest = row[~ended], token[~ended], rank[~ended], lowest[~ended]
+            at = np.flatnonzero(rank == lowest)
+            at = at[np.r_[True, row[at[1:]] != row[at[:-1]]]] if len(at) else at
+            token[at] = self.made[rank[at]]
+            keep = np.ones(len(row), bool)
+            keep[at + 1] = False
+            at = (np.cumsum(keep) - 1)[at]
+            row, token, rank = row[keep], token[keep], rank[keep]
+            rank[at] = NO_MERGE
+            nxt = at[at + 1 < len(row)]
+            nxt = nxt[row[nxt] == row[nxt + 1]]
+            rank[nxt] = self.ranks(token[nxt], token[nxt + 1])
+            prv = at[at > 0] - 1
+            prv = prv[row[prv] == row[prv + 1]]
+            rank[prv] = self.ranks(token[prv], token[prv + 1])
+        rows, tokens = (np.concatenate([x[i] for x in done]) if done else np.zeros(0, np.int64) for i in (0, 1))
+        order = np.argsort(rows, kind="stable")
+        return rows[order], tokens[order]
+
     def propose(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest-match tokens of all spans: (piece of each token,
         token), in order."""
@@ -184,14 +232,11 @@ class Vocabulary:
         good = np.ones(len(a), bool)
         # Ranks of the merges just undone beside the border: a border merge has to come
         # before them (on the left side ties go to the leftmost pair, the left one).
-        limit = np.full(len(a), 2 ** 40, np.int64)
+        limit = np.full(len(a), NO_MERGE, np.int64)
         live = np.arange(len(a))
         while len(live):
             x, y = a[live], b[live]
-            key = x * self.size + y
-            e = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            rank = np.where(self.pair_keys[e] == key, self.pair_rank[e], 2 ** 41)
-            fall = rank * 2 + 1 < limit[live]
+            fall = self.ranks(x, y) * 2 + 1 < limit[live]
             good[live[fall]] = False
             rx, ry = self.rank[x], self.rank[y]
             go = ~fall & ((rx >= 0) | (ry >= 0))
@@ -285,7 +330,7 @@ class Encoder:
     def __init__(self, path: str):
         self.v = vocabulary(path)
         self.known = np.zeros(0, np.uint64)
-        self.ids, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.ids, self.begin, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.repaired = self.proposed = 0
 
     def _encode_pieces(self, raw, starts, ends) -> tuple[np.ndarray, np.ndarray]:
@@ -301,12 +346,18 @@ class Encoder:
         count = np.bincount(row, minlength=len(starts))
         if len(failed):
             self.repaired += len(failed)
-            exact = [v.exact(raw[starts[i]:ends[i]].tobytes()) for i in failed]
+            long = ends[failed] - starts[failed] > LONG_PIECE
+            short = failed[~long]
+            r, t = v.exact_rows(raw, starts[short], ends[short])
+            fixed = [(short[r], t)]
+            for i in failed[long]:
+                ids = np.array(v.exact(raw[starts[i]:ends[i]].tobytes()), np.int64)
+                fixed.append((np.full(len(ids), i), ids))
             bad = np.zeros(len(starts), bool)
             bad[failed] = True
             keep = ~bad[row]
-            row = np.concatenate([row[keep], np.repeat(failed, [len(x) for x in exact])])
-            token = np.concatenate([token[keep], np.concatenate([np.array(x) for x in exact])])
+            row = np.concatenate([row[keep], *(x for x, _ in fixed)])
+            token = np.concatenate([token[keep], *(x for _, x in fixed)])
             order = np.argsort(row, kind="stable")
             row, token = row[order], token[order]
             count = np.bincount(row, minlength=len(starts))
@@ -328,7 +379,7 @@ class Encoder:
         # One table of the pieces of this slice: begin and length of their tokens.
         pool = np.concatenate([self.ids, made])
         begin, size = np.empty(len(kinds), np.int64), np.empty(len(kinds), np.int64)
-        begin[old], size[old] = self.begin[:-1][at[old]], np.diff(self.begin)[at[old]] if len(self.known) else 0
+        begin[old], size[old] = self.begin[at[old]], self.count[at[old]]
         begin[~old] = len(self.ids) + border[:-1][back]
         size[~old] = np.diff(border)[back]
         out = _gather(pool, begin[inverse], size[inverse])
@@ -337,18 +388,23 @@ class Encoder:
         return out, count[first]
 
     def _remember(self, kinds, pool, begin, size, old) -> None:
-        if not (~old).any():
-            return
         if len(self.known) + int((~old).sum()) > CACHE_PIECES:
-            keys, begin, size = kinds[:CACHE_PIECES], begin[:CACHE_PIECES], size[:CACHE_PIECES]
-        else:
+            keep = slice(0, CACHE_PIECES)  # start again from this slice's pieces
+            self.known, self.count = kinds[keep], size[keep]
+            self.ids = _gather(pool, begin[keep], self.count)
+            self.begin = np.cumsum(self.count) - self.count
+        elif not old.all():
             keys = np.concatenate([self.known, kinds[~old]])
-            begin = np.concatenate([self.begin[:-1], begin[~old]])
-            size = np.concatenate([np.diff(self.begin), size[~old]])
-            order = np.argsort(keys)
-            keys, begin, size = keys[order], begin[order], size[order]
-        self.ids = _gather(pool, begin, size)
-        self.known, self.begin = keys, np.r_[0, np.cumsum(size)]
+            order = np.argsort(keys, kind="stable")  # two sorted runs
+            self.known, self.ids = keys[order], pool
+            self.begin = np.concatenate([self.begin, begin[~old]])[order]
+            self.count = np.concatenate([self.count, size[~old]])[order]
+
+
+@functools.lru_cache(maxsize=2)
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of a Python worker: its pieces stay known between tasks."""
+    return Encoder(path)
 
 
 def _gather(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -403,7 +459,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocab_path)
+        encoder = worker_encoder(vocab_path)
         for part, ids, border in encoded_slices(batches, encoder):
             lists = pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), pa.array(ids, pa.int32()))
             texts = [decode(encoder.v, ids[border[i]:border[i + 1]].tolist()) for i in range(part.num_rows)]
@@ -428,7 +484,7 @@ def digest_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocab_path)
+        encoder = worker_encoder(vocab_path)
         numbers = [str(i) for i in range(encoder.v.size)]
         for part, ids, border in encoded_slices(batches, encoder):
             a, b = [], []

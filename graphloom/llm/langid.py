@@ -11,6 +11,7 @@ covers whole texts and reads each distinct word of a slice once.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from . import textnp as T
 
 PIECE_BYTES = 32
 SLICE = 12 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -198,7 +199,7 @@ class Scorer:
             self.known, self.scores = kinds[:CACHE_WORDS], scores[:CACHE_WORDS]
         elif len(new):
             known = np.concatenate([self.known, kinds[~old]])
-            order = np.argsort(known)
+            order = np.argsort(known, kind="stable")  # two sorted runs
             self.known, self.scores = known[order], np.concatenate([self.scores, scores[~old]])[order]
         total = np.zeros((len(offs) - 1, scores.shape[1]))
         for c in range(scores.shape[1]):
@@ -209,6 +210,18 @@ class Scorer:
         return np.exp(_log_softmax(mean))
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def worker_scorer(net: ByteGRU) -> Scorer:
+    """The scorer of a Python worker: its words stay known between tasks of one model."""
+    digest = hashlib.sha256(b"".join(net.p[k].tobytes() for k in sorted(net.p))).hexdigest()
+    if digest not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[digest] = Scorer(net)
+    return _SCORERS[digest]
+
+
 def position_labels(net: ByteGRU, text: str) -> list[tuple[int, int, str]]:
     """Runs (start byte, end byte, language) of equal labels over the word
     bytes of a whole text."""
@@ -224,6 +237,10 @@ def position_labels(net: ByteGRU, text: str) -> list[tuple[int, int, str]]:
     return [tuple(x) for x in out]
 
 
+def _lettered(texts: pa.Array) -> np.ndarray:
+    return np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+
+
 def held_out(id_col: str = "doc_id"):
     """True for a fifth of the rows, by crc32 of the id's decimal text (false for a null id)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
@@ -267,12 +284,12 @@ def predict(docs: DataFrame, net: ByteGRU, id_col: str = "doc_id", text_col: str
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(net)
+        scorer = worker_scorer(net)
         names = np.array([*net.langs, "und"], dtype=object)
         for batch in batches:
             for part in T.slices(batch, "text", SLICE):
                 texts = part.column(1)
-                letters = np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()])
+                letters = _lettered(texts)
                 best, score = np.full(len(letters), len(net.langs)), np.zeros(len(letters))
                 if net.langs and letters.any():
                     probs = scorer.documents(*T.buffers(texts))
@@ -289,3 +306,19 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """Train and predict: id, ``held_out``, ``lang_pred``, ``score``."""
     net = fit(docs, id_col, text_col, lang_col, **bounds)
     return predict(docs, net, id_col, text_col).select(F.col(id_col), held_out(id_col).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, net: ByteGRU, min_score: float = 0.4, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose language is ``und`` or scores below ``min_score``."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = worker_scorer(net)
+        for batch in batches:
+            for part in T.slices(batch, at, SLICE):
+                keep = _lettered(part.column(at))
+                if net.langs and keep.any():
+                    keep &= scorer.documents(*T.buffers(part.column(at))).max(1) >= min_score
+                yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, ngram_join
-from .shared import documents
+from . import bpe, decontaminate, langid, license_scan, ngram_join, quality, secrets, sharding, token_store, url_filter
+from .shared import documents, scratch
 
 #: Vocabulary file of the tokenizer operators (any byte-level BPE file works).
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -15,22 +16,115 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def _register(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def _register(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE[fn.__name__] = sql
+        return fn
+    return add
 
 
-@_register
+_WORD = r"[^\x20\x09-\x0D]+"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@_register(rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '{_WORD}') AS ws FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+             ELSE list_distinct([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] for i in range(1, len(ws) - 2)]) END AS gs FROM w),
+s AS (SELECT doc_id, unnest(gs) AS g FROM g),
+n AS (SELECT doc_id, len(gs) AS n FROM g),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 85 * (nx.n + ny.n - k)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT n.doc_id, n.n AS n_shingles, min(r.y) AS component_id FROM n JOIN r ON r.x = n.doc_id GROUP BY n.doc_id, n.n
+""")
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(documents(spark, sf_dir), percent=85, k=4)
+    return ngram_join.jaccard_components(documents(spark, sf_dir), percent=85, k=4).select("doc_id", "n_shingles", "component_id")
 
 
-@_register
+@_register()
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
-@_register
+@_register()
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = quality.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.judge(documents(spark, sf_dir), trusted)
+
+
+_FITS = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
+_RULE = "CASE " + " ".join(
+    f"WHEN {_FITS.format(h, p)} THEN '{h}{p}'" for _, h, p in sorted(url_filter.RULES, key=lambda r: (-len(r[1] + r[2]), -len(r[1])))) + " END"
+_VERDICT = "CASE " + " ".join(f"WHEN rule = '{h}{p}' THEN '{a}'" for a, h, p in url_filter.RULES) + " ELSE 'allow' END"
+
+
+@_register(rf"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT *, {_RULE} AS rule FROM p)
+SELECT *, {_VERDICT} AS verdict FROM r
+""")
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter.judge_urls(pages, url_filter.rules_frame(spark))
+
+
+def _secret_sql() -> str:
+    """Spans of every rule, in DuckDB: lengths of the pieces between matches and of the matches, summed up."""
+    parts = []
+    for i, r in enumerate(secrets.RULES):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(f"""
+SELECT doc_id, {i} AS rank, '{r.kind}' AS kind,
+       list_sum([length(x) for x in gaps[:k]]) + coalesce(list_sum([length(x) for x in ms[:k - 1]]), 0) AS a, ms[k] AS m
+FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM (
+      SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gaps FROM d WHERE regexp_matches(t, '{pattern}')))
+WHERE length(regexp_extract(ms[k], '{pattern}', {r.group})) >= {r.least}""")
+    said = "string_agg(kind || ':' || a || ':' || (a + length(m)), ',' ORDER BY a, rank)"
+    base = [(i, r) for i, r in enumerate(secrets.RULES) if r.base]
+    only = f"rank IN ({', '.join(str(i) for i, _ in base)})"
+    counts = ", ".join(f"count(*) FILTER (rank = {i}) AS n_{r.kind}" for i, r in base)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({' UNION ALL '.join(parts)})
+SELECT d.doc_id, {counts}, sha256(coalesce({said} FILTER ({only}), '')) AS base_sha256, coalesce({said}, '') AS spans
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+@_register(_secret_sql())
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_digests(documents(spark, sf_dir))
+
+
+@_register()
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@_register()
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    token_store.write_tokens(documents(spark, sf_dir), path, VOCABULARY, end_id=0)
+    return token_store.read_tokens(spark, path, digests=True)
+
+
+@_register()
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(documents(spark, sf_dir)).drop("spans")
+
+
+@_register()
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (sharding.shard_rows(documents(spark, sf_dir), shards=16)
+            .withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}))
+
+
+@_register()
 def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(documents(spark, sf_dir), VOCABULARY)
 

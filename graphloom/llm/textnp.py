@@ -30,17 +30,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 # Word bytes of the second word rule: ASCII letters, digits, everything non-ASCII.
-_ALNUM = np.zeros(256, dtype=bool)
-_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
-_ALNUM[128:] = True
+ALNUM = np.zeros(256, dtype=bool)
+ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = True
+ALNUM[128:] = True
 
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**j and base**-j modulo 2**64 for j < n (kept between calls)."""
     have = _powers.get("p")
     if have is None or len(have) < n:
@@ -67,13 +67,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0]:offs[-1]] if n else raw[:0], offs - offs[0] if n else np.zeros(1, np.int64)
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES):
+def slices(batch: pa.RecordBatch, text: str | int, limit: int = SLICE_BYTES):
     """Cut a batch into runs of rows with at most about ``limit`` text bytes
     (a longer text stands alone), so memory follows the longest text."""
     n = batch.num_rows
     if not n:
         return
-    _, offs = buffers(batch.column(batch.schema.get_field_index(text)))
+    _, offs = buffers(batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text)))
     start = 0
     while start < n:
         end = int(np.searchsorted(offs, offs[start] + limit, side="right")) - 1
@@ -116,8 +116,8 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
         j = max(i + 1, int(np.searchsorted(ends, at + PIECE, side="right")))
         piece = raw[at:int(ends[j - 1])]
         if lower:
-            piece = _LOWER[piece]
-        p, inv = _power_tables(len(piece) + 1)
+            piece = LOWER[piece]
+        p, inv = power_tables(len(piece) + 1)
         h = np.zeros(len(piece) + 1, dtype=np.uint64)
         np.cumsum(_BYTE[piece] * p[:len(piece)], out=h[1:])
         s, e = starts[i:j] - at, ends[i:j] - at
