@@ -17,10 +17,11 @@ Documents are sets of distinct word 4-shingles. Two sets link when
   (worth 0); the look-ups left over are given up for the most crowded subsets
   (``_drop_crowded``). Only what the pigeonhole bound does not need is skipped:
   no link is lost.
-* **Verification.** Candidates are checked on the whole sets. Members of a
-  crowded subset are first checked against one leader; after the components
-  of those links only pairs of different components are checked. Copies are
-  one set throughout, so they are never paired.
+* **Verification.** Candidates whose sizes and parity sketches allow a link are
+  checked on the whole sets. Members of a subset are first checked against
+  one leader, the set that shares most; after a few rounds of leaders only
+  members beside a subset's main component are still paired, with members of
+  other components. Copies are one set throughout, so they are never paired.
 """
 
 from __future__ import annotations
@@ -221,6 +222,7 @@ def _signature_rows(k: int, bands: Bands, plan: dict):
     return run
 
 
+STARS = 1  # rounds of leaders after the first
 HOLD = 1 << 16  # rows gathered before a look; a longer run of one signature streams through
 
 
@@ -287,19 +289,33 @@ def _shared_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield from settle(None)
 
 
+SKETCH = 8  # longs of a parity sketch
+
+
 def _sets_of(k: int):
+    """Sets with a sketch: the parity of the shingles in each of 64 * ``SKETCH``
+    bits. Sketches differ in at most as many bits as sets in shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "text"):
-                out = []
-                for s in shingle_sets(part.column(part.schema.get_field_index("text")), k):
-                    out.append((*fingerprint(s), s.tobytes()))
+                sets = list(shingle_sets(part.column(part.schema.get_field_index("text")), k))
+                marks = [fingerprint(s) for s in sets]
+                bits = [np.packbits(np.bincount((T.mix(s + _U(5)) & _U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1).view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()),
-                     pa.array([x[2] for x in out], pa.binary())], names=["fa", "fb", "items"])
+                    [pa.array([x[0] for x in marks], pa.int64()), pa.array([x[1] for x in marks], pa.int64()),
+                     pa.array([len(s) for s in sets], pa.int64()), *(pa.array([b[i] for b in bits], pa.int64()) for i in range(SKETCH)),
+                     pa.array([s.tobytes() for s in sets], pa.binary())], names=["fa", "fb", "n", *(f"s{i}" for i in range(SKETCH)), "items"])
     return run
 
 
+def _plausible(percent: int, a: str, b: str):
+    """Sizes and sketches (columns with prefixes ``a`` and ``b``) that a link does not exclude."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    apart = sum((F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(1, SKETCH)),
+                F.bit_count(F.col(f"{a}s0").bitwiseXOR(F.col(f"{b}s0"))))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart <= F.floor((100 - percent) * (n + m) / (100 + percent)))
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,7 +346,7 @@ def _drop_crowded(members: DataFrame, crowd: int) -> DataFrame:
     m = m.withColumn("_can", can).withColumn("_paid", F.row_number().over(order))
     spare = F.shiftright(F.col("tag"), SLACK_SHIFT)
     drop = F.col("_can") & (F.col("_paid") <= spare)
-    return m.select("gid", "node", "root", F.when(drop, F.col("tag") - PROBE).otherwise(F.col("tag")).alias("tag"))
+    return m.select("gid", "node", "root", "main", F.when(drop, F.col("tag") - PROBE).otherwise(F.col("tag")).alias("tag"))
 
 
 def jaccard_links(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id", text_col: str = "text",
@@ -369,37 +385,57 @@ def jaccard_links(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str =
     picks = classes.join(need, "fa", "left_semi").select("fa", "fb", F.col("pick.doc_id").alias("doc_id"), F.col("pick.tid").alias("tid"))
     texts = (src.alias("s").join(picks.alias("p"), (F.col("s.tid") == F.col("p.tid")) & F.col("s.doc_id").eqNullSafe(F.col("p.doc_id")),
                                  "left_semi").select("text"))
-    items = written(texts.mapInArrow(_sets_of(k), "fa long, fb long, items binary").dropDuplicates(["fa", "fb"]), "items")
+    items = written(texts.mapInArrow(_sets_of(k), "fa long, fb long, n long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", items binary").dropDuplicates(["fa", "fb"]), "items")
+
+    facts = ["n", *(f"s{i}" for i in range(SKETCH))]
+    fact = lambda p: items.select(F.col("fa").alias(p), F.col("fb").alias(f"{p}b"), *[F.col(c).alias(f"{p}{c}") for c in facts])
+    body = lambda p: items.select(F.col("fa").alias(p), F.col("fb").alias(f"{p}b"), F.col("items").alias(f"{p}i"))
 
     def checked(pairs: DataFrame) -> DataFrame:
-        left = items.select(F.col("fa").alias("x"), F.col("fb").alias("xb"), F.col("items").alias("xi"))
-        right = items.select(F.col("fa").alias("y"), F.col("fb").alias("yb"), F.col("items").alias("yi"))
-        lx, ly = F.length("xi"), F.length("yi")
-        both = (pairs.join(left, "x").join(right, "y")
-                .filter((100 * F.least(lx, ly) >= percent * F.greatest(lx, ly)) & ((F.col("x") != F.col("y")) | (F.col("xb") < F.col("yb"))))
-                .select("x", "xb", "xi", "y", "yb", "yi"))
-        return both.mapInArrow(_verify(percent), "a string, b string")
-
-    # Leaders first: every member of a subset against the smallest one; sets that share a name too.
-    lead = members.groupBy("gid").agg(F.min("node").alias("x"))
-    star = members.join(lead, "gid").filter("node <> x").select("x", F.col("node").alias("y")).distinct()
-    star = star.unionByName(items.groupBy("fa").count().filter("count > 1").select(F.col("fa").alias("x"), F.col("fa").alias("y")))
-    first = written(checked(star), "links")
-
-    # Then only pairs of sets that are not yet in one component.
-    comp = components(first)
-    roots = comp.select(F.split("node", "[.]")[0].cast("long").alias("node"), "root").dropDuplicates(["node"])
-    m = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.col("node").cast("string")))
-    mixed = m.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).filter("r0 <> r1 and size > 2")
-    m = written(m.join(mixed.select("gid"), "gid", "left_semi"), "mixed")
-    m = _drop_crowded(m, crowd)
+        """Links among candidate pairs (x, y), the whole sets compared."""
+        likely = pairs.join(fact("x"), "x").join(fact("y"), "y").filter(_plausible(percent, "x", "y") & ((F.col("x") != F.col("y")) | (F.col("xb") < F.col("yb"))))
+        both = likely.select("x", "xb", "y", "yb").join(body("x"), ["x", "xb"]).join(body("y"), ["y", "yb"])
+        return written(both.select("x", "xb", "xi", "y", "yb", "yi").mapInArrow(_verify(percent), "a string, b string"), "links")
+
+    # Weight of a set: the sizes of the subsets that it shares, so the text that others derive from leads.
+    size = members.groupBy("gid").agg(F.count(F.lit(1)).alias("size"))
+    weight = members.join(size, "gid").groupBy("node").agg(F.sum("size").alias("weight"))
+    m = members.join(weight, "node")
+
+    def star(rows: DataFrame, leads: DataFrame) -> DataFrame:
+        """Every member of a subset against the heaviest of ``leads``, once for all subsets."""
+        lead = leads.groupBy("gid").agg(F.max(F.struct("weight", "node")).alias("lead"))
+        return (rows.join(lead, "gid").filter("node <> lead.node")
+                .select(F.least("node", "lead.node").alias("x"), F.greatest("node", "lead.node").alias("y")).distinct())
+
+    same_name = items.groupBy("fa").count().filter("count > 1").select(F.col("fa").alias("x"), F.col("fa").alias("y"))
+    links = checked(star(m, m).unionByName(same_name))
+
+    def unsettled(rows: DataFrame) -> DataFrame:
+        """Subsets whose members are in different components, with each member's
+        component and whether it is that of the heaviest member."""
+        roots = components(links).select(F.split("node", "[.]")[0].cast("long").alias("node"), "root").dropDuplicates(["node"])
+        r = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.col("node").cast("string")))
+        per = r.groupBy("gid").agg(F.max(F.struct("weight", "node", "root"))["root"].alias("main"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+        r = r.join(per.filter("r0 <> r1").select("gid", "main"), "gid")
+        return written(r.select("gid", "tag", "node", "weight", "root", (F.col("root") == F.col("main")).alias("main")), "unsettled")
+
+    rest = unsettled(m)
+    for _ in range(STARS):  # leaders of what is not linked to the first ones
+        links = links.unionByName(checked(star(rest, rest.filter("not main"))))
+        rest = unsettled(rest.select("gid", "tag", "node", "weight"))
+
+    # What is left pair by pair: members beside the main component against all others.
+    rest = _drop_crowded(rest, crowd).join(fact("node").drop("nodeb"), "node")
     has = lambda c, bit: F.col(c).bitwiseAND(F.lit(bit)) > 0
-    p = m.filter(has("tag", PROBE)).select("gid", F.col("node").alias("p"), F.col("tag").alias("pt"), F.col("root").alias("pr"))
-    i = m.filter(has("tag", INDEX)).select("gid", F.col("node").alias("i"), F.col("tag").alias("it"), F.col("root").alias("ir"))
-    rest = (p.join(i, "gid").filter((F.col("pr") != F.col("ir")) & ~(has("pt", DELETED) & has("it", DELETED)))
-            .select(F.least("p", "i").alias("x"), F.greatest("p", "i").alias("y")).distinct())
-    second = written(checked(rest), "links")
-    return named, first.unionByName(second)
+    side = lambda p, bit, only: rest.filter(has("tag", bit) & only).select(
+        "gid", F.col("node").alias(p), F.col("tag").alias(f"{p}t"), F.col("root").alias(f"{p}r"), *[F.col(f"node{c}").alias(f"{p}{c}") for c in facts])
+    fits = (F.col("pr") != F.col("ir")) & ~(has("pt", DELETED) & has("it", DELETED)) & _plausible(percent, "p", "i")
+    beside, main = ~F.col("main"), F.col("main")
+    pairs = [side("p", PROBE, a).join(side("i", INDEX, b), "gid").filter(fits).select(F.least("p", "i").alias("x"), F.greatest("p", "i").alias("y"))
+             for a, b in ((beside, F.lit(True)), (main, beside))]
+    links = links.unionByName(checked(pairs[0].unionByName(pairs[1]).distinct()))
+    return named, links
 
 
 def jaccard_components(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
