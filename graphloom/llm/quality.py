@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 14
 TRUSTED = 10_000
 SMOOTHING = 0.5
-THRESHOLD = -0.25
+THRESHOLD = -0.1
 
 # The white space that parts words, the symbols, the limits of the base rules.
 SPACE = " \t\n\x0b\x0c\r"
@@ -69,9 +69,13 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
                       .otherwise(F.transform("all", lambda x: share(x["good"], F.col("goods")) - share(x["raw"], F.col("raws")))).alias("weights"))
 
 
-def _repeated_words(tri: Column) -> Column:
-    """Words inside windows that occur at least twice, from the hashes of all windows in order."""
-    placed = F.array_sort(F.transform(tri, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+def _placed(tri: Column) -> Column:
+    """Windows as (hash, place) in order of hash; null if none occurs twice."""
+    return F.when(F.size(F.array_distinct(tri)) < F.size(tri), F.sort_array(F.transform(tri, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+
+
+def _repeated_words(placed: Column) -> Column:
+    """Words inside windows that occur at least twice."""
     n = F.size(placed)
     twins = F.zip_with(F.slice(placed, 1, n - 1), F.slice(placed, 2, n - 1),
                        lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
@@ -98,6 +102,7 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     n3 = F.greatest(F.size("_h") - 2, F.lit(0))
     two = F.zip_with(F.slice("_h", 1, n3), F.slice("_h", 2, n3), lambda a, b: F.xxhash64(a, b))
     d = d.withColumn("_tri", F.zip_with(two, F.slice("_h", 3, n3), lambda a, b: F.xxhash64(a, b)))
+    d = d.withColumn("_placed", _placed(F.col("_tri")))
     lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.withColumn("_lines", lines).withColumn("_f", features(F.col("_h"), buckets))
     d = d.select(
@@ -105,7 +110,7 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
         F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(SYMBOL_PATTERN)).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct("_tri")) == F.size("_tri"), F.lit(0)).otherwise(_repeated_words(F.col("_tri"))).cast("long").alias("n_repeat_words"),
+        F.when(F.col("_placed").isNull(), F.lit(0)).otherwise(_repeated_words(F.col("_placed"))).cast("long").alias("n_repeat_words"),
         (F.aggregate("_f", F.lit(0.0), lambda s, b: s + F.element_at(weights, b + 1)) / F.greatest(F.size("_f"), F.lit(1))).alias("ratio"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return d.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold))

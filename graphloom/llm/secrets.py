@@ -157,22 +157,21 @@ def _named(spans: Column, rank: int, kind: str) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
 
-def scan(docs: DataFrame, rules: list[Rule] = RULES, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with a column ``_spans``: array of (start, kind number, kind,
-    end), ascending. A null text has none; repeated or null ids keep their
-    rows (an id's candidates hold for all its rows, every row is verified)."""
-    number = {r.kind: i for i, r in enumerate(rules)}
-    cand = candidates(docs, rules, id_col, text_col).withColumnRenamed("_id", "_cid")
-    d = docs.join(cand, docs[id_col].eqNullSafe(F.col("_cid")), "left").drop("_cid")
-    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def scan(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Columns ``doc`` (the row as a struct), ``text`` (null as empty) and
+    ``spans``: array of (start, rank of the kind, kind, end), ascending.
+    Repeated or null ids keep their rows (an id's candidates hold for all its
+    rows, every row is verified)."""
+    d = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    cand = candidates(docs, rules, id_col, text_col)
+    d = d.join(cand, d["id"].eqNullSafe(cand["_id"]), "left").select("doc", "text", F.coalesce("_rules", F.array().cast("array<string>")).alias("due"))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    parts = []
-    for r in rules:
-        due = F.lit(True) if frozenset() in trigram_query(r.pattern) else F.array_contains(F.coalesce("_rules", F.array().cast("array<string>")), r.kind)
-        col = f"_s_{r.kind}"
-        d = d.withColumn(col, F.when(due & t.rlike(r.pattern), _spans(t, r)).otherwise(none))
-        parts.append(_named(F.col(col), number[r.kind], r.kind))
-    return d.withColumn("_spans", F.array_sort(F.concat(*parts))).drop("_rules", *[f"_s_{r.kind}" for r in rules])
+    t, parts = F.col("text"), []
+    for rank, r in enumerate(rules):
+        due = F.lit(True) if frozenset() in trigram_query(r.pattern) else F.array_contains("due", r.kind)
+        d = d.withColumn(f"s{rank}", F.when(due & t.rlike(r.pattern), _spans(t, r)).otherwise(none))
+        parts.append(_named(F.col(f"s{rank}"), rank, r.kind))
+    return d.select("doc", "text", F.sort_array(F.concat(*parts)).alias("spans"))
 
 
 def _said(spans: Column) -> Column:
@@ -184,22 +183,23 @@ def scan_digests(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_
     the base spans as kind:start:end, by start, then kind) and spans (all)."""
     d = scan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rules)
     base = [i for i, r in enumerate(rules) if r.base]
-    count = lambda i: F.size(F.filter("_spans", lambda s: s["rank"] == i)).cast("long").alias(f"n_{rules[i].kind}")
-    of_base = F.filter("_spans", lambda s: s["rank"].isin(base))
-    return d.select(F.col("doc_id").alias(id_col), *[count(i) for i in base],
-                    F.sha2(_said(of_base), 256).alias("base_sha256"), _said(F.col("_spans")).alias("spans"))
+    count = lambda i: F.size(F.filter("spans", lambda s: s["rank"] == i)).cast("long").alias(f"n_{rules[i].kind}")
+    of_base = F.filter("spans", lambda s: s["rank"].isin(base))
+    return d.select(F.col("doc.doc_id").alias(id_col), *[count(i) for i in base],
+                    F.sha2(_said(of_base), 256).alias("base_sha256"), _said(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret span replaced by ``mark`` (overlapping
     spans by one); all rows and columns stay, a null text stays null."""
-    d = scan(docs, rules, text_col, id_col)
-    t = F.col(text_col)
+    d = scan(docs, rules, id_col, text_col)
+    t = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
         gap = F.substring(t, acc["at"] + 1, s["start"] - acc["at"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
                         F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-    rest = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.char_length(t))))
-    return d.withColumn(text_col, F.when(F.size("_spans") > 0, rest).otherwise(t)).select(*docs.columns)
+    rest = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.char_length(t))))
+    body = F.when(F.size("spans") > 0, rest).otherwise(F.col("doc").getField(text_col))
+    return d.select(F.col("doc").withField(text_col, body).alias("doc")).select("doc.*")
