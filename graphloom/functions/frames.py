@@ -24,3 +24,19 @@ def counts_row(parts: list, sets: dict | None = None) -> DataFrame:
     aggs = [F.sum(F.when(F.col("_k") == name, 1).otherwise(0)).cast("long").alias(name) for name, _ in parts]
     aggs += [F.array_sort(F.collect_set(F.when(F.col("_k") == name, F.col("_v")))).alias(name) for name in sets]
     return u.agg(*aggs)
+
+
+def splittable_join(left: DataFrame, right: DataFrame, keys: list, how: str) -> DataFrame:
+    """Equi-join on ``keys`` (null keys match nothing) whose shuffles AQE can split.
+
+    A side that comes out of an aggregation by the same keys is already
+    partitioned by them; the join would reuse that partitioning, and a hot key
+    of the other side would stay in one task. Joined on a struct of the keys,
+    both sides get shuffles of their own, which the skew join may split."""
+    names = {k: f"_r_{k}" for k in keys}
+    r = right.withColumnsRenamed(names)
+    for n in names.values():
+        r = r.filter(F.col(f"`{n}`").isNotNull())
+    cond = F.struct(*[left[f"`{k}`"].alias(k) for k in keys]) == F.struct(*[F.col(f"`{n}`").alias(k) for k, n in names.items()])
+    out = left.join(r, cond, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*names.values())

@@ -110,10 +110,15 @@ def fingerprint(text) -> Column:
 
 
 def text_uri(sha) -> Column:
-    """Uri of a pasted text: ``text:<sha[:12]>``."""
+    """Short uri of a pasted text for display: ``text:<sha[:12]>``."""
     return F.concat(F.lit(TEXT_URI_PREFIX), F.substring(_c(sha), 1, TEXT_URI_HASH_LEN))
 
 
+def text_key(sha) -> Column:
+    """Key of a pasted text: ``text:`` and its whole sha256."""
+    return F.concat(F.lit(TEXT_URI_PREFIX), _c(sha))
+
+
 def graph_key(graph) -> Column:
     """Store key of a graph: the last dotted part of its name."""
     return F.substring_index(_c(graph), ".", -1)

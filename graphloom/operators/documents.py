@@ -17,11 +17,11 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import splittable_join
 from ..functions.labels import canonical_id, python_strip, relation_id
 
-# Paragraph separator, default chunk cap and modes.
+# Paragraph separator and modes.
 PARAGRAPH_SPLIT = r"(?U)\n\s*\n+"
-MAX_CHUNKS = 40
 MODES = ["sequential", "parallel", "whole"]
 
 # Rule-based default extractor: capitalised word runs are entities.
@@ -43,13 +43,13 @@ def paragraphs(text) -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
-def chunk_documents(docs: DataFrame, max_chunks: int = MAX_CHUNKS, mode: str = "sequential",
+def chunk_documents(docs: DataFrame, max_chunks: int | None = None, mode: str = "sequential",
                     doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """H1/H2: one row per kept chunk: doc, chunk_idx, chunk, truncated.
 
-    sequential/parallel (and unknown modes): paragraphs, first
-    ``max_chunks`` kept, ``truncated`` iff more existed; ``whole``: the
-    stripped text as one chunk, never truncated."""
+    sequential/parallel (and unknown modes): all paragraphs; with
+    ``max_chunks`` only the first ones, ``truncated`` iff more existed;
+    ``whole``: the stripped text as one chunk, never truncated."""
     mode = mode if mode in MODES else "sequential"
     t = F.col(text_col)
     if mode == "whole":
@@ -58,14 +58,14 @@ def chunk_documents(docs: DataFrame, max_chunks: int = MAX_CHUNKS, mode: str = "
         trunc = F.lit(False)
     else:
         ps = paragraphs(F.coalesce(t, F.lit("")))
-        arr = F.slice(ps, 1, max_chunks)
-        trunc = F.size(ps) > max_chunks
+        arr = ps if max_chunks is None else F.slice(ps, 1, max_chunks)
+        trunc = F.lit(False) if max_chunks is None else F.size(ps) > max_chunks
     return docs.select(F.col(doc_col), trunc.alias("truncated"),
                        F.posexplode(arr).alias("chunk_idx", "chunk"))
 
 
 def chunk_turns(turns: DataFrame, doc_col: str, order_col: str, text_col: str = "text",
-                max_chunks: int = MAX_CHUNKS, bucket: int | None = 64) -> DataFrame:
+                max_chunks: int | None = None, bucket: int | None = 64) -> DataFrame:
     """H1 over a document stored as ordered parts (e.g. conversation turns)
     whose text is the parts joined by blank lines, WITHOUT assembling it.
 
@@ -89,12 +89,18 @@ def chunk_turns(turns: DataFrame, doc_col: str, order_col: str, text_col: str =
     before = Window.partitionBy(doc_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per_b = per_b.select(doc_col, "_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_bo"),
                          "_bn")
-    totals = per_b.groupBy(doc_col).agg(F.sum("_bn").alias("_tot"))
-    t = t.join(per_b.select(doc_col, "_b", "_bo"), [doc_col, "_b"]).join(totals, doc_col)
-    ex = t.select(F.col(doc_col), (F.col("_tot") > max_chunks).alias("truncated"),
+    t = t.join(per_b.select(doc_col, "_b", "_bo"), [doc_col, "_b"])
+    cut = F.lit(False)
+    if max_chunks is not None:
+        totals = per_b.groupBy(doc_col).agg(F.sum("_bn").alias("_tot"))
+        t = splittable_join(t, totals, [doc_col], "inner")
+        cut = F.col("_tot") > max_chunks
+    ex = t.select(F.col(doc_col), cut.alias("truncated"),
                   (F.col("_bo") + F.col("_wo")).alias("_off"), F.posexplode("_ps").alias("_p", "chunk"))
     ex = ex.withColumn("chunk_idx", (F.col("_off") + F.col("_p")).cast("int"))
-    return ex.filter(F.col("chunk_idx") < max_chunks).select(doc_col, "truncated", "chunk_idx", "chunk")
+    if max_chunks is not None:
+        ex = ex.filter(F.col("chunk_idx") < max_chunks)
+    return ex.select(doc_col, "truncated", "chunk_idx", "chunk")
 
 
 def rule_extract(chunk: Column, single_label: str | None = None) -> tuple[Column, Column]:
@@ -169,21 +175,22 @@ def entity_rows(elements: DataFrame, doc_col: str = "doc_id") -> DataFrame:
 
 
 def merge_entities(elements: DataFrame, doc_col: str = "doc_id") -> DataFrame:
-    """H5: per document, dedupe by canonical_id(name): NODE = first-seen
+    """H5: per document, one entity per lower-cased name: NODE = first-seen
     spelling; first non-empty label and facets; attrs first-seen wins per key.
-    Columns doc, cid, NODE, name, label, facets, attrs."""
-    e = entity_rows(elements, doc_col).withColumn("cid", canonical_id(F.col("name"))) \
+    Columns doc, cid (canonical id of the name), NODE, name, label, facets,
+    attrs. Names decide what is merged; the (short) id is output only."""
+    e = entity_rows(elements, doc_col).withColumn("_key", F.lower("name")) \
         .withColumn("_ord", F.struct("chunk_idx", "pos"))
-    base = e.groupBy(doc_col, "cid").agg(
+    base = e.groupBy(doc_col, "_key").agg(
         F.min("_ord").alias("_first"),
         F.min_by("name", "_ord").alias("NODE"),
         F.expr("min_by(label, _ord) FILTER (WHERE label <> '')").alias("label"),
         F.expr("min_by(facets, _ord) FILTER (WHERE size(facets) > 0)").alias("facets"))
-    kv = (e.select(doc_col, "cid", "_ord", F.explode("attrs").alias("k", "v"))
-          .groupBy(doc_col, "cid", "k").agg(F.min_by("v", "_ord").alias("v"))
-          .groupBy(doc_col, "cid").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("attrs")))
-    return (base.join(kv, [doc_col, "cid"], "left")
-            .select(doc_col, "cid", "_first", "NODE", F.col("NODE").alias("name"),
+    kv = (e.select(doc_col, "_key", "_ord", F.explode("attrs").alias("k", "v"))
+          .groupBy(doc_col, "_key", "k").agg(F.min_by("v", "_ord").alias("v"))
+          .groupBy(doc_col, "_key").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("attrs")))
+    return (base.join(kv, [doc_col, "_key"], "left")
+            .select(doc_col, canonical_id(F.col("NODE")).alias("cid"), "_first", "NODE", F.col("NODE").alias("name"),
                     F.coalesce("label", F.lit("")).alias("label"),
                     F.coalesce("facets", F.array().cast("array<struct<name:string,axis:string>>")).alias("facets"),
                     F.coalesce("attrs", F.create_map().cast("map<string,string>")).alias("attrs")))
@@ -192,7 +199,7 @@ def merge_entities(elements: DataFrame, doc_col: str = "doc_id") -> DataFrame:
 def link_relations(elements: DataFrame, entities: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     """H6: resolve relation endpoints by exact (stripped) spelling among the
     SAME chunk's entity names; dangling relations are dropped. Endpoint ids
-    are the merged NODE of the name's canonical id.
+    are the merged NODE of the lower-cased name.
     Columns doc, chunk_idx, rpos, src, dst, label, axis, attrs."""
     r = elements.select(doc_col, "chunk_idx", F.posexplode("relations").alias("rpos", "r"))
     r = r.select(doc_col, "chunk_idx", "rpos",
@@ -204,20 +211,25 @@ def link_relations(elements: DataFrame, entities: DataFrame, doc_col: str = "doc
     names = entity_rows(elements, doc_col).select(doc_col, "chunk_idx", "name").distinct()
     r = (r.join(names.withColumnRenamed("name", "s_name"), [doc_col, "chunk_idx", "s_name"], "left_semi")
           .join(names.withColumnRenamed("name", "t_name"), [doc_col, "chunk_idx", "t_name"], "left_semi"))
-    ids = entities.select(doc_col, "cid", "NODE")
-    r = (r.withColumn("s_cid", canonical_id("s_name")).withColumn("t_cid", canonical_id("t_name"))
-          .join(ids.withColumnRenamed("cid", "s_cid").withColumnRenamed("NODE", "src"), [doc_col, "s_cid"])
-          .join(ids.withColumnRenamed("cid", "t_cid").withColumnRenamed("NODE", "dst"), [doc_col, "t_cid"]))
+    ids = entities.select(doc_col, F.lower("NODE").alias("_key"), "NODE")
+    r = (r.withColumn("_s", F.lower("s_name")).withColumn("_t", F.lower("t_name"))
+          .join(ids.withColumnRenamed("_key", "_s").withColumnRenamed("NODE", "src"), [doc_col, "_s"])
+          .join(ids.withColumnRenamed("_key", "_t").withColumnRenamed("NODE", "dst"), [doc_col, "_t"]))
     return r.select(doc_col, "chunk_idx", "rpos", "src", "dst", "label", "axis", "attrs")
 
 
+def _first_relations(rows: DataFrame, doc_col: str) -> DataFrame:
+    """The first row of each (src, dst, label) of a document, with its id."""
+    first = rows.groupBy(doc_col, "src", "dst", "label").agg(
+        F.min_by(F.struct("axis", "attrs", "_ord"), "_ord").alias("x"))
+    return first.select(doc_col, relation_id("src", "dst", "label").alias("id"), "src", "dst", "label",
+                        "x.axis", "x.attrs", "x._ord")
+
+
 def merge_relations(links: DataFrame, doc_col: str = "doc_id") -> DataFrame:
-    """H7: id = sha1(src|dst|label)[:16]; first occurrence wins."""
-    r = links.withColumn("id", relation_id("src", "dst", "label")) \
-             .withColumn("_ord", F.struct("chunk_idx", "rpos"))
-    first = r.groupBy(doc_col, "id").agg(
-        F.min_by(F.struct("src", "dst", "label", "axis", "attrs", "_ord"), "_ord").alias("x"))
-    return first.select(doc_col, "id", "x.src", "x.dst", "x.label", "x.axis", "x.attrs", "x._ord")
+    """H7: one relation per (src, dst, label), first occurrence wins;
+    id = sha1(src|dst|label)[:16] is output only."""
+    return _first_relations(links.withColumn("_ord", F.struct("chunk_idx", "rpos")), doc_col)
 
 
 def fold_partial_names(entities: DataFrame, doc_col: str = "doc_id") -> DataFrame:
@@ -265,15 +277,12 @@ def redirect_relations(relations: DataFrame, renames: DataFrame, doc_col: str =
     least one rename drop self-loops and re-hash/dedupe (first wins);
     documents without renames are returned unchanged."""
     rn = renames.select(doc_col, "short", "long")
-    docs_with = rn.select(doc_col).distinct()
-    affected = relations.join(docs_with, doc_col, "left_semi")
-    untouched = relations.join(docs_with, doc_col, "left_anti")
-    a = (affected.join(rn.withColumnRenamed("short", "src").withColumnRenamed("long", "_ns"), [doc_col, "src"], "left")
+    docs_with = rn.select(doc_col).distinct().withColumn("_some", F.lit(True))
+    r = splittable_join(relations, docs_with, [doc_col], "left")
+    a = (r.filter("_some")
+         .join(rn.withColumnRenamed("short", "src").withColumnRenamed("long", "_ns"), [doc_col, "src"], "left")
          .join(rn.withColumnRenamed("short", "dst").withColumnRenamed("long", "_nd"), [doc_col, "dst"], "left")
          .withColumn("src", F.coalesce("_ns", "src")).withColumn("dst", F.coalesce("_nd", "dst"))
-         .filter(F.col("src") != F.col("dst"))
-         .withColumn("id", relation_id("src", "dst", "label")))
-    a = a.groupBy(doc_col, "id").agg(
-        F.min_by(F.struct("src", "dst", "label", "axis", "attrs", "_ord"), "_ord").alias("x"))
-    a = a.select(doc_col, "id", "x.src", "x.dst", "x.label", "x.axis", "x.attrs", "x._ord")
-    return untouched.select(*a.columns).unionByName(a)
+         .filter(F.col("src") != F.col("dst")))
+    a = _first_relations(a, doc_col)
+    return r.filter("_some is null").select(*a.columns).unionByName(a)

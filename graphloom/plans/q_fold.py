@@ -227,11 +227,11 @@ st AS (SELECT b2.doc_uri, b2.sha, CASE WHEN b1.doc_uri IS NULL THEN 'new' WHEN b
 
 
 @query("document_fingerprint", """
-SELECT doc_id, sha256(text) AS sha256, 'text:' || left(sha256(text), 12) AS doc_uri FROM documents
+SELECT doc_id, sha256(text) AS sha256, 'text:' || sha256(text) AS doc_uri, 'text:' || left(sha256(text), 12) AS display_uri FROM documents
 """)
 def q_document_fingerprint(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", "text")
-    return L.document_fingerprint(d).select("doc_id", "sha256", "doc_uri")
+    return L.document_fingerprint(d).select("doc_id", "sha256", "doc_uri", "display_uri")
 
 
 @query("ledger_upsert", "WITH " + LEDGER_SQL + """
