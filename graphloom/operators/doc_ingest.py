@@ -2,9 +2,10 @@
 
 One batch job over many documents of one graph: fingerprint -> skip
 unchanged (ledger) -> chunk -> extract -> merge/fold names -> fold labels
-(ontology) -> upsert nodes and edges -> ledger and text store. Every state
-table is a :class:`VersionedTable`; the ledger is committed only after the
-graph, so a failed run is simply retried.
+(ontology) -> upsert nodes and edges -> attribute columns -> ledger and text
+store. Every state table is a :class:`VersionedTable` of which a batch
+rewrites only the buckets that it touches; the ledger is committed only after
+the graph, so a failed run is simply retried.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import counts_row, splittable_join
+from ..functions.types import SPARK_TYPE
+from ..graph import PropertyGraph
 from . import documents as D
 from . import fold as FO
 from . import ingest as I
@@ -20,30 +24,75 @@ from .versioned import VersionedTable
 from ..session import cut_lineage
 
 
+EDGE_KEY = ["src", "dst", "type", "ID"]
+COLUMN_SCHEMA = "kind string, column string, type string"
+
+
 class GraphStore:
     """The state tables of one graph under a shared folder."""
 
-    def __init__(self, spark: SparkSession, root: str, graph: str):
-        self.graph = graph.rsplit(".", 1)[-1]
-        self.nodes = VersionedTable(spark, f"{root}/{self.graph}/nodes", I.NODE_STATE_SCHEMA)
-        self.edges = VersionedTable(spark, f"{root}/{self.graph}/edges", I.EDGE_STATE_SCHEMA)
-        self.ledger = VersionedTable(spark, f"{root}/{self.graph}/ledger", L.LEDGER_SCHEMA)
-        self.onto = VersionedTable(spark, f"{root}/{self.graph}/ontology", FO.ONTOLOGY_SCHEMA)
-        self.texts = VersionedTable(spark, f"{root}/{self.graph}/texts", L.TEXT_SCHEMA)
+    def __init__(self, spark: SparkSession, root: str, graph: str, buckets: int = 32):
+        self.spark, self.graph = spark, graph.rsplit(".", 1)[-1]
+        base = f"{root}/{self.graph}"
+        table = lambda name, schema, key=None: VersionedTable(spark, f"{base}/{name}", schema, key, buckets)
+        self.nodes = table("nodes", I.NODE_STATE_SCHEMA, ["NODE"])
+        self.edges = table("edges", I.EDGE_STATE_SCHEMA, EDGE_KEY)
+        self.ledger = table("ledger", L.LEDGER_SCHEMA, ["graph", "doc_uri"])
+        self.texts = table("texts", L.TEXT_SCHEMA, ["graph", "doc_uri"])
+        self.onto = table("ontology", FO.ONTOLOGY_SCHEMA)
+        self.columns = table("columns", COLUMN_SCHEMA)
+
+
+def _evolve(store: GraphStore, nodes: DataFrame, edges: DataFrame) -> None:
+    """Declare the attributes that a batch brings; declared types stay."""
+    declared = store.columns.current()
+    new = None
+    for kind, batch, base in (("node", nodes, I.NODE_BASE_COLS), ("edge", edges, I.EDGE_BASE_COLS)):
+        found = I.discover_attr_columns(batch.select("_ord", "attrs"), base, seq=F.col("_ord"))
+        grown = I.evolve_columns(declared.filter(F.col("kind") == kind).select("column", "type"), found)
+        part = grown.select(F.lit(kind).alias("kind"), "column", "type")
+        new = part if new is None else new.unionByName(part)
+    store.columns.commit(new)
+
+
+def state_graph(store: GraphStore) -> PropertyGraph:
+    """The ingested state as a queryable graph: nodes with LABEL, labels,
+    name and one typed column per declared attribute (C5/C6), edges likewise,
+    the ontology beside. The declared columns (one row per attribute) are read
+    by the driver; nothing else runs before the graph is used."""
+    declared = store.columns.current().collect()
+    typed = lambda kind, have: [(r["column"], r["type"]) for r in sorted(declared) if r["kind"] == kind and r["column"] not in have]
+    value = lambda c, t: I.coerce_value(F.col("attrs")[c], t).cast(SPARK_TYPE[t]).alias(c)
+    n, e = store.nodes.current(), store.edges.current()
+    front = ["NODE", "LABEL", "labels", "label_raw", "name", "first_seen_ts", "last_seen_ts"]
+    nodes = n.select("NODE", F.try_element_at("labels", F.lit(1)).alias("LABEL"), "labels", "label_raw", "name",
+                     "first_seen_ts", "last_seen_ts", *[value(c, t) for c, t in typed("node", front)])
+    front = ["ID", "src", "dst", "type", "first_seen_ts", "last_seen_ts"]
+    edges = e.select(*front, *[value(c, t) for c, t in typed("edge", front)])
+    return PropertyGraph(nodes, edges, name=store.graph, ontology=store.onto.current())
 
 
 def ingest_documents(spark: SparkSession, store: GraphStore, docs: DataFrame, now: str,
-                     max_chunks: int = D.MAX_CHUNKS, mode: str = "sequential", extractor=None,
+                     max_chunks: int | None = None, mode: str = "sequential", extractor=None,
                      synonyms: DataFrame | None = None, synonym_fn=None, uri: str = "batch") -> DataFrame:
     """Ingest ``docs`` (doc_uri, text, ord) into ``store``; returns the
-    one-row report (documents, processed, nodes, nodes_created, edges,
-    edges_created)."""
+    one-row report: documents, processed, reused (unchanged), backfilled
+    (texts stored late), truncated (documents cut by ``max_chunks``), nodes,
+    nodes_created, edges, edges_created, folded (names), labels.
+
+    The rows of one uri count as submissions in the order of ``ord``, as if
+    sent one after the other: each is new, unchanged or updated against the
+    one before; the text store keeps the last."""
     g = store.graph
-    batch = L.document_fingerprint(docs.withColumnRenamed("doc_uri", "_u"), name_col="_u").drop("_u") \
+    batch = L.document_fingerprint(docs.withColumnRenamed("doc_uri", "_u"), name_col="_u").drop("_u", "display_uri") \
         .withColumn("graph", F.lit(g))
-    ledger = store.ledger.current()
-    todo = L.skip_unchanged(ledger, batch)
-    chunks = D.chunk_documents(todo.select(F.col("doc_uri").alias("doc_id"), "text"), max_chunks, mode)
+    keys = batch.select("graph", "doc_uri")
+    statuses, _ = L.ledger_upsert(store.ledger.current(), batch.select("graph", "doc_uri", "sha256", "ord", "text"), now)
+    statuses = cut_lineage(statuses)
+    todo = statuses.filter("status <> 'unchanged'")
+    # A submission is a document of its own: uri and place in the batch.
+    doc = F.concat_ws("#", F.col("ord").cast("string"), F.col("doc_uri"))
+    chunks = D.chunk_documents(todo.select(doc.alias("doc_id"), "text"), max_chunks, mode)
     # Extraction output feeds entities, relations and folding: pin it once
     # (a user extractor may be costly and must not run twice per chunk).
     el = cut_lineage(D.extract_elements(chunks, extractor))
@@ -57,27 +106,35 @@ def ingest_documents(spark: SparkSession, store: GraphStore, docs: DataFrame, no
     # reliable checkpoint both avoids recomputing extraction per branch and
     # survives executor loss.
     ents, rels = cut_lineage(ents), cut_lineage(rels)
-    order = todo.select(F.col("doc_uri").alias("doc_id"), F.col("ord").alias("_dord"))
-    ents = ents.join(order, "doc_id").withColumn("_ord", F.struct(
-        F.col("_dord").alias("d"), F.col("_first.chunk_idx").alias("c"), F.col("_first.pos").alias("p")))
-    rels = rels.join(order, "doc_id").withColumn("_ord", F.struct(
-        F.col("_dord").alias("d"), F.col("_ord.chunk_idx").alias("c"), F.col("_ord.rpos").alias("p")))
-    onto = store.onto.current()
-    e_f, r_f, _, new_onto = FO.fold_labels(onto, g, ents, rels, uri, now, synonyms, synonym_fn)
+    order = todo.select(doc.alias("doc_id"), F.col("ord").alias("_dord"))
+    ents = splittable_join(ents, order, ["doc_id"], "inner").withColumn("_ord", F.struct(
+        F.col("_dord").alias("d"), F.col("doc_id").alias("u"), F.col("_first.chunk_idx").alias("c"), F.col("_first.pos").alias("p")))
+    rels = splittable_join(rels, order, ["doc_id"], "inner").withColumn("_ord", F.struct(
+        F.col("_dord").alias("d"), F.col("doc_id").alias("u"), F.col("_ord.chunk_idx").alias("c"), F.col("_ord.rpos").alias("p")))
+    e_f, r_f, mapping, new_onto = FO.fold_labels(store.onto.current(), g, ents, rels, uri, now, synonyms, synonym_fn)
     e_f, r_f = cut_lineage(e_f), cut_lineage(r_f)
     node_batch = e_f.select(F.col("NODE").alias("id"), "label", "labels", "label_raw",
                             F.col("NODE").alias("name"), "attrs", "_ord")
     edge_batch = r_f.select("id", "src", "dst", "label", "attrs", "_ord")
-    sn, se = store.nodes.current(), store.edges.current()
-    new_nodes = store.nodes.commit(I.merge_nodes(sn, node_batch, now, seq=F.col("_ord")))
-    new_edges = store.edges.commit(I.merge_edges(se, edge_batch, new_nodes, now, seq=F.col("_ord")))
+    old_nodes, old_edges = store.nodes.current(), store.edges.current()
+    new_nodes = store.nodes.upsert(node_batch.select(F.col("id").alias("NODE")),
+                                   lambda s: I.merge_nodes(s, node_batch, now, seq=F.col("_ord")))
+    edge_keys = edge_batch.select("src", "dst", F.col("label").alias("type"), F.col("id").alias("ID"))
+    new_edges = store.edges.upsert(edge_keys, lambda s: I.merge_edges(s, edge_batch, new_nodes, now, seq=F.col("_ord")))
     store.onto.commit(new_onto)
-    # Ledger and texts only after the graph is written.
-    _, new_ledger = L.ledger_upsert(ledger, batch.select("graph", "doc_uri", "sha256", "ord"), now)
-    store.ledger.commit(new_ledger)
-    store.texts.commit(L.record_text(store.texts.current(), todo.select("graph", "doc_uri", "text")))
-    created_n = new_nodes.filter(F.col("first_seen_ts") == F.lit(now).cast("timestamp"))
-    created_e = new_edges.filter(F.col("first_seen_ts") == F.lit(now).cast("timestamp"))
-    from ..functions.frames import counts_row
-    return counts_row([("documents", batch.select("doc_uri")), ("processed", todo.select("doc_uri")),
-                       ("nodes_created", created_n.select("NODE")), ("edges_created", created_e.select("ID"))])
+    _evolve(store, node_batch, edge_batch)
+    # Ledger and texts only after the graph is written; unchanged documents
+    # whose text is missing get it now.
+    texts = store.texts.current()
+    late = L.backfill_text(texts, statuses)
+    send = todo.select("graph", "doc_uri", "text", "ord").unionByName(late.select("graph", "doc_uri", "text", "ord"))
+    store.texts.upsert(send.select("graph", "doc_uri"), lambda s: L.record_text(s, send))
+    store.ledger.upsert(keys, lambda s: L.ledger_upsert(s, batch.select("graph", "doc_uri", "sha256", "ord"), now)[1])
+    nodes = node_batch.select(F.col("id").alias("NODE")).filter("NODE is not null").distinct()
+    edges = new_edges.select(*EDGE_KEY).join(edge_keys.distinct(), EDGE_KEY, "left_semi")
+    return counts_row([
+        ("documents", keys), ("processed", todo.select("doc_uri")), ("reused", statuses.filter("status = 'unchanged'").select("doc_uri")),
+        ("backfilled", late.select("doc_uri").distinct()), ("truncated", chunks.filter("truncated").select("doc_id").distinct()),
+        ("nodes", nodes), ("nodes_created", nodes.join(old_nodes.select("NODE"), "NODE", "left_anti")),
+        ("edges", edges), ("edges_created", edges.join(old_edges.select(*EDGE_KEY), EDGE_KEY, "left_anti")),
+        ("folded", FO.fold_report(mapping).select("kind")), ("labels", mapping.select("canonical").distinct())])

@@ -191,20 +191,22 @@ def fold_labels(onto: DataFrame, graph: str, entities: DataFrame, relations: Dat
 def label_vectors(entities: DataFrame, ent_map: DataFrame) -> DataFrame:
     """labels = distinct([structural canonical] + facet canonicals) in
     order; label_raw = all pre-fold names; blanks skipped. The name map is
-    joined once per exploded label (bounded per entity)."""
+    joined once per exploded label (bounded per entity). Entities are told
+    apart by their document (where there is one) and ``_ord``."""
     ids = [c for c in entities.columns]
-    e = entities.withColumn("_eid", F.struct(*[F.col(c) for c in ("_ord",)]))
+    key = [c for c in ("doc_id", "_ord") if c in ids]
+    e = entities
     raw = F.concat(F.array(python_strip(F.coalesce("label", F.lit("")))),
                    F.transform(F.coalesce("facets", F.array().cast("array<struct<name:string,axis:string>>")),
                                lambda x: python_strip(F.coalesce(x["name"], F.lit("")))))
-    x = e.select("_ord", F.posexplode(raw).alias("i", "n")).filter(F.col("n") != "")
+    x = e.select(*key, F.posexplode(raw).alias("i", "n")).filter(F.col("n") != "")
     x = x.join(ent_map.select(F.col("name").alias("n"), F.col("canonical").alias("c")), "n", "left")
-    v = x.groupBy("_ord").agg(F.array_sort(F.collect_list(F.struct("i", "n", F.coalesce("c", "n").alias("c"))))
+    v = x.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", "n", F.coalesce("c", "n").alias("c"))))
                               .alias("_v"))
-    v = v.select("_ord", F.array_distinct(F.transform("_v", lambda s: s["c"])).alias("labels"),
+    v = v.select(*key, F.array_distinct(F.transform("_v", lambda s: s["c"])).alias("labels"),
                  F.transform("_v", lambda s: s["n"]).alias("label_raw"),
                  F.filter("_v", lambda s: s["i"] == 0).alias("_s"))
-    out = entities.join(v, "_ord", "left")
+    out = entities.join(v, key, "left")
     struct_canon = F.try_element_at(F.transform("_s", lambda s: s["c"]), F.lit(1))
     return out.select(*[c for c in ids if c != "label"],
                       F.coalesce(struct_canon, python_strip(F.coalesce("label", F.lit("")))).alias("label"),

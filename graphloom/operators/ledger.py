@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import fingerprint, graph_key, text_uri
+from ..functions.labels import fingerprint, graph_key, text_key, text_uri
 
 LEDGER_SCHEMA = ("graph string, doc_uri string, sha256 string, source_type string, "
                  "first_ingested_ts timestamp, last_ingested_ts timestamp, status string")
@@ -21,13 +21,13 @@ RECIPE_SCHEMA = "graph string, engine string, statement string, source string, t
 
 
 def document_fingerprint(docs: DataFrame, text_col: str = "text", name_col: str | None = None) -> DataFrame:
-    """sha256 of the UTF-8 text; uri = file name if given, else
-    ``text:<sha[:12]>``."""
+    """sha256 of the UTF-8 text; ``doc_uri`` (the key) = file name if
+    given, else ``text:<sha>``; ``display_uri`` has the short ``text:<sha[:12]>``."""
     sha = fingerprint(F.col(text_col))
-    uri = text_uri(sha)
+    uri, short = text_key(sha), text_uri(sha)
     if name_col is not None:
-        uri = F.coalesce(F.col(name_col), uri)
-    return docs.withColumn("sha256", sha).withColumn("doc_uri", uri)
+        uri, short = F.coalesce(F.col(name_col), uri), F.coalesce(F.col(name_col), short)
+    return docs.withColumn("sha256", sha).withColumn("doc_uri", uri).withColumn("display_uri", short)
 
 
 def ledger_upsert(ledger: DataFrame, batch: DataFrame, now, source_type: str = "text"):
@@ -73,9 +73,12 @@ def list_documents(ledger: DataFrame, graph: str, doc_uri: str | None = None) ->
 
 
 def record_text(store: DataFrame, batch: DataFrame) -> DataFrame:
-    """Text store upsert: latest text per (graph, uri)."""
-    b = batch.select(graph_key(F.col("graph")).alias("graph"), "doc_uri", "text",
-                     F.length("text").cast("long").alias("char_len"))
+    """Text store upsert: one text per (graph, uri), the last submission's
+    (by ``ord`` where the batch has it, else the greatest text)."""
+    order = F.struct(F.col("ord"), F.col("text")) if "ord" in batch.columns else F.col("text")
+    b = (batch.select(graph_key(F.col("graph")).alias("graph"), "doc_uri", "text", order.alias("_o"))
+         .groupBy("graph", "doc_uri").agg(F.max_by("text", "_o").alias("text"))
+         .withColumn("char_len", F.length("text").cast("long")))
     keep = store.join(b.select("graph", "doc_uri"), ["graph", "doc_uri"], "left_anti")
     return keep.unionByName(b)
 

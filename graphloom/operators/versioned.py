@@ -1,43 +1,111 @@
 """Versioned tables on shared storage (upsert without a lake format).
 
-Each commit writes a complete new version ``<root>/v=<k>`` with a distributed
-Parquet write, then swaps a small pointer file last, so readers see either
-the old or the new version and a failed job leaves the current one intact.
-Reading the written version back also cuts the lineage of iterative merges.
+A commit writes its rows as Parquet into a folder of its own, then creates a
+new manifest ``manifest-<k>`` that names the folder of every bucket. The
+highest complete manifest is the current version: nothing is ever renamed
+over or deleted before its successor stands, so a crash at any point leaves
+the version before. Of two writers of the same version one fails.
+
+With a ``key`` the rows lie in ``buckets`` hash buckets, and :meth:`upsert`
+reads and writes only the buckets that a batch touches. Versions (and data
+folders) beyond the last ``keep`` are deleted after a commit.
 """
 
 from __future__ import annotations
 
-import os
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources import fs
 
+_END = "end"
+_BUCKET = "kb"  # partition column of the written buckets
+
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, root: str, schema: str | None = None):
-        self.spark, self.root, self.schema = spark, root, schema
+    def __init__(self, spark: SparkSession, root: str, schema: str | None = None, key: list[str] | None = None,
+                 buckets: int = 32, keep: int = 3):
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+        self.key, self.buckets, self.keep = key, buckets if key else 1, keep
         fs.mkdirs(spark, root)
 
-    def _pointer(self) -> str:
-        return os.path.join(self.root, "_CURRENT")
+    def _numbers(self) -> list[int]:
+        names = fs.list_names(self.spark, self.root)
+        return sorted((int(n.split("-")[1]) for n in names if n.startswith("manifest-")), reverse=True)
+
+    def _manifest(self, k: int) -> dict[int, str] | None:
+        """Bucket -> folder; None if the manifest was not completely written."""
+        lines = (fs.read_text(self.spark, f"{self.root}/manifest-{k}") or "").split("\n")
+        if lines[-1] != _END:
+            return None
+        return {int(b): d for b, d in (x.split(" ") for x in lines[:-1])}
+
+    def _current(self) -> tuple[int, dict[int, str]]:
+        for k in self._numbers():
+            where = self._manifest(k)
+            if where is not None:
+                return k, where
+        return 0, {}
 
     def version(self) -> int:
-        txt = fs.read_text(self.spark, self._pointer())
-        return int(txt.strip() or 0) if txt else 0
+        return self._current()[0]
 
-    def current(self) -> DataFrame:
-        v = self.version()
-        if v == 0:
+    def _read(self, where: dict[int, str]) -> DataFrame:
+        if not where:
             if self.schema is None:
                 raise FileNotFoundError(self.root)
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.parquet(os.path.join(self.root, f"v={v}"))
+        reader = self.spark.read.schema(self.schema) if self.schema else self.spark.read
+        return reader.parquet(*[f"{self.root}/{d}/{_BUCKET}={b}" for b, d in sorted(where.items())])
+
+    def current(self) -> DataFrame:
+        return self._read(self._current()[1])
+
+    def _bucket(self, cols: list[Column]) -> Column:
+        return F.pmod(F.xxhash64(*cols), F.lit(self.buckets)).cast("int") if self.key else F.lit(0)
+
+    def _write(self, df: DataFrame, k: int, kept: dict[int, str]) -> DataFrame:
+        folder = f"v{k}-{uuid.uuid4().hex[:8]}"
+        out = df.withColumn(_BUCKET, self._bucket([F.col(c) for c in self.key or []]))
+        if self.key:
+            out = out.repartition(_BUCKET)
+        out.write.partitionBy(_BUCKET).parquet(f"{self.root}/{folder}")
+        made = {int(n.split("=")[1]): folder for n in fs.list_names(self.spark, f"{self.root}/{folder}") if n.startswith(f"{_BUCKET}=")}
+        where = kept | made
+        fs.create_text(self.spark, f"{self.root}/manifest-{k}", "\n".join([*(f"{b} {d}" for b, d in sorted(where.items())), _END]))
+        self._clean()
+        return self._read(where)
+
+    def _next(self) -> int:
+        """Above every manifest, complete or not."""
+        return max([0, *self._numbers()]) + 1
 
     def commit(self, df: DataFrame) -> DataFrame:
-        v = self.version() + 1
-        path = os.path.join(self.root, f"v={v}")
-        df.write.mode("overwrite").parquet(path)
-        fs.write_text(self.spark, self._pointer(), str(v))
-        return self.current()
+        """Replace the whole table."""
+        return self._write(df, self._next(), {})
+
+    def upsert(self, keys: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Replace the buckets that ``keys`` (rows with the key columns) fall
+        into by ``merge(their rows)``; returns the whole new table."""
+        k, where = self._current()
+        hit = [r[0] for r in keys.select(self._bucket([F.col(c) for c in self.key])).distinct().collect()]
+        if not hit:
+            return self._read(where)
+        touched = {b: where[b] for b in hit if b in where}
+        merged = merge(self._read(touched) if touched or self.schema else self.current())
+        return self._write(merged, self._next(), {b: d for b, d in where.items() if b not in hit})
+
+    def _clean(self) -> None:
+        done = [k for k in self._numbers() if self._manifest(k) is not None]
+        old = done[self.keep:]
+        if not old:
+            return
+        used = {d for k in done[:self.keep] for d in self._manifest(k).values()}
+        gone = {d for k in old for d in self._manifest(k).values()} - used
+        for k in old:
+            fs.delete(self.spark, f"{self.root}/manifest-{k}")
+        for d in gone:
+            fs.delete(self.spark, f"{self.root}/{d}")

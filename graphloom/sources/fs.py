@@ -1,6 +1,6 @@
 """File-system helpers that work on any Hadoop URI (file, hdfs, s3a, ...).
 
-Metadata operations (exists, list, delete, small pointer files) go through
+Metadata operations (exists, list, delete, small manifest files) go through
 the Hadoop FileSystem of the session, so stored graphs and versioned tables
 live on the cluster's shared storage, not on a machine-local disk. Without a
 JVM gateway (Spark Connect) plain local paths fall back to ``os``.
@@ -63,24 +63,28 @@ def mkdirs(spark, path: str) -> None:
     fs.mkdirs(p)
 
 
-def write_text(spark, path: str, text: str) -> None:
-    """Write a small file: to a temporary name, then rename over the target
-    (readers see the old or the new content)."""
+def create_text(spark, path: str, text: str) -> None:
+    """Write a small new file; an existing one is an error (so of two writers
+    of one name only one succeeds) and is never touched."""
     fs, p = _fs(spark, path)
     if fs is None:
-        tmp = path + ".tmp"
-        with open(tmp, "w") as f:
+        with open(path, "x") as f:
             f.write(text)
-        os.replace(tmp, path)
         return
-    jvm = spark._jvm
-    tmp = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    out = fs.create(tmp, True)
-    out.write(bytearray(text.encode("utf-8")))
-    out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(tmp, p)
+    out = fs.create(p, False)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def rename(spark, path: str, to: str) -> None:
+    """Move a folder to a name that does not exist."""
+    fs, p = _fs(spark, path)
+    if fs is None:
+        os.rename(path, to)
+    elif not fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"cannot rename {path} to {to}")
 
 
 def read_text(spark, path: str) -> str | None:

@@ -9,22 +9,26 @@ is there and stops, which is also how the tests drive them.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest as I
-from ..operators.doc_ingest import GraphStore, ingest_documents
+from ..operators.doc_ingest import EDGE_KEY, GraphStore, ingest_documents
 from ..operators.versioned import VersionedTable
+from ..session import cut_lineage
 
-PENDING_SCHEMA = "id string, src string, dst string, label string, attrs map<string,string>, _ord bigint"
+PENDING_SCHEMA = "id string, src string, dst string, label string, attrs map<string,string>, _ord bigint, waiting_since timestamp"
 
 
-def _now(epoch: int) -> str:
-    return f"2025-01-01 00:{epoch // 60 % 60:02d}:{epoch % 60:02d}"
+def _now() -> str:
+    """The time of the batch, in UTC."""
+    return datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
 
 
 def stream_extract(spark: SparkSession, source_dir: str, schema: str, store: GraphStore,
-                   checkpoint: str, max_files_per_trigger: int = 1, **ingest_kw):
+                   checkpoint: str, max_files_per_trigger: int = 1, clock=_now, **ingest_kw):
     """L1: documents (doc_uri, text, ord) arriving as Parquet files -> the
     document ingest of I16 per micro-batch."""
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
@@ -32,7 +36,7 @@ def stream_extract(spark: SparkSession, source_dir: str, schema: str, store: Gra
 
     def each(batch: DataFrame, epoch: int) -> None:
         # The ingest commits (writes) its tables itself; the report is not needed.
-        ingest_documents(batch.sparkSession, store, batch, _now(epoch), uri=f"epoch:{epoch}", **ingest_kw)
+        ingest_documents(batch.sparkSession, store, batch, clock(), uri=f"epoch:{epoch}", **ingest_kw)
 
     q = (src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -41,34 +45,41 @@ def stream_extract(spark: SparkSession, source_dir: str, schema: str, store: Gra
 
 
 def stream_tables(spark: SparkSession, source_dir: str, schema: str, root: str, checkpoint: str,
-                  max_files_per_trigger: int = 1, retry_pending: bool = True):
+                  max_files_per_trigger: int = 1, retry_pending: bool = True, clock=_now):
     """L2: node/edge rows arriving as files -> node upsert (C1) and edge
     upsert (C2) per micro-batch. Edges whose endpoints are not there yet are
-    kept in a pending table and retried with the next batches
-    (``retry_pending=False`` drops them, as the reference does).
-
-    Input columns: kind ('node'|'edge'), id, label, src, dst, _ord."""
-    nodes = VersionedTable(spark, f"{root}/nodes", I.NODE_STATE_SCHEMA)
-    edges = VersionedTable(spark, f"{root}/edges", I.EDGE_STATE_SCHEMA)
+    kept in a pending table with the time of their first try and retried
+    with the next batches (``retry_pending=False`` drops them, as the
+    reference does); :func:`overdue` reports the ones that wait for long.
+
+    Input columns: kind ('node'|'edge'), id, label, src, dst, _ord and, if
+    there are attributes, attrs (map<string,string> of JSON texts)."""
+    nodes = VersionedTable(spark, f"{root}/nodes", I.NODE_STATE_SCHEMA, ["NODE"])
+    edges = VersionedTable(spark, f"{root}/edges", I.EDGE_STATE_SCHEMA, EDGE_KEY)
     pending = VersionedTable(spark, f"{root}/pending", PENDING_SCHEMA)
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
            .parquet(source_dir))
-    empty = F.create_map().cast("map<string,string>")
+    attrs = F.col("attrs") if "attrs" in src.columns else F.create_map().cast("map<string,string>")
 
     def each(batch: DataFrame, epoch: int) -> None:
-        now = _now(epoch)
-        nb = batch.filter(F.col("kind") == "node").select("id", "label", empty.alias("attrs"), "_ord")
-        new_nodes = nodes.commit(I.merge_nodes(nodes.current(), nb, now, seq=F.col("_ord")))
-        eb = batch.filter(F.col("kind") == "edge").select("id", "src", "dst", "label", empty.alias("attrs"), "_ord")
+        now = clock()
+        nb = batch.filter(F.col("kind") == "node").select("id", "label", attrs.alias("attrs"), "_ord")
+        new_nodes = nodes.upsert(nb.filter("id is not null").select(F.col("id").alias("NODE")),
+                                 lambda s: I.merge_nodes(s, nb, now, seq=F.col("_ord")))
+        eb = (batch.filter((F.col("kind") == "edge") & F.col("id").isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull())
+              .select("id", "src", "dst", "label", attrs.alias("attrs"), "_ord", F.lit(now).cast("timestamp").alias("waiting_since")))
         if retry_pending:
             eb = eb.unionByName(pending.current())
         ids = new_nodes.select("NODE")
-        ready = (eb.join(ids.withColumnRenamed("NODE", "src"), "src", "left_semi")
-                 .join(ids.withColumnRenamed("NODE", "dst"), "dst", "left_semi"))
-        edges.commit(I.merge_edges(edges.current(), ready, new_nodes, now, seq=F.col("_ord")))
+        ends = (eb.join(ids.select(F.col("NODE").alias("src"), F.lit(True).alias("_s")), "src", "left")
+                .join(ids.select(F.col("NODE").alias("dst"), F.lit(True).alias("_d")), "dst", "left"))
+        ends = cut_lineage(ends.select("id", "src", "dst", "label", "attrs", "_ord", "waiting_since",
+                                       (F.col("_s").isNotNull() & F.col("_d").isNotNull()).alias("_ready")))
+        ready = ends.filter("_ready").drop("_ready", "waiting_since")
+        keys = ready.select("src", "dst", F.col("label").alias("type"), F.col("id").alias("ID"))
+        edges.upsert(keys, lambda s: I.merge_edges(s, ready, new_nodes, now, seq=F.col("_ord")))
         if retry_pending:
-            waiting = eb.join(ready.select("id", "src", "dst", "label"), ["id", "src", "dst", "label"], "left_anti")
-            pending.commit(waiting.select("id", "src", "dst", "label", "attrs", "_ord"))
+            pending.commit(ends.filter("not _ready").drop("_ready"))
 
     q = (src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -76,15 +87,26 @@ def stream_tables(spark: SparkSession, source_dir: str, schema: str, root: str,
     return nodes.current(), edges.current(), pending.current()
 
 
-def stream_schema_counts(spark: SparkSession, source_dir: str, schema: str, checkpoint: str,
-                         query_name: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """L3: running label counts (F3 form) over node rows arriving as files:
-    streaming ``groupBy(label).count()`` in complete mode. The result table
-    is one row per label (bounded by the schema), kept in a memory sink."""
+def overdue(pending: DataFrame, now: str, seconds: int) -> DataFrame:
+    """Pending edges that wait for more than ``seconds``: a report, they stay pending."""
+    age = F.lit(now).cast("timestamp").cast("long") - F.col("waiting_since").cast("long")
+    return pending.withColumn("waiting_sec", age).filter(F.col("waiting_sec") > seconds)
+
+
+def stream_schema_counts(spark: SparkSession, source_dir: str, schema: str, root: str, checkpoint: str,
+                         max_files_per_trigger: int = 1) -> DataFrame:
+    """L3: label counts (F3 form) over node rows (NODE, LABEL) arriving as
+    files. The nodes seen so far are a bucketed table under ``root`` (a node
+    sent again counts once, with its last label); the counts are read from it."""
+    seen = VersionedTable(spark, f"{root}/seen", "NODE string, LABEL string", ["NODE"])
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
            .parquet(source_dir))
-    counts = src.groupBy(F.col("LABEL").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    q = (counts.writeStream.outputMode("complete").format("memory").queryName(query_name)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        new = batch.filter("NODE is not null").groupBy("NODE").agg(F.max("LABEL").alias("LABEL"))
+        seen.upsert(new.select("NODE"), lambda s: s.join(new.select("NODE"), "NODE", "left_anti").unionByName(new))
+
+    q = (src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(query_name)
+    return seen.current().groupBy(F.col("LABEL").alias("label")).agg(F.count(F.lit(1)).alias("n"))
