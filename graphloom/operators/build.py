@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import splittable_join
 from ..functions.labels import SAFE_IDENT_PATTERN, is_safe_ident
 from ..graph import PropertyGraph
 
@@ -83,31 +84,46 @@ def _seq(df: DataFrame, value_cols: list[str]) -> Column:
                     *[F.col(_q(c)) for c in value_cols])
 
 
+def _split_repeated(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key occurs once, rows of repeated keys).
+
+    The keys are counted by a hash aggregate; the ordered merge, which cannot
+    be one, then only sees the repeated keys (AQE drops it when there are none)."""
+    names = {k: f"_r_{k}" for k in key}
+    repeated = rows.groupBy(*key).count().filter("count > 1").select(*[F.col(k).alias(n) for k, n in names.items()])
+    cond = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return rows.join(repeated, cond, "left_anti"), rows.join(repeated, cond, "left_semi")
+
+
 def build_nodes(spark: SparkSession, specs: list[NodeSpec],
                 keep_first_label: bool = False) -> DataFrame:
     """B1: MERGE node rows by NODE.
 
     Null ids are dropped. The label SET accumulates over all rows/specs;
     ``LABEL`` is the last label; each property is its last non-null value.
-    ``labels`` = [LABEL] + the other labels sorted.
+    ``labels`` = [LABEL] + the other labels sorted. Ids that occur once pass
+    through; only repeated ids are merged in order.
     """
     rows = _node_rows(spark, specs).filter(F.col("NODE").isNotNull())
     props = [c for c in rows.columns
              if c not in ("NODE", "_spec", "_lbl", "_facets") and not c.startswith("_o")]
-    rows = rows.withColumn("_seq", _seq(rows, ["_lbl"] + props))
+    once, many = _split_repeated(rows, ["NODE"])
+    extra = ["_first_label"] if keep_first_label else []
+    vector = F.concat(F.array("_lbl"), F.col("_facets"))
+    single = once.select("NODE", F.col("_lbl").alias("LABEL"), F.array_distinct(vector).alias("_all"),
+                         *[F.col("_lbl").alias(c) for c in extra], *[F.col(_q(p)) for p in props])
+    many = many.withColumn("_seq", _seq(many, ["_lbl"] + props))
     aggs = [F.max_by("_lbl", "_seq").alias("LABEL"),
             # collect_set: a hot id keeps one entry per distinct label vector.
-            F.array_distinct(F.flatten(F.collect_set(
-                F.concat(F.array("_lbl"), F.col("_facets"))))).alias("_all")]
+            F.array_distinct(F.flatten(F.collect_set(vector))).alias("_all")]
     if keep_first_label:
         aggs.append(F.min_by("_lbl", "_seq").alias("_first_label"))
     for p in props:
         aggs.append(F.expr(f"max_by({_q(p)}, _seq) FILTER (WHERE {_q(p)} IS NOT NULL)").alias(p))
-    merged = rows.groupBy("NODE").agg(*aggs)
+    merged = single.unionByName(many.groupBy("NODE").agg(*aggs).select(*single.columns))
     labels = F.concat(F.array("LABEL"),
                       F.array_sort(F.filter(F.array_except("_all", F.array("LABEL")),
                                             lambda x: x.isNotNull())))
-    extra = ["_first_label"] if keep_first_label else []
     return merged.select("NODE", "LABEL", labels.alias("labels"),
                          *[F.col(_q(p)) for p in props], *extra)
 
@@ -136,9 +152,12 @@ def _merge_edge_rows(rows: DataFrame) -> DataFrame:
     if not props:
         # Property-less specs: the merge is a plain distinct (hash aggregate).
         return rows.select("src", "dst", "type", "ID").distinct()
-    rows = rows.withColumn("_seq", _seq(rows, props))
+    key = ["src", "dst", "type", "ID"]
+    once, many = _split_repeated(rows, key)
+    many = many.withColumn("_seq", _seq(many, props))
     aggs = [F.expr(f"max_by({_q(p)}, _seq) FILTER (WHERE {_q(p)} IS NOT NULL)").alias(p) for p in props]
-    return rows.groupBy("src", "dst", "type", "ID").agg(*aggs)
+    cols = [*key, *[F.col(_q(p)) for p in props]]
+    return once.select(*cols).unionByName(many.groupBy(*key).agg(*aggs).select(*cols))
 
 
 def build_edges(spark: SparkSession, specs: list[EdgeSpec], nodes: DataFrame) -> DataFrame:
@@ -146,7 +165,7 @@ def build_edges(spark: SparkSession, specs: list[EdgeSpec], nodes: DataFrame) ->
     nodes; MERGE identity (src, dst, type, ID); properties last non-null.
 
     Specs without properties are merged with a hash ``distinct``; only specs
-    with properties pay for the ordered ``max_by`` merge. An edge id produced
+    with properties pay for the ordered ``max_by`` merge of repeated edges. An edge id produced
     by both kinds keeps the properties of the property-carrying rows (a
     property-less row never erases a value). Endpoint checks are semi joins
     that Catalyst pushes below the merge.
@@ -155,8 +174,8 @@ def build_edges(spark: SparkSession, specs: list[EdgeSpec], nodes: DataFrame) ->
 
     def endpoints(df):
         return (df.filter(F.col("ID").isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull())
-                .join(ids.withColumnRenamed("NODE", "src"), "src", "left_semi")
-                .join(ids.withColumnRenamed("NODE", "dst"), "dst", "left_semi"))
+                .transform(lambda d: splittable_join(d, ids.withColumnRenamed("NODE", "src"), ["src"], "left_semi"))
+                .transform(lambda d: splittable_join(d, ids.withColumnRenamed("NODE", "dst"), ["dst"], "left_semi")))
 
     with_p = [s for s in specs if s.properties]
     without_p = [s for s in specs if not s.properties]
@@ -213,9 +232,8 @@ def dropped_rows_report(spark: SparkSession, node_specs: list[NodeSpec],
     ids = nrows.filter(F.col("NODE").isNotNull()).distinct()
     erows = _edge_rows(spark, edge_specs).select("ID", "src", "dst", "type")
     good = F.col("ID").isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull()
-    flagged = (erows.withColumn("_good", good)
-               .join(ids.select(F.col("NODE").alias("src"), F.lit(True).alias("_hs")), "src", "left")
-               .join(ids.select(F.col("NODE").alias("dst"), F.lit(True).alias("_hd")), "dst", "left"))
+    flagged = splittable_join(erows.withColumn("_good", good), ids.select(F.col("NODE").alias("src"), F.lit(True).alias("_hs")), ["src"], "left")
+    flagged = splittable_join(flagged, ids.select(F.col("NODE").alias("dst"), F.lit(True).alias("_hd")), ["dst"], "left")
     kept = F.col("_good") & F.col("_hs").isNotNull() & F.col("_hd").isNotNull()
     estats = flagged.agg(
         F.sum((~F.col("_good")).cast("long")).alias("bad"),

@@ -1,9 +1,8 @@
 """Hydration, post-join and SQL over results.
 
-The traversal result is small relative to the wide source, so the wide side
-is first reduced to the result's keys with a semi join (Parquet scan prunes
-columns; AQE broadcasts the key side only when its measured size is under
-``spark.sql.autoBroadcastJoinThreshold``), de-duplicated, and left-joined back.
+Hydration is one lazy left join with the de-duplicated wide source (AQE
+broadcasts a side only when its measured size is under
+``spark.sql.autoBroadcastJoinThreshold``, and splits hot keys).
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.frames import splittable_join
 from ..functions.types import TYPE_BIGINT, TYPE_BOOLEAN, TYPE_DOUBLE, TYPE_VARCHAR
 from ..graph import PropertyGraph
 from .match import node_attrs
@@ -37,37 +37,35 @@ def dedupe_last(wide: DataFrame, key: str, order_by: list | None = None) -> Data
 
 
 def hydrate(result: DataFrame, wide: DataFrame, key: str = "NODE", columns="*",
-            order_by: list | None = None, pin_result: bool = True) -> DataFrame:
+            order_by: list | None = None, reduce_wide: bool = False, unique_wide: bool = False) -> DataFrame:
     """G1: LEFT join result rows to the wide source on ``key``.
 
     Null-key rows are dropped; result duplicates kept; matched rows take the
     wide value of same-named columns even when null; unmatched rows keep
     their own; duplicate wide keys -> last row wins.
 
-    Plan: the traversal result is small next to the wide source, so the wide
-    side is first reduced to the result's distinct keys with a semi join
-    (AQE broadcasts the keys when their measured size is small; otherwise a
-    sort-merge semi join), then de-duplicated, then left-joined. The result
-    is pinned once with a reliable checkpoint (``pin_result``) so the
-    traversal is not evaluated twice (once for the keys, once for the rows).
+    One lazy plan: the wide side is de-duplicated (not with ``unique_wide``,
+    when its keys are known to be unique) and left-joined, so filters and
+    column pruning of what follows reach both scans. A hot key of the result
+    is split by the skew join. ``reduce_wide`` first cuts the wide side to
+    the result's keys: it saves the de-duplication of a huge source, and runs
+    the result's plan once more.
     """
-    from ..session import cut_lineage
     if columns != "*":
         cols = list(columns)
         if key not in cols:
             raise ValueError(f"columns must include the key {key!r}")
         wide = wide.select(*[F.col(_q(c)) for c in cols + [o for o in (order_by or []) if o not in cols]])
     res = result.filter(F.col(_q(key)).isNotNull())
-    if pin_result:
-        res = cut_lineage(res)
-    keys = res.select(F.col(_q(key))).distinct()
-    w = dedupe_last(wide.join(keys, key, "left_semi"), key, order_by)
+    if reduce_wide:
+        wide = wide.join(res.select(F.col(_q(key))).distinct(), key, "left_semi")
+    w = wide if unique_wide else dedupe_last(wide, key, order_by)
     if columns != "*":
         w = w.select(*[F.col(_q(c)) for c in columns])
     wcols = [c for c in w.columns if c != key]
     w = w.select(F.col(_q(key)), F.lit(True).alias("_matched"),
                  *[F.col(_q(c)).alias(f"_w_{c}") for c in wcols])
-    j = res.join(w, key, "left")
+    j = splittable_join(res, w, [key], "left")
     out = []
     for c in result.columns:
         if c in wcols:
@@ -88,18 +86,16 @@ def post_join(result: DataFrame, wide: DataFrame, join_sql: str,
               cypher_relation: str = "cypher", wide_relation: str = "wide") -> DataFrame:
     """Run ``join_sql`` over relations ``cypher`` (result) and ``wide``.
 
-    An empty result gives no rows and the SQL is not run (so ``COUNT(*)``
-    yields no 0-row); emptiness is a bounded ``isEmpty`` (one row fetched).
+    An empty result gives no rows (so ``COUNT(*)`` yields no 0-row): the
+    output is filtered by an uncorrelated ``EXISTS`` over the result, which
+    stops at its first row; nothing runs before the output is used.
     """
     spark = result.sparkSession
     _check_rel(cypher_relation)
     _check_rel(wide_relation)
     result.createOrReplaceTempView(cypher_relation)
     wide.createOrReplaceTempView(wide_relation)
-    out = spark.sql(join_sql)
-    if result.isEmpty():
-        return out.limit(0)
-    return out
+    return spark.sql(join_sql).filter(F.expr(f"EXISTS (SELECT 1 FROM {cypher_relation})"))
 
 
 def candidate_ids(result: DataFrame) -> DataFrame:
@@ -134,16 +130,12 @@ def rank_by_path_count(paths: DataFrame, wide: DataFrame, key: str, attr: str,
 
     Paths are pre-aggregated per key BEFORE anything else (one row per key
     instead of one per path, partial counts map-side, so a hub key holding a
-    third of all paths costs one row per task). That per-key table is pinned
-    (reliable checkpoint), the wide attribute is read only for its keys
-    (semi join), de-duplicated per key and joined; the final group by
-    attribute is tiny.
+    third of all paths costs one row per task); the wide attribute is read as
+    two columns, de-duplicated per key and joined on the same partitioning;
+    the final group by attribute is tiny.
     """
-    from ..session import cut_lineage
-    per_key = cut_lineage(paths.filter(F.col(_q(key)).isNotNull()).groupBy(_q(key)).agg(
-        F.count(F.lit(1)).alias("_c")))
-    w = wide.select(_q(key), _q(attr), *[F.col(_q(o)) for o in (order_by or [])]) \
-        .join(per_key.select(_q(key)), key, "left_semi")
+    per_key = paths.filter(F.col(_q(key)).isNotNull()).groupBy(_q(key)).agg(F.count(F.lit(1)).alias("_c"))
+    w = wide.select(_q(key), _q(attr), *[F.col(_q(o)) for o in (order_by or []) if o not in (key, attr)])
     w = dedupe_last(w, key, order_by).select(_q(key), _q(attr))
     j = per_key.join(w, key, "left")
     return (j.groupBy(_q(attr)).agg(F.sum("_c").alias(out_col))
@@ -174,12 +166,13 @@ def post_join_cascade(result: DataFrame, sources: list, join_sql: str | None = N
     ``hydrate_from``; if none does, the raw result rows come back tagged null.
 
     ``sources`` items are ``(tag, DataFrame)`` or ``(tag, DataFrame, sql)``
-    (per-source SQL; default ``join_sql``). Emptiness is a bounded
-    ``isEmpty`` per source."""
+    (per-source SQL; default ``join_sql``). Which source wins depends on the
+    data, so each is run, once: its output is pinned (reliable checkpoint)."""
+    from ..session import cut_lineage
     for item in sources:
         tag, wide = item[0], item[1]
         sql = item[2] if len(item) > 2 else join_sql
-        out = post_join(result, wide, sql, cypher_relation, wide_relation)
+        out = cut_lineage(post_join(result, wide, sql, cypher_relation, wide_relation))
         if not out.isEmpty():
             return out.withColumn("hydrate_from", F.lit(tag))
     return result.withColumn("hydrate_from", F.lit(None).cast("string"))

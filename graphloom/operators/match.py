@@ -84,6 +84,7 @@ def edge_frame(g: PropertyGraph, e: E, alias: str) -> DataFrame:
     return fwd.unionByName(rev)
 
 
+EDGE_KEY = ["ID", "src", "dst", "type"]
 _FLIP = {"->": "<-", "<-": "->", "-": "-"}
 
 
@@ -91,6 +92,10 @@ def match(g: PropertyGraph, pattern: list, where: Column | None = None,
           unique_edges: bool = True, keep_anonymous: bool = False, start: int | str = 0) -> DataFrame:
     """Run a linear pattern; one row per match (path).
 
+    An edge occurs at most once in a match; its identity is (src, dst, type,
+    ID). A node whose alias starts with ``_`` and that has no label, predicate
+    or property is anonymous: only its ``NODE`` is there, without a join.
+
     ``start`` (node position or alias) is where the join chain begins: put
     it on the most selective node (label + predicate) and the chain extends
     to the right end, then to the left end, so every join brings in one hop
@@ -124,8 +129,13 @@ def match(g: PropertyGraph, pattern: list, where: Column | None = None,
             for oa, oe in edge_aliases:
                 ta, tb = oe.types(), e.types()
                 if ta is None or tb is None or set(ta) & set(tb):
-                    cur = cur.filter(F.col(f"{oa}.ID") != F.col(f"{ea}.ID"))
+                    same = [F.col(f"{oa}.{k}").eqNullSafe(F.col(f"{ea}.{k}")) for k in EDGE_KEY]
+                    cur = cur.filter(~(same[0] & same[1] & same[2] & same[3]))
         edge_aliases.append((ea, e))
+        if n.alias.startswith("_") and n.label is None and n.where is None and not n.props:
+            # An anonymous node is only its id: edges end at nodes, no join is needed.
+            cur = cur.withColumn(n.alias, F.struct(F.col("_far").alias("NODE"))).drop("_far")
+            continue
         nd = node_frame(g, n)
         cur = cur.join(nd, F.col("_far") == F.col("_nk")).drop("_far", "_nk")
     if where is not None:
@@ -225,9 +235,8 @@ def result_subgraph(result: DataFrame) -> tuple[DataFrame, DataFrame]:
         edges = spark.createDataFrame([], "id string, src string, dst string, type string")
     # Deterministic pick among duplicates: smallest label per id.
     nodes = nodes.groupBy("id").agg(F.min("label").alias("label"))
-    edges = edges.groupBy("id").agg(F.min("src").alias("src"), F.min("dst").alias("dst"),
-                                    F.min("type").alias("type"))
-    return nodes, edges
+    # An edge is its id, ends and type together: equal ids of different edges stay apart.
+    return nodes, edges.distinct()
 
 
 def hops_to_graph(hops: DataFrame, n_hops: int) -> tuple[DataFrame, DataFrame]:

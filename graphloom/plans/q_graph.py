@@ -140,7 +140,9 @@ def q_graph_sizes(spark, sf):
 @query("write_graph", with_graph("""
 SELECT 'tpch_nodes' AS tbl, COUNT(*) AS n FROM nodes
 UNION ALL SELECT 'tpch_edges', COUNT(*) FROM edges
-UNION ALL SELECT 'tpch_label_keys', COUNT(*) FROM (SELECT DISTINCT 1 FROM nodes)
+UNION ALL SELECT 'tpch_label_keys:EntityType', COUNT(DISTINCT LABEL) FROM nodes HAVING COUNT(*) > 0
+UNION ALL SELECT 'tpch_label_keys:Segment', COUNT(DISTINCT c_mktsegment) FROM customer HAVING COUNT(c_mktsegment) > 0
+UNION ALL SELECT 'tpch_label_keys:Brand', COUNT(DISTINCT p_brand) FROM part HAVING COUNT(p_brand) > 0
 """))
 def q_write_graph(spark, sf):
     from ..session import scratch_path
@@ -151,7 +153,7 @@ def q_write_graph(spark, sf):
     lk = spark.read.parquet(store.table_path(root, "tpch", "label_keys"))
     return (back.nodes.agg(F.count(F.lit(1)).alias("n")).select(F.lit("tpch_nodes").alias("tbl"), "n")
             .unionByName(back.edges.agg(F.count(F.lit(1)).alias("n")).select(F.lit("tpch_edges").alias("tbl"), "n"))
-            .unionByName(lk.agg(F.count_distinct(F.lit(1)).alias("n")).select(F.lit("tpch_label_keys").alias("tbl"), "n")))
+            .unionByName(lk.select(F.concat(F.lit("tpch_label_keys:"), "label_key").alias("tbl"), F.size("label").cast("long").alias("n"))))
 
 
 @query("delete_graph", "WITH " + EVENTS_GRAPH_SQL + """
@@ -872,18 +874,17 @@ def q_infer_column_types(spark, sf):
 
 
 @query("read_text_documents", """
-SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS sha256 FROM documents
+SELECT doc_id // 100 AS part, CAST(length(t) AS BIGINT) AS n_chars, sha256(t) AS sha256
+FROM (SELECT doc_id // 100 * 100 AS doc_id, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY 1)
 """)
 def q_read_text_documents(spark, sf):
-    """A10: the documents are written as one ``.txt`` file per document (a
-    distributed write partitioned by doc_id), then read back as bytes,
-    decoded as UTF-8 and fingerprinted."""
+    """A10: the documents are written as text files of a hundred each, then
+    read back as whole files, decoded as UTF-8 and fingerprinted."""
     from ..session import scratch_path
     base = scratch_path(spark, "texts")
-    read(spark, sf, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(base)
+    d = read(spark, sf, "documents").select((F.floor(F.col("doc_id") / 100)).alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    (d.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "text")
+     .write.partitionBy("part").option("compression", "none").text(base))
     docs = S.read_text_documents(spark, base)
-    # The text writer ends each file with one line separator.
-    txt = F.when(F.col("text").endswith("\n"), F.expr("substring(text, 1, length(text) - 1)")) \
-           .otherwise(F.col("text"))
-    return docs.select(F.regexp_extract("doc_uri", r"doc_id=(-?\d+)", 1).cast("long").alias("doc_id"),
-                       F.length(txt).alias("n_chars"), F.sha2(txt, 256).alias("sha256"))
+    return docs.select(F.regexp_extract("doc_uri", r"part=(-?\d+)", 1).cast("long").alias("part"),
+                       F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha256"))

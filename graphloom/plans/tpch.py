@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
-from ..operators.build import EdgeSpec, NodeSpec, build_edges, build_nodes
+from ..operators.build import EdgeSpec, NodeSpec
+from ..session import scratch_path
+from ..sources import store
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "conversations", "labels"]
@@ -84,10 +86,18 @@ def edge_specs(spark: SparkSession, sf_dir: str) -> list[EdgeSpec]:
     ]
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
 def tpch_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    nodes = build_nodes(spark, node_specs(spark, sf_dir))
-    edges = build_edges(spark, edge_specs(spark, sf_dir), nodes)
-    return PropertyGraph(nodes, edges, name="tpch")
+    """The graph of ``sf_dir``, built and stored once per session (in the
+    shared folder), so that queries scan its node and edge files."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        root = scratch_path(spark, "tpch")
+        store.build_and_store(spark, node_specs(spark, sf_dir), edge_specs(spark, sf_dir), root, "tpch")
+        _stored[key] = root
+    return store.read_graph(spark, _stored[key], "tpch")
 
 
 def tpch_ontology(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ SOURCE_MARKER = "-- source tables:"
 
 def _word_pattern(token):
     """``(?<!\\w)<escaped token>(?!\\w)`` as a column."""
-    esc = F.regexp_replace(token, r"([^A-Za-z0-9_])", r"\\\\$1")
+    esc = F.regexp_replace(token, r"([^A-Za-z0-9_])", r"\\$1")
     return F.concat(F.lit(r"(?<!\w)"), esc, F.lit(r"(?!\w)"))
 
 

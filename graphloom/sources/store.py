@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,15 +34,66 @@ def write_graph(spark: SparkSession, g: PropertyGraph, root: str, graph: str,
     # lookups skip row groups by min/max statistics.
     (g.nodes.repartitionByRange("NODE").sortWithinPartitions("NODE")
      .write.mode("overwrite").parquet(table_path(root, graph, "nodes")))
-    g.edges.write.mode("overwrite").partitionBy("type").parquet(table_path(root, graph, "edges"))
+    _write_edges(g.edges, table_path(root, graph, "edges"))
     from ..operators.ingest import materialize_label_keys
     nodes = spark.read.parquet(table_path(root, graph, "nodes"))
     materialize_label_keys(nodes, ontology).write.mode("overwrite").parquet(
         table_path(root, graph, "label_keys"))
 
 
+def _write_edges(edges: DataFrame, path: str) -> None:
+    """A folder per type. ``rebalance`` gathers the rows of a type into files
+    of the advisory size: neither tasks x types small files, nor one task for a
+    type that holds most edges."""
+    edges.hint("rebalance", "type").write.mode("overwrite").partitionBy("type").parquet(path)
+
+
+def promote_into(spark: SparkSession, root: str, graph: str, wide: DataFrame, key: str = "NODE",
+                 columns: list | None = None, order_by: list | None = None) -> DataFrame:
+    """C8 on a stored graph: the promoted columns are written with its nodes.
+
+    The new node table is complete before the old one goes; a crash between
+    leaves it under its other name, where :func:`read_graph` finds it.
+    Returns the stats (nodes_matched, properties_set)."""
+    from ..operators.ingest import promote_columns
+    path = table_path(root, graph, "nodes")
+    nodes, stats = promote_columns(read_graph(spark, root, graph).nodes, wide, key, columns, order_by)
+    counted = spark.createDataFrame([tuple(stats.first())], stats.schema)
+    nodes.repartitionByRange("NODE").sortWithinPartitions("NODE").write.mode("overwrite").parquet(path + _NEW)
+    fs.delete(spark, path)
+    fs.rename(spark, path + _NEW, path)
+    return counted
+
+
+RECIPE_KEY = ["graph", "engine", "ts"]
+
+
+def record_recipe(spark: SparkSession, root: str, graph: str, engine: str, statement: str, source: str,
+                  spec_json: str | None, now: str) -> DataFrame:
+    """Append how a graph was built to the recipe table under ``root``;
+    returns the table (input of ``creation_ledger`` and ``source_lineage``)."""
+    row = spark.createDataFrame([(graph.rsplit(".", 1)[-1], engine, statement, source, now, spec_json)],
+                                "graph string, engine string, statement string, source string, ts string, spec_json string")
+    row = row.withColumn("ts", F.col("ts").cast("timestamp"))
+    table = recipes(spark, root)
+    return table.upsert(row.select(*RECIPE_KEY), lambda old: old.join(row.select(*RECIPE_KEY), RECIPE_KEY, "left_anti").unionByName(row))
+
+
+def recipes(spark: SparkSession, root: str):
+    """The recipe table under ``root``."""
+    from ..operators.ledger import RECIPE_SCHEMA
+    from ..operators.versioned import VersionedTable
+    return VersionedTable(spark, os.path.join(root, "recipes"), RECIPE_SCHEMA, RECIPE_KEY, buckets=8)
+
+
+_NEW = "__new"
+
+
 def read_graph(spark: SparkSession, root: str, graph: str) -> PropertyGraph:
-    nodes = spark.read.parquet(table_path(root, graph, "nodes"))
+    path = table_path(root, graph, "nodes")
+    if not fs.exists(spark, path) and fs.exists(spark, path + _NEW):
+        path += _NEW  # a promotion was interrupted after its last write
+    nodes = spark.read.parquet(path)
     edges = spark.read.parquet(table_path(root, graph, "edges"))
     front = ["ID", "src", "dst", "type"]
     edges = edges.select(*front, *[c for c in edges.columns if c not in front])
@@ -91,14 +143,15 @@ def graph_sizes(graphs: list, known: DataFrame | None = None) -> DataFrame:
 def stored_graph_sizes(spark: SparkSession, root: str) -> DataFrame:
     """A7 over a store folder."""
     gs = []
-    for name in list_graphs(spark, root):
+    names = list_graphs(spark, root)
+    for name in names:
         try:
             gs.append((name, read_graph(spark, root, name)))
-        except Exception:
+        except AnalysisException:  # its tables cannot be read: the graph is listed with zeros
             continue
-    if not gs:
+    if not names:
         return spark.createDataFrame([], "graph string, nodes long, edges long")
-    return graph_sizes(gs)
+    return graph_sizes(gs, known=spark.createDataFrame([(n,) for n in names], "graph string"))
 
 
 def build_and_store(spark: SparkSession, node_specs: list, edge_specs: list, root: str, graph: str,
@@ -114,7 +167,7 @@ def build_and_store(spark: SparkSession, node_specs: list, edge_specs: list, roo
      .write.mode("overwrite").parquet(table_path(root, graph, "nodes")))
     stored = spark.read.parquet(table_path(root, graph, "nodes"))
     edges = build_edges(spark, edge_specs, stored)
-    edges.write.mode("overwrite").partitionBy("type").parquet(table_path(root, graph, "edges"))
+    _write_edges(edges, table_path(root, graph, "edges"))
     materialize_label_keys(stored, ontology).write.mode("overwrite").parquet(
         table_path(root, graph, "label_keys"))
     return read_graph(spark, root, graph)
