@@ -8,6 +8,7 @@ place that decides where lineage-cutting checkpoints go.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +30,10 @@ DEFAULT_CONF = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8,
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "graphloom", extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with the library's defaults."""
+    """Build (or reuse) a session with the library's defaults. The number of
+    shuffle partitions and the memory stay the cluster's unless given."""
     # Python workers must import this package for mapInPandas steps.
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -41,8 +43,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     if master:
         b = b.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", "16g")
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if extra:
         conf.update(extra)
     for k, v in conf.items():
@@ -56,11 +58,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting points at shared storage and is used as is.
-    Only when it is unset (local runs, tests) do we pick a scratch folder.
+    On a cluster the setting points at shared storage and is used as is; it
+    has to be set there. Only with a local master (tests) a scratch folder
+    is picked.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="graphloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     try:
@@ -83,3 +89,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss; never localCheckpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where it is not installed:
+    its folder joins the PYTHONPATH that the session gives to its workers."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    try:
+        env = spark.sparkContext.environment
+    except Exception:  # noqa: BLE001 - Spark Connect: workers have their own environment
+        return
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root] + paths)
