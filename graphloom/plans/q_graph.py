@@ -170,6 +170,29 @@ def q_delete_graph(spark, sf):
     return store.stored_graph_sizes(spark, root)
 
 
+@query("source_lineage", """
+WITH r AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer),
+t AS (SELECT 'g' || k AS graph, 'db.t' || k AS name, '/d/' || k || '.parquet' AS path, n % 3 = 0 AS in_nodes, n % 2 = 1 AS in_edges FROM r
+      UNION ALL SELECT 'g' || k, 'u' || k, '', n % 3 <> 0, n % 2 = 0 FROM r)
+SELECT graph, name, path, CASE WHEN in_nodes AND NOT in_edges THEN 'nodes' WHEN in_edges AND NOT in_nodes THEN 'edges' END AS role FROM t
+UNION ALL SELECT 'old' || s_suppkey, 's' || s_suppkey, '/d/s' || s_suppkey, NULL FROM supplier
+""")
+def q_source_lineage(spark, sf):
+    """A recipe per customer (a qualified and a plain table name, used by
+    node or edge statements) and an old-style recipe per supplier."""
+    from ..sources.lineage import source_lineage
+    new = read(spark, sf, "customer").select(
+        F.concat(F.lit("g"), "c_custkey").alias("graph"),
+        F.expr("""concat('{"tables":{"db.t', c_custkey, '":"/d/', c_custkey, '.parquet","u', c_custkey, '":""},"nodes":[{"sql":"SELECT * FROM ',
+                 CASE WHEN c_nationkey % 3 = 0 THEN 'db.t' ELSE 'u' END, c_custkey, '"}],"edges":[{"sql":"SELECT x FROM ',
+                 CASE WHEN c_nationkey % 2 = 0 THEN 'u' ELSE 'db.t' END, c_custkey, ' WHERE true"}]}')""").alias("spec_json"),
+        F.lit("").alias("statement"))
+    old = read(spark, sf, "supplier").select(
+        F.concat(F.lit("old"), "s_suppkey").alias("graph"), F.lit(None).cast("string").alias("spec_json"),
+        F.concat(F.lit("CREATE\n-- source tables: s"), "s_suppkey", F.lit(" = /d/s"), "s_suppkey").alias("statement"))
+    return source_lineage(new.unionByName(old))
+
+
 # ------------------------------------------------------------------ 2.2 build
 
 def _buyer_spec(spark, sf):

@@ -155,10 +155,12 @@ def stored_graph_sizes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def build_and_store(spark: SparkSession, node_specs: list, edge_specs: list, root: str, graph: str,
-                    ontology: DataFrame | None = None) -> PropertyGraph:
+                    ontology: DataFrame | None = None, recipe: dict | None = None) -> PropertyGraph:
     """B1 -> A8 -> B2 -> A8: build and write nodes, then build the edges
     against the WRITTEN nodes (an id-only column scan) so the node merge is
-    computed once; then write edges partitioned by type and the axis table."""
+    computed once; then write edges partitioned by type and the axis table.
+    A ``recipe`` (arguments of :func:`record_recipe` from ``engine`` on) is
+    recorded once the graph stands (B7)."""
     from ..operators.build import build_edges, build_nodes
     from ..operators.ingest import materialize_label_keys
     delete_graph(spark, root, graph)
@@ -170,4 +172,6 @@ def build_and_store(spark: SparkSession, node_specs: list, edge_specs: list, roo
     _write_edges(edges, table_path(root, graph, "edges"))
     materialize_label_keys(stored, ontology).write.mode("overwrite").parquet(
         table_path(root, graph, "label_keys"))
+    if recipe is not None:
+        record_recipe(spark, root, graph, **recipe)
     return read_graph(spark, root, graph)
