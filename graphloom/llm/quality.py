@@ -37,13 +37,24 @@ def _word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def features(hashes: Column, buckets: int) -> Column:
-    """Bucket of every word and of every pair of neighbouring words."""
-    n = F.size(hashes)
-    one = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    two = F.zip_with(F.slice(hashes, 1, F.greatest(n - 1, F.lit(0))), F.slice(hashes, 2, F.greatest(n - 1, F.lit(0))),
-                     lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))
-    return F.concat(one, two)
+def _pairs(hashes: Column) -> Column:
+    """Hash of every pair of neighbouring words."""
+    n = F.greatest(F.size(hashes) - 1, F.lit(0))
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 2, n), lambda a, b: F.xxhash64(a, b))
+
+
+def bucket(feature: Column, buckets: int) -> Column:
+    return F.pmod(feature, F.lit(buckets)).cast("int")
+
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_id``, ``_t`` (null as empty), ``_w`` (words), ``_h`` (their hashes)
+    and ``_p`` (of the pairs). One column a step: later steps read each of
+    them several times, and would otherwise compute it as often."""
+    d = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
+    d = d.withColumn("_w", words_of(F.col("_t")))
+    d = d.withColumn("_h", _word_hashes(F.col("_w")))
+    return d.withColumn("_p", _pairs(F.col("_h")))
 
 
 def trusted_ids(labels: DataFrame, limit: int = TRUSTED, id_col: str = "doc_id") -> DataFrame:
@@ -57,10 +68,9 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
            smoothing: float = SMOOTHING) -> DataFrame:
     """One row with the array ``weights`` of the ``buckets`` log ratios; zeros
     when no trusted document has a word."""
-    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = docs.select(F.col(id_col).alias("_id"), t.alias("_t")).join(F.broadcast(trusted), F.col("_id") == F.col("_trusted"), "left")
-    seen = (marked.select(F.col("_trusted").isNotNull().cast("long").alias("good"), F.explode(features(_word_hashes(words_of(F.col("_t"))), buckets)).alias("b"))
-            .groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")))
+    d = _hashed(docs, id_col, text_col).join(F.broadcast(trusted), F.col("_id") == F.col("_trusted"), "left")
+    seen = (d.select(F.col("_trusted").isNotNull().cast("long").alias("good"), F.explode(F.concat("_h", "_p")).alias("f"))
+            .groupBy(bucket(F.col("f"), buckets).alias("b")).agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(seen, "b", "left").fillna(0, ["raw", "good"])
     one = every.agg(F.sum("raw").alias("raws"), F.sum("good").alias("goods"),
                     F.array_sort(F.collect_list(F.struct("b", "raw", "good"))).alias("all"))
@@ -95,22 +105,18 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     # A constant of ``buckets`` numbers (a subquery may not stand in a higher-order function).
     numbers = ratios(docs, trusted, id_col, text_col, buckets, smoothing).first()["weights"]
     weights = F.split(F.lit(",".join(f"{w:.6f}" for w in numbers)), ",").cast("array<double>")
-    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    d = docs.select(F.col(id_col).alias("_id"), t.alias("_t"))
-    d = d.withColumn("_w", words_of(F.col("_t")))
-    d = d.withColumn("_h", _word_hashes(F.col("_w")))
+    d = _hashed(docs, id_col, text_col)
     n3 = F.greatest(F.size("_h") - 2, F.lit(0))
-    two = F.zip_with(F.slice("_h", 1, n3), F.slice("_h", 2, n3), lambda a, b: F.xxhash64(a, b))
-    d = d.withColumn("_tri", F.zip_with(two, F.slice("_h", 3, n3), lambda a, b: F.xxhash64(a, b)))
+    d = d.withColumn("_tri", F.zip_with(F.slice("_p", 1, n3), F.slice("_h", 3, n3), lambda a, b: F.xxhash64(a, b)))
     d = d.withColumn("_placed", _placed(F.col("_tri")))
     lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = d.withColumn("_lines", lines).withColumn("_f", features(F.col("_h"), buckets))
+    d = d.withColumn("_lines", lines).withColumn("_f", F.concat("_h", "_p"))
     d = d.select(
         F.col("_id").alias(id_col), F.size("_w").cast("long").alias("n_words"),
         F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(SYMBOL_PATTERN)).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("_placed").isNull(), F.lit(0)).otherwise(_repeated_words(F.col("_placed"))).cast("long").alias("n_repeat_words"),
-        (F.aggregate("_f", F.lit(0.0), lambda s, b: s + F.element_at(weights, b + 1)) / F.greatest(F.size("_f"), F.lit(1))).alias("ratio"))
+        (F.aggregate("_f", F.lit(0.0), lambda s, f: s + F.element_at(weights, bucket(f, buckets) + 1)) / F.greatest(F.size("_f"), F.lit(1))).alias("ratio"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return d.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold))
