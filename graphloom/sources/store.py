@@ -132,11 +132,10 @@ def graph_sizes(graphs: list, known: DataFrame | None = None) -> DataFrame:
             .select(F.lit(name).alias("graph"), "nodes", "edges")
         out = row if out is None else out.unionByName(row)
     if known is not None:
-        kn = known.select("graph")
-        if out is not None:
-            kn = kn.join(out.select("graph"), "graph", "left_anti")
-        z = kn.select("graph", F.lit(0).cast("long").alias("nodes"), F.lit(0).cast("long").alias("edges"))
+        zero = F.lit(0).cast("long")
+        z = known.select("graph", zero.alias("nodes"), zero.alias("edges"))
         out = z if out is None else out.unionByName(z)
+        out = out.groupBy("graph").agg(F.max("nodes").alias("nodes"), F.max("edges").alias("edges"))
     return out
 
 
