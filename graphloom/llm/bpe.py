@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as T
+from .shared import bounded_batches
 
-SLICE = 6 << 20
-CACHE_PIECES = 1_200_000
+SLICE = 3 << 20
+CACHE_PIECES = 800_000
 
 NO_MERGE = 1 << 40
 LONG_PIECE = 64  # longer pieces are merged one by one, with a heap
@@ -456,6 +457,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
     """One row per document: id, ``ids`` (array<int>) and ``decoded`` (the
     text that the ids decode to). A null text is empty and has no ids;
     repeated rows keep their rows; other columns are not read."""
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -481,6 +483,7 @@ def digest_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
     """As :func:`encode_documents`, with digests in place of ids and text:
     ``n_tokens``, ``ids_sha256`` (decimal ids joined by commas) and
     ``decoded_sha256`` (UTF-8 of the decoded text)."""
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as T
+from .shared import bounded_batches
 
 MIN_MATCH = 4
 COVERAGE = 0.5
@@ -179,6 +180,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
     their rows each; repeated items count once; an item shorter than
     ``min_match`` words must stand whole; an empty table gives no rows."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = (f"doc_id {dict(src.dtypes)['doc_id']}, item_id string, n_tiles int, covered int, "
               "item_words int, coverage double, tiles array<struct<item_word:int,doc_word:int,words:int>>")
@@ -212,6 +214,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MI
                       block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows that any benchmark item leaked into."""
     spark, at = docs.sparkSession, docs.columns.index(text_col)
+    bounded_batches(spark)
     for items in _blocks(benchmark, item_col, item_text, min_match, coverage, block_bytes):
         shared = spark.sparkContext.broadcast(items)
 

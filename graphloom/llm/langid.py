@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnp as T
+from .shared import bounded_batches
 
 PIECE_BYTES = 32
-SLICE = 12 << 20
-CACHE_WORDS = 1_000_000
+SLICE = 4 << 20
+CACHE_WORDS = 500_000
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -281,6 +282,7 @@ def predict(docs: DataFrame, net: ByteGRU, id_col: str = "doc_id", text_col: str
     that language). ``und`` with score 0 for a null text, a text without a
     letter, or a network without languages. Repeated rows and ids keep their
     rows; other columns are not read."""
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,6 +312,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def keep_identified(docs: DataFrame, net: ByteGRU, min_score: float = 0.4, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose language is ``und`` or scores below ``min_score``."""
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnp as T
-from .shared import components, written
+from .shared import bounded_batches, components, written
 from .shingles import shingle_sets
 
 # Tag bits kept in the low byte of a signature key.
@@ -359,7 +359,7 @@ def jaccard_links(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str =
     Null or wordless texts have no set and no link; repeated rows and copies
     share one set; repeated or null ids keep their rows; other columns are
     not read."""
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
         .withColumn("tid", F.xxhash64("text"))
     id_type = dict(src.dtypes)["doc_id"]

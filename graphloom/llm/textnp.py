@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
+from .shared import bounded_batches
 
 BLOCK_BYTES = 1 << 20
 _ENTRY = "struct<doc_id:{id},offset:int,length:int,n_tokens:long,start:long>"
@@ -46,10 +47,14 @@ class LibraryEncoder(bpe.Encoder):
         self.library.no_padding()
 
     def _encode_pieces(self, raw, starts, ends):
-        pieces = [raw[s:e].tobytes().decode() for s, e in zip(starts, ends, strict=True)]
-        ids = [x.ids for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
-        border = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int64)
-        return np.array([i for x in ids for i in x], np.int32), border
+        out, size = [], np.zeros(len(starts), np.int64)
+        for i in range(0, len(starts), 8192):  # an encoding holds much more than its ids
+            part = self.library.encode_batch_fast(
+                [raw[s:e].tobytes().decode() for s, e in zip(starts[i:i + 8192], ends[i:i + 8192], strict=True)], add_special_tokens=False)
+            ids = [x.ids for x in part]
+            size[i:i + 8192] = [len(x) for x in ids]
+            out.append(np.array([t for x in ids for t in x], np.int32))
+        return np.concatenate(out) if out else np.zeros(0, np.int32), np.r_[0, np.cumsum(size)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -86,6 +91,7 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, id_col: str = "doc
     a null text has the end id only; repeated rows are stored each; other
     columns are not read. A range of ids is one task, streamed block by block."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col, id_col).alias("_h"))
     id_type = dict(src.dtypes)["doc_id"]
     dictionary = _train(src, vocab_path, end_id, sample_docs, sample_bytes, dict_bytes)
@@ -159,6 +165,7 @@ def read_tokens(spark: SparkSession, path: str, digests: bool = False) -> DataFr
     """All documents of a store: doc_id, start (ids before it), n_tokens and
     ``ids``, or with ``digests`` instead ``ids_crc32`` (of the ids as
     little-endian unsigned 32-bit integers)."""
+    bounded_batches(spark)
     dictionary, digest, kind = _meta(spark, path)
     data = spark.read.parquet(f"{path}/data")
     entry = data.schema["index"].dataType.elementType
@@ -193,6 +200,7 @@ def read_tokens(spark: SparkSession, path: str, digests: bool = False) -> DataFr
 def read_documents(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """The ids of single documents (``wanted`` has a column doc_id): the
     index names their frames, only their blocks are opened."""
+    bounded_batches(spark)
     dictionary, digest, kind = _meta(spark, path)
     found = spark.read.parquet(f"{path}/index").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     blocks = spark.read.parquet(f"{path}/data").select("shard", "block", "payload")
