@@ -25,7 +25,7 @@ from .shared import bounded_batches
 
 PIECE_BYTES = 32
 SLICE = 4 << 20
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 _LETTER = regex.compile(r"\p{L}")
 
 

@@ -6,10 +6,13 @@ are per word, byte-level arrays are built in pieces of about ``PIECE`` bytes.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 SLICE_BYTES = 2 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -80,6 +83,20 @@ def slices(batch: pa.RecordBatch, text: str | int, limit: int = SLICE_BYTES):
         end = min(n, max(end, start + 1))
         yield batch.slice(start, end - start)
         start = end
+    release()
+
+
+@functools.cache
+def _trim():
+    """The C library's way to give free memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Return memory that is free in this worker; it may idle between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
 
 
 def word_spans(raw: np.ndarray, offs: np.ndarray, words: np.ndarray | None = None):
