@@ -30,7 +30,7 @@ from . import textnp as T
 from .shared import bounded_batches
 
 SLICE = 3 << 20
-CACHE_PIECES = 800_000
+CACHE_PIECES = 400_000
 
 NO_MERGE = 1 << 40
 LONG_PIECE = 64  # longer pieces are merged one by one, with a heap
@@ -328,6 +328,8 @@ def _any_border(border: np.ndarray, at: np.ndarray, k: int, c: int) -> np.ndarra
 class Encoder:
     """Encodes slices of texts; tokens of recent pieces are kept."""
 
+    cache = CACHE_PIECES
+
     def __init__(self, path: str):
         self.v = vocabulary(path)
         self.known = np.zeros(0, np.uint64)
@@ -389,8 +391,8 @@ class Encoder:
         return out, count[first]
 
     def _remember(self, kinds, pool, begin, size, old) -> None:
-        if len(self.known) + int((~old).sum()) > CACHE_PIECES:
-            keep = slice(0, CACHE_PIECES)  # start again from this slice's pieces
+        if len(self.known) + int((~old).sum()) > self.cache:
+            keep = slice(0, self.cache)  # start again from this slice's pieces
             self.known, self.count = kinds[keep], size[keep]
             self.ids = _gather(pool, begin[keep], self.count)
             self.begin = np.cumsum(self.count) - self.count

@@ -377,15 +377,17 @@ def jaccard_links(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str =
     counts = {r["band"]: r["count"] for r in classes.groupBy(band.alias("band")).count().collect()}
     plan = allocate(bands, counts)
 
-    rows = src.select("text").mapInArrow(_signature_rows(k, bands, plan), "key long, node long")
-    members = written(rows.repartition(F.shiftright("key", TAG_BITS)).sortWithinPartitions("key", "node")
+    # No name keeps these rows: once ``members`` is written, their shuffle can be cleaned up.
+    members = written(src.select("text").mapInArrow(_signature_rows(k, bands, plan), "key long, node long")
+                      .repartition(F.shiftright("key", TAG_BITS)).sortWithinPartitions("key", "node")
                       .mapInArrow(_shared_signatures, "gid long, tag short, node long"), "members")
 
     need = members.select(F.col("node").alias("fa")).distinct()
     picks = classes.join(need, "fa", "left_semi").select("fa", "fb", F.col("pick.doc_id").alias("doc_id"), F.col("pick.tid").alias("tid"))
-    texts = (src.alias("s").join(picks.alias("p"), (F.col("s.tid") == F.col("p.tid")) & F.col("s.doc_id").eqNullSafe(F.col("p.doc_id")),
-                                 "left_semi").select("text"))
-    items = written(texts.mapInArrow(_sets_of(k), "fa long, fb long, n long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", items binary").dropDuplicates(["fa", "fb"]), "items")
+    same = (F.col("s.tid") == F.col("p.tid")) & F.col("s.doc_id").eqNullSafe(F.col("p.doc_id"))
+    items = written(src.alias("s").join(picks.alias("p"), same, "left_semi").select("text")
+                    .mapInArrow(_sets_of(k), "fa long, fb long, n long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", items binary")
+                    .dropDuplicates(["fa", "fb"]), "items")
 
     facts = ["n", *(f"s{i}" for i in range(SKETCH))]
     fact = lambda p: items.select(F.col("fa").alias(p), F.col("fb").alias(f"{p}b"), *[F.col(c).alias(f"{p}{c}") for c in facts])

@@ -38,6 +38,8 @@ _ENTRY = "struct<doc_id:{id},offset:int,length:int,n_tokens:long,start:long>"
 class LibraryEncoder(bpe.Encoder):
     """Encodes each distinct piece with the tokenizers library itself."""
 
+    cache = 1_000_000
+
     def __init__(self, path: str):
         super().__init__(path)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core

@@ -69,11 +69,11 @@ def test_many_spans_as_one_by_one():
         assert token[row == i].tolist() == v.exact(w)
 
 
-def test_cache_overflow_changes_nothing(monkeypatch):
+def test_cache_overflow_changes_nothing():
     rows = texts()[:300]
     want, _ = bpe.with_special(bpe.Encoder(PATH), pa.array(rows))
-    monkeypatch.setattr(bpe, "CACHE_PIECES", 50)
     small = bpe.Encoder(PATH)
+    small.cache = 50
     got = [bpe.with_special(small, pa.array(rows[i:i + 20]))[0] for i in range(0, 300, 20)]
     assert [x for g in got for x in g.tolist()] == want.tolist()
 
