@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import struct
 from collections import Counter
@@ -83,3 +84,30 @@ def test_edges(docs, no_docs, spark):
 def test_trusted_is_bounded(spark):
     labels = spark.range(100).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     assert Q.trusted_ids(labels, 10).count() == 10
+
+
+def grown(spark, n):
+    """``n`` documents of 400 words, one of 20 poor (words of its own kind), and labels: nine of ten good ones are trusted."""
+    dice, rows = random.Random(5), []
+    for i in range(n):
+        kind, size = ("junk", 6 * n) if i % 20 == 0 else ("good", 2000)
+        rows.append((i, " ".join(f"{kind}{dice.randrange(size)}" for _ in range(400)), int(kind == "good")))
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(4)
+    return table, table.filter("quality = 0 or doc_id % 10 <> 1").select("doc_id", "quality", F.lit(0).alias("toxic"))
+
+
+def test_poor_documents_stay_rejected_as_the_corpus_grows(spark):
+    for n in (300, 1500):
+        table, labels = grown(spark, n)
+        out = Q.judge(table.drop("quality"), Q.trusted_ids(labels)).join(table, "doc_id")
+        poor, good = out.filter("quality = 0 and not base_failed"), out.filter("quality = 1 and not base_failed")
+        assert poor.count() == n // 20 + (n % 20 > 0) and poor.filter("kept").count() == 0
+        assert good.filter("kept").count() == good.count()  # also those that are not trusted
+
+
+def test_joined_and_broadcast_weights_agree(docs, spark, monkeypatch):
+    labels = spark.createDataFrame([(1, 1, 0), (14, 1, 0)], "doc_id long, quality int, toxic int")
+    table = lambda: Counter((*r[:6], round(r.ratio, 9), r.kept) for r in Q.judge(docs, Q.trusted_ids(labels)).collect())
+    sent = table()
+    monkeypatch.setattr(Q, "BROADCAST_BUCKETS", 0)
+    assert table() == sent and sum(sent.values()) == len(ROWS)
