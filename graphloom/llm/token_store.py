@@ -3,7 +3,8 @@
 A store is a folder in any file system that Spark writes to:
 
 * ``meta``: one row with the dictionary (trained on a bounded sample of
-  serialised id arrays), its SHA-256, the id width and the end id.
+  serialised id arrays), its SHA-256, its bytes (0: none could be trained),
+  the id width and the end id.
 * ``data``: one row per block. A block's ``payload`` is the concatenation of
   its documents' zstandard frames, each compressed on its own with the shared
   dictionary; ``index`` has every document's offset, length and ids; the
@@ -70,19 +71,24 @@ def _width(size: int) -> str:
 
 def _train(docs: DataFrame, vocab_path: str, end_id: int, sample_docs: int, sample_bytes: int, dict_bytes: int) -> bytes:
     """A dictionary from the documents with the smallest hashes: at most
-    ``sample_docs`` of them, whole, while their texts sum to ``sample_bytes``."""
+    ``sample_docs`` of them, while their texts sum to ``sample_bytes``. Of a
+    long one the first ``sample_bytes`` / 64 characters are taken, so that
+    none fills the sample. A small sample gives a smaller dictionary."""
     share = min(1.0, 2 * sample_docs / max(1, docs.count()))
     near = docs.filter((F.pmod("_h", F.lit(1 << 30)) < share * (1 << 30)) & F.col("text").isNotNull()).orderBy("_h").limit(sample_docs)
+    near = near.withColumn("text", F.substring("text", 1, max(1, sample_bytes // 64)))
     rows = near.withColumn("b", F.sum(F.octet_length("text")).over(Window.orderBy("_h", "text"))).filter(F.col("b") <= sample_bytes)
     texts = [r["text"] for r in rows.select("text").collect()]
     encoder = _library_encoder(vocab_path)
     ids, border = bpe.with_special(encoder, pa.array(texts, pa.string()))
     kind = _width(encoder.v.size)
     samples = [np.r_[ids[a:b], end_id].astype(kind).tobytes() for a, b in zip(border[:-1], border[1:], strict=True)]
-    try:
-        return zstandard.train_dictionary(dict_bytes, samples, level=3).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on: frames then stand alone
-        return b""
+    for size in (dict_bytes, dict_bytes // 4, dict_bytes // 16, dict_bytes // 64):
+        try:
+            return zstandard.train_dictionary(size, samples, level=3).as_bytes()
+        except (zstandard.ZstdError, ValueError):  # too few samples for this size
+            pass
+    return b""  # frames then stand alone
 
 
 def write_tokens(docs: DataFrame, path: str, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0,
@@ -136,8 +142,8 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, id_col: str = "doc
     blocks = (src.repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
               .mapInArrow(run, f"shard int, block int, n_tokens long, dict_sha256 string, payload binary, index array<{entry}>"))
     blocks.write.parquet(f"{path}/data")
-    spark.createDataFrame([(bytearray(dictionary), digest, end_id, bpe.vocabulary(vocab_path).size)],
-                          "dictionary binary, dict_sha256 string, end_id int, vocab_size int").write.parquet(f"{path}/meta")
+    spark.createDataFrame([(bytearray(dictionary), digest, len(dictionary), end_id, bpe.vocabulary(vocab_path).size)],
+                          "dictionary binary, dict_sha256 string, dict_bytes int, end_id int, vocab_size int").write.parquet(f"{path}/meta")
     data = spark.read.parquet(f"{path}/data").select("shard", "block", "index")
     (data.join(F.broadcast(_file_starts(spark, path)), "shard")
      .select("shard", "block", "file_start", F.explode("index").alias("e"))

@@ -52,3 +52,12 @@ def test_empty(spark, no_docs):
     path = scratch(spark, "store")
     S.write_tokens(no_docs, path, PATH, files=2)
     assert S.read_tokens(spark, path).count() == 0
+
+
+def test_long_documents_leave_a_dictionary(spark):
+    rows = [(i, " ".join(f"number {i * j % 97} of the long text" for j in range(400))) for i in range(100)]
+    path = scratch(spark, "store")
+    S.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, PATH, files=2, sample_bytes=8 << 10)
+    meta = spark.read.parquet(f"{path}/meta").first()
+    assert meta.dict_bytes == len(meta.dictionary) > 0
+    assert {r.doc_id: r.ids for r in S.read_tokens(spark, path).collect()} == {d: i for d, _, i in expected(rows)}
