@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -24,6 +24,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with its 0-based row number in ``order`` as column ``name``.
+
+    The rows are range-sorted (a key with many rows is spread as far as
+    ``order`` tells its rows apart), written with their place in the
+    partition, and read back with the partitions' offsets, a table of one
+    row per partition."""
+    at, low = free_name(df, "_at"), (1 << 33) - 1
+    sorted_ = written(df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright(at, 33)
+    counts = sorted_.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = sorted_.join(F.broadcast(offsets), part == F.col("_p"))
+    place = (F.col("_before") + F.col(at).bitwiseAND(F.lit(low))).cast("long")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], place.alias(name))
+
+
 BATCH_BYTES = 8 << 20
 
 
