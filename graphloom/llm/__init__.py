@@ -1,4 +1,4 @@
-"""Training-data operators: the ten numbered operators and their queries.
+"""Training-data operators: the thirteen numbered operators and their queries.
 
 Nothing outside this subpackage imports it; ``__spark_entry__.py`` adds its
 queries only when it can be imported.
