@@ -24,6 +24,7 @@ from graphloom.operators import hydrate as H  # noqa: E402
 from graphloom.operators import match as M  # noqa: E402
 from graphloom.operators import ontology as O  # noqa: E402
 from graphloom.operators.match import E, N  # noqa: E402
+from graphloom.operators.paths import count_paths  # noqa: E402
 from graphloom.plans.tpch import edge_specs, node_specs, read, tpch_ontology  # noqa: E402
 from graphloom.session import get_spark  # noqa: E402
 from graphloom.sources import store  # noqa: E402
@@ -60,8 +61,8 @@ def main():
                                               "c_mktsegment", "c_acctbal")
 
     def rank_by_path_count():
-        m = M.match(g, [N("c", "customer"), E(type="PLACED"), N("o", "orders"), E(type="CONTAINS"), N("p", "part")])
-        run(H.rank_by_path_count(m.select(F.col("c.NODE").alias("NODE")), wide, "NODE", "c_mktsegment"))
+        c = count_paths(g, [N("c", "customer"), E(type="PLACED"), N("o", "orders"), E(type="CONTAINS"), N("p", "part")], at="c")
+        run(H.rank_by_path_count(c, wide, "NODE", "c_mktsegment", weight="n"))
 
     def match_3hop():
         m = M.match(g, [N("s", "supplier"), E(type="SUPPLIED_BY", direction="<-"),
@@ -71,9 +72,9 @@ def main():
         run(m.select("s.NODE", "p.NODE", "o.NODE", "c.NODE"))
 
     def match_2hop_agg():
-        m = M.match(g, [N("n", "nation", props=["name"]), E(type="LOCATED_IN", direction="<-"),
-                        N("c", "customer"), E(type="PLACED"), N("o", "orders", props=["o_totalprice"])])
-        run(m.groupBy("n.name").agg(F.count(F.lit(1)).alias("n"), F.sum("o.o_totalprice").alias("t")))
+        c = count_paths(g, [N("n", "nation"), E(type="LOCATED_IN", direction="<-"), N("c", "customer"), E(type="PLACED"), N("o", "orders")],
+                        at="n", values={"t": ("o", "o_totalprice")}, props=["name"])
+        run(c.groupBy("name").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
 
     def subgraph_full_index_pairs():
         n, e = BR.subgraph_capped(g, None)

@@ -3,9 +3,9 @@
 One batch job over many documents of one graph: fingerprint -> skip
 unchanged (ledger) -> chunk -> extract -> merge/fold names -> fold labels
 (ontology) -> upsert nodes and edges -> attribute columns -> ledger and text
-store. Every state table is a :class:`VersionedTable` of which a batch
-rewrites only the buckets that it touches; the ledger is committed only after
-the graph, so a failed run is simply retried.
+store. Every state table is a :class:`BatchLog`: a run appends its rows as a
+batch of its own; the ledger's batch is written only after the graph's, so a
+failed run is simply retried, and a replay writes over its own batch.
 """
 
 from __future__ import annotations
@@ -20,39 +20,43 @@ from . import documents as D
 from . import fold as FO
 from . import ingest as I
 from . import ledger as L
-from .versioned import VersionedTable
+from .batch_log import keyed, new_batch_id
 from ..session import cut_lineage
 
 
-EDGE_KEY = ["src", "dst", "type", "ID"]
+EDGE_KEY = I.EDGE_KEY
 COLUMN_SCHEMA = "kind string, column string, type string"
 
 
 class GraphStore:
     """The state tables of one graph under a shared folder."""
 
-    def __init__(self, spark: SparkSession, root: str, graph: str, buckets: int = 32):
+    def __init__(self, spark: SparkSession, root: str, graph: str):
         self.spark, self.graph = spark, graph.rsplit(".", 1)[-1]
         base = f"{root}/{self.graph}"
-        table = lambda name, schema, key=None: VersionedTable(spark, f"{base}/{name}", schema, key, buckets)
-        self.nodes = table("nodes", I.NODE_STATE_SCHEMA, ["NODE"])
-        self.edges = table("edges", I.EDGE_STATE_SCHEMA, EDGE_KEY)
-        self.ledger = table("ledger", L.LEDGER_SCHEMA, ["graph", "doc_uri"])
-        self.texts = table("texts", L.TEXT_SCHEMA, ["graph", "doc_uri"])
-        self.onto = table("ontology", FO.ONTOLOGY_SCHEMA)
-        self.columns = table("columns", COLUMN_SCHEMA)
+        self.nodes, self.edges = I.node_log(spark, f"{base}/nodes"), I.edge_log(spark, f"{base}/edges")
+        self.ledger = keyed(spark, f"{base}/ledger", L.LEDGER_SCHEMA, ["graph", "doc_uri"])
+        self.texts = keyed(spark, f"{base}/texts", L.TEXT_SCHEMA, ["graph", "doc_uri"])
+        # A type or a column keeps what was recorded for it first.
+        self.onto = keyed(spark, f"{base}/ontology", FO.ONTOLOGY_SCHEMA, ["graph", "type_kind", "type_name"], keep="first")
+        self.columns = keyed(spark, f"{base}/columns", COLUMN_SCHEMA, ["kind", "column"], keep="first")
 
+    def compact(self) -> None:
+        """Merge every table's batches into one, by ordinary jobs."""
+        for log in (self.nodes, self.edges, self.ledger, self.texts, self.onto, self.columns):
+            log.compact()
 
-def _evolve(store: GraphStore, nodes: DataFrame, edges: DataFrame) -> None:
+
+def _evolve(store: GraphStore, nodes: DataFrame, edges: DataFrame, batch_id: str) -> None:
     """Declare the attributes that a batch brings; declared types stay."""
-    declared = store.columns.current()
+    declared = store.columns.current(batch_id)
     new = None
     for kind, batch, base in (("node", nodes, I.NODE_BASE_COLS), ("edge", edges, I.EDGE_BASE_COLS)):
         found = I.discover_attr_columns(batch.select("_ord", "attrs"), base, seq=F.col("_ord"))
         grown = I.evolve_columns(declared.filter(F.col("kind") == kind).select("column", "type"), found)
         part = grown.select(F.lit(kind).alias("kind"), "column", "type")
         new = part if new is None else new.unionByName(part)
-    store.columns.commit(new)
+    store.columns.append(new.join(declared, ["kind", "column"], "left_anti"), batch_id)
 
 
 def state_graph(store: GraphStore) -> PropertyGraph:
@@ -74,7 +78,7 @@ def state_graph(store: GraphStore) -> PropertyGraph:
 
 def ingest_documents(spark: SparkSession, store: GraphStore, docs: DataFrame, now: str,
                      max_chunks: int | None = None, mode: str = "sequential", extractor=None,
-                     synonyms: DataFrame | None = None, synonym_fn=None, uri: str = "batch") -> DataFrame:
+                     synonyms: DataFrame | None = None, synonym_fn=None, uri: str = "batch", batch_id: str | None = None) -> DataFrame:
     """Ingest ``docs`` (doc_uri, text, ord) into ``store``; returns the
     one-row report: documents, processed, reused (unchanged), backfilled
     (texts stored late), truncated (documents cut by ``max_chunks``), nodes,
@@ -82,12 +86,13 @@ def ingest_documents(spark: SparkSession, store: GraphStore, docs: DataFrame, no
 
     The rows of one uri count as submissions in the order of ``ord``, as if
     sent one after the other: each is new, unchanged or updated against the
-    one before; the text store keeps the last."""
-    g = store.graph
+    one before; the text store keeps the last. ``batch_id`` names the run's
+    batches (default: a new id); a replay with the same id replaces them."""
+    g, at = store.graph, batch_id or new_batch_id()
     batch = L.document_fingerprint(docs.withColumnRenamed("doc_uri", "_u"), name_col="_u").drop("_u", "display_uri") \
         .withColumn("graph", F.lit(g))
     keys = batch.select("graph", "doc_uri")
-    statuses, _ = L.ledger_upsert(store.ledger.current(), batch.select("graph", "doc_uri", "sha256", "ord", "text"), now)
+    statuses, _ = L.ledger_upsert(store.ledger.current(at), batch.select("graph", "doc_uri", "sha256", "ord", "text"), now)
     statuses = cut_lineage(statuses)
     todo = statuses.filter("status <> 'unchanged'")
     # A submission is a document of its own: uri and place in the batch.
@@ -111,30 +116,31 @@ def ingest_documents(spark: SparkSession, store: GraphStore, docs: DataFrame, no
         F.col("_dord").alias("d"), F.col("doc_id").alias("u"), F.col("_first.chunk_idx").alias("c"), F.col("_first.pos").alias("p")))
     rels = splittable_join(rels, order, ["doc_id"], "inner").withColumn("_ord", F.struct(
         F.col("_dord").alias("d"), F.col("doc_id").alias("u"), F.col("_ord.chunk_idx").alias("c"), F.col("_ord.rpos").alias("p")))
-    e_f, r_f, mapping, new_onto = FO.fold_labels(store.onto.current(), g, ents, rels, uri, now, synonyms, synonym_fn)
+    onto = store.onto.current(at)
+    e_f, r_f, mapping, new_onto = FO.fold_labels(onto, g, ents, rels, uri, now, synonyms, synonym_fn)
     e_f, r_f = cut_lineage(e_f), cut_lineage(r_f)
     node_batch = e_f.select(F.col("NODE").alias("id"), "label", "labels", "label_raw",
                             F.col("NODE").alias("name"), "attrs", "_ord")
     edge_batch = r_f.select("id", "src", "dst", "label", "attrs", "_ord")
-    old_nodes, old_edges = store.nodes.current(), store.edges.current()
-    new_nodes = store.nodes.upsert(node_batch.select(F.col("id").alias("NODE")),
-                                   lambda s: I.merge_nodes(s, node_batch, now, seq=F.col("_ord")))
+    old_nodes, old_edges = store.nodes.rows(at).select("NODE"), store.edges.rows(at).select(*EDGE_KEY)
+    new_ids = node_batch.select(F.col("id").alias("NODE")).filter("NODE is not null")
+    store.nodes.append(I.node_rows(node_batch, now, at, seq=F.col("_ord")), at)
     edge_keys = edge_batch.select("src", "dst", F.col("label").alias("type"), F.col("id").alias("ID"))
-    new_edges = store.edges.upsert(edge_keys, lambda s: I.merge_edges(s, edge_batch, new_nodes, now, seq=F.col("_ord")))
-    store.onto.commit(new_onto)
-    _evolve(store, node_batch, edge_batch)
+    store.edges.append(I.edge_rows(edge_batch, now, at, seq=F.col("_ord"), nodes=old_nodes.unionByName(new_ids)), at)
+    store.onto.append(new_onto.join(onto.select("graph", "type_kind", "type_name"), ["graph", "type_kind", "type_name"], "left_anti"), at)
+    _evolve(store, node_batch, edge_batch, at)
     # Ledger and texts only after the graph is written; unchanged documents
     # whose text is missing get it now.
-    texts = store.texts.current()
-    late = L.backfill_text(texts, statuses)
+    late = L.backfill_text(store.texts.rows(at), statuses)
     send = todo.select("graph", "doc_uri", "text", "ord").unionByName(late.select("graph", "doc_uri", "text", "ord"))
-    store.texts.upsert(send.select("graph", "doc_uri"), lambda s: L.record_text(s, send))
-    store.ledger.upsert(keys, lambda s: L.ledger_upsert(s, batch.select("graph", "doc_uri", "sha256", "ord"), now)[1])
-    nodes = node_batch.select(F.col("id").alias("NODE")).filter("NODE is not null").distinct()
-    edges = new_edges.select(*EDGE_KEY).join(edge_keys.distinct(), EDGE_KEY, "left_semi")
+    store.texts.append(L.record_text(spark.createDataFrame([], L.TEXT_SCHEMA), send), at)
+    touched = store.ledger.current(at).join(keys.distinct(), ["graph", "doc_uri"], "left_semi")
+    store.ledger.append(L.ledger_upsert(touched, batch.select("graph", "doc_uri", "sha256", "ord"), now)[1], at)
+    nodes = new_ids.distinct()
+    edges = store.edges.rows().filter(F.col("seq") == at).select(*EDGE_KEY)
     return counts_row([
         ("documents", keys), ("processed", todo.select("doc_uri")), ("reused", statuses.filter("status = 'unchanged'").select("doc_uri")),
         ("backfilled", late.select("doc_uri").distinct()), ("truncated", chunks.filter("truncated").select("doc_id").distinct()),
-        ("nodes", nodes), ("nodes_created", nodes.join(old_nodes.select("NODE"), "NODE", "left_anti")),
-        ("edges", edges), ("edges_created", edges.join(old_edges.select(*EDGE_KEY), EDGE_KEY, "left_anti")),
+        ("nodes", nodes), ("nodes_created", nodes.join(old_nodes, "NODE", "left_anti")),
+        ("edges", edges), ("edges_created", edges.join(old_edges, EDGE_KEY, "left_anti")),
         ("folded", FO.fold_report(mapping).select("kind")), ("labels", mapping.select("canonical").distinct())])

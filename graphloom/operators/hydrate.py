@@ -125,16 +125,21 @@ def match_then_post_join(result: DataFrame, wide: DataFrame, join_sql: str,
 
 
 def rank_by_path_count(paths: DataFrame, wide: DataFrame, key: str, attr: str,
-                       out_col: str = "n", order_by: list | None = None) -> DataFrame:
+                       out_col: str = "n", order_by: list | None = None, weight: str | None = None) -> DataFrame:
     """Path count per wide attribute, ranked (highest first).
 
+    ``paths`` has a row per path or, with ``weight``, a row per key and the
+    number of its paths in that column, as :func:`paths.count_paths` gives it
+    without making any path.
+
     Paths are pre-aggregated per key BEFORE anything else (one row per key
     instead of one per path, partial counts map-side, so a hub key holding a
     third of all paths costs one row per task); the wide attribute is read as
     two columns, de-duplicated per key and joined on the same partitioning;
     the final group by attribute is tiny.
     """
-    per_key = paths.filter(F.col(_q(key)).isNotNull()).groupBy(_q(key)).agg(F.count(F.lit(1)).alias("_c"))
+    per_key = paths.filter(F.col(_q(key)).isNotNull()).groupBy(_q(key)).agg(
+        (F.sum(_q(weight)) if weight else F.count(F.lit(1))).alias("_c"))
     w = wide.select(_q(key), _q(attr), *[F.col(_q(o)) for o in (order_by or []) if o not in (key, attr)])
     w = dedupe_last(w, key, order_by).select(_q(key), _q(attr))
     j = per_key.join(w, key, "left")

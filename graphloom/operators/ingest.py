@@ -1,15 +1,17 @@
 """Incremental ingest into a stored graph.
 
-State tables (one version per write; a new version is written next to the
-old one and then becomes current, see :mod:`graphloom.operators.versioned`):
+State as a reader sees it:
 
 ``nodes``: NODE, labels (label vector, overwritten), label_set (accumulated
 graph labels), label_raw, name, attrs ``map<string,string>`` whose values are
 JSON texts (so their types survive), first_seen_ts, last_seen_ts.
 ``edges``: ID, src, dst, type, attrs, first_seen_ts, last_seen_ts.
 
-A batch is merged with ONE full outer join on the key (both sides shuffle on
-the key once); attribute merges are map functions inside codegen.
+``merge_nodes``/``merge_edges`` merge a batch into a state frame with ONE full
+outer join on the key. Stored state is a log of batches instead
+(:mod:`graphloom.operators.batch_log`): :func:`node_rows`/:func:`edge_rows` are
+what a batch appends, and the state is an aggregation over the log, so a batch
+costs what the batch holds, whatever the state's size.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import DEFAULT_NODE_AXIS, SAFE_IDENT_PATTERN
 from ..functions.types import (SPARK_TYPE, TRUE_STRINGS, TYPE_BIGINT, TYPE_BOOLEAN,
                                TYPE_DOUBLE, TYPE_VARCHAR)
+from .batch_log import BatchLog
 
 NODE_STATE_SCHEMA = ("NODE string, labels array<string>, label_set array<string>, "
                      "label_raw array<string>, name string, attrs map<string,string>, "
@@ -108,7 +111,7 @@ def merge_nodes(state: DataFrame, batch: DataFrame, now, seq: Column | None = No
         F.when(hit, nowc).otherwise(F.col("s.last_seen_ts")).alias("last_seen_ts"))
 
 
-def normalize_edge_batch(batch: DataFrame, nodes: DataFrame, seq: Column | None = None) -> DataFrame:
+def normalize_edge_batch(batch: DataFrame, nodes: DataFrame | None, seq: Column | None = None) -> DataFrame:
     cols = batch.columns
     attrs = F.col("attrs") if "attrs" in cols else F.lit(None).cast("map<string,string>")
     seq = seq if seq is not None else F.struct(*[F.col(c) for c in cols if c != "attrs"])
@@ -116,14 +119,16 @@ def normalize_edge_batch(batch: DataFrame, nodes: DataFrame, seq: Column | None
          .select(F.col("id").cast("string").alias("ID"), F.col("src").cast("string").alias("src"),
                  F.col("dst").cast("string").alias("dst"), F.col("label").alias("type"),
                  attrs.alias("attrs"), seq.alias("_seq")))
-    ids = nodes.select("NODE")
-    b = (b.join(ids.withColumnRenamed("NODE", "src"), "src", "left_semi")
-          .join(ids.withColumnRenamed("NODE", "dst"), "dst", "left_semi"))
+    if nodes is not None:
+        ids = nodes.select("NODE")
+        b = (b.join(ids.withColumnRenamed("NODE", "src"), "src", "left_semi")
+              .join(ids.withColumnRenamed("NODE", "dst"), "dst", "left_semi"))
     key = ["src", "dst", "type", "ID"]
     one = b.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    at = _merge_batch_attrs(b, key, F.col("_seq"))
-    return (one.join(at, key, "left").select(
-        *key, F.coalesce("attrs", F.create_map().cast("map<string,string>")).alias("attrs")))
+    at = _merge_batch_attrs(b, key, F.col("_seq")).withColumnRenamed("type", "_t")
+    same = [one[k] == at[k] for k in ("src", "dst", "ID")]
+    return (one.join(at, same[0] & same[1] & same[2] & F.col("type").eqNullSafe(F.col("_t")), "left").select(
+        *[one[k] for k in key], F.coalesce("attrs", F.create_map().cast("map<string,string>")).alias("attrs")))
 
 
 def merge_edges(state: DataFrame, batch: DataFrame, nodes: DataFrame, now,
@@ -147,6 +152,82 @@ def merge_edges(state: DataFrame, batch: DataFrame, nodes: DataFrame, now,
         F.when(hit, nowc).otherwise(F.col("s.last_seen_ts")).alias("last_seen_ts"))
 
 
+# Stored rows: every value with the id of the batch that brought it.
+NODE_LOG_SCHEMA = ("NODE string, last struct<seq:string,labels:array<string>,label_raw:array<string>>, label_set array<string>, "
+                   "named struct<seq:string,name:string>, attrs map<string,struct<seq:string,v:string>>, "
+                   "first_seen_ts timestamp, last_seen_ts timestamp, seq string")
+EDGE_LOG_SCHEMA = ("ID string, src string, dst string, type string, attrs map<string,struct<seq:string,v:string>>, "
+                   "first_seen_ts timestamp, last_seen_ts timestamp, seq string")
+EDGE_KEY = ["src", "dst", "type", "ID"]
+
+
+def _stamped(attrs: Column, seq: Column) -> Column:
+    return F.transform_values(attrs, lambda k, v: F.struct(seq.alias("seq"), v.alias("v")))
+
+
+def node_rows(batch: DataFrame, now, batch_id: str, seq: Column | None = None) -> DataFrame:
+    """C1 as a log: what a batch of extracted nodes appends (one row per id)."""
+    b, s, nowc = normalize_node_batch(batch, seq), F.lit(batch_id), F.lit(now).cast("timestamp")
+    return b.select("NODE", F.struct(s.alias("seq"), "labels", "label_raw").alias("last"), "label_set",
+                    F.when(F.col("name").isNotNull(), F.struct(s.alias("seq"), "name")).alias("named"), _stamped(F.col("attrs"), s).alias("attrs"),
+                    nowc.alias("first_seen_ts"), nowc.alias("last_seen_ts"), s.alias("seq"))
+
+
+def edge_rows(batch: DataFrame, now, batch_id: str, seq: Column | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """C2 as a log: null id/src/dst dropped; with ``nodes`` only edges whose
+    ends are there, otherwise ends are checked when the state is read."""
+    b, s, nowc = normalize_edge_batch(batch, nodes, seq), F.lit(batch_id), F.lit(now).cast("timestamp")
+    return b.select("ID", "src", "dst", "type", _stamped(F.col("attrs"), s).alias("attrs"),
+                    nowc.alias("first_seen_ts"), nowc.alias("last_seen_ts"), s.alias("seq"))
+
+
+def _merged_attrs(rows: DataFrame, key: list) -> DataFrame:
+    """Per key: every attribute's last value. Null key columns are equal."""
+    per = rows.select(*key, F.explode("attrs").alias("k", "v")).groupBy(*key, "k").agg(F.max("v").alias("v"))
+    return per.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("attrs"))
+
+
+def _with_attrs(one: DataFrame, attrs: DataFrame, key: list) -> DataFrame:
+    at = attrs.withColumnsRenamed({k: f"_a_{k}" for k in key})
+    cond = F.lit(True)
+    for k in key:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_a_{k}"))
+    none = F.create_map().cast("map<string,struct<seq:string,v:string>>")
+    return one.join(at, cond, "left").withColumn("attrs", F.coalesce("attrs", none))
+
+
+def merge_node_rows(rows: DataFrame) -> DataFrame:
+    """One stored row per node."""
+    one = rows.groupBy("NODE").agg(
+        F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_set("label_set"))).alias("label_set"), F.max("named").alias("named"),
+        F.min("first_seen_ts").alias("first_seen_ts"), F.max("last_seen_ts").alias("last_seen_ts"), F.max("seq").alias("seq"))
+    return _with_attrs(one, _merged_attrs(rows, ["NODE"]), ["NODE"]).select(
+        "NODE", "last", "label_set", "named", "attrs", "first_seen_ts", "last_seen_ts", "seq")
+
+
+def node_state(merged: DataFrame) -> DataFrame:
+    return merged.select("NODE", "last.labels", "label_set", "last.label_raw", F.col("named.name").alias("name"),
+                         F.transform_values("attrs", lambda k, v: v["v"]).alias("attrs"), "first_seen_ts", "last_seen_ts")
+
+
+def merge_edge_rows(rows: DataFrame) -> DataFrame:
+    """One stored row per edge."""
+    one = rows.groupBy(*EDGE_KEY).agg(F.min("first_seen_ts").alias("first_seen_ts"), F.max("last_seen_ts").alias("last_seen_ts"), F.max("seq").alias("seq"))
+    return _with_attrs(one, _merged_attrs(rows, EDGE_KEY), EDGE_KEY).select("ID", "src", "dst", "type", "attrs", "first_seen_ts", "last_seen_ts", "seq")
+
+
+def edge_state(merged: DataFrame) -> DataFrame:
+    return merged.select("ID", "src", "dst", "type", F.transform_values("attrs", lambda k, v: v["v"]).alias("attrs"), "first_seen_ts", "last_seen_ts")
+
+
+def node_log(spark, root: str) -> BatchLog:
+    return BatchLog(spark, root, NODE_LOG_SCHEMA, merge_node_rows, node_state)
+
+
+def edge_log(spark, root: str) -> BatchLog:
+    return BatchLog(spark, root, EDGE_LOG_SCHEMA, merge_edge_rows, edge_state)
+
+
 def ingest_report(state_nodes: DataFrame, state_edges: DataFrame, batch_nodes: DataFrame,
                   batch_edges: DataFrame, new_nodes: DataFrame) -> DataFrame:
     """nodes/edges ensured present vs newly created, and the sorted

@@ -11,6 +11,7 @@ from ..operators import hydrate as H
 from ..operators import match as M
 from ..operators import ontology as O
 from ..operators.match import E, N
+from ..operators.paths import count_paths
 from ..sources import files as S
 from .registry import query
 from .tpch import edge_specs, node_specs, read, tpch_graph, tpch_ontology, with_graph
@@ -432,9 +433,9 @@ FROM ({NATION_ORDERS_SQL}) GROUP BY nation
 """))
 def q_match_aggregate(spark, sf):
     g = tpch_graph(spark, sf)
-    m = _nation_orders(g)
-    return m.groupBy(F.col("n.name").alias("nation")).agg(
-        F.count(F.col("o.NODE")).alias("n_orders"), F.round(F.sum("o.o_totalprice"), 2).alias("total"))
+    c = count_paths(g, [N("n", "nation"), E(type="LOCATED_IN", direction="<-"), N("c", "customer"), E(type="PLACED"), N("o", "orders")],
+                    at="n", values={"total": ("o", "o_totalprice")}, props=["name"])
+    return c.groupBy(F.col("name").alias("nation")).agg(F.sum("n").alias("n_orders"), F.round(F.sum("total"), 2).alias("total"))
 
 
 @query("graph_table", with_graph(f"""
@@ -836,7 +837,8 @@ def rank_segments(spark, sf, g=None):
     g = g or tpch_graph(spark, sf)
     wide = read(spark, sf, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey")).alias("NODE"),
                                               "c_mktsegment")
-    return H.rank_by_path_count(_placed_paths(g), wide, key="NODE", attr="c_mktsegment")
+    c = count_paths(g, [N("c", "customer"), E(type="PLACED"), N("o", "orders"), E(type="CONTAINS"), N("p", "part")], at="c")
+    return H.rank_by_path_count(c, wide, key="NODE", attr="c_mktsegment", weight="n")
 
 
 @query("rank_by_path_count", RANK_SQL)

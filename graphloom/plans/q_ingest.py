@@ -1,8 +1,8 @@
 """Queries: incremental ingest (C1-C8) driven by the events table.
 
 Batch 1 = users and event types of events with an even event_id, batch 2 =
-the odd ones; batch 2 is then replayed (it must create nothing). Every
-version is written to shared storage and read back.
+the odd ones; batch 2 then comes again (it must create nothing). Every batch
+is appended to the logs on shared storage and read back.
 """
 
 from __future__ import annotations
@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.types import TYPE_BIGINT, TYPE_BOOLEAN, TYPE_DOUBLE
 from ..operators import ingest as I
-from ..operators.versioned import VersionedTable
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from .registry import query
 from .tpch import read, tpch_graph, tpch_ontology, with_graph
 
@@ -43,18 +42,17 @@ def run_ingest(spark, sf, with_reports=False):
     (and one report row per run)."""
     nodes, edges = _batches(spark, sf)
     root = scratch_path(spark, "ingest")
-    nt = VersionedTable(spark, root + "/nodes", I.NODE_STATE_SCHEMA)
-    et = VersionedTable(spark, root + "/edges", I.EDGE_STATE_SCHEMA)
+    nt, et = I.node_log(spark, root + "/nodes"), I.edge_log(spark, root + "/edges")
     reports = []
     for run, (b, now) in enumerate([(0, NOW[0]), (1, NOW[1]), (1, NOW[2])], start=1):
         bn = nodes.filter(F.col("_b") == b).drop("_b")
         be = edges.filter(F.col("_b") == b).drop("_b")
-        sn, se = nt.current(), et.current()
-        new_n = nt.commit(I.merge_nodes(sn, bn, now, seq=F.col("_seq")))
-        new_e = et.commit(I.merge_edges(se, be, new_n, now, seq=F.col("_seq")))
+        sn, se, at = nt.rows().select("NODE"), et.rows().select(*I.EDGE_KEY), f"{run:04d}"
+        nt.append(I.node_rows(bn, now, at, seq=F.col("_seq")), at)
+        new_n = nt.rows().select("NODE").distinct()
+        et.append(I.edge_rows(be, now, at, seq=F.col("_seq"), nodes=new_n), at)
         if with_reports:
-            rep = I.ingest_report(sn, se, bn, be, new_n).withColumn("run", F.lit(run))
-            reports.append(VersionedTable(spark, root + f"/report{run}").commit(rep))
+            reports.append(cut_lineage(I.ingest_report(sn, se, bn, be, new_n).withColumn("run", F.lit(run))))
     return nt.current(), et.current(), reports
 
 

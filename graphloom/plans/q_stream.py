@@ -45,7 +45,7 @@ def q_document_ingest(spark, sf):
     store = GraphStore(spark, scratch_path(spark, "docgraph"), "warehouse.conversations")
     r1 = ingest_documents(spark, store, _conv_batch(spark, sf, False), "2025-01-01 00:00:00")
     r2 = ingest_documents(spark, store, _conv_batch(spark, sf, True), "2025-01-02 00:00:00")
-    # Each report reads the immutable table versions of its own run.
+    # Each report reads the batches of its own run.
     cols = ["run", "documents", "processed", "nodes_created", "edges_created"]
     return (r1.withColumn("run", F.lit(1)).select(*cols)
             .unionByName(r2.withColumn("run", F.lit(2)).select(*cols)))

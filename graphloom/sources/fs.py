@@ -1,8 +1,7 @@
 """File-system helpers that work on any Hadoop URI (file, hdfs, s3a, ...).
 
-Metadata operations (exists, list, delete, small manifest files) go through
-the Hadoop FileSystem of the session, so stored graphs and versioned tables
-live on the cluster's shared storage, not on a machine-local disk. Without a
+Metadata operations (exists, list, delete, rename) go through the Hadoop
+FileSystem of the session, so stored graphs and state tables live on the cluster's shared storage, not on a machine-local disk. Without a
 JVM gateway (Spark Connect) plain local paths fall back to ``os``.
 """
 
@@ -55,29 +54,6 @@ def delete(spark, path: str) -> None:
         fs.delete(p, True)
 
 
-def mkdirs(spark, path: str) -> None:
-    fs, p = _fs(spark, path)
-    if fs is None:
-        os.makedirs(path, exist_ok=True)
-        return
-    fs.mkdirs(p)
-
-
-def create_text(spark, path: str, text: str) -> None:
-    """Write a small new file; an existing one is an error (so of two writers
-    of one name only one succeeds) and is never touched."""
-    fs, p = _fs(spark, path)
-    if fs is None:
-        with open(path, "x") as f:
-            f.write(text)
-        return
-    out = fs.create(p, False)
-    try:
-        out.write(bytearray(text.encode("utf-8")))
-    finally:
-        out.close()
-
-
 def rename(spark, path: str, to: str) -> None:
     """Move a folder to a name that does not exist."""
     fs, p = _fs(spark, path)
@@ -85,25 +61,3 @@ def rename(spark, path: str, to: str) -> None:
         os.rename(path, to)
     elif not fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(to)):
         raise OSError(f"cannot rename {path} to {to}")
-
-
-def read_text(spark, path: str) -> str | None:
-    fs, p = _fs(spark, path)
-    if fs is None:
-        if not os.path.exists(path):
-            return None
-        with open(path) as f:
-            return f.read()
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        lines = []
-        line = reader.readLine()
-        while line is not None:
-            lines.append(line)
-            line = reader.readLine()
-        return "\n".join(lines)
-    finally:
-        stream.close()

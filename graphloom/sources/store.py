@@ -74,16 +74,17 @@ def record_recipe(spark: SparkSession, root: str, graph: str, engine: str, state
     returns the table (input of ``creation_ledger`` and ``source_lineage``)."""
     row = spark.createDataFrame([(graph.rsplit(".", 1)[-1], engine, statement, source, now, spec_json)],
                                 "graph string, engine string, statement string, source string, ts string, spec_json string")
-    row = row.withColumn("ts", F.col("ts").cast("timestamp"))
+    from ..operators.batch_log import new_batch_id
     table = recipes(spark, root)
-    return table.upsert(row.select(*RECIPE_KEY), lambda old: old.join(row.select(*RECIPE_KEY), RECIPE_KEY, "left_anti").unionByName(row))
+    table.append(row.withColumn("ts", F.col("ts").cast("timestamp")), new_batch_id())
+    return table.current()
 
 
 def recipes(spark: SparkSession, root: str):
-    """The recipe table under ``root``."""
+    """The recipe table under ``root``: a recipe recorded again replaces the one before."""
     from ..operators.ledger import RECIPE_SCHEMA
-    from ..operators.versioned import VersionedTable
-    return VersionedTable(spark, os.path.join(root, "recipes"), RECIPE_SCHEMA, RECIPE_KEY, buckets=8)
+    from ..operators.batch_log import keyed
+    return keyed(spark, os.path.join(root, "recipes"), RECIPE_SCHEMA, RECIPE_KEY)
 
 
 _NEW = "__new"

@@ -1,5 +1,5 @@
 """Sources: scans by extension, catalog registration, append import, text
-documents, graph store and versioned tables."""
+documents, graph store and streams."""
 
 import os
 import tempfile
@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.graph import PropertyGraph
-from graphloom.operators.versioned import VersionedTable
 from graphloom.sources import files as S
 from graphloom.sources import store
 from tests.conftest import SF_SMALL, rows
@@ -67,14 +66,6 @@ def test_store_round_trip_and_delete(spark):
     assert rows(store.stored_graph_sizes(spark, root)) == [("g2", 2, 1)]
 
 
-def test_versioned_table(spark):
-    t = VersionedTable(spark, tempfile.mkdtemp(prefix="gl-ver-"), "x int")
-    assert t.version() == 0 and t.current().count() == 0
-    t.commit(spark.createDataFrame([(1,)], "x int"))
-    cur = t.commit(t.current().union(spark.createDataFrame([(2,)], "x int")))
-    assert t.version() == 2 and rows(cur) == [(1,), (2,)]
-
-
 def test_stream_tables_pending_and_drop(spark):
     from graphloom.streaming import ingest_stream as ST
     base = tempfile.mkdtemp(prefix="gl-stream-")

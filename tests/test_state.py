@@ -1,4 +1,4 @@
-"""State tables, document ingest into them, stored graphs and recipes:
+"""Batch logs, document ingest into them, stored graphs and recipes:
 what a crash, a repeated document or a small batch does to them."""
 
 import json
@@ -10,59 +10,111 @@ from pyspark.sql import functions as F
 from graphloom.graph import PropertyGraph
 from graphloom.operators.doc_ingest import GraphStore, ingest_documents, state_graph
 from graphloom.operators.match import E, N, match, result_subgraph
-from graphloom.operators.versioned import VersionedTable
+from graphloom.operators import ingest as I
+from graphloom.operators.batch_log import keyed, new_batch_id
 from graphloom.session import scratch_path
 from graphloom.sources import fs, store
 from graphloom.sources.lineage import source_lineage
 from tests.conftest import rows
 
 
-def table(spark, **kw):
-    return VersionedTable(spark, scratch_path(spark, "table"), "k long, v string", **kw)
+def table(spark, keep="last"):
+    return keyed(spark, scratch_path(spark, "table"), "k long, v string", ["k"], keep)
 
 
-def test_a_crash_in_a_commit_loses_nothing(spark):
-    t = table(spark, key=["k"], buckets=4)
-    t.commit(spark.createDataFrame([(i, "a") for i in range(20)], t.schema))
-    # Rows written, manifest not begun; then a manifest cut off in the middle.
-    spark.createDataFrame([(1, "b")], t.schema).write.parquet(f"{t.root}/v2-dead")
-    assert t.current().count() == 20 and t.version() == 1
-    fs.create_text(spark, f"{t.root}/manifest-2", "0 v2-dead\n")
-    assert t.current().count() == 20 and t.version() == 1
-    t.upsert(spark.createDataFrame([(1,)], "k long"), lambda s: s.withColumn("v", F.lit("c")))
-    assert t.version() == 3 and t.current().count() == 20 and t.current().filter("v = 'c' and k = 1").count() == 1
+def frame(spark, *pairs):
+    return spark.createDataFrame(list(pairs), "k long, v string")
 
 
-def test_of_two_writers_one_fails(spark):
+def test_a_crash_and_its_replay(spark):
     t = table(spark)
-    t.commit(spark.createDataFrame([(1, "a")], t.schema))
-    other = VersionedTable(spark, t.root, t.schema)
-    other._next = lambda n=t._next(): n
-    t.commit(spark.createDataFrame([(2, "b")], t.schema))
-    with pytest.raises(Exception, match="exist"):
-        other.commit(spark.createDataFrame([(3, "c")], t.schema))
-    assert rows(t.current()) == [(2, "b")]
-
-
-def test_a_small_batch_rewrites_only_its_buckets(spark):
-    t = table(spark, key=["k"], buckets=64)
-    t.commit(spark.range(1000).select(F.col("id").alias("k"), F.lit("a").alias("v")))
-    before = t._current()[1]
-    keys = spark.range(10).select(F.col("id").alias("k"))
-    t.upsert(keys, lambda s: s.withColumn("v", F.when(F.col("k") < 10, "b").otherwise(F.col("v"))))
-    after = t._current()[1]
-    changed = {b for b in after if before[b] != after[b]}
-    assert set(before) == set(after) and 0 < len(changed) <= 10
-    assert t.current().filter("v = 'b'").count() == 10 and t.current().count() == 1000
-
-
-def test_old_versions_go(spark):
-    t = table(spark, keep=2)
-    for i in range(5):
-        t.commit(spark.createDataFrame([(i, "a")], t.schema))
-    names = fs.list_names(spark, t.root)
-    assert sorted(n for n in names if n.startswith("manifest")) == ["manifest-4", "manifest-5"]
-    assert sum(n.startswith("v") for n in names) == 2 and rows(t.current()) == [(4, "a")]
+    t.append(frame(spark, (1, "a"), (2, "a")), "01")
+    # A batch that was cut off: Spark's commit did not happen.
+    os.makedirs(f"{t.root}/batch=02/_temporary/0")
+    open(f"{t.root}/batch=02/_temporary/0/part-0.parquet", "w").close()
+    assert rows(t.current()) == [(1, "a"), (2, "a")]
+    for _ in range(2):          # the replay, and the same again
+        t.append(frame(spark, (2, "b"), (3, "b")), "02")
+        assert rows(t.current()) == [(1, "a"), (2, "b"), (3, "b")]
+    assert rows(t.current(skip="02")) == [(1, "a"), (2, "a")]
+
+
+def test_two_writers_lose_nothing(spark):
+    t, other = table(spark), None
+    t.append(frame(spark, (1, "a"), (2, "a")), new_batch_id())
+    other = keyed(spark, t.root, "k long, v string", ["k"])
+    a, b = new_batch_id(), new_batch_id()
+    read_before = t.current()           # writer A has read, B writes, A writes
+    other.append(frame(spark, (2, "B")), b)
+    t.append(read_before.filter("k = 1").withColumn("v", F.lit("A")), a)
+    assert rows(t.current()) == [(1, "A"), (2, "B")]
+
+
+def test_compaction_changes_nothing(spark):
+    log = I.node_log(spark, scratch_path(spark, "nodes"))
+    batch = lambda *r: spark.createDataFrame(list(r), "id string, label string, name string, attrs map<string,string>, o int")
+    log.append(I.node_rows(batch(("a", "X", "Ann", {"p": "1", "q": "1"}, 1), ("b", "X", None, None, 2)), "2025-01-01 00:00:00", "01", F.col("o")), "01")
+    log.append(I.node_rows(batch(("a", "Y", None, {"q": "2"}, 1)), "2025-01-02 00:00:00", "02", F.col("o")), "02")
+    want = rows(log.current())
+    assert [(r[0], r[1], sorted(r[2]), r[4], r[5]) for r in want] == [("a", ["Y"], ["X", "Y"], "Ann", {"p": "1", "q": "2"}), ("b", ["X"], ["X"], None, {})]
+    assert str(want[0][6]) < str(want[0][7])
+    # Half done: the merged batch stands, the old ones too.
+    log.append(log.merge(log.rows()), "02+")
+    assert rows(log.current()) == want
+    log.compact()
+    assert len(log.batches()) == 1 and rows(log.current()) == want
+    # A batch that started before the compaction and ends after it keeps its place.
+    log.append(I.node_rows(batch(("a", "Z", "Zoe", {"p": "0", "r": "0"}, 1)), "2025-01-01 12:00:00", "015", F.col("o")), "015")
+    a = rows(log.current())[0]
+    assert (a[1], a[4], a[5]) == (["Y"], "Zoe", {"p": "0", "q": "2", "r": "0"})
+
+
+def test_the_log_equals_merging_batch_by_batch(spark):
+    """Against C1/C2 as frame operators."""
+    nl, el = I.node_log(spark, scratch_path(spark, "n")), I.edge_log(spark, scratch_path(spark, "e"))
+    n, e = I.empty_nodes(spark), I.empty_edges(spark)
+    for k in range(4):
+        now, at = f"2025-01-0{k + 1} 00:00:00", f"{k:02d}"
+        nb = spark.createDataFrame([(f"n{(i * (k + 2)) % 11}", "ABC"[i % 3], {f"k{i % 4}": str(i + k)}, i) for i in range(9)], "id string, label string, attrs map<string,string>, o int")
+        eb = spark.createDataFrame([(f"e{i % 5}", f"n{i % 7}", f"n{(i + k) % 12}", None if i == 3 else "T", {f"k{i % 2}": str(i * k)}, i) for i in range(12)],
+                                   "id string, src string, dst string, label string, attrs map<string,string>, o int")
+        n = I.merge_nodes(n, nb, now, F.col("o")).checkpoint()
+        e = I.merge_edges(e, eb.filter("label is not null"), n, now, F.col("o")).checkpoint()
+        nl.append(I.node_rows(nb, now, at, F.col("o")), at)
+        el.append(I.edge_rows(eb.filter("label is not null"), now, at, F.col("o"), nodes=nl.rows()), at)
+    plain = lambda df: sorted(str(sorted((k, sorted(v.items()) if isinstance(v, dict) else sorted(v) if k == "label_set" else v) for k, v in r.asDict().items())) for r in df.collect())
+    assert plain(nl.current()) == plain(n) and plain(el.current()) == plain(e)
+
+
+def test_a_replayed_ingest_is_the_ingest(spark):
+    s = GraphStore(spark, scratch_path(spark, "docs"), "w.g")
+    first = ingest(spark, s, [("u", "Alder Brook and Cedar", 1)], batch_id="01")
+    again = ingest(spark, s, [("u", "Alder Brook and Cedar", 1)], batch_id="01")
+    assert first == again and first["nodes_created"] == 2
+    s.compact()
+    assert ingest(spark, s, [("u", "Alder Brook and Cedar", 1)], batch_id="02")["reused"] == 1 and s.nodes.current().count() == 2
+
+
+def test_last_label_of_a_streamed_node(spark):
+    from graphloom.streaming import ingest_stream as ST
+    base = scratch_path(spark, "stream")
+    spark.createDataFrame([("a", "Z"), ("b", "Q"), ("a", "A")], "NODE string, LABEL string").coalesce(1).write.parquet(base + "/in/f1")
+    out = ST.stream_schema_counts(spark, base + "/in/*", "NODE string, LABEL string", base + "/state", base + "/ck")
+    assert rows(out) == [("A", 1), ("Q", 1)]
+
+
+def test_an_edge_waits_for_its_ends(spark):
+    from graphloom.streaming import ingest_stream as ST
+    base, cols = scratch_path(spark, "stream"), "kind string, id string, label string, src string, dst string, _ord long"
+    ticks = iter(["2025-01-01 00:00:00", "2025-01-01 00:00:10", "2025-01-01 00:00:20"])
+    put = lambda name, *r: spark.createDataFrame(list(r), cols).coalesce(1).write.parquet(f"{base}/in/{name}")
+    put("f1", ("edge", "e1", "R", "a", "b", 1), ("edge", "e2", "R", "a", "zz", 2), ("node", "a", "X", None, None, 3))
+    n, e, p = ST.stream_tables(spark, base + "/in/*", cols, base + "/st", base + "/ck", clock=lambda: next(ticks))
+    assert e.count() == 0 and rows(p, "id") == [("e1",), ("e2",)]
+    put("f2", ("node", "b", "X", None, None, 4))
+    n, e, p = ST.stream_tables(spark, base + "/in/*", cols, base + "/st", base + "/ck", clock=lambda: next(ticks))
+    assert [(r[0], str(r[1])) for r in rows(e, "ID", "first_seen_ts")] == [("e1", "2025-01-01 00:00:10")]
+    assert rows(ST.overdue(p, "2025-01-01 00:01:00", 30), "id", "waiting_sec") == [("e2", 60)]
 
 
 def ingest(spark, s, docs, now="2025-01-01 00:00:00", **kw):
@@ -71,7 +123,7 @@ def ingest(spark, s, docs, now="2025-01-01 00:00:00", **kw):
 
 
 def test_repeated_uris_and_places(spark):
-    s = GraphStore(spark, scratch_path(spark, "docs"), "w.g", buckets=4)
+    s = GraphStore(spark, scratch_path(spark, "docs"), "w.g")
     docs = [("u", "Alder Brook and Cedar", 1), ("u", "Alder Brook and Dune", 2), ("v", "Elm Field and Fern", 1), ("u", "Alder Brook and Dune", 3)]
     r = ingest(spark, s, docs)
     assert (r["documents"], r["processed"], r["reused"]) == (4, 3, 1)
@@ -85,11 +137,12 @@ def test_repeated_uris_and_places(spark):
 
 
 def test_lost_texts_are_stored_late_and_cuts_are_reported(spark):
-    s = GraphStore(spark, scratch_path(spark, "docs"), "g", buckets=2)
+    s = GraphStore(spark, scratch_path(spark, "docs"), "g")
     text = "\n\n".join(f"Point {x}" for x in ("Alpha", "Beta", "Gamma"))
     r = ingest(spark, s, [("u", text, 1)], max_chunks=2)
     assert r["truncated"] == 1 and r["nodes"] == 2
-    s.texts.commit(spark.createDataFrame([], s.texts.schema))
+    for b in s.texts.batches():
+        fs.delete(spark, f"{s.texts.root}/batch={b}")
     r = ingest(spark, s, [("u", text, 1)])
     assert (r["processed"], r["backfilled"]) == (0, 1) and rows(s.texts.current(), "text") == [(text,)]
 
@@ -100,7 +153,7 @@ def with_attrs(text):
 
 
 def test_attributes_become_typed_columns(spark):
-    s = GraphStore(spark, scratch_path(spark, "docs"), "g", buckets=2)
+    s = GraphStore(spark, scratch_path(spark, "docs"), "g")
     ingest(spark, s, [("u", "Alpha=3\n\nBeta=true", 1)], extractor=with_attrs)
     ingest(spark, s, [("v", 'Gamma="12"\n\nDelta="x"', 1)], now="2025-01-02 00:00:00", extractor=with_attrs)
     g = state_graph(s)
