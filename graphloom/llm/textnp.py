@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 18
+LONG_SPAN = 64
 SLICE_BYTES = 2 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -56,12 +58,12 @@ def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; a null text has no bytes."""
+    """(bytes, offsets) of a string or large binary column; a null text has no bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
         column = column.fill_null("")
-    if not pa.types.is_large_string(column.type):
+    if not (pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)):
         column = column.cast(pa.large_string())
     n = len(column)
     offs = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + n + 1]
@@ -125,7 +127,11 @@ def word_spans(raw: np.ndarray, offs: np.ndarray, words: np.ndarray | None = Non
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hash of each byte span (spans ascending, not overlapping)."""
+    """64-bit hash of each byte span (spans ascending, not overlapping).
+
+    Spans of up to ``LONG_SPAN`` bytes have a polynomial hash, taken for all at
+    once. Modulo 2**64 that form has equal values for some long sequences of
+    two letters, so longer spans have a blake2b digest of their bytes."""
     out = np.empty(len(starts), dtype=np.uint64)
     i, n = 0, len(starts)
     while i < n:
@@ -140,6 +146,9 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
         s, e = starts[i:j] - at, ends[i:j] - at
         out[i:j] = mix((h[e] - h[s]) * inv[s] + (e - s).astype(np.uint64))
         i = j
+    for k in np.flatnonzero(ends - starts > LONG_SPAN):
+        span = raw[starts[k]:ends[k]]
+        out[k] = int.from_bytes(hashlib.blake2b((LOWER[span] if lower else span).tobytes(), digest_size=8).digest(), "little")
     return out
 
 

@@ -4,6 +4,8 @@ from pyspark.sql import types as T
 LONG = "lorem ipsum dolor sit amet " * 4000
 
 # (doc_id, text, lang): nulls, empties, repeated rows and ids, ties, a very long text.
+# Two words that a polynomial hash modulo 2**64 does not tell apart (Thue-Morse and its complement).
+TWINS = ["".join("ab"[(bin(i).count("1") + k) % 2] for i in range(1024)) for k in (0, 1)]
 ROWS = [
     (1, "The quick brown fox jumps over the lazy dog near the river bank today", "en"),
     (2, "The quick brown fox jumps over the lazy dog near the river bank today", "en"),

@@ -9,7 +9,7 @@ import public_tokenizers
 
 from graphloom.llm import bpe
 
-from llm_data import ROWS, docs, no_docs  # noqa: F401
+from llm_data import ROWS, TWINS, docs, no_docs  # noqa: F401
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -90,3 +90,9 @@ def test_documents(docs, no_docs, library):
     assert Counter((r.doc_id, len(r.ids), r.decoded) for r in full) == Counter(
         (d, len(library.encode(t or "", add_special_tokens=False).ids), t or "") for d, t, _ in ROWS)
     assert bpe.digest_documents(no_docs, PATH).count() == 0
+
+
+def test_words_that_a_weak_hash_confuses(spark, library):
+    rows = [(i, t) for i, t in enumerate([*TWINS, TWINS[0] + " x " + TWINS[1], TWINS[1] * 2, TWINS[0] * 2])]
+    got = {r.doc_id: r.ids for r in bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), PATH).collect()}
+    assert all(got[i] == library.encode(t, add_special_tokens=False).ids for i, t in rows)

@@ -7,7 +7,7 @@ import public_tokenizers
 from graphloom.llm import token_store as S
 from graphloom.llm.shared import scratch
 
-from llm_data import ROWS, docs, no_docs  # noqa: F401
+from llm_data import ROWS, TWINS, docs, no_docs  # noqa: F401
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,3 +61,10 @@ def test_long_documents_leave_a_dictionary(spark):
     meta = spark.read.parquet(f"{path}/meta").first()
     assert meta.dict_bytes == len(meta.dictionary) > 0
     assert {r.doc_id: r.ids for r in S.read_tokens(spark, path).collect()} == {d: i for d, _, i in expected(rows)}
+
+
+def test_words_that_a_weak_hash_confuses(spark):
+    rows = [(i, t) for i, t in enumerate([*TWINS, "x " + TWINS[1], "x " + TWINS[0]])]
+    path = scratch(spark, "store")
+    S.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path, PATH)
+    assert sorted((r.doc_id, r.start, r.ids) for r in S.read_tokens(spark, path).collect()) == expected(rows)

@@ -80,7 +80,8 @@ def test_nulls_repeated_rows_clashing_columns_and_no_labels(spark, docs, no_docs
 
 
 def test_labels_of_the_held_out_part_change_nothing(spark):
-    rows = [(i, ("you vile grobnik today " if i % 4 == 0 else "a calm day ") + f"word{i} " * 5) for i in range(400)]
+    rng = random.Random(5)
+    rows = [(i, ("you vile grobnik today " if i % 4 == 0 else "a calm day ") + " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(30))) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
     flipped = labels.withColumn("toxic", F.when(X.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
