@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,22 +119,34 @@ def _log_softmax(x):
     return x - np.log(np.exp(x).sum(-1, keepdims=True))
 
 
-def train(words: list[tuple[bytes, int, float]], langs: list[str], steps: int = 500, batch: int = 384,
+def pools(counts: pa.Table, langs: list[str]) -> dict[int, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Training words by length and language: bytes (words, length) and
+    weights, from a table (lang, piece, count). Only arrays are made."""
+    counts = counts.sort_by([("lang", "ascending"), ("piece", "ascending")])
+    out: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+    for k, lang in enumerate(langs):
+        part = counts.filter(pa.compute.equal(counts.column("lang"), lang)).combine_chunks()
+        raw, offs = T.buffers(part.column("piece").cast(pa.large_binary()))
+        weight, size = part.column("count").to_numpy().astype(float), np.diff(offs)
+        for n in np.unique(size):
+            rows = np.flatnonzero(size == n)
+            out.setdefault(int(n), {})[k] = (raw[offs[rows][:, None] + np.arange(n)], weight[rows])
+    return out
+
+
+def train(words: list[tuple[bytes, int, float]] | dict, langs: list[str], steps: int = 500, batch: int = 384,
           hidden: int = 16, rate: float = 0.02, seed: int = 7) -> ByteGRU:
-    """Fit the network on (word, language index, weight) rows by Adam.
+    """Fit the network on (word, language index, weight) rows, or on
+    :func:`pools` of them, by Adam.
 
     Every step draws one word length and words of that length (and only then
     a language, evenly), so sequences need no padding. Same rows, same model."""
     net, rng = ByteGRU(langs, hidden, seed), np.random.default_rng(seed)
-    by: dict[int, dict[int, tuple[list, list]]] = {}
-    for w, lang, weight in sorted(words):
-        ws, ps = by.setdefault(len(w), {}).setdefault(lang, ([], []))
-        ws.append(w)
-        ps.append(weight)
-    lengths = sorted(by)
-    mass = np.array([sum(sum(p) for _, p in by[n].values()) * n for n in lengths], dtype=float)
-    pool = {n: {k: (np.frombuffer(b"".join(w), np.uint8).reshape(-1, n), np.array(p) / sum(p)) for k, (w, p) in x.items()}
-            for n, x in by.items()}
+    if not isinstance(words, dict):
+        words = pools(pa.table({"lang": [langs[k] for _, k, _ in words], "piece": pa.array([w for w, _, _ in words], pa.binary()), "count": [n for _, _, n in words]}), langs)
+    lengths = sorted(words)
+    mass = np.array([sum(p.sum() for _, p in words[n].values()) * n for n in lengths], dtype=float)
+    pool = {n: {k: (w, p / p.sum()) for k, (w, p) in x.items()} for n, x in words.items()}
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     for step in range(1, steps + 1):
@@ -265,16 +278,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     order = Window.partitionBy("lang").orderBy("h", "text")
     picked = (near.withColumn("r", F.row_number().over(order))
               .withColumn("b", F.sum(F.octet_length("text")).over(order)).filter((F.col("r") <= per_lang) & ((F.col("b") <= per_lang_bytes) | (F.col("r") == 1))))
+    piece = F.expr(f"explode(transform(sequence(0, (octet_length(w) - 1) div {PIECE_BYTES}), i -> substring(encode(w, 'utf-8'), i * {PIECE_BYTES} + 1, {PIECE_BYTES})))")
     counts = (picked.select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).filter("w <> ''")
-              .groupBy("lang", "w").count().collect())
-    langs = sorted({r["lang"] for r in counts})
-    words: dict[tuple[bytes, int], int] = {}
-    for r in counts:
-        w = r["w"].encode()
-        for i in range(0, len(w), PIECE_BYTES):
-            key = (w[i:i + PIECE_BYTES], langs.index(r["lang"]))
-            words[key] = words.get(key, 0) + r["count"]
-    return train([(w, k, float(n)) for (w, k), n in words.items()], langs, **training) if words else ByteGRU([])
+              .select("lang", piece.alias("piece")).groupBy("lang", "piece").count().toArrow())
+    langs = sorted(counts.column("lang").unique().to_pylist())
+    if not langs:
+        return ByteGRU([])
+    words = pools(counts, langs)
+    del counts
+    net = train(words, langs, **training)
+    del words
+    T.release()
+    return net
 
 
 def predict(docs: DataFrame, net: ByteGRU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,7 +311,8 @@ def predict(docs: DataFrame, net: ByteGRU, id_col: str = "doc_id", text_col: str
                 if net.langs and letters.any():
                     probs = scorer.documents(*T.buffers(texts))
                     best = np.where(letters, probs.argmax(1), best)
-                    score = np.where(letters, probs.max(1), 0.0)
+                    # Single floats add up a little differently in batches of another size.
+                    score = np.where(letters, np.round(probs.max(1).astype(float), 6), 0.0)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best], pa.string()), pa.array(score, pa.float64())],
                                                  names=["doc_id", "lang_pred", "score"])
 
