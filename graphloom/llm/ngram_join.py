@@ -35,8 +35,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import fs
 from . import textnp as T
-from .shared import bounded_batches, components, written
+from .shared import bounded_batches, components, grown, scratch, written
 from .shingles import shingle_sets
 
 # Tag bits kept in the low byte of a signature key.
@@ -351,15 +352,23 @@ def _drop_crowded(members: DataFrame, crowd: int) -> DataFrame:
 
 def jaccard_links(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id", text_col: str = "text",
                   crowd: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(sets, links). ``sets``: one row per document with its id, n_shingles
+    """(sets, links) of :func:`linked_sets`."""
+    return linked_sets(docs, percent, k, id_col, text_col, crowd)[:2]
+
+
+def linked_sets(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id", text_col: str = "text",
+                crowd: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets, links, roots). ``sets``: one row per document with its id, n_shingles
     and the name of its shingle set (``set_id``, null for the empty set).
     ``links``: (a, b) pairs of different linked set names that connect
-    every component of the link graph (not every pair inside one).
+    every component of the link graph (not every pair inside one). ``roots``:
+    every linked set (``node``) and the smallest set name of its component.
 
     Null or wordless texts have no set and no link; repeated rows and copies
     share one set; repeated or null ids keep their rows; other columns are
     not read."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
         .withColumn("tid", F.xxhash64("text"))
     id_type = dict(src.dtypes)["doc_id"]
@@ -377,12 +386,19 @@ def jaccard_links(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str =
     counts = {r["band"]: r["count"] for r in classes.groupBy(band.alias("band")).count().collect()}
     plan = allocate(bands, counts)
 
-    # No name keeps these rows: once ``members`` is written, their shuffle can be cleaned up.
-    members = written(src.select("text").mapInArrow(_signature_rows(k, bands, plan), "key long, node long")
+    # No name keeps these rows: once they are written, their shuffle can be cleaned up.
+    found = scratch(spark, "members")
+    (src.select("text").mapInArrow(_signature_rows(k, bands, plan), "key long, node long")
                       .repartition(F.shiftright("key", TAG_BITS)).sortWithinPartitions("key", "node")
-                      .mapInArrow(_shared_signatures, "gid long, tag short, node long"), "members")
+                      .mapInArrow(_shared_signatures, "gid long, tag short, node long").write.parquet(found))
+    members = spark.read.schema("gid long, tag short, node long").parquet(found)
+    # Weight of a set: the sizes of the subsets that it shares, so the text that others derive from leads.
+    size = members.groupBy("gid").agg(F.count(F.lit(1)).alias("size"))
+    weight = members.join(size, "gid").groupBy("node").agg(F.sum("size").alias("weight"))
+    m = written(members.join(weight, "node"), "weighted")
+    fs.delete(spark, found)
 
-    need = members.select(F.col("node").alias("fa")).distinct()
+    need = m.select(F.col("node").alias("fa")).distinct()
     picks = classes.join(need, "fa", "left_semi").select("fa", "fb", F.col("pick.doc_id").alias("doc_id"), F.col("pick.tid").alias("tid"))
     same = (F.col("s.tid") == F.col("p.tid")) & F.col("s.doc_id").eqNullSafe(F.col("p.doc_id"))
     items = written(src.alias("s").join(picks.alias("p"), same, "left_semi").select("text")
@@ -399,11 +415,6 @@ def jaccard_links(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str =
         both = likely.select("x", "xb", "y", "yb").join(body("x"), ["x", "xb"]).join(body("y"), ["y", "yb"])
         return written(both.select("x", "xb", "xi", "y", "yb", "yi").mapInArrow(_verify(percent), "a string, b string"), "links")
 
-    # Weight of a set: the sizes of the subsets that it shares, so the text that others derive from leads.
-    size = members.groupBy("gid").agg(F.count(F.lit(1)).alias("size"))
-    weight = members.join(size, "gid").groupBy("node").agg(F.sum("size").alias("weight"))
-    m = members.join(weight, "node")
-
     def star(rows: DataFrame, leads: DataFrame) -> DataFrame:
         """Every member of a subset against the heaviest of ``leads``, once for all subsets."""
         lead = leads.groupBy("gid").agg(F.max(F.struct("weight", "node")).alias("lead"))
@@ -412,20 +423,22 @@ def jaccard_links(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str =
 
     same_name = items.groupBy("fa").count().filter("count > 1").select(F.col("fa").alias("x"), F.col("fa").alias("y"))
     links = checked(star(m, m).unionByName(same_name))
+    roots = grown(None, links)
 
-    def unsettled(rows: DataFrame) -> DataFrame:
+    def unsettled(rows: DataFrame, roots: DataFrame) -> DataFrame:
         """Subsets whose members are in different components, with each member's
         component and whether it is that of the heaviest member."""
-        roots = components(links).select(F.split("node", "[.]")[0].cast("long").alias("node"), "root").dropDuplicates(["node"])
-        r = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.col("node").cast("string")))
+        of = roots.select(F.split("node", "[.]")[0].cast("long").alias("node"), "root").dropDuplicates(["node"])
+        r = rows.join(of, "node", "left").withColumn("root", F.coalesce("root", F.col("node").cast("string")))
         per = r.groupBy("gid").agg(F.max(F.struct("weight", "node", "root"))["root"].alias("main"), F.min("root").alias("r0"), F.max("root").alias("r1"))
         r = r.join(per.filter("r0 <> r1").select("gid", "main"), "gid")
         return written(r.select("gid", "tag", "node", "weight", "root", (F.col("root") == F.col("main")).alias("main")), "unsettled")
 
-    rest = unsettled(m)
+    rest = unsettled(m, roots)
     for _ in range(STARS):  # leaders of what is not linked to the first ones
-        links = links.unionByName(checked(star(rest, rest.filter("not main"))))
-        rest = unsettled(rest.select("gid", "tag", "node", "weight"))
+        more = checked(star(rest, rest.filter("not main")))
+        links, roots = links.unionByName(more), grown(roots, more)
+        rest = unsettled(rest.select("gid", "tag", "node", "weight"), roots)
 
     # What is left pair by pair: members beside the main component against all others.
     rest = _drop_crowded(rest, crowd).join(fact("node").drop("nodeb"), "node")
@@ -436,8 +449,8 @@ def jaccard_links(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str =
     beside, main = ~F.col("main"), F.col("main")
     pairs = [side("p", PROBE, a).join(side("i", INDEX, b), "gid").filter(fits).select(F.least("p", "i").alias("x"), F.greatest("p", "i").alias("y"))
              for a, b in ((beside, F.lit(True)), (main, beside))]
-    links = links.unionByName(checked(pairs[0].unionByName(pairs[1]).distinct()))
-    return named, links
+    more = checked(pairs[0].unionByName(pairs[1]).distinct())
+    return named, links.unionByName(more), grown(roots, more)
 
 
 def jaccard_components(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
@@ -447,8 +460,8 @@ def jaccard_components(docs: DataFrame, percent: int = 85, k: int = 4, id_col: s
 
     A document without words is its own component; a null id never names a
     component unless every id of it is null."""
-    sets, links = jaccard_links(docs, percent, k, id_col, text_col)
-    roots = components(links).select(F.col("node").alias("set_id"), "root")
+    sets, _, roots = linked_sets(docs, percent, k, id_col, text_col)
+    roots = roots.withColumnRenamed("node", "set_id")
     per_set = sets.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
     per_set = per_set.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = per_set.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -464,8 +477,8 @@ def one_per_component(docs: DataFrame, percent: int = 85, k: int = 4, id_col: st
     """``docs`` with one row of each component: the smallest id's (of rows
     with that id, the smallest text hash; of repeated rows, one). Documents
     without words are all kept. Columns as in ``docs``."""
-    sets, links = jaccard_links(docs, percent, k, id_col, text_col)
-    roots = components(links).select(F.col("node").alias("set_id"), "root")
+    sets, _, roots = linked_sets(docs, percent, k, id_col, text_col)
+    roots = roots.withColumnRenamed("node", "set_id")
     rows = (sets.filter("set_id is not null").groupBy("set_id", "doc_id", "tid").agg(F.count(F.lit(1)).alias("same"))
             .join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
     picks = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tid")).alias("pick"))
@@ -480,4 +493,4 @@ def one_per_component(docs: DataFrame, percent: int = 85, k: int = 4, id_col: st
     return single.unionByName(repeated)
 
 
-__all__ = ["Bands", "allocate", "jaccard_links", "jaccard_components", "one_per_component"]
+__all__ = ["Bands", "allocate", "components", "jaccard_links", "linked_sets", "jaccard_components", "one_per_component"]

@@ -99,3 +99,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def grown(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (node, root) of what ``roots`` joins and ``links`` (a, b):
+    only the roots that the links meet are searched again."""
+    if roots is None:
+        return written(components(links), "roots")
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    base = roots.unionByName(ends.join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
+    at = lambda end: base.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    met = links.join(at("a"), "a").join(at("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+    new = components(met).select(F.col("node").alias("root"), F.col("root").alias("new"))
+    return written(base.join(new, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "roots")

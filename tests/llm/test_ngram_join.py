@@ -7,7 +7,7 @@ import pytest
 
 from graphloom.llm import ngram_join as J
 
-from llm_data import ROWS, docs, no_docs  # noqa: F401
+from llm_data import ROWS, TWINS, docs, no_docs  # noqa: F401
 
 
 def shingles(text, k):
@@ -122,3 +122,21 @@ def test_one_per_component(docs):
     # One shingle more makes the long text of 10 another set (5 of 6 shingles shared);
     # "one two" and "one  two" are copies, "three" is another text of id 8; 16 is linked with 15.
     assert ids == expect
+
+
+def test_words_that_a_weak_hash_confuses(spark):
+    rows = [(1, TWINS[0]), (2, TWINS[1]), (3, TWINS[1].upper()), (4, "a b c d " + TWINS[0]), (5, "a b c d " + TWINS[1])]
+    assert got(J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_grown_components_equal_all_at_once(spark):
+    from graphloom.llm.shared import grown
+    import random
+    rnd = random.Random(4)
+    parts = [[(f"n{rnd.randrange(60):02d}", f"n{rnd.randrange(60):02d}") for _ in range(n)] for n in (20, 12, 9)]
+    roots = None
+    for p in parts:
+        roots = grown(roots, spark.createDataFrame(p, "a string, b string"))
+    met = {r["node"]: r["root"] for r in J.components(spark.createDataFrame(sum(parts, []), "a string, b string")).collect()}
+    grew = {r["node"]: r["root"] for r in roots.collect()}
+    assert met == {n: r for n, r in grew.items() if n in met} and all(n == r for n, r in grew.items() if n not in met)
