@@ -77,17 +77,15 @@ def main():
         run(c.groupBy("name").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
 
     def subgraph_full_index_pairs():
-        n, e = BR.subgraph_capped(g, None)
-        idx, pairs = BR.subgraph_index_pairs(n, e, unique_nodes=True)
+        idx, pairs = BR.subgraph_capped_pairs(g, None)
         run(idx)
         run(pairs)
 
     def subgraph_capped_100k():
-        n, e = BR.subgraph_capped(g, 100000)
-        idx, pairs = BR.subgraph_index_pairs(n, e, unique_nodes=True)
+        idx, pairs = BR.subgraph_capped_pairs(g, 100000)
         run(idx)
         run(pairs)
-        run(BR.subgraph_totals(g, n, e))
+        run(BR.subgraph_totals(g, idx, pairs))
 
     def page_all():
         npg, epg = BR.page_all(g, 10000)

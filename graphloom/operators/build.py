@@ -146,13 +146,12 @@ def _edge_rows(spark: SparkSession, specs: list[EdgeSpec]) -> DataFrame:
     return out
 
 
-def _merge_edge_rows(rows: DataFrame) -> DataFrame:
-    props = [c for c in rows.columns
-             if c not in ("ID", "src", "dst", "type", "_spec") and not c.startswith("_o")]
+def _merge_edge_rows(rows: DataFrame, numbers: list[str]) -> DataFrame:
+    key = ["src", "dst", "type", "ID", *numbers]
+    props = [c for c in rows.columns if c not in (*key, "_spec") and not c.startswith("_o")]
     if not props:
         # Property-less specs: the merge is a plain distinct (hash aggregate).
-        return rows.select("src", "dst", "type", "ID").distinct()
-    key = ["src", "dst", "type", "ID"]
+        return rows.select(*key).distinct()
     once, many = _split_repeated(rows, key)
     many = many.withColumn("_seq", _seq(many, props))
     aggs = [F.expr(f"max_by({_q(p)}, _seq) FILTER (WHERE {_q(p)} IS NOT NULL)").alias(p) for p in props]
@@ -160,39 +159,45 @@ def _merge_edge_rows(rows: DataFrame) -> DataFrame:
     return once.select(*cols).unionByName(many.groupBy(*key).agg(*aggs).select(*cols))
 
 
-def build_edges(spark: SparkSession, specs: list[EdgeSpec], nodes: DataFrame) -> DataFrame:
+def build_edges(spark: SparkSession, specs: list[EdgeSpec], nodes: DataFrame, index_col: str | None = None) -> DataFrame:
     """B2: edges whose id/src/dst are non-null and whose BOTH endpoints are
     nodes; MERGE identity (src, dst, type, ID); properties last non-null.
 
     Specs without properties are merged with a hash ``distinct``; only specs
     with properties pay for the ordered ``max_by`` merge of repeated edges. An edge id produced
     by both kinds keeps the properties of the property-carrying rows (a
-    property-less row never erases a value). Endpoint checks are semi joins
-    that Catalyst pushes below the merge.
+    property-less row never erases a value); kinds whose types cannot meet are
+    not compared. Endpoint checks are semi joins that Catalyst pushes below the
+    merge; with ``index_col`` (a number of each node) they are inner joins that
+    bring both ends' numbers along (src_idx, dst_idx).
     """
-    ids = nodes.select(F.col("NODE"))
+    numbers = ["src_idx", "dst_idx"] if index_col else []
 
     def endpoints(df):
-        return (df.filter(F.col("ID").isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull())
-                .transform(lambda d: splittable_join(d, ids.withColumnRenamed("NODE", "src"), ["src"], "left_semi"))
-                .transform(lambda d: splittable_join(d, ids.withColumnRenamed("NODE", "dst"), ["dst"], "left_semi")))
+        df = df.filter(F.col("ID").isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull())
+        for end in ("src", "dst"):
+            ids = nodes.select(F.col("NODE").alias(end), *([F.col(index_col).alias(f"{end}_idx")] if index_col else []))
+            df = splittable_join(df, ids, [end], "inner" if index_col else "left_semi")
+        return df
 
     with_p = [s for s in specs if s.properties]
     without_p = [s for s in specs if not s.properties]
     key = ["src", "dst", "type", "ID"]
     parts = []
     if with_p:
-        parts.append(_merge_edge_rows(endpoints(_edge_rows(spark, with_p))))
+        parts.append(_merge_edge_rows(endpoints(_edge_rows(spark, with_p)), numbers))
     if without_p:
-        plain = _merge_edge_rows(endpoints(_edge_rows(spark, without_p)))
-        if parts:
+        plain = _merge_edge_rows(endpoints(_edge_rows(spark, without_p)), numbers)
+        fixed = lambda ss: {s.type for s in ss} if all(s.type_column is None for s in ss) else None
+        a, b = fixed(with_p), fixed(without_p)
+        if parts and (a is None or b is None or a & b):
             plain = plain.join(parts[0].select(*key), key, "left_anti")
         parts.append(plain)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    props = [c for c in out.columns if c not in key]
-    return out.select("ID", "src", "dst", "type", *[F.col(_q(p)) for p in props])
+    props = [c for c in out.columns if c not in (*key, *numbers)]
+    return out.select("ID", "src", "dst", "type", *numbers, *[F.col(_q(p)) for p in props])
 
 
 def build_graph(spark: SparkSession, node_specs: list[NodeSpec], edge_specs: list[EdgeSpec],

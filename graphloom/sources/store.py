@@ -4,6 +4,16 @@ Layout under a root folder (shared storage):
 ``<root>/<g>_nodes`` (Parquet), ``<root>/<g>_edges`` (Parquet partitioned by
 ``type``, so a hop scans only its type), ``<root>/<g>_label_keys`` (axis
 table). The graph key is the last dotted part of the graph's name.
+
+Nodes are numbered by ``NODE`` when they are written: their files are sorted
+and do not overlap, so a node's number is its place in its file plus the rows
+of the files before (``<g>_files``, a row per file). Edges are stored with the
+numbers of both ends, and ``<g>_fence`` has every ``FENCE``-th id with its
+number, so a page or a capped pull is a range filter.
+
+A graph is written beside its old self and takes its place by one rename of
+the finished folder; what a crash leaves of the exchange is finished by the
+next reader.
 """
 
 from __future__ import annotations
@@ -11,9 +21,10 @@ from __future__ import annotations
 import os
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import splittable_join
 from ..graph import PropertyGraph
 from . import fs
 
@@ -25,43 +36,117 @@ def table_path(root: str, graph: str, kind: str) -> str:
     return os.path.join(root, f"{key}_{kind}")
 
 
+KINDS = ("nodes", "edges", "label_keys", "files", "fence")
+FENCE = 4096
+
+
+def _staged(root: str, graph: str, state: str) -> str:
+    key = graph.rsplit(".", 1)[-1]
+    return os.path.join(root, f".{key}.{state}")
+
+
+def _begin(spark: SparkSession, root: str, graph: str) -> str:
+    _settle(spark, root, graph)
+    stage = _staged(root, graph, "new")
+    fs.delete(spark, stage)
+    return stage
+
+
+def _commit(spark: SparkSession, root: str, graph: str) -> None:
+    """The finished folder becomes the graph: from this rename on it is the one that readers get."""
+    fs.rename(spark, _staged(root, graph, "new"), _staged(root, graph, "ready"))
+    _settle(spark, root, graph)
+
+
+def _settle(spark: SparkSession, root: str, graph: str) -> None:
+    """Move the tables of a finished folder to their places (again, if a crash stopped it)."""
+    ready = _staged(root, graph, "ready")
+    if not fs.exists(spark, ready):
+        return
+    for kind in KINDS:
+        if fs.exists(spark, os.path.join(ready, kind)):
+            fs.delete(spark, table_path(root, graph, kind))
+            fs.rename(spark, os.path.join(ready, kind), table_path(root, graph, kind))
+    fs.delete(spark, ready)
+
+
+def _write_nodes(nodes: DataFrame, stage: str) -> DataFrame:
+    """Nodes sorted by NODE (keyset pages and id lookups skip row groups by
+    min/max statistics), their files' places and the fence; returns them
+    numbered."""
+    spark, path = nodes.sparkSession, os.path.join(stage, "nodes")
+    nodes.repartitionByRange("NODE").sortWithinPartitions("NODE").write.mode("overwrite").parquet(path)
+    sizes = spark.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("NODE").alias("lo"), F.max("NODE").alias("hi"))
+    before = Window.orderBy("lo", "file").rowsBetween(Window.unboundedPreceding, -1)    # a row per file
+    sizes.select("*", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")).write.mode("overwrite").parquet(os.path.join(stage, "files"))
+    numbered = _numbered(spark, path, os.path.join(stage, "files"))
+    numbered.filter(F.col("idx") % FENCE == 0).select("idx", "NODE").write.mode("overwrite").parquet(os.path.join(stage, "fence"))
+    return numbered
+
+
+def _numbered(spark: SparkSession, nodes: str, files: str) -> DataFrame:
+    rows = spark.read.parquet(nodes)
+    rows = rows.select(*rows.columns, F.col("_metadata.file_name").alias("_f"), F.col("_metadata.row_index").alias("_r"))
+    start = spark.read.parquet(files).select(F.col("file").alias("_f"), F.col("start").alias("_s"))
+    return rows.join(F.broadcast(start), "_f").withColumn("idx", F.col("_s") + F.col("_r")).drop("_f", "_r", "_s")
+
+
+def numbered_nodes(spark: SparkSession, root: str, graph: str) -> DataFrame:
+    """The stored nodes with ``idx``, their number in NODE order (from 0)."""
+    return _numbered(spark, table_path(root, graph, "nodes"), table_path(root, graph, "files"))
+
+
+def numbered_edges(spark: SparkSession, root: str, graph: str) -> DataFrame:
+    """The stored edges with ``src_idx`` and ``dst_idx`` (null where an end is no node)."""
+    return spark.read.parquet(table_path(root, graph, "edges"))
+
+
+def fence(spark: SparkSession, root: str, graph: str) -> DataFrame:
+    """Every ``FENCE``-th node: (idx, NODE)."""
+    return spark.read.parquet(table_path(root, graph, "fence"))
+
+
 def write_graph(spark: SparkSession, g: PropertyGraph, root: str, graph: str,
                 ontology: DataFrame | None = None) -> None:
-    """Full rebuild: wipe, then write nodes, then edges, then the axis
-    table. Each write is a distributed Parquet write (no driver collect)."""
-    delete_graph(spark, root, graph)
-    # Nodes range-partitioned and sorted by NODE: keyset pages and id
-    # lookups skip row groups by min/max statistics.
-    (g.nodes.repartitionByRange("NODE").sortWithinPartitions("NODE")
-     .write.mode("overwrite").parquet(table_path(root, graph, "nodes")))
-    _write_edges(g.edges, table_path(root, graph, "edges"))
+    """Full rebuild: nodes, then edges, then the axis table. The graph may
+    be read from the very folder that it replaces."""
+    stage = _begin(spark, root, graph)
+    ids = _write_nodes(g.nodes, stage).select("NODE", "idx")
+    edges = g.edges
+    for end in ("src", "dst"):
+        edges = splittable_join(edges.drop(f"{end}_idx"), ids.select(F.col("NODE").alias(end), F.col("idx").alias(f"{end}_idx")), [end], "left")
+    _finish(spark, stage, edges, ontology)
+    _commit(spark, root, graph)
+
+
+def _finish(spark: SparkSession, stage: str, edges: DataFrame, ontology: DataFrame | None) -> None:
     from ..operators.ingest import materialize_label_keys
-    nodes = spark.read.parquet(table_path(root, graph, "nodes"))
-    materialize_label_keys(nodes, ontology).write.mode("overwrite").parquet(
-        table_path(root, graph, "label_keys"))
+    _write_edges(edges, os.path.join(stage, "edges"))
+    materialize_label_keys(spark.read.parquet(os.path.join(stage, "nodes")), ontology).write.mode("overwrite").parquet(os.path.join(stage, "label_keys"))
 
 
 def _write_edges(edges: DataFrame, path: str) -> None:
     """A folder per type. ``rebalance`` gathers the rows of a type into files
     of the advisory size: neither tasks x types small files, nor one task for a
-    type that holds most edges."""
-    edges.hint("rebalance", "type").write.mode("overwrite").partitionBy("type").parquet(path)
+    type that holds most edges. Rows are sorted by their source's number, so a
+    range of numbers skips row groups."""
+    (edges.hint("rebalance", "type").sortWithinPartitions("type", "src_idx")
+     .write.mode("overwrite").partitionBy("type").parquet(path))
 
 
 def promote_into(spark: SparkSession, root: str, graph: str, wide: DataFrame, key: str = "NODE",
                  columns: list | None = None, order_by: list | None = None) -> DataFrame:
     """C8 on a stored graph: the promoted columns are written with its nodes.
 
-    The new node table is complete before the old one goes; a crash between
-    leaves it under its other name, where :func:`read_graph` finds it.
+    The new node table is complete before it replaces the old one.
     Returns the stats (nodes_matched, properties_set)."""
     from ..operators.ingest import promote_columns
-    path = table_path(root, graph, "nodes")
+    stage = _begin(spark, root, graph)
     nodes, stats = promote_columns(read_graph(spark, root, graph).nodes, wide, key, columns, order_by)
     counted = spark.createDataFrame([tuple(stats.first())], stats.schema)
-    nodes.repartitionByRange("NODE").sortWithinPartitions("NODE").write.mode("overwrite").parquet(path + _NEW)
-    fs.delete(spark, path)
-    fs.rename(spark, path + _NEW, path)
+    _write_nodes(nodes, stage)      # the same ids, so the same numbers
+    _commit(spark, root, graph)
     return counted
 
 
@@ -91,19 +176,22 @@ _NEW = "__new"
 
 
 def read_graph(spark: SparkSession, root: str, graph: str) -> PropertyGraph:
+    _settle(spark, root, graph)
     path = table_path(root, graph, "nodes")
     if not fs.exists(spark, path) and fs.exists(spark, path + _NEW):
         path += _NEW  # a promotion was interrupted after its last write
     nodes = spark.read.parquet(path)
     edges = spark.read.parquet(table_path(root, graph, "edges"))
     front = ["ID", "src", "dst", "type"]
-    edges = edges.select(*front, *[c for c in edges.columns if c not in front])
-    return PropertyGraph(nodes, edges, name=graph)
+    edges = edges.select(*front, *[c for c in edges.columns if c not in (*front, "src_idx", "dst_idx")])
+    return PropertyGraph(nodes, edges, name=graph, meta={"store": (root, graph)})
 
 
 def list_graphs(spark: SparkSession, root: str) -> list[str]:
     names = set()
     for d in fs.list_names(spark, root):
+        if d.startswith(".") and d.endswith(".ready"):
+            names.add(d[1:-len(".ready")])
         for suf in ("_nodes", "_edges"):
             if d.endswith(suf):
                 names.add(d[: -len(suf)])
@@ -115,7 +203,9 @@ def delete_graph(spark: SparkSession, root: str, graph: str, metadata: dict | No
     With ``metadata`` (name -> ledger/ontology/recipe/text frame with a
     ``graph`` column) the graph's rows are removed from each and the
     remaining frames are returned (I15)."""
-    for kind in ("nodes", "edges", "label_keys"):
+    for state in ("new", "ready"):
+        fs.delete(spark, _staged(root, graph, state))
+    for kind in KINDS:
         fs.delete(spark, table_path(root, graph, kind))
     if metadata is not None:
         from ..operators.ledger import clear_metadata
@@ -157,21 +247,15 @@ def stored_graph_sizes(spark: SparkSession, root: str) -> DataFrame:
 def build_and_store(spark: SparkSession, node_specs: list, edge_specs: list, root: str, graph: str,
                     ontology: DataFrame | None = None, recipe: dict | None = None) -> PropertyGraph:
     """B1 -> A8 -> B2 -> A8: build and write nodes, then build the edges
-    against the WRITTEN nodes (an id-only column scan) so the node merge is
-    computed once; then write edges partitioned by type and the axis table.
+    against the WRITTEN nodes (a scan of ids and their numbers) so the node merge
+    is computed once; then write edges partitioned by type and the axis table.
     A ``recipe`` (arguments of :func:`record_recipe` from ``engine`` on) is
     recorded once the graph stands (B7)."""
     from ..operators.build import build_edges, build_nodes
-    from ..operators.ingest import materialize_label_keys
-    delete_graph(spark, root, graph)
-    nodes = build_nodes(spark, node_specs)
-    (nodes.repartitionByRange("NODE").sortWithinPartitions("NODE")
-     .write.mode("overwrite").parquet(table_path(root, graph, "nodes")))
-    stored = spark.read.parquet(table_path(root, graph, "nodes"))
-    edges = build_edges(spark, edge_specs, stored)
-    _write_edges(edges, table_path(root, graph, "edges"))
-    materialize_label_keys(stored, ontology).write.mode("overwrite").parquet(
-        table_path(root, graph, "label_keys"))
+    stage = _begin(spark, root, graph)
+    stored = _write_nodes(build_nodes(spark, node_specs), stage)
+    _finish(spark, stage, build_edges(spark, edge_specs, stored, index_col="idx"), ontology)
+    _commit(spark, root, graph)
     if recipe is not None:
         record_recipe(spark, root, graph, **recipe)
     return read_graph(spark, root, graph)

@@ -223,3 +223,54 @@ def test_no_local_folder_on_a_cluster(spark, monkeypatch):
         conf = Conf()
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+def big_graph(spark, n=20_000):
+    nodes = spark.range(n).select(F.format_string("v%06d", F.col("id") * 7919 % n).alias("NODE"), F.lit("P").alias("LABEL"), F.array(F.lit("P")).alias("labels"))
+    edges = spark.range(3 * n).select(F.format_string("e%06d", "id").alias("ID"), F.format_string("v%06d", F.col("id") * 31 % n).alias("src"),
+                                      F.format_string("v%06d", F.col("id") * 17 % n).alias("dst"), F.when(F.col("id") % 3 == 0, "T").otherwise("U").alias("type"))
+    return PropertyGraph(nodes, edges)
+
+
+def test_stored_numbers_pages_and_capped_pulls(spark):
+    from graphloom.operators import browse as BR
+    root, plain = scratch_path(spark, "store"), big_graph(spark)
+    store.write_graph(spark, plain, root, "g")
+    g = store.read_graph(spark, root, "g")
+    assert "src_idx" not in g.edges.columns
+    for cap in (None, 0, 1, 4096, 5000, 10**6):
+        n, e = BR.subgraph_capped_pairs(g, cap)
+        n0, e0 = BR.subgraph_capped_pairs(plain, cap)
+        assert rows(n, "NODE", "LABEL", "idx") == rows(n0, "NODE", "LABEL", "idx") and rows(e) == rows(e0), cap
+    for offset in (0, 4095, 4096, 17_000, 19_990, 30_000):
+        assert [r["NODE"] for r in BR.page_offset(g, offset, 50).collect()] == [f"v{i:06d}" for i in range(offset, min(offset + 50, 20_000))]
+    a, b = BR.page_all(g, 700), BR.page_all(plain, 700)
+    assert rows(a[0]) == rows(b[0]) and rows(a[1]) == rows(b[1])
+    plan = BR.subgraph_capped_pairs(g, 5000)[1]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "LessThan(src_idx,5000)" in plan
+
+
+def test_a_graph_replaces_itself(spark):
+    root = scratch_path(spark, "store")
+    store.write_graph(spark, graph(spark, "abc", [("1", "a", "b", "T"), ("2", "b", "zz", "T")]), root, "g")
+    g = store.read_graph(spark, root, "g")
+    store.write_graph(spark, PropertyGraph(g.nodes.filter("NODE <> 'c'"), g.edges), root, "g")
+    again = store.read_graph(spark, root, "g")
+    assert rows(again.nodes, "NODE") == [("a",), ("b",)] and again.edges.count() == 2
+
+
+def test_a_crash_while_a_graph_is_replaced(spark):
+    root = scratch_path(spark, "store")
+    store.write_graph(spark, graph(spark, "abc", [("1", "a", "b", "T")]), root, "g")
+    # A build that did not finish changes nothing.
+    os.makedirs(f"{root}/.g.new/nodes")
+    assert store.read_graph(spark, root, "g").nodes.count() == 3
+    # One that finished, but whose tables were not all moved.
+    store.write_graph(spark, graph(spark, "xy", [("9", "x", "y", "U")]), root, "h")
+    os.makedirs(f"{root}/.g.ready")
+    for kind in ("edges", "label_keys", "files", "fence", "nodes"):
+        os.rename(f"{root}/h_{kind}", f"{root}/.g.ready/{kind}")
+    fs.delete(spark, f"{root}/g_nodes")
+    assert store.list_graphs(spark, root) == ["g"]
+    g = store.read_graph(spark, root, "g")
+    assert rows(g.nodes, "NODE") == [("x",), ("y",)] and rows(g.edges, "ID") == [("9",)] and not os.path.exists(f"{root}/.g.ready")
