@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import hydrate as H
 from ..operators import joins as JN
+from ..operators import windows as W
 from ..operators import match as M
 from ..operators.match import E, N
 from .registry import query
@@ -112,13 +113,13 @@ FROM hm JOIN nation n ON hm.price >= n.n_nationkey * 20000 AND hm.price < n.n_na
 GROUP BY n.n_name
 """))
 def q_sql_theta_range(spark, sf):
-    """Range join through fixed-width buckets (no nested loop): each order
-    joins the nation whose price band contains its total."""
+    """Range join through tree nodes (no nested loop): each order joins the
+    nation whose price band contains its total."""
     hm = hm_frame(spark, sf)
     bands = read(spark, sf, "nation").select(
         F.col("n_name").alias("nation"), (F.col("n_nationkey") * 20000).cast("double").alias("lo"),
         (F.col("n_nationkey") * 20000 + 20000).cast("double").alias("hi"))
-    j = JN.range_join(hm, "price", bands, "lo", "hi", bucket_width=20000)
+    j = JN.range_join(hm, "price", bands, "lo", "hi")
     return j.groupBy("nation").agg(F.count(F.lit(1)).alias("orders"))
 
 
@@ -168,16 +169,23 @@ SELECT 'sets', segment, status, GROUPING(segment, status), COUNT(*) FROM hm
 GROUP BY GROUPING SETS ((segment), (status), ())
 """)
 
-sql_query("sql_window_rank", """
+@query("sql_window_rank", _duck("""
 SELECT o_node, NODE,
        CAST(row_number() OVER (PARTITION BY NODE ORDER BY price DESC, o_node) AS BIGINT) AS rn,
        CAST(rank() OVER (PARTITION BY NODE ORDER BY status) AS BIGINT) AS rk,
        CAST(dense_rank() OVER (PARTITION BY NODE ORDER BY status) AS BIGINT) AS drk,
        CAST(ntile(3) OVER (PARTITION BY NODE ORDER BY price DESC, o_node) AS BIGINT) AS tile
 FROM hm
-""")
+"""))
+def q_sql_window_rank(spark, sf):
+    """Ranks by two-pass scans: no customer is sorted by one task."""
+    hm = hm_frame(spark, sf).select("o_node", "NODE", "price", "status")
+    out = W.scan(hm, ["NODE"], [F.col("price").desc(), F.col("o_node")], row_number="rn", ntile=("tile", 3))
+    out = W.ranks(out, ["NODE"], ["status"], rank="rk", dense_rank="drk")
+    return out.select("o_node", "NODE", "rn", "rk", "drk", "tile")
+
 
-sql_query("sql_window_frame", """
+@query("sql_window_frame", _duck("""
 SELECT o_node, NODE,
        CAST(SUM(CAST(ROUND(price * 100) AS BIGINT)) OVER (PARTITION BY NODE ORDER BY odate, o_node
            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_cents,
@@ -186,7 +194,17 @@ SELECT o_node, NODE,
        lag(price) OVER (PARTITION BY NODE ORDER BY odate, o_node) AS prev_price,
        lead(o_node, 1) OVER (PARTITION BY NODE ORDER BY odate, o_node) AS next_order
 FROM hm
-""")
+"""))
+def q_sql_window_frame(spark, sf):
+    """Running sum, moving average, lag and lead by two-pass scans."""
+    hm = hm_frame(spark, sf).select("o_node", "NODE", "odate", "price", F.round(F.col("price") * 100).cast("long").alias("cents"))
+    out = W.scan(hm, ["NODE"], [F.col("odate"), F.col("o_node")], sums={"running_cents": "cents"},
+                 near={"p1": ("cents", -1), "p2": ("cents", -2), "prev_price": ("price", -1), "next_order": ("o_node", 1)})
+    seen = [F.col(c) for c in ("cents", "p1", "p2")]
+    total = sum((F.coalesce(c, F.lit(0)) for c in seen[1:]), F.coalesce(seen[0], F.lit(0)))
+    n = sum((c.isNotNull().cast("int") for c in seen[1:]), seen[0].isNotNull().cast("int"))
+    return out.select("o_node", "NODE", "running_cents", (total / n).alias("moving_cents"), "prev_price", "next_order")
+
 
 sql_query("sql_set_ops", """
 SELECT 'union' AS kind, COUNT(*) AS n FROM (SELECT NODE FROM hm WHERE status = 'F' UNION SELECT NODE FROM hm WHERE price > 300000) u

@@ -102,3 +102,29 @@ def test_entry_smoke(spark):
     out = E.entry(spark).collect()
     assert len(out) == 5 and out[0]["n"] >= out[-1]["n"]
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_range_join_by_tree_nodes(spark, how):
+    import random
+    rng = random.Random(8)
+    pts = [(i, None if i % 50 == 0 else round(rng.expovariate(0.01), 3) - 50) for i in range(400)] + [(900, -1e6), (901, 1e6)]
+    rng_rows = [(i, (a := round(rng.uniform(-100, 600), 3)), a + round(rng.expovariate(0.02), 3)) for i in range(60)]
+    rng_rows += [(100, -1e9, 1e9), (101, 5.0, 5.0), (102, 9.0, 3.0), (103, None, 4.0), (104, 2e6, 3e6), (105, pts[1][1], pts[1][1] + 1e-9)]
+    p = spark.createDataFrame(pts, "pid int, v double").repartition(3)
+    r = spark.createDataFrame(rng_rows, "rid int, lo double, hi double")
+    got = rows(JN.range_join(p, "v", r, "lo", "hi", how=how, bins=8, bits=4).select("pid", "rid"))
+    met = [(i, k) for i, v in pts for k, lo, hi in rng_rows if v is not None and lo is not None and lo <= v < hi]
+    want = list(met)
+    if how in ("left", "outer"):
+        want += [(i, None) for i, _ in pts if i not in {a for a, _ in met}]
+    if how in ("right", "outer"):
+        want += [(None, k) for k, _, _ in rng_rows if k not in {b for _, b in met}]
+    assert got == sorted(want, key=repr)
+
+
+def test_a_range_over_everything_is_few_nodes(spark):
+    r = spark.createDataFrame([(1, 0.0, 1000.0)], "rid int, lo double, hi double")
+    cuts = [float(i) for i in range(0, 1001, 10)]
+    n = r.select(F.size(JN._cover(JN._leaf(F.col("lo"), cuts, 10), JN._leaf(F.col("hi"), cuts, 10), 17)).alias("n")).first()["n"]
+    assert n <= 34
