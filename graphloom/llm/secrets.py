@@ -136,21 +136,53 @@ def candidates(docs: DataFrame, rules: list[Rule], id_col: str, text_col: str) -
             .groupBy("_id").agg(F.collect_set("rule").alias("_rules")))
 
 
+BLOCK = 128     # items that are folded at a time
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(items: Column) -> Column:
+    """A bound array cut into arrays of ``BLOCK`` items."""
+    starts = F.sequence(F.lit(0), F.floor(F.size(items) / BLOCK).cast("int"))
+    return F.filter(F.transform(starts, lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK))), lambda x: F.size(x) > 0)
+
+
+def _running(values: Column, join, zero: Column) -> Column:
+    """What ``join`` (a sum or a maximum) makes of the integers before each
+    one of a bound array.
+
+    A fold copies the array that it builds at every step, so the values are
+    folded in blocks, and the blocks' totals on their own."""
+    none = F.array().cast("array<int>")
+
+    def fold(block: Column) -> Column:
+        start = F.struct(zero.alias("now"), none.alias("out"))
+        return F.aggregate(block, start, lambda acc, v: F.struct(join(acc["now"], v).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out")))
+
+    def placed(folded: Column) -> Column:
+        totals = fold(F.transform(folded, lambda f: f["now"]))["out"]
+        return F.flatten(F.zip_with(folded, totals, lambda f, s: F.transform(f["out"], lambda v: join(s, v))))
+
+    return _let(F.transform(_blocks(values), fold), placed)
+
+
 def _spans(text: Column, rule: Rule) -> Column:
     """Spans (start, end in code points) of a rule's leftmost non-overlapping matches that are long enough."""
     between = F.transform(F.split(text, rule.pattern, -1), lambda p: F.char_length(p))
     match = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), 0), lambda m: F.struct(
         F.char_length(m).alias("n"), (F.char_length(F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least).alias("ok")))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+    # The last gap has no match behind it.
+    pairs = F.filter(F.zip_with(between, match, lambda g, m: F.struct(g.alias("gap"), m["n"].alias("n"), m["ok"].alias("ok"))), lambda x: x["n"].isNotNull())
+
+    def placed(pairs: Column) -> Column:
+        ends = _let(F.transform(pairs, lambda x: x["gap"] + x["n"]), lambda v: _running(v, lambda a, b: a + b, F.lit(0)))
+        spans = F.zip_with(pairs, ends, lambda x, before: F.struct((before + x["gap"]).alias("start"), (before + x["gap"] + x["n"]).alias("end"), x["ok"].alias("ok")))
+        return F.transform(F.filter(spans, lambda x: x["ok"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        end = begin + x["m"]["n"]
-        return F.struct(end.alias("at"), F.when(x["m"]["ok"], F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end")))))
-                        .otherwise(acc["spans"]).alias("spans"))
-    pairs = F.zip_with(F.slice(between, 1, F.size(match)), match, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
+    return _let(pairs, placed)
 
 
 def _named(spans: Column, rank: int, kind: str) -> Column:
@@ -194,12 +226,18 @@ def redact(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_id", t
     spans by one); all rows and columns stay, a null text stays null."""
     d = scan(docs, rules, id_col, text_col)
     t = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        gap = F.substring(t, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-    rest = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.char_length(t))))
+    # What stands before each span that is not inside an earlier one: from the last end to its start.
+    ends = _let(F.transform("spans", lambda s: s["end"]), lambda v: _running(v, lambda a, b: F.greatest(a, b), F.lit(0)))
+    cuts = F.filter(F.zip_with("spans", ends, lambda s, e: F.struct(e.alias("from"), s["start"].alias("to"))), lambda x: x["to"] >= x["from"])
+
+    def pieces(block: Column) -> Column:
+        """The pieces of a block of cuts, out of the part of the text that it spans."""
+        at = F.element_at(block, 1)["from"]
+        return _let(F.substring(t, at + 1, F.element_at(block, -1)["to"] - at), lambda part: F.transform(
+            block, lambda x: F.substring(part, x["from"] - at + 1, x["to"] - x["from"])))
+
+    d = d.withColumn("_last", F.aggregate("spans", F.lit(0), lambda a, s: F.greatest(a, s["end"])))
+    kept = _let(cuts, lambda c: F.flatten(F.transform(_blocks(c), pieces)))
+    rest = F.concat(F.array_join(kept, mark), F.lit(mark), F.substring(t, F.col("_last") + 1, F.char_length(t)))
     body = F.when(F.size("spans") > 0, rest).otherwise(F.col("doc").getField(text_col))
     return d.select(F.col("doc").withField(text_col, body).alias("doc")).select("doc.*")

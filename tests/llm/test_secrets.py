@@ -52,3 +52,18 @@ def test_redact(docs, no_docs):
     same = lambda df: Counter((r.doc_id, r.text) for r in df.filter("doc_id is null or doc_id <> 12").collect())
     assert same(out) == same(docs)
     assert S.redact(no_docs).count() == 0 and S.scan_digests(no_docs).count() == 0
+
+
+def test_very_many_spans_take_time_in_proportion(spark):
+    import time
+    took = []
+    for n in (4_000, 32_000):
+        text = " ".join("AKIA" + f"{i:016d}" if i % 3 else "x token=abcdefgh12" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        t = time.time()
+        row = S.scan_digests(df).first()
+        took.append(time.time() - t)
+        spans = [tuple(x.split(":")) for x in row["spans"].split(",")]
+        assert len(spans) == n and all(text[int(a):int(b)].startswith("AKIA" if k == "access" else "token=") for k, a, b in spans)
+        assert S.redact(df).first()["text"] == re.sub(r"AKIA\d+|token=\w+", "[SECRET]", text)
+    assert took[1] < 8, took
