@@ -69,29 +69,68 @@ def _windows(h: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np
     return at, (run[at + size] - run[at]) * inv[at]
 
 
+PAIRS = 1 << 20     # window pairs held at a time
+
+
 def _longest(a, b, free_a, free_b, size) -> tuple[int, int, int] | None:
-    """The longest unmarked match of at least ``size`` words."""
+    """The longest unmarked match of at least ``size`` words.
+
+    Equal windows are paired a slice of the item at a time, about ``PAIRS``
+    pairs (or one window's) of them; matches that reach the end of a slice go
+    on in the next one, diagonal by diagonal."""
     at_a, ha = _windows(a, free_a, size)
     at_b, hb = _windows(b, free_b, size)
     if not len(at_a) or not len(at_b):
         return None
     order = np.argsort(hb, kind="stable")
     lo, hi = np.searchsorted(hb[order], ha, "left"), np.searchsorted(hb[order], ha, "right")
-    n = hi - lo
-    if not n.any():
-        return None
-    i = np.repeat(at_a, n)
-    j = at_b[order[np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)]]
-    # Hash matches of consecutive windows on one diagonal are one longer match.
-    by = np.lexsort((i, j - i))
-    i, j = i[by], j[by]
-    new = np.r_[True, (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)]
-    begin = np.flatnonzero(new)
-    length = np.diff(np.r_[begin, len(i)]) + size - 1
-    best = np.lexsort((j[begin], i[begin], -length))[0]
-    x, y, z = int(i[begin[best]]), int(j[begin[best]]), int(length[best])
-    same = a[x:x + z] == b[y:y + z]  # a window hash may lie; the words decide
-    return (x, y, z) if same.all() else None
+    some = hi > lo
+    at_a, lo, n = at_a[some], lo[some], (hi - lo)[some]
+    upto = np.cumsum(n)
+    best: tuple[int, int, int] | None = None
+    none = np.zeros(0, np.int64)
+    open_at, open_diag, open_begin = -1, none, none     # matches that reach window ``open_at``
+    k = 0
+    while k < len(at_a):
+        end = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + PAIRS, "right")))
+        m = n[k:end]
+        i = np.repeat(at_a[k:end], m)
+        j = at_b[order[np.arange(int(m.sum())) + np.repeat(lo[k:end] - (np.cumsum(m) - m), m)]]
+        # Hash matches of consecutive windows on one diagonal are one longer match.
+        by = np.lexsort((i, j - i))
+        i, j = i[by], j[by]
+        new = np.r_[True, (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)]
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:], len(i)] - 1
+        begin, diag = i[first].copy(), (j - i)[first]
+        if len(open_diag):
+            e = np.minimum(np.searchsorted(open_diag, diag), len(open_diag) - 1)
+            goes_on = (open_diag[e] == diag) & (begin == open_at + 1)
+            begin[goes_on] = open_begin[e[goes_on]]
+        best = _better(a, b, best, begin, begin + diag, i[last] - begin + size, size)
+        open_at = int(at_a[end - 1])
+        reach = i[last] == open_at
+        open_diag, open_begin = diag[reach], begin[reach]   # ascending, as runs are sorted by diagonal
+        k = end
+    return best
+
+
+def _better(a, b, best, x, y, length, size):
+    """The better of ``best`` and the longest of the matches; the words decide,
+    as a window hash may lie: then what is equal of that one match counts."""
+    rank = lambda m: (-m[2], m[0], m[1])
+    could = np.flatnonzero(length >= (best[2] if best else size))
+    for r in could[np.lexsort((y[could], x[could], -length[could]))]:
+        match = (int(x[r]), int(y[r]), int(length[r]))
+        if best and rank(match) >= rank(best):
+            break
+        same = np.r_[False, a[match[0]:match[0] + match[2]] == b[match[1]:match[1] + match[2]], False]
+        turns = np.flatnonzero(same[1:] != same[:-1])
+        for s, e in zip(turns[::2].tolist(), turns[1::2].tolist()):
+            part = (match[0] + s, match[1] + s, e - s)
+            if part[2] >= size and (best is None or rank(part) < rank(best)):
+                best = part
+    return best
 
 
 class Items:

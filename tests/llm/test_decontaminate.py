@@ -91,3 +91,23 @@ def test_empty(spark, docs, no_docs):
 def test_word_windows_do_not_cross_texts():
     items = D.Items([1], pa.array(["a b c d"]), 4, 0.5)
     assert items.found(pa.array(["a b", "c d", "a b c d"])) == [(2, 0, [(0, 0, 4)])]
+
+
+def test_repetitive_texts_in_bounded_memory(monkeypatch):
+    """Whatever the slices, the tiles are the same; a repetitive pair does not hold all its pairs."""
+    import tracemalloc
+    rnd = np.random.default_rng(3)
+    for _ in range(60):
+        a, b = (rnd.integers(0, 3, rnd.integers(1, 40)).astype(np.uint64) for _ in range(2))
+        monkeypatch.setattr(D, "PAIRS", 1 << 20)
+        whole = D.greedy_tiles(a, b, 3)
+        for pairs in (1, 7):
+            monkeypatch.setattr(D, "PAIRS", pairs)
+            assert D.greedy_tiles(a, b, 3) == whole
+    monkeypatch.setattr(D, "PAIRS", 1 << 18)
+    item, doc = np.zeros(1002, np.uint64), np.zeros(20_000, np.uint64)
+    tracemalloc.start()
+    tiles = D.greedy_tiles(item, doc, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tiles == [(0, 0, 1002)] and peak < 60e6
