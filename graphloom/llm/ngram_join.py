@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..sources import fs
 from . import textnp as T
-from .shared import bounded_batches, components, grown, scratch, written
+from .shared import bounded_batches, components, grown, scratch, tidy, written
 from .shingles import shingle_sets
 
 # Tag bits kept in the low byte of a signature key.
@@ -391,11 +391,14 @@ def linked_sets(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "d
     (src.select("text").mapInArrow(_signature_rows(k, bands, plan), "key long, node long")
                       .repartition(F.shiftright("key", TAG_BITS)).sortWithinPartitions("key", "node")
                       .mapInArrow(_shared_signatures, "gid long, tag short, node long").write.parquet(found))
+    tidy(spark)
     members = spark.read.schema("gid long, tag short, node long").parquet(found)
     # Weight of a set: the sizes of the subsets that it shares, so the text that others derive from leads.
     size = members.groupBy("gid").agg(F.count(F.lit(1)).alias("size"))
     weight = members.join(size, "gid").groupBy("node").agg(F.sum("size").alias("weight"))
     m = written(members.join(weight, "node"), "weighted")
+    del members, size, weight
+    tidy(spark)
     fs.delete(spark, found)
 
     need = m.select(F.col("node").alias("fa")).distinct()
@@ -404,6 +407,7 @@ def linked_sets(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "d
     items = written(src.alias("s").join(picks.alias("p"), same, "left_semi").select("text")
                     .mapInArrow(_sets_of(k), "fa long, fb long, n long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", items binary")
                     .dropDuplicates(["fa", "fb"]), "items")
+    tidy(spark)
 
     facts = ["n", *(f"s{i}" for i in range(SKETCH))]
     fact = lambda p: items.select(F.col("fa").alias(p), F.col("fb").alias(f"{p}b"), *[F.col(c).alias(f"{p}{c}") for c in facts])
@@ -413,7 +417,10 @@ def linked_sets(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "d
         """Links among candidate pairs (x, y), the whole sets compared."""
         likely = pairs.join(fact("x"), "x").join(fact("y"), "y").filter(_plausible(percent, "x", "y") & ((F.col("x") != F.col("y")) | (F.col("xb") < F.col("yb"))))
         both = likely.select("x", "xb", "y", "yb").join(body("x"), ["x", "xb"]).join(body("y"), ["y", "yb"])
-        return written(both.select("x", "xb", "xi", "y", "yb", "yi").mapInArrow(_verify(percent), "a string, b string"), "links")
+        out = written(both.select("x", "xb", "xi", "y", "yb", "yi").mapInArrow(_verify(percent), "a string, b string"), "links")
+        del likely, both
+        tidy(spark)
+        return out
 
     def star(rows: DataFrame, leads: DataFrame) -> DataFrame:
         """Every member of a subset against the heaviest of ``leads``, once for all subsets."""
@@ -432,7 +439,10 @@ def linked_sets(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "d
         r = rows.join(of, "node", "left").withColumn("root", F.coalesce("root", F.col("node").cast("string")))
         per = r.groupBy("gid").agg(F.max(F.struct("weight", "node", "root"))["root"].alias("main"), F.min("root").alias("r0"), F.max("root").alias("r1"))
         r = r.join(per.filter("r0 <> r1").select("gid", "main"), "gid")
-        return written(r.select("gid", "tag", "node", "weight", "root", (F.col("root") == F.col("main")).alias("main")), "unsettled")
+        out = written(r.select("gid", "tag", "node", "weight", "root", (F.col("root") == F.col("main")).alias("main")), "unsettled")
+        del of, r, per
+        tidy(spark)
+        return out
 
     rest = unsettled(m, roots)
     for _ in range(STARS):  # leaders of what is not linked to the first ones

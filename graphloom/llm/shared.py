@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,6 +25,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the driver collect garbage: Spark removes the shuffle files of
+    finished jobs once nothing refers to them, and only then."""
+    gc.collect()
+    try:
+        spark.sparkContext._jvm.System.gc()
+    except Exception:  # noqa: BLE001 - Spark Connect: the server cleans up by itself
+        pass
+
+
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """``df`` with its 0-based row number in ``order`` as column ``name``.
 
