@@ -9,8 +9,10 @@ them in; edge type filters are partition filters on a stored graph.
 
 Join strategy is left to Catalyst + AQE: a side that turns out small at run
 time is broadcast (bounded by ``spark.sql.autoBroadcastJoinThreshold``),
-otherwise both sides shuffle on the hop key. Write the pattern from its most
-selective end: the chain is joined in the given order.
+otherwise both sides shuffle on the hop key; on a bucketed graph
+(:func:`graphloom.sources.store.read_bucketed`) scans already lie by these keys,
+and a hop from scanned nodes, or to them, has no shuffle on that side. Where the
+chain begins is chosen from the stored statistics (:func:`choose_start`).
 """
 
 from __future__ import annotations
@@ -63,23 +65,27 @@ def node_frame(g: PropertyGraph, n: N, extra: list | None = None) -> DataFrame:
 
 
 def edge_frame(g: PropertyGraph, e: E, alias: str) -> DataFrame:
-    """Edges oriented for the hop: ``_near`` is the end at the previous node."""
-    df = g.edges
+    """Edges oriented for the hop: ``_near`` is the end at the previous node.
+    A graph stored by both ends is read from the copy that lies by ``_near``."""
     t = e.types()
-    if t is not None:
-        df = df.filter(F.col("type").isin(t))
-    if e.where is not None:
-        df = df.filter(e.where)
+
+    def fitting(df: DataFrame) -> DataFrame:
+        if t is not None:
+            df = df.filter(F.col("type").isin(t))
+        return df if e.where is None else df.filter(e.where)
+
+    df, by_dst = fitting(g.edges), fitting(g.meta["by_dst"]) if "by_dst" in g.meta else None
+    by_dst = df if by_dst is None else by_dst
     fields = ["ID", "src", "dst", "type"] + [p for p in e.props
                                              if p not in ("ID", "src", "dst", "type")]
     st = F.struct(*[F.col(_q(f)).alias(f) for f in fields]).alias(alias)
     if e.direction == "->":
         return df.select(F.col("src").alias("_near"), F.col("dst").alias("_far"), st)
     if e.direction == "<-":
-        return df.select(F.col("dst").alias("_near"), F.col("src").alias("_far"), st)
+        return by_dst.select(F.col("dst").alias("_near"), F.col("src").alias("_far"), st)
     # Undirected: both orientations, a self-loop only once.
     fwd = df.select(F.col("src").alias("_near"), F.col("dst").alias("_far"), st)
-    rev = (df.filter(F.col("src") != F.col("dst"))
+    rev = (by_dst.filter(F.col("src") != F.col("dst"))
              .select(F.col("dst").alias("_near"), F.col("src").alias("_far"), st))
     return fwd.unionByName(rev)
 
@@ -88,22 +94,64 @@ EDGE_KEY = ["ID", "src", "dst", "type"]
 _FLIP = {"->": "<-", "<-": "->", "-": "-"}
 
 
+def choose_start(g: PropertyGraph, pattern: list) -> int:
+    """The node of a pattern from which the join chain makes the fewest rows,
+    by the stored counts of labels, types and their distinct ends.
+
+    A node keeps its label's count, and a tenth of it under a predicate (as
+    planners assume without histograms); a hop multiplies by the type's mean
+    degree at the near end, and by the share of nodes that fit at the far end.
+    Without statistics: 0."""
+    stats = g.meta.get("stats")
+    if stats is None:
+        return 0
+    nodes, hops = pattern[0::2], pattern[1::2]
+    total = max(stats["nodes"], 1)
+
+    def fit(n: N) -> float:
+        return stats["labels"].get(n.label, 0) * (0.1 if n.where is not None else 1.0) if n.label is not None else total * (0.1 if n.where is not None else 1.0)
+
+    def degree(e: E, direction: str) -> float:
+        types = e.types() if e.types() is not None else list(stats["types"])
+        n = {d: sum(stats["types"].get(t, (0, 1, 1))[0] / max(stats["types"].get(t, (0, 1, 1))[k], 1) for t in types) for k, d in ((1, "->"), (2, "<-"))}
+        return (n["->"] + n["<-"] if direction == "-" else n[direction]) * (0.1 if e.where is not None else 1.0)
+
+    def share(n: N) -> float:
+        """Of the nodes that such hops reach, those that fit: labels are taken to follow the type."""
+        return 0.1 if n.where is not None else 1.0
+
+    def cost(start: int) -> float:
+        rows = fit(nodes[start])
+        made = rows
+        for i in range(start, len(hops)):
+            rows *= degree(hops[i], hops[i].direction) * share(nodes[i + 1])
+            made += rows
+        for i in range(start, 0, -1):
+            rows *= degree(hops[i - 1], _FLIP[hops[i - 1].direction]) * share(nodes[i - 1])
+            made += rows
+        return made
+
+    return min(range(len(nodes)), key=lambda i: (cost(i), i))
+
+
 def match(g: PropertyGraph, pattern: list, where: Column | None = None,
-          unique_edges: bool = True, keep_anonymous: bool = False, start: int | str = 0) -> DataFrame:
+          unique_edges: bool = True, keep_anonymous: bool = False, start: int | str | None = None) -> DataFrame:
     """Run a linear pattern; one row per match (path).
 
     An edge occurs at most once in a match; its identity is (src, dst, type,
     ID). A node whose alias starts with ``_`` and that has no label, predicate
     or property is anonymous: only its ``NODE`` is there, without a join.
 
-    ``start`` (node position or alias) is where the join chain begins: put
-    it on the most selective node (label + predicate) and the chain extends
-    to the right end, then to the left end, so every join brings in one hop
-    next to already-matched rows. The result is the same for any start.
+    ``start`` (node position or alias) is where the join chain begins; it
+    extends to the right end, then to the left end, so every join brings in one
+    hop next to already-matched rows. The result is the same for any start; by
+    default the statistics of the graph choose it (:func:`choose_start`).
     """
     if not pattern or not isinstance(pattern[0], N) or len(pattern) % 2 == 0:
         raise ValueError("pattern must alternate N, E, N, ... and start/end with N")
     nodes = pattern[0::2]
+    if start is None:
+        start = choose_start(g, pattern)
     if isinstance(start, str):
         start = [n.alias for n in nodes].index(start)
     if not 0 <= start < len(nodes):
@@ -116,13 +164,15 @@ def match(g: PropertyGraph, pattern: list, where: Column | None = None,
     for i in range(start, 0, -1):
         e = pattern[2 * i - 1]
         hops.append((nodes[i], e, _FLIP[e.direction], nodes[i - 1], f"_e{i - 1}"))
-    cur = node_frame(g, nodes[start]).drop("_nk")
+    # Keys stay plain columns beside the structs: a scan's partitioning is known by them.
+    at = {n.alias: f"_k{i}" for i, n in enumerate(nodes)}
+    cur = node_frame(g, nodes[start]).withColumnRenamed("_nk", at[nodes[start].alias])
     edge_aliases: list[tuple[str, E]] = []
     for anchor, e, direction, n, auto in hops:
         ea = e.alias or auto
         oriented = E(e.alias, e.type, direction, e.where, e.props)
         ed = edge_frame(g, oriented, ea)
-        cur = cur.join(ed, F.col(f"{anchor.alias}.NODE") == F.col("_near")).drop("_near")
+        cur = cur.join(ed, F.col(at[anchor.alias]) == F.col("_near")).drop("_near")
         # Relationship uniqueness (an edge at most once per match) between
         # hops whose type sets can overlap.
         if unique_edges:
@@ -134,10 +184,11 @@ def match(g: PropertyGraph, pattern: list, where: Column | None = None,
         edge_aliases.append((ea, e))
         if n.alias.startswith("_") and n.label is None and n.where is None and not n.props:
             # An anonymous node is only its id: edges end at nodes, no join is needed.
-            cur = cur.withColumn(n.alias, F.struct(F.col("_far").alias("NODE"))).drop("_far")
+            cur = cur.withColumn(n.alias, F.struct(F.col("_far").alias("NODE"))).withColumnRenamed("_far", at[n.alias])
             continue
         nd = node_frame(g, n)
-        cur = cur.join(nd, F.col("_far") == F.col("_nk")).drop("_far", "_nk")
+        cur = cur.join(nd, F.col("_far") == F.col("_nk")).drop("_far").withColumnRenamed("_nk", at[n.alias])
+    cur = cur.drop(*at.values())
     if where is not None:
         cur = cur.filter(where)
     if not keep_anonymous:

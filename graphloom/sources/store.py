@@ -19,6 +19,7 @@ next reader.
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,7 +37,7 @@ def table_path(root: str, graph: str, kind: str) -> str:
     return os.path.join(root, f"{key}_{kind}")
 
 
-KINDS = ("nodes", "edges", "label_keys", "files", "fence")
+KINDS = ("nodes", "edges", "label_keys", "files", "fence", "stats")
 FENCE = 4096
 
 
@@ -123,7 +124,18 @@ def write_graph(spark: SparkSession, g: PropertyGraph, root: str, graph: str,
 def _finish(spark: SparkSession, stage: str, edges: DataFrame, ontology: DataFrame | None) -> None:
     from ..operators.ingest import materialize_label_keys
     _write_edges(edges, os.path.join(stage, "edges"))
-    materialize_label_keys(spark.read.parquet(os.path.join(stage, "nodes")), ontology).write.mode("overwrite").parquet(os.path.join(stage, "label_keys"))
+    nodes = spark.read.parquet(os.path.join(stage, "nodes"))
+    materialize_label_keys(nodes, ontology).write.mode("overwrite").parquet(os.path.join(stage, "label_keys"))
+    # Statistics: a row per label and per type.
+    none = F.lit(None).cast("long")
+    labels = nodes.select(F.explode(F.array_distinct("labels")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    types = spark.read.parquet(os.path.join(stage, "edges")).groupBy(F.col("type").alias("name")).agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("src_idx").alias("n_src"), F.approx_count_distinct("dst_idx").alias("n_dst"))
+    whole = spark.read.parquet(os.path.join(stage, "files")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    (labels.select(F.lit("label").alias("kind"), "name", "n", none.alias("n_src"), none.alias("n_dst"))
+     .unionByName(types.select(F.lit("type").alias("kind"), "name", "n", "n_src", "n_dst"))
+     .unionByName(whole.select(F.lit("nodes").alias("kind"), none.cast("string").alias("name"), "n", none.alias("n_src"), none.alias("n_dst")))
+     .coalesce(1).write.mode("overwrite").parquet(os.path.join(stage, "stats")))
 
 
 def _write_edges(edges: DataFrame, path: str) -> None:
@@ -184,7 +196,63 @@ def read_graph(spark: SparkSession, root: str, graph: str) -> PropertyGraph:
     edges = spark.read.parquet(table_path(root, graph, "edges"))
     front = ["ID", "src", "dst", "type"]
     edges = edges.select(*front, *[c for c in edges.columns if c not in (*front, "src_idx", "dst_idx")])
-    return PropertyGraph(nodes, edges, name=graph, meta={"store": (root, graph)})
+    return PropertyGraph(nodes, edges, name=graph, meta={"store": (root, graph), "stats": _statistics(spark, root, graph)})
+
+
+def _statistics(spark: SparkSession, root: str, graph: str) -> dict | None:
+    """Stored counts: a row per label and type comes to the driver, when the graph is read."""
+    path = table_path(root, graph, "stats")
+    if not fs.exists(spark, path):
+        return None
+    out: dict = {"nodes": 0, "labels": {}, "types": {}}
+    for r in spark.read.parquet(path).collect():
+        if r["kind"] == "nodes":
+            out["nodes"] = r["n"]
+        elif r["kind"] == "label":
+            out["labels"][r["name"]] = r["n"]
+        else:
+            out["types"][r["name"]] = (r["n"], r["n_src"], r["n_dst"])
+    return out
+
+
+BUCKETED = {"nodes": "NODE", "by_src": "src", "by_dst": "dst"}
+
+
+def write_bucketed(spark: SparkSession, root: str, graph: str, buckets: int, wide: DataFrame | None = None, wide_key: str = "NODE") -> None:
+    """Copies of a stored graph that lie by the join keys: nodes by NODE,
+    edges by src and by dst, and ``wide`` (an attribute table) by its key, all
+    in ``buckets`` buckets, sorted. Choose buckets of some 100 MB."""
+    g = read_graph(spark, root, graph)
+    frames = {"nodes": g.nodes, "by_src": g.edges, "by_dst": g.edges} | ({"wide": wide} if wide is not None else {})
+    for kind, df in frames.items():
+        key = BUCKETED.get(kind, wide_key)
+        table = _bucket_table(graph, kind)
+        path = table_path(root, graph, f"b_{kind}")
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        fs.delete(spark, path)
+        # One task per bucket writes one file per bucket.
+        (df.repartition(buckets, F.col(f"`{key}`")).write.bucketBy(buckets, key).sortBy(key)
+         .option("path", path).format("parquet").saveAsTable(table))
+
+
+def _bucket_table(graph: str, kind: str) -> str:
+    return "gl_" + re.sub(r"\W", "_", graph.rsplit(".", 1)[-1]) + f"_{kind}"
+
+
+def read_bucketed(spark: SparkSession, root: str, graph: str, buckets: int, wide_key: str = "NODE") -> tuple[PropertyGraph, DataFrame | None]:
+    """The bucketed copies as a graph (and the bucketed wide table, if there
+    is one); a session that did not write them declares the tables first."""
+    found = {}
+    for kind, key in {**BUCKETED, "wide": wide_key}.items():
+        path, table = table_path(root, graph, f"b_{kind}"), _bucket_table(graph, kind)
+        if not fs.exists(spark, path):
+            continue
+        if not spark.catalog.tableExists(table):
+            cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+            spark.sql(f"CREATE TABLE {table} ({cols}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+        found[kind] = spark.table(table)
+    meta = {"by_dst": found["by_dst"], "stats": _statistics(spark, root, graph)}
+    return PropertyGraph(found["nodes"], found["by_src"], name=graph, meta=meta), found.get("wide")
 
 
 def list_graphs(spark: SparkSession, root: str) -> list[str]:

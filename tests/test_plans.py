@@ -7,7 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_SMALL, rows
 
 BAD = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
@@ -84,3 +84,62 @@ def test_match_scans_the_stored_graph_once(spark):
     df = E.queries()["match_path"](spark, SF_SMALL)
     plan = _plan(df)
     assert plan.count("tpch-") == plan.count("Scan parquet") == 7, plan  # four nodes, three edge types
+
+
+def _stored(spark):
+    from graphloom.graph import PropertyGraph
+    from graphloom.session import scratch_path
+    from graphloom.sources import store
+    root = scratch_path(spark, "store")
+    n = spark.range(4000).select(F.concat(F.lit("v"), F.col("id")).alias("NODE"), F.when(F.col("id") % 100 == 0, "Rare").otherwise("Common").alias("LABEL"), F.col("id").alias("x"))
+    n = n.withColumn("labels", F.array("LABEL"))
+    e = spark.range(9000).select(F.concat(F.lit("e"), F.col("id")).alias("ID"), F.concat(F.lit("v"), F.col("id") * 7 % 4000).alias("src"),
+                                 F.concat(F.lit("v"), (F.col("id") * 3 + 1) % 4000).alias("dst"), F.when(F.floor(F.col("id") / 2) % 2 == 0, "T").otherwise("U").alias("type"))
+    store.write_graph(spark, PropertyGraph(n, e), root, "g")
+    return store, root
+
+
+def test_bucketed_hops_and_hydration_have_no_exchange(spark):
+    from graphloom.operators.hydrate import hydrate
+    from graphloom.operators.match import E, N, match
+    store, root = _stored(spark)
+    wide = spark.range(4000).select(F.concat(F.lit("v"), F.col("id")).alias("NODE"), (F.col("id") * 2).alias("w"))
+    store.write_bucketed(spark, root, "g", 4, wide=wide)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain = store.read_graph(spark, root, "g")
+        spark.sql("DROP TABLE gl_g_by_src")        # as in a session that did not write it
+        g, w = store.read_bucketed(spark, root, "g", 4)
+        for direction in ("->", "<-"):
+            pattern = [N("a", "Common"), E("e", type="T", direction=direction), N("_b")]
+            got = match(g, pattern, start=0)
+            assert rows(got.select("a.NODE", "e.ID")) == rows(match(plain, pattern).select("a.NODE", "e.ID"))
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
+        j = g.nodes.select("NODE", "x").join(w, "NODE")
+        assert "Exchange" not in j._jdf.queryExecution().executedPlan().toString()
+        two = match(g, [N("a", "Rare"), E(type="T"), N("b", "Common")], start=0)
+        assert two._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1     # the rows that move to the far node
+        assert hydrate(got.select("a.NODE"), w, "NODE").count() == got.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
+
+
+def test_statistics_choose_the_start(spark):
+    from graphloom.operators.match import E, N, choose_start, match
+    store, root = _stored(spark)
+    g = store.read_graph(spark, root, "g")
+    assert g.meta["stats"]["labels"] == {"Rare": 40, "Common": 3960} and g.meta["stats"]["nodes"] == 4000
+    assert g.meta["stats"]["types"]["T"][0] == 4500
+    left = [N("r", "Rare"), E("e", type="T"), N("c", "Common"), E("f", type="U"), N("d", "Common")]
+    right = [N("d", "Common"), E("f", type="U", direction="<-"), N("c", "Common"), E("e", type="T", direction="<-"), N("r", "Rare")]
+    assert choose_start(g, left) == 0 and choose_start(g, right) == 2
+    assert choose_start(g, [N("a", "Common"), E(), N("b", "Common", F.col("x") == 7), E(), N("c", "Common")]) == 1
+    cols = ["r.NODE", "e.ID", "c.NODE", "f.ID", "d.NODE"]
+    a, b = match(g, left), match(g, right)
+    flat = lambda df: sorted(tuple(r) for r in df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)]).collect())
+    assert flat(a) == flat(b) == flat(match(g, right, start=0)) and flat(a)
+    # The chain begins at the rare nodes: theirs is the innermost scan of the plan.
+    plan = b._jdf.queryExecution().optimizedPlan().toString()
+    deepest = max((x for x in plan.split("\n") if "array_contains" in x), key=lambda x: len(x) - len(x.lstrip(" :")))
+    assert "Rare" in deepest
