@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,10 +28,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def tidy(spark: SparkSession) -> None:
     """Have the driver collect garbage: Spark removes the shuffle files of
-    finished jobs once nothing refers to them, and only then."""
+    finished jobs once nothing refers to them, and only then. The plan of the
+    last job goes in a second round."""
     gc.collect()
     try:
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
     except Exception:  # noqa: BLE001 - Spark Connect: the server cleans up by itself
         pass
 
