@@ -62,17 +62,14 @@ def place(loads: list[tuple[int, int, int]], shards: int, cells: int = CELLS, vi
     return out
 
 
-def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS,
-               virtual_nodes: int = VIRTUAL_NODES, spare: float = SPARE) -> DataFrame:
-    """One row per document: id, size (UTF-8 bytes of the text plus 1; a
-    null text has none), text_crc32, shard and slot (gapless from 0 in each
-    shard). Repeated rows are placed each; other columns are not read; an
-    empty table gives no rows."""
+def _placed(docs: DataFrame, shards: int, id_col: str, text_col: str, cells: int, virtual_nodes: int, spare: float, carry: bool):
+    """(rows with their cell and part, where each (cell, part) goes). With
+    ``carry`` the rows hold the whole documents (``doc``)."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"),
                        F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(id_col, body).alias("h"),
-                       F.monotonically_increasing_id().alias("n"))
+                       F.monotonically_increasing_id().alias("n"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []))
     rows = written(rows.withColumn("cell", F.shiftrightunsigned("h", 64 - int(math.log2(cells))).cast("int")), "rows")
     # A bounded table: at most ``cells`` rows.
     by_cell = {r["cell"]: (r["b"], r["c"]) for r in rows.groupBy("cell").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("c")).collect()}
@@ -91,7 +88,16 @@ def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_c
     for (cell, p), s in sorted(shard_of.items()):
         table.append((cell, p, s, first[s]))
         first[s] += counts[cell, p]
-    placed = spark.createDataFrame(table, "cell int, part int, shard int, first long")
+    return rows, spark.createDataFrame(table, "cell int, part int, shard int, first long")
+
+
+def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS,
+               virtual_nodes: int = VIRTUAL_NODES, spare: float = SPARE) -> DataFrame:
+    """One row per document: id, size (UTF-8 bytes of the text plus 1; a
+    null text has none), text_crc32, shard and slot (gapless from 0 in each
+    shard). Repeated rows are placed each; other columns are not read; an
+    empty table gives no rows."""
+    rows, placed = _placed(docs, shards, id_col, text_col, cells, virtual_nodes, spare, carry=False)
     order = Window.partitionBy("cell", "part").orderBy("h", "doc_id", "text_crc32", "n")
     return (rows.withColumn("i", F.row_number().over(order) - 1).join(F.broadcast(placed), ["cell", "part"])
             .select(F.col("doc_id").alias(id_col), "size", "text_crc32", "shard", (F.col("first") + F.col("i")).alias("slot")))
@@ -100,11 +106,9 @@ def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_c
 def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the documents to ``path`` as Parquet, a folder ``shard=k`` per shard.
 
-    Rows are matched by id and text hash, so rows with equal id and text all
-    go where the first of them goes."""
-    where = shard_rows(docs, shards, id_col, text_col).withColumnRenamed(id_col, "_i")
-    where = where.groupBy("_i", F.col("text_crc32").alias("_c"), F.col("size").alias("_s")).agg(F.min("shard").alias("shard"))
-    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.drop("shard").withColumns({"_k": F.crc32(body.cast("binary")), "_z": F.octet_length(body).cast("long") + 1})
-    out = keyed.join(where, keyed[id_col].eqNullSafe(where["_i"]) & (keyed["_k"] == where["_c"]) & (keyed["_z"] == where["_s"]))
-    out.drop("_i", "_c", "_s", "_k", "_z").write.partitionBy("shard").parquet(path)
+    Every row goes where its own cell and part go, so equal rows spread as the
+    plan spreads them and the folders are as even as the plan. A column named
+    ``shard`` gives way to the folder's; null texts and ids are rows like
+    others; an empty table writes no folder."""
+    rows, placed = _placed(docs.drop("shard"), shards, id_col, text_col, CELLS, VIRTUAL_NODES, SPARE, carry=True)
+    rows.join(F.broadcast(placed), ["cell", "part"]).select("doc.*", "shard").write.partitionBy("shard").parquet(path)

@@ -72,3 +72,17 @@ def test_written_shards(spark, docs):
     S.write_shards(docs, path, 4)
     back = spark.read.parquet(path)
     assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter(r[:2] for r in ROWS)
+
+
+def test_written_folders_are_as_even_as_the_plan(spark):
+    rows = [(7, "same text again")] * 1000 + [(i, f"text number {i} " + "x" * (i % 20)) for i in range(2000)] + [(None, None)]
+    df = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, shard string").repartition(6)
+    path = scratch(spark, "shards")
+    S.write_shards(df, path, 16)
+    got = spark.read.parquet(path).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    size = Counter()
+    for r in got:
+        size[r.shard] += len((r.text or "").encode()) + 1
+    plan = loads(S.shard_rows(df, 16).collect(), 16)
+    assert max(size.values()) <= 1.03 * sum(plan) / 16 and min(size.values()) >= 0.97 * sum(plan) / 16
