@@ -9,10 +9,12 @@ from ..functions.types import decimals_to_double
 from ..operators import build as B
 from ..operators import hydrate as H
 from ..operators import match as M
+from ..operators import name_index as NI
 from ..operators import ontology as O
 from ..operators.match import E, N
 from ..operators.paths import count_paths
 from ..sources import files as S
+from ..sources import fs, store
 from .registry import query
 from .tpch import edge_specs, node_specs, read, tpch_graph, tpch_ontology, with_graph
 
@@ -387,8 +389,10 @@ SELECT NODE, name FROM nodes WHERE list_contains(labels, 'nation')
   AND contains(lower(coalesce(name, NODE)), lower('Nation_1'))
 """))
 def q_match_name_loose(spark, sf):
-    g = tpch_graph(spark, sf)
-    return M.match_nodes(g, "nation", where=M.name_matches("Nation_1"), props=["name"]).drop("LABEL")
+    root, graph = tpch_graph(spark, sf).meta["store"]
+    if not fs.exists(spark, store.table_path(root, graph, store.NAMES)):
+        NI.write_names(spark, root, graph)
+    return NI.find_names(spark, root, graph, "Nation_1", "nation", ["name"]).drop("LABEL")
 
 
 @query("match_not_exists", with_graph("""

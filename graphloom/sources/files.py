@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import SAFE_TABLE_PATTERN
+from . import fs
 
 # File extension -> reader format.
 FORMATS = {
@@ -29,15 +30,19 @@ def detect_format(path: str, default: str = "parquet") -> str:
     return default
 
 
-def resolve(path: str, data_dir: str | None = None) -> str:
-    """A bare name resolves against a data directory and gets ``.parquet``."""
+def resolve(path: str, data_dir: str | None = None, spark: SparkSession | None = None) -> str:
+    """A bare name resolves against a data directory and gets ``.parquet``.
+
+    What is there is asked of the session's file system (``spark``), so names
+    on shared storage resolve as well; the data directory may be any URI."""
     if data_dir and not os.path.isabs(path) and "://" not in path:
         path = os.path.join(data_dir, path)
     base = path.split("?", 1)[0]
-    if "://" not in base and "." not in os.path.basename(base.rstrip("/")) and not os.path.isdir(base):
-        if os.path.exists(base + ".parquet"):
-            return base + ".parquet"
-    return base
+    if "." in os.path.basename(base.rstrip("/")):
+        return base
+    spark = spark or SparkSession.getActiveSession()
+    there = (lambda p: fs.exists(spark, p)) if spark is not None else os.path.exists
+    return base + ".parquet" if not there(base) and there(base + ".parquet") else base
 
 
 def scan(spark: SparkSession, path: str, fmt: str | None = None,
@@ -47,7 +52,7 @@ def scan(spark: SparkSession, path: str, fmt: str | None = None,
     CSV and JSON schemas are inferred (one sampling pass); production jobs
     should pass a schema to skip it.
     """
-    path = resolve(path, data_dir)
+    path = resolve(path, data_dir, spark)
     fmt = fmt or detect_format(path)
     r = spark.read
     if fmt == "csv":
@@ -70,17 +75,17 @@ def register_tables(spark: SparkSession, tables: dict, data_dir: str | None = No
         df = scan(spark, path, data_dir=data_dir)
         if "." in name:
             db, tbl = name.rsplit(".", 1)
-            fmt = detect_format(resolve(path, data_dir))
+            fmt = detect_format(resolve(path, data_dir, spark))
             # The database directory goes under the shared checkpoint folder,
             # never into the driver's working directory.
             from ..session import ensure_checkpoint_dir
             loc = os.path.join(ensure_checkpoint_dir(spark), "catalog", f"{db}.db").replace("'", "\\'")
             spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}` LOCATION '{loc}'")
             if fmt == "parquet":
-                p = resolve(path, data_dir).replace("`", "``")
+                p = resolve(path, data_dir, spark).replace("`", "``")
                 spark.sql(f"CREATE OR REPLACE VIEW `{db}`.`{tbl}` AS SELECT * FROM parquet.`{p}`")
             else:
-                p = resolve(path, data_dir).replace("'", "\\'")
+                p = resolve(path, data_dir, spark).replace("'", "\\'")
                 opts = "header 'true', inferSchema 'true'" if fmt == "csv" else "multiLine 'false'"
                 spark.sql(f"DROP TABLE IF EXISTS `{db}`.`{tbl}`")
                 spark.sql(f"CREATE TABLE `{db}`.`{tbl}` USING {fmt} OPTIONS (path '{p}', {opts})")
@@ -121,8 +126,7 @@ def preview_tables(spark: SparkSession, sources: dict, n: int = 25) -> DataFrame
     column (deterministic); missing sources are skipped. Columns tbl, key."""
     out = None
     for name, path in sources.items():
-        p = resolve(path)
-        from . import fs
+        p = resolve(path, spark=spark)
         if not fs.exists(spark, p):
             continue
         df = scan(spark, p)

@@ -39,6 +39,7 @@ def table_path(root: str, graph: str, kind: str) -> str:
 
 KINDS = ("nodes", "edges", "label_keys", "files", "fence", "stats")
 FENCE = 4096
+NAMES = "names"
 
 
 def _staged(root: str, graph: str, state: str) -> str:
@@ -64,6 +65,7 @@ def _settle(spark: SparkSession, root: str, graph: str) -> None:
     ready = _staged(root, graph, "ready")
     if not fs.exists(spark, ready):
         return
+    fs.delete(spark, table_path(root, graph, NAMES))     # an index of the names that were there
     for kind in KINDS:
         if fs.exists(spark, os.path.join(ready, kind)):
             fs.delete(spark, table_path(root, graph, kind))
@@ -100,7 +102,14 @@ def numbered_nodes(spark: SparkSession, root: str, graph: str) -> DataFrame:
 
 def numbered_edges(spark: SparkSession, root: str, graph: str) -> DataFrame:
     """The stored edges with ``src_idx`` and ``dst_idx`` (null where an end is no node)."""
-    return spark.read.parquet(table_path(root, graph, "edges"))
+    return _edges(spark, table_path(root, graph, "edges"))
+
+
+def _edges(spark: SparkSession, path: str) -> DataFrame:
+    """Edges without a row have no folder of any type, so no file that tells the schema."""
+    if fs.exists(spark, path) and not any(n.startswith("type=") for n in fs.list_names(spark, path)):
+        return spark.createDataFrame([], "ID string, src string, dst string, src_idx long, dst_idx long, type string")
+    return spark.read.parquet(path)
 
 
 def fence(spark: SparkSession, root: str, graph: str) -> DataFrame:
@@ -129,7 +138,7 @@ def _finish(spark: SparkSession, stage: str, edges: DataFrame, ontology: DataFra
     # Statistics: a row per label and per type.
     none = F.lit(None).cast("long")
     labels = nodes.select(F.explode(F.array_distinct("labels")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    types = spark.read.parquet(os.path.join(stage, "edges")).groupBy(F.col("type").alias("name")).agg(
+    types = _edges(spark, os.path.join(stage, "edges")).groupBy(F.col("type").alias("name")).agg(
         F.count(F.lit(1)).alias("n"), F.approx_count_distinct("src_idx").alias("n_src"), F.approx_count_distinct("dst_idx").alias("n_dst"))
     whole = spark.read.parquet(os.path.join(stage, "files")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     (labels.select(F.lit("label").alias("kind"), "name", "n", none.alias("n_src"), none.alias("n_dst"))
@@ -193,7 +202,7 @@ def read_graph(spark: SparkSession, root: str, graph: str) -> PropertyGraph:
     if not fs.exists(spark, path) and fs.exists(spark, path + _NEW):
         path += _NEW  # a promotion was interrupted after its last write
     nodes = spark.read.parquet(path)
-    edges = spark.read.parquet(table_path(root, graph, "edges"))
+    edges = _edges(spark, table_path(root, graph, "edges"))
     front = ["ID", "src", "dst", "type"]
     edges = edges.select(*front, *[c for c in edges.columns if c not in (*front, "src_idx", "dst_idx")])
     return PropertyGraph(nodes, edges, name=graph, meta={"store": (root, graph), "stats": _statistics(spark, root, graph)})
@@ -273,7 +282,7 @@ def delete_graph(spark: SparkSession, root: str, graph: str, metadata: dict | No
     remaining frames are returned (I15)."""
     for state in ("new", "ready"):
         fs.delete(spark, _staged(root, graph, state))
-    for kind in KINDS:
+    for kind in (*KINDS, NAMES, *(f"b_{k}" for k in (*BUCKETED, "wide"))):
         fs.delete(spark, table_path(root, graph, kind))
     if metadata is not None:
         from ..operators.ledger import clear_metadata

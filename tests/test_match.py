@@ -1,5 +1,7 @@
 """Pattern matching (D1-D17) on a tiny graph."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from graphloom.graph import PropertyGraph
@@ -78,3 +80,25 @@ def test_start_hop_same_result(spark):
     base = rows(M.match(g, pat).select("a.NODE", "b.NODE", "c.NODE", "r1.ID", "r2.ID"))
     for s in (1, 2, "c"):
         assert rows(M.match(g, pat, start=s).select("a.NODE", "b.NODE", "c.NODE", "r1.ID", "r2.ID")) == base
+
+
+def test_name_index_equals_the_scan(spark):
+    import random
+    from graphloom.graph import PropertyGraph
+    from graphloom.operators import name_index as NI
+    from graphloom.operators.match import name_matches
+    from graphloom.session import scratch_path
+    from graphloom.sources import store
+    rng = random.Random(6)
+    nodes = [(f"N{i}", "P", ["P"] if i % 2 else ["Q"], rng.choice([None, "", "Äbc", "".join(rng.choices("aAbBc ", k=rng.randrange(12)))])) for i in range(400)]
+    n = spark.createDataFrame(nodes, "NODE string, LABEL string, labels array<string>, name string")
+    root = scratch_path(spark, "names")
+    store.write_graph(spark, PropertyGraph(n, spark.createDataFrame([], "ID string, src string, dst string, type string")), root, "g")
+    NI.write_names(spark, root, "g")
+    for q in ("abc", "ABCA", "a b", "bb", "", "äb", "äBC", "n12", "aaaa", "zzz"):
+        got = NI.find_names(spark, root, "g", q, props=["name"])
+        assert rows(got, "NODE", "name") == rows(n.filter(name_matches(q)), "NODE", "name"), q
+    plan = NI.find_names(spark, root, "g", "abca", "P")._jdf.queryExecution().executedPlan().toString()
+    assert "In(gram, [abc,bca])" in plan
+    store.write_graph(spark, store.read_graph(spark, root, "g"), root, "g")      # rebuilt: no stale index
+    assert not os.path.exists(store.table_path(root, "g", store.NAMES)) and NI.find_names(spark, root, "g", "abc").count() > 0
