@@ -217,7 +217,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
 
     Null or wordless texts and items give no row; repeated documents give
     their rows each; repeated items count once; an item shorter than
-    ``min_match`` words must stand whole; an empty table gives no rows."""
+    ``min_match`` words must stand whole; an empty table gives no rows; other
+    columns, whatever their names, are not read."""
     spark = docs.sparkSession
     bounded_batches(spark)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -251,7 +252,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE,
                       text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
                       block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` without the rows that any benchmark item leaked into."""
+    """``docs`` without the rows that any benchmark item leaked into.
+
+    Null or wordless texts and repeated rows stay as they are, all columns stay
+    (none is added, so no name can clash); an empty benchmark drops nothing, an
+    empty table stays empty."""
     spark, at = docs.sparkSession, docs.columns.index(text_col)
     bounded_batches(spark)
     for items in _blocks(benchmark, item_col, item_text, min_match, coverage, block_bytes):

@@ -327,7 +327,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, net: ByteGRU, min_score: float = 0.4, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose language is ``und`` or scores below ``min_score``."""
+    """``docs`` without the rows whose language is ``und`` or scores below ``min_score``.
+
+    Null texts and texts without a letter go, a network without languages keeps
+    nothing; repeated rows are judged each; all columns stay (none is added, so
+    no name can clash); an empty table stays empty."""
     bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 

@@ -212,7 +212,10 @@ def _said(spans: Column) -> Column:
 
 def scan_digests(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_<kind> of each base rule, base_sha256 (of
-    the base spans as kind:start:end, by start, then kind) and spans (all)."""
+    the base spans as kind:start:end, by start, then kind) and spans (all).
+
+    A null text is empty and has no span; repeated rows and null ids keep their
+    rows; other columns are not read; an empty table gives no rows."""
     d = scan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rules)
     base = [i for i, r in enumerate(rules) if r.base]
     count = lambda i: F.size(F.filter("spans", lambda s: s["rank"] == i)).cast("long").alias(f"n_{rules[i].kind}")

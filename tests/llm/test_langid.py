@@ -71,3 +71,25 @@ def test_cached_words_score_as_fresh_ones():
     assert np.allclose(one.documents(raw, np.array([0, 9, len(raw)])), first)
     spans = L.position_labels(net, "ab  cd")
     assert all(a < b for a, b, _ in spans) and {p for a, b, _ in spans for p in range(a, b)} == {0, 1, 4, 5}
+
+
+def test_prediction_against_a_plain_model(spark, docs):
+    """Every whole text, word by word, position by position, pooled in plain Python."""
+    import re
+    net = L.fit(corpus(spark, 120), steps=60)
+    texts = [(i, r.text) for i, r in enumerate(docs.select("text").collect())]      # ids of their own: some rows share one
+    own = spark.createDataFrame(texts, "doc_id long, text string")
+    for r in L.predict(own, net).join(own, "doc_id").collect():
+        total, n = np.zeros(len(net.langs)), 0
+        for w in re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode()):
+            for i in range(0, len(w), L.PIECE_BYTES):
+                piece = np.frombuffer(w[i:i + L.PIECE_BYTES], np.uint8)
+                total += net.log_probs(piece[None])[0].sum(0)
+                n += len(piece)
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        p = np.exp(total / n - (total / n).max())
+        p /= p.sum()
+        top = np.sort(p)[-2:]
+        assert abs(r.score - p.max()) < 1e-4 and (r.lang_pred == net.langs[int(p.argmax())] or top[1] - top[0] < 1e-4)

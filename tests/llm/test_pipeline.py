@@ -90,3 +90,10 @@ def test_stages_keep_the_columns(spark):
     for _, stage in P.STAGES[:-1]:
         out = stage(spark, docs.limit(20), SF)
         assert out.columns == docs.columns and out.dtypes == docs.dtypes
+
+
+def test_empty_table(spark, tmp_path):
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = P.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and out.count() == 0
