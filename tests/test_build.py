@@ -75,3 +75,39 @@ def test_creation_ledger_latest_and_bad_json(spark):
     out = {(x["engine"]): x for x in B.creation_ledger_latest(r, "g").collect()}
     assert out["duckdb"]["statement"] == "s2" and out["duckdb"]["spec"] is None
     assert out["engine_b"]["statement"] == "s3"
+
+
+def _shop(spark):
+    nodes = [B.NodeSpec(spark.range(40).select(F.concat(F.lit("a"), "id").alias("id"), F.col("id").alias("x")), id="id", label="A", properties=["x"]),
+             B.NodeSpec(spark.range(30).select(F.concat(F.lit("b"), "id").alias("id")), id="id", label="B")]
+    e = spark.range(60).select(F.col("id").alias("k"), F.concat(F.lit("a"), F.col("id") % 40).alias("s"), F.concat(F.lit("b"), F.col("id") % 30).alias("d"), F.col("id").alias("w"))
+    return nodes, [B.EdgeSpec(e, "k", "s", "d", type="OWNS", properties=["w"]), B.EdgeSpec(e, "k", "s", "d", type="SEES")]
+
+
+def test_rows_without_repeats_are_not_moved(spark):
+    """A build without repeated keys and without dangling ends shuffles no row."""
+    ns, es = _shop(spark)
+    nodes = B.build_nodes(spark, ns)
+    for df in (nodes, B.build_edges(spark, es, nodes)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan and "Aggregate" not in plan, plan
+    assert B.build_edges(spark, es, nodes).count() == 120
+
+
+def test_repeated_keys_and_dangling_ends_however_many(spark, monkeypatch):
+    ns, es = _shop(spark)
+    again = spark.createDataFrame([("a1", 100), ("a1", None), ("a2", 7), (None, 1)], "id string, x long")
+    ns.append(B.NodeSpec(again, id="id", label="A", properties=["x"], order_by=["x"]))
+    more = spark.createDataFrame([("1", "a1", "b1", 50), ("1", "a1", "b1", None), ("99", "zz", "b1", 1), ("99", "a1", "yy", 1), ("99", None, "b1", 1), ("70", "a7", "b7", 3)], "k string, s string, d string, w long")
+    es += [B.EdgeSpec(more, "k", "s", "d", type="OWNS", properties=["w"], order_by=["w"]), B.EdgeSpec(more, "k", "s", "d", type="SEES")]
+    seen = []
+    for limit in (B.REPEATED, 0):
+        monkeypatch.setattr(B, "REPEATED", limit)
+        nodes = B.build_nodes(spark, ns)
+        edges = B.build_edges(spark, es, nodes)
+        seen.append((rows(nodes, "NODE", "LABEL", "x"), rows(edges, "ID", "src", "dst", "type", "w")))
+    assert seen[0] == seen[1]
+    got = {r[0]: r[2] for r in seen[0][0]}
+    assert len(got) == len(seen[0][0]) == 70 and (got["a1"], got["a2"], got["a3"]) == (100, 7, 3)
+    owns = {r[0]: r[4] for r in seen[0][1] if r[3] == "OWNS"}
+    assert len(seen[0][1]) == 122 and owns["1"] == 50 and owns["2"] == 2 and owns["70"] == 3 and "99" not in owns

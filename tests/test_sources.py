@@ -79,3 +79,17 @@ def test_stream_tables_pending_and_drop(spark):
     assert n.count() == 2 and rows(e.select("ID")) == [("e1",)] and p.count() == 0
     n, e, p = ST.stream_tables(spark, src, cols, base + "/drop", base + "/ck2", retry_pending=False)
     assert n.count() == 2 and e.count() == 0
+
+
+def test_edges_of_known_types_are_written_where_they_are_made(spark):
+    """A folder per type without a shuffle or a sort, the same rows as the general form."""
+    from graphloom.session import scratch_path
+    e = spark.range(90).select(F.concat(F.lit("e"), "id").alias("ID"), F.lit("a").alias("src"), F.lit("b").alias("dst"),
+                               F.when(F.col("id") % 3 == 0, "T").otherwise("U").alias("type"), F.col("id").alias("w"))
+    a, b, c = (scratch_path(spark, "edges") for _ in range(3))
+    store._write_edges(e, a, ["T", "U", "T"])
+    store._write_edges(e, b)
+    store._write_edges(e.withColumn("type", F.lit("a/b")), c, ["a/b"])
+    assert sorted(n for n in os.listdir(a) if n.startswith("type=")) == ["type=T", "type=U"]
+    assert rows(store._edges(spark, a), "ID", "type", "w") == rows(store._edges(spark, b), "ID", "type", "w") == rows(e, "ID", "type", "w")
+    assert rows(store._edges(spark, c).select("type").distinct()) == [("a/b",)]
