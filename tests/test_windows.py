@@ -53,3 +53,23 @@ def test_short_pieces_and_empty_input(spark):
 def test_a_hot_key_lies_in_many_pieces(df):
     sizes = df.filter("k = 'hot'").orderBy("k", "o", "id").groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) > 2
+
+
+def test_only_hot_keys_go_in_pieces(df):
+    """One shuffle for the other keys; the rows of hot ones are those of Spark's window too."""
+    order, near = [F.col("o").desc(), F.col("id")], {"b1": ("v", -1), "f3": ("v", 3)}
+    w = Window.partitionBy("k").orderBy(*order)
+    want = df.select("*", F.row_number().over(w).cast("long").alias("rn"), F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"),
+                     F.ntile(4).over(w).cast("long").alias("tile"), F.lag("v", 1).over(w).alias("b1"), F.lead("v", 3).over(w).alias("f3"))
+    cols = ["k", "id", "rn", "run", "tile", *near]
+    assert W.hot_keys(df, ["k"], 5000) is None
+    hot = W.hot_keys(df, ["k"], 700)
+    assert rows(hot) == [("hot",)]
+    for h in (None, hot, W.hot_keys(df, ["k"], 0)):
+        got = W.scan(df, ["k"], order, row_number="rn", sums={"run": "v"}, ntile=("tile", 4), near=near, hot=h)
+        assert rows(got, *cols) == rows(want, *cols)
+        r = Window.partitionBy("k").orderBy("s")
+        ranked = W.ranks(df, ["k"], ["s"], rank="rk", dense_rank="drk", hot=h)
+        assert rows(ranked, "id", "rk", "drk") == rows(df.select("id", F.rank().over(r).cast("long").alias("rk"), F.dense_rank().over(r).cast("long").alias("drk")))
+    plan = W.scan(df, ["k"], order, row_number="rn", sums={"run": "v"}, near=near)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan and "Join" not in plan
