@@ -12,6 +12,18 @@ from .q_docs import conversation_docs, ents_sql
 from .registry import query
 from .tpch import tpch_graph, with_graph
 
+#: Rows of an arriving file, at most: a micro-batch reads a file with one task.
+FILE_ROWS = 1_000_000
+
+
+def _arrive(rows, path: str, *by) -> int:
+    """Write ``rows`` (dealt by ``by``) as at least 4 arriving files; returns
+    the files of a trigger that make four micro-batches."""
+    files = max(4, -(-rows.count() // FILE_ROWS))
+    rows.repartition(files, *by).write.mode("overwrite").parquet(path)
+    return -(-files // 4)
+
+
 EXTRA_PARAGRAPH = "New Paragraph Here and Another One"
 
 
@@ -75,8 +87,8 @@ UNION ALL SELECT 'node', 'o:' || o_orderkey FROM orders
 UNION ALL SELECT 'edge', 'pl:' || o_orderkey FROM orders
 """)
 def q_stream_tables(spark, sf):
-    """L2: customer/order node rows and PLACED edge rows arrive mixed in 4
-    files (edges may come before their endpoints -> pending, retried)."""
+    """L2: customer/order node rows and PLACED edge rows arrive mixed, as four
+    micro-batches (edges may come before their endpoints -> pending, retried)."""
     from .tpch import read
     base = scratch_path(spark, "stream-tables")
     c, o = read(spark, sf, "customer"), read(spark, sf, "orders")
@@ -92,8 +104,8 @@ def q_stream_tables(spark, sf):
                                   F.lit("PLACED").alias("label"), F.concat(F.lit("c:"), "o_custkey").alias("src"),
                                   F.concat(F.lit("o:"), "o_orderkey").alias("dst"), F.col("o_orderkey").alias("_ord"))))
     src = base + "/in"
-    rows.repartition(4, F.xxhash64("id")).write.mode("overwrite").parquet(src)
-    nodes, edges, _ = ST.stream_tables(spark, src, cols, base + "/state", base + "/ckpt")
+    files = _arrive(rows, src, F.xxhash64("id"))
+    nodes, edges, _ = ST.stream_tables(spark, src, cols, base + "/state", base + "/ckpt", max_files_per_trigger=files)
     return (nodes.select(F.lit("node").alias("kind"), F.col("NODE").alias("id"))
             .unionByName(edges.select(F.lit("edge").alias("kind"), F.col("ID").alias("id"))))
 
@@ -108,8 +120,8 @@ def q_stream_schema_counts(spark, sf):
     src = base + "/in"
     n = tpch_graph(spark, sf).nodes.select("NODE", "LABEL")
     again = n.filter(F.crc32("NODE") % 4 == 0)
-    n.unionByName(again).repartition(4).write.mode("overwrite").parquet(src)
-    return ST.stream_schema_counts(spark, src, "NODE string, LABEL string", base + "/state", base + "/ckpt")
+    files = _arrive(n.unionByName(again), src)
+    return ST.stream_schema_counts(spark, src, "NODE string, LABEL string", base + "/state", base + "/ckpt", max_files_per_trigger=files)
 
 
 @query("ingest_then_match", "WITH " + ents_sql() + """,

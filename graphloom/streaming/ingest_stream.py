@@ -87,8 +87,10 @@ def stream_tables(spark: SparkSession, source_dir: str, schema: str, root: str,
 def settled(edges: BatchLog, nodes: BatchLog) -> tuple[DataFrame, DataFrame]:
     """The edges whose ends are nodes, and the ones that wait
     (``waiting_since``), from the logs. The ids of the nodes are aggregated
-    once per end; the joins' shuffles may be split (a hub ends many edges)."""
-    seen = nodes.rows().groupBy("NODE").agg(F.min("first_seen_ts").alias("t"))
+    once per end; the joins' shuffles may be split (a hub ends many edges).
+    The ids are never broadcast: to the planner two columns of a well packed
+    log look small, and the driver would hold a row for every node."""
+    seen = nodes.rows().groupBy("NODE").agg(F.min("first_seen_ts").alias("t")).hint("merge")
     e = edges.current()
     for end in ("src", "dst"):
         e = splittable_join(e, seen.select(F.col("NODE").alias(end), F.col("t").alias(f"_{end}")), [end], "left")

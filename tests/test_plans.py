@@ -143,3 +143,30 @@ def test_statistics_choose_the_start(spark):
     plan = b._jdf.queryExecution().optimizedPlan().toString()
     deepest = max((x for x in plan.split("\n") if "array_contains" in x), key=lambda x: len(x) - len(x.lstrip(" :")))
     assert "Rare" in deepest
+
+
+def test_stream_state_joins_do_not_broadcast_ids(spark):
+    from graphloom.operators import ingest as I
+    from graphloom.session import scratch_path
+    from graphloom.streaming import ingest_stream as ST
+    root = scratch_path(spark, "state")
+    nodes, edges = I.node_log(spark, f"{root}/nodes"), I.edge_log(spark, f"{root}/edges")
+    nb = spark.range(50).select(F.concat(F.lit("v"), "id").alias("id"), F.lit("L").alias("label"), F.create_map().cast("map<string,string>").alias("attrs"), F.col("id").alias("_ord"))
+    eb = nb.select(F.concat(F.lit("e"), "_ord").alias("id"), F.col("id").alias("src"), F.lit("v0").alias("dst"), "label", "attrs", "_ord")
+    nodes.append(I.node_rows(nb, "2025-01-01 00:00:00", "1", seq=F.col("_ord")), "1")
+    edges.append(I.edge_rows(eb, "2025-01-01 00:00:00", "1", seq=F.col("_ord"), nodes=None), "1")
+    ready, _ = ST.settled(edges, nodes)
+    assert _plan(ready).count("SortMergeJoin") == 2 and ready.count() == 50      # one per end
+
+
+def test_arriving_files_are_bounded_in_rows(spark, monkeypatch):
+    """More rows are more files of a micro-batch, not longer ones."""
+    import glob
+
+    from graphloom.plans import q_stream as Q
+    from graphloom.session import scratch_path
+    monkeypatch.setattr(Q, "FILE_ROWS", 100)
+    for n, files, trigger in ((40, 4, 1), (1000, 10, 3)):
+        path = scratch_path(spark, "arrive")
+        assert Q._arrive(spark.range(n), path) == trigger
+        assert len(glob.glob(f"{path}/*.parquet")) == files and spark.read.parquet(path).count() == n
