@@ -158,7 +158,10 @@ def schema_by_axis(g: PropertyGraph, onto: DataFrame | None = None) -> DataFrame
         e = e.withColumn("taxis", F.lit(DEFAULT_EDGE_AXIS))
     s = n.select(F.col("NODE").alias("src"), F.col("l0").alias("s_l"), F.col("axis").alias("s_a"))
     d = n.select(F.col("NODE").alias("dst"), F.col("l0").alias("d_l"), F.col("axis").alias("d_a"))
-    t = e.join(s, "src").join(d, "dst").select("s_l", "s_a", "type", "taxis", "d_l", "d_a").distinct()
+    # As in schema_triples, edges into a hub collapse before the second join. The
+    # nodes are never broadcast, however small two of their columns look to the planner.
+    half = e.join(s.hint("merge"), "src").select("s_l", "s_a", "type", "taxis", "dst").distinct()
+    t = half.join(d.hint("merge"), "dst").select("s_l", "s_a", "type", "taxis", "d_l", "d_a").distinct()
     return (t.select(F.lit("full").alias("mode"), F.col("s_l").alias("src"), "type", F.col("d_l").alias("dst"))
             .unionByName(t.select(F.lit("nkey").alias("mode"), F.col("s_a").alias("src"), "type",
                                   F.col("d_a").alias("dst")))

@@ -170,3 +170,11 @@ def test_arriving_files_are_bounded_in_rows(spark, monkeypatch):
         path = scratch_path(spark, "arrive")
         assert Q._arrive(spark.range(n), path) == trigger
         assert len(glob.glob(f"{path}/*.parquet")) == files and spark.read.parquet(path).count() == n
+
+
+def test_nodes_are_not_broadcast(spark):
+    """Two columns of a node table look small to the planner, whatever the number of nodes."""
+    from graphloom.operators.ontology import schema_by_axis
+    store, root = _stored(spark)
+    plan = _plan(schema_by_axis(store.read_graph(spark, root, "g")))
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
