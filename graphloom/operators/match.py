@@ -294,36 +294,37 @@ def hops_to_graph(hops: DataFrame, n_hops: int) -> tuple[DataFrame, DataFrame]:
     """Unpivot NODE1_HOP_n / NODE2_HOP_n / EDGE_LABELS_HOP_n columns.
 
     Nodes are distinct ids with the first label seen (hop, then row order
-    given by ``_row`` if present); edges are keyed ``src->dst|label``. Label
-    cells may be JSON-array strings (the first entry is used).
+    given by ``_row`` if present, then side; the smallest among equals); edges
+    are keyed ``src->dst|label``. Label cells may be JSON-array strings (the
+    first entry is used). ``hops`` is evaluated once for both results.
     """
     from ..functions.labels import normalize_labels
-    row = F.col("_row") if "_row" in hops.columns else F.lit(0)
-    nparts, eparts = [], []
+    first = lambda c: F.try_element_at(normalize_labels(F.col(c)), F.lit(1))
+    no_text = F.lit(None).cast("string")
+    ranked = "_row" in hops.columns
+    parts = []
     for h in range(1, n_hops + 1):
-        for side in (1, 2):
-            idc, lc = f"NODE{side}_HOP_{h}", f"NODE{side}_LABELS_HOP_{h}"
-            lab = (F.try_element_at(normalize_labels(F.col(lc)), F.lit(1))
-                   if lc in hops.columns else F.lit(None).cast("string"))
-            nparts.append(hops.select(F.col(idc).alias("id"), lab.alias("label"),
-                                      F.struct(F.lit(h).alias("h"), row.alias("r"),
-                                               F.lit(side).alias("s")).alias("_ord")))
-        el = F.try_element_at(normalize_labels(F.col(f"EDGE_LABELS_HOP_{h}")), F.lit(1))
-        eparts.append(hops.select(F.col(f"NODE1_HOP_{h}").alias("src"),
-                                  F.col(f"NODE2_HOP_{h}").alias("dst"), el.alias("label")))
-    n = nparts[0]
-    for p in nparts[1:]:
-        n = n.unionByName(p)
-    e = eparts[0]
-    for p in eparts[1:]:
-        e = e.unionByName(p)
-    nodes = (n.filter(F.col("id").isNotNull()).groupBy("id")
-             .agg(F.expr("min_by(label, _ord) FILTER (WHERE label IS NOT NULL)").alias("label")))
-    edges = (e.filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
-             .select(F.concat(F.col("src"), F.lit("->"), F.col("dst"), F.lit("|"),
-                              F.coalesce(F.col("label"), F.lit(""))).alias("id"),
-                     "src", "dst", F.col("label").alias("type"))
-             .dropDuplicates(["id"]))
+        src, dst = F.col(f"NODE1_HOP_{h}"), F.col(f"NODE2_HOP_{h}")
+        for side, node in ((1, src), (2, dst)):
+            lc = f"NODE{side}_LABELS_HOP_{h}"
+            place = F.struct(F.lit(h).alias("h"), F.col("_row").alias("r"), F.lit(side).alias("s")) if ranked else F.lit(2 * h + side)
+            parts.append(F.struct(node.alias("key"), (F.col(lc).cast("string") if lc in hops.columns else no_text).alias("cell"),
+                                  place.alias("place"), F.lit(None).cast("long").alias("cut")))
+        el = F.coalesce(first(f"EDGE_LABELS_HOP_{h}"), F.lit(""))
+        # The ends are read from the id again: their lengths are kept, not the texts.
+        cut = F.shiftleft(F.char_length(src).cast("long"), 32) + F.char_length(dst)
+        parts.append(F.struct(F.concat(src, F.lit("->"), dst, F.lit("|"), el).alias("key"), no_text.alias("cell"),
+                              F.lit(None).cast(hops.select(place.alias("p")).schema["p"].dataType).alias("place"), cut.alias("cut")))
+    # A row is read once for all its elements; a node's label cells are parsed when they are few. Both results test both minima, which are known only behind the
+    # shuffle, so that their plans agree up to it and it is made once.
+    found = (hops.select(F.explode(F.array(*parts)).alias("x")).select("x.*").filter(F.col("key").isNotNull())
+             .groupBy("key", "cell", F.col("cut").isNotNull().alias("edge")).agg(F.min("place").alias("place"), F.min("cut").alias("cut")))
+    nodes = (found.filter(F.col("place").isNotNull() & F.col("cut").isNull()).select("key", first("cell").alias("label"), "place").groupBy(F.col("key").alias("id"))
+             .agg(F.expr("min_by(label, struct(place, label)) FILTER (WHERE label IS NOT NULL)").alias("label")))
+    n, m = F.shiftright("cut", 32).cast("int"), F.col("cut").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    edges = (found.filter(F.col("place").isNull() & F.col("cut").isNotNull())
+             .select(F.col("key").alias("id"), F.substring("key", 1, n).alias("src"), F.substring("key", n + 3, m).alias("dst"),
+                     F.nullif(F.substring("key", n + m + 4, F.char_length("key")), F.lit("")).alias("type")))
     return nodes, edges
 
 

@@ -66,6 +66,25 @@ def test_hops_to_graph_fixture(spark):
     assert ("bank1->wire1|SENT",) in rows(edges.select("id"))
 
 
+def test_hops_to_graph_reads_its_rows_once(spark):
+    rows_in = [("a->b", "c", '["x"]', "y", "R", 2), ("a", "b->c", None, "", '["R"]', 1), ("a->b", None, '["z"]', "w", None, 1),
+               ("c", "d", '["v"]', '["q","r"]', None, 3), ("c", "d", "y", '["q"]', "", 3), ("ü", "d", "", "[bad", "S|T", 4)]
+    hops = spark.createDataFrame(rows_in, "NODE1_HOP_1 string, NODE2_HOP_1 string, NODE1_LABELS_HOP_1 string, "
+                                 "NODE2_LABELS_HOP_1 string, EDGE_LABELS_HOP_1 string, _row int").repartition(3)
+    for df, first in ((hops, "z"), (hops.drop("_row"), "x")):
+        nodes, edges = M.hops_to_graph(df, 1)
+        assert rows(nodes) == [("a", None), ("a->b", first), ("b->c", None), ("c", "v" if first == "x" else "y"), ("d", "[bad" if first == "x" else "q"), ("ü", None)]
+        # Two edges share an id: one of them stays, as the id is the key.
+        assert rows(edges) == [("a->b->c|R", "a", "b->c", "R"), ("c->d|", "c", "d", None), ("ü->d|S|T", "ü", "d", "S|T")]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        both = nodes.select("id").unionByName(edges.select("id"))
+        plan = both._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Generate explode") == 1 and "ReusedExchange" in plan
+
+
 def test_node_attrs_and_records(spark):
     g = tiny(spark)
     ids = spark.createDataFrame([("p1",), ("p1",), ("zz",)], "NODE string")
