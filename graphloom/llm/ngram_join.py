@@ -17,8 +17,8 @@ Documents are sets of distinct word 4-shingles. Two sets link when
   (worth 0); the look-ups left over are given up for the most crowded subsets
   (``_drop_crowded``). Only what the pigeonhole bound does not need is skipped:
   no link is lost.
-* **Verification.** Candidates whose sizes and parity sketches allow a link are
-  checked on the whole sets. Members of a subset are first checked against
+* **Verification.** Candidates whose sizes and parity sketches (as wide as the
+  sets are large) allow a link are checked on the whole sets. Members of a subset are first checked against
   one leader, the set that shares most; after a few rounds of leaders only
   members beside a subset's main component are still paired, with members of
   other components. Copies are one set throughout, so they are never paired.
@@ -293,9 +293,40 @@ def _shared_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 SKETCH = 8  # longs of a parity sketch
 
 
+def wide_sketch(s: np.ndarray) -> bytes:
+    """Parity sketch of a set with a bit or two for each shingle (a power of
+    two); empty where the sketch of 64 * ``SKETCH`` bits has as many."""
+    if len(s) <= 64 * SKETCH:
+        return b""
+    width = 1 << (len(s) - 1).bit_length()
+    return np.packbits(np.bincount((T.mix(s + _U(5)) & _U(width - 1)).astype(np.int64), minlength=width) & 1).tobytes()
+
+
+def sketches_apart(a: bytes, b: bytes) -> int:
+    """Bits in which two wide sketches differ, the longer one folded to the
+    other's length: at most the number of shingles in which the sets differ."""
+    if not a or not b:
+        return 0
+    x, y = (np.frombuffer(v, dtype=np.uint8) for v in (a, b))
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _near(percent: int):
+    """Of likely pairs those whose wide sketches do not exclude a link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, a, b = (batch.column(i).to_pylist() for i in (4, 5, 6, 7))
+            keep = [sketches_apart(u, v) <= (100 - percent) * (i + j) // (100 + percent) for i, j, u, v in zip(n, m, a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)], names=["x", "xb", "y", "yb"]).filter(pa.array(keep, pa.bool_()))
+    return run
+
+
 def _sets_of(k: int):
     """Sets with a sketch: the parity of the shingles in each of 64 * ``SKETCH``
-    bits. Sketches differ in at most as many bits as sets in shingles."""
+    bits. Sketches differ in at most as many bits as sets in shingles. Larger
+    sets have a wide sketch too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "text"):
@@ -305,7 +336,8 @@ def _sets_of(k: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[0] for x in marks], pa.int64()), pa.array([x[1] for x in marks], pa.int64()),
                      pa.array([len(s) for s in sets], pa.int64()), *(pa.array([b[i] for b in bits], pa.int64()) for i in range(SKETCH)),
-                     pa.array([s.tobytes() for s in sets], pa.binary())], names=["fa", "fb", "n", *(f"s{i}" for i in range(SKETCH)), "items"])
+                     pa.array([wide_sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["fa", "fb", "n", *(f"s{i}" for i in range(SKETCH)), "wide", "items"])
     return run
 
 
@@ -404,21 +436,33 @@ def linked_sets(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "d
     need = m.select(F.col("node").alias("fa")).distinct()
     picks = classes.join(need, "fa", "left_semi").select("fa", "fb", F.col("pick.doc_id").alias("doc_id"), F.col("pick.tid").alias("tid"))
     same = (F.col("s.tid") == F.col("p.tid")) & F.col("s.doc_id").eqNullSafe(F.col("p.doc_id"))
-    items = written(src.alias("s").join(picks.alias("p"), same, "left_semi").select("text")
-                    .mapInArrow(_sets_of(k), "fa long, fb long, n long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", items binary")
-                    .dropDuplicates(["fa", "fb"]), "items")
+    kept = scratch(spark, "items")
+    made = (src.alias("s").join(picks.alias("p"), same, "left_semi").select("text")
+                    .mapInArrow(_sets_of(k), "fa long, fb long, n long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", wide binary, items binary")
+                    .dropDuplicates(["fa", "fb"]))
+    made.write.parquet(kept)
+    items = spark.read.schema(made.schema).parquet(kept)
+    del made
     tidy(spark)
 
     facts = ["n", *(f"s{i}" for i in range(SKETCH))]
     fact = lambda p: items.select(F.col("fa").alias(p), F.col("fb").alias(f"{p}b"), *[F.col(c).alias(f"{p}{c}") for c in facts])
-    body = lambda p: items.select(F.col("fa").alias(p), F.col("fb").alias(f"{p}b"), F.col("items").alias(f"{p}i"))
+    part = lambda of, p, *cols: of.select(F.col("fa").alias(p), F.col("fb").alias(f"{p}b"), *[F.col(c).alias(f"{p}{c}") for c in cols])
 
     def checked(pairs: DataFrame) -> DataFrame:
-        """Links among candidate pairs (x, y), the whole sets compared."""
+        """Links among candidate pairs (x, y), the whole sets compared.
+
+        Wide sketches come first: sets of thousands of shingles fill the short
+        ones. Whole sets move only if they are in a pair that is left."""
         likely = pairs.join(fact("x"), "x").join(fact("y"), "y").filter(_plausible(percent, "x", "y") & ((F.col("x") != F.col("y")) | (F.col("xb") < F.col("yb"))))
-        both = likely.select("x", "xb", "y", "yb").join(body("x"), ["x", "xb"]).join(body("y"), ["y", "yb"])
-        out = written(both.select("x", "xb", "xi", "y", "yb", "yi").mapInArrow(_verify(percent), "a string, b string"), "links")
-        del likely, both
+        seen = (likely.select("x", "xb", "y", "yb", "xn", "yn").join(part(items, "x", "wide"), ["x", "xb"]).join(part(items, "y", "wide"), ["y", "yb"])
+                .select("x", "xb", "y", "yb", "xn", "yn", "xwide", "ywide"))
+        near = written(seen.mapInArrow(_near(percent), "x long, xb long, y long, yb long"), "near")
+        ends = near.select(F.col("x").alias("fa"), F.col("xb").alias("fb")).unionByName(near.select(F.col("y").alias("fa"), F.col("yb").alias("fb"))).distinct()
+        due = items.join(ends, ["fa", "fb"], "left_semi")
+        both = near.join(part(due, "x", "items"), ["x", "xb"]).join(part(due, "y", "items"), ["y", "yb"])
+        out = written(both.select("x", "xb", "xitems", "y", "yb", "yitems").mapInArrow(_verify(percent), "a string, b string"), "links")
+        del likely, seen, near, ends, due, both
         tidy(spark)
         return out
 
@@ -460,6 +504,9 @@ def linked_sets(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "d
     pairs = [side("p", PROBE, a).join(side("i", INDEX, b), "gid").filter(fits).select(F.least("p", "i").alias("x"), F.greatest("p", "i").alias("y"))
              for a, b in ((beside, F.lit(True)), (main, beside))]
     more = checked(pairs[0].unionByName(pairs[1]).distinct())
+    del rest, pairs
+    fs.delete(spark, kept)  # the sets themselves are not needed any more
+    tidy(spark)
     return named, links.unionByName(more), grown(roots, more)
 
 

@@ -140,3 +140,27 @@ def test_grown_components_equal_all_at_once(spark):
     met = {r["node"]: r["root"] for r in J.components(spark.createDataFrame(sum(parts, []), "a string, b string")).collect()}
     grew = {r["node"]: r["root"] for r in roots.collect()}
     assert met == {n: r for n, r in grew.items() if n in met} and all(n == r for n, r in grew.items() if n not in met)
+
+
+def test_wide_sketches_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n, m, shared in ((513, 600, 500), (2000, 2000, 1700), (1000, 1200, 990), (1100, 1000, 995), (3000, 2900, 0), (2000, 2100, 900)):
+        every = rng.integers(0, 2**64, n + m - shared, dtype=np.uint64)
+        a, b = every[:n], every[n - shared:]
+        apart, most = J.sketches_apart(J.wide_sketch(a), J.wide_sketch(b)), 20 * (n + m) // 180
+        assert apart <= n + m - 2 * shared      # a link is never excluded
+        assert (apart > most) == (100 * shared < 70 * (n + m - shared))     # here, what is far from linked always is
+        assert apart == J.sketches_apart(J.wide_sketch(b), J.wide_sketch(a))
+    assert J.wide_sketch(every[:512]) == b"" and J.sketches_apart(b"", J.wide_sketch(every)) == 0
+
+
+def test_sets_do_not_stay_in_the_shared_folder(spark):
+    from graphloom.session import ensure_checkpoint_dir
+    from graphloom.sources import fs
+    words = [f"w{i}" for i in range(1400)]
+    texts = [" ".join(words), " ".join(words[:1380]), " ".join(words[700:] + [f"x{i}" for i in range(700)]), " ".join(f"y{i}" for i in range(1400))]
+    here = lambda: {n for n in fs.list_names(spark, ensure_checkpoint_dir(spark)) if n.startswith("items-")}
+    before = here()
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in J.one_per_component(df, 80, 5).collect()) == [0, 2, 3]
+    assert here() == before
