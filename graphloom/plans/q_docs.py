@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import canonical_id
 from ..operators import documents as D
+from ..session import pinned
 from .registry import query
 from .tpch import read
 
@@ -93,6 +94,14 @@ def _elements(spark, sf, single_label=None, docs=None):
     return D.extract_elements(ch, single_label=single_label)
 
 
+def _merged(spark, sf, single_label=None, docs=None):
+    """(elements, merged entities), each worked out and written once: both are
+    read several times by what links and folds them."""
+    el, _ = pinned(_elements(spark, sf, single_label, docs), "elements")
+    ents, _ = pinned(D.merge_entities(el), "entities")
+    return el, ents
+
+
 @query("chunk_documents", "WITH " + chunks_sql() + """
 SELECT doc_id, chunk_idx, chunk, truncated FROM chunks
 """)
@@ -156,16 +165,14 @@ def q_merge_entities(spark, sf):
 SELECT doc_id, chunk_idx, rpos, src, dst, label FROM links
 """)
 def q_link_relations(spark, sf):
-    el = _elements(spark, sf)
-    return D.link_relations(el, D.merge_entities(el)).select("doc_id", "chunk_idx", "rpos", "src", "dst", "label")
+    return D.link_relations(*_merged(spark, sf)).select("doc_id", "chunk_idx", "rpos", "src", "dst", "label")
 
 
 @query("merge_relations", "WITH " + ents_sql() + """
 SELECT doc_id, id, src, dst, label FROM mrels
 """)
 def q_merge_relations(spark, sf):
-    el = _elements(spark, sf)
-    r = D.merge_relations(D.link_relations(el, D.merge_entities(el)))
+    r = D.merge_relations(D.link_relations(*_merged(spark, sf)))
     return r.select("doc_id", "id", "src", "dst", "label")
 
 
@@ -190,8 +197,7 @@ SELECT doc_id, id, src, dst, label FROM redone
 UNION ALL SELECT doc_id, id, src, dst, label FROM mrels WHERE doc_id NOT IN (SELECT doc_id FROM docs_with)
 """)
 def q_redirect_relations(spark, sf):
-    el = _elements(spark, sf, single_label="Entity", docs=text_docs(spark, sf))
-    ents = D.merge_entities(el)
-    rels = D.merge_relations(D.link_relations(el, ents))
+    el, ents = _merged(spark, sf, single_label="Entity", docs=text_docs(spark, sf))
+    rels, _ = pinned(D.merge_relations(D.link_relations(el, ents)), "relations")
     out = D.redirect_relations(rels, D.fold_partial_names(ents))
     return out.select("doc_id", "id", "src", "dst", "label")

@@ -178,3 +178,9 @@ def test_nodes_are_not_broadcast(spark):
     store, root = _stored(spark)
     plan = _plan(schema_by_axis(store.read_graph(spark, root, "g")))
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_linked_elements_are_extracted_once(spark):
+    from graphloom.plans import queries
+    plan = queries()["redirect_relations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "documents.parquet" not in plan
