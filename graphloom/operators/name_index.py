@@ -1,8 +1,8 @@
 """Substring search on node names through an index of trigrams.
 
 The index of a stored graph has a posting (gram, NODE) for every distinct
-trigram of a node's lower-cased name (its id where it has none), sorted by
-gram, so a search reads only the row groups of its own trigrams. A pattern's
+trigram of a node's lower-cased name (its id where it has none), each file
+sorted by gram, so a search reads only the row groups of its own trigrams. A pattern's
 postings are intersected by counting, and the few nodes that are left are
 looked up and verified. Patterns under three characters have no trigram: they
 scan the nodes.
@@ -17,6 +17,7 @@ from ..sources import fs, store
 from .match import _q, name_matches
 
 GRAM = 3
+ROW_GROUP = 4 << 20
 
 
 def grams(text: Column) -> Column:
@@ -31,9 +32,9 @@ def write_names(spark: SparkSession, root: str, graph: str, name_col: str = "nam
     nodes = store.read_graph(spark, root, graph).nodes
     name = F.coalesce(F.col(name_col), F.col("NODE")) if name_col in nodes.columns else F.col("NODE")
     postings = nodes.select("NODE", F.explode(grams(F.lower(name))).alias("gram"))
-    # A gram that is in most names is spread by the id.
-    (postings.repartitionByRange("gram", "NODE").sortWithinPartitions("gram", "NODE")
-     .write.mode("overwrite").parquet(store.table_path(root, graph, store.NAMES)))
+    # Every task writes the postings of the nodes that it reads: nothing is moved. Small row groups keep a gram's rows apart.
+    (postings.sortWithinPartitions("gram", "NODE").write.mode("overwrite").option("parquet.block.size", ROW_GROUP)
+     .parquet(store.table_path(root, graph, store.NAMES)))
 
 
 def _asked(query: str) -> list[str]:
