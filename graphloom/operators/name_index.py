@@ -27,14 +27,17 @@ def grams(text: Column) -> Column:
             .otherwise(F.array().cast("array<string>"))
 
 
-def write_names(spark: SparkSession, root: str, graph: str, name_col: str = "name") -> None:
-    """Write the index of a stored graph; a rebuilt graph needs it again."""
-    nodes = store.read_graph(spark, root, graph).nodes
+def postings(nodes: DataFrame, name_col: str = "name") -> DataFrame:
+    """(NODE, gram) of every distinct trigram of the nodes' names, sorted by gram in each task, not moved."""
     name = F.coalesce(F.col(name_col), F.col("NODE")) if name_col in nodes.columns else F.col("NODE")
-    postings = nodes.select("NODE", F.explode(grams(F.lower(name))).alias("gram"))
-    # Every task writes the postings of the nodes that it reads: nothing is moved. Small row groups keep a gram's rows apart.
-    (postings.sortWithinPartitions("gram", "NODE").write.mode("overwrite").option("parquet.block.size", ROW_GROUP)
-     .parquet(store.table_path(root, graph, store.NAMES)))
+    return nodes.select("NODE", F.explode(grams(F.lower(name))).alias("gram")).sortWithinPartitions("gram", "NODE")
+
+
+def write_names(spark: SparkSession, root: str, graph: str, name_col: str = "name") -> None:
+    """Write the index of a stored graph; a rebuilt graph needs it again.
+    Every task writes the nodes that it reads; small row groups keep a gram's rows apart."""
+    (postings(store.read_graph(spark, root, graph).nodes, name_col).write.mode("overwrite")
+     .option("parquet.block.size", ROW_GROUP).parquet(store.table_path(root, graph, store.NAMES)))
 
 
 def _asked(query: str) -> list[str]:

@@ -117,6 +117,7 @@ def test_name_index_equals_the_scan(spark):
     for q in ("abc", "ABCA", "a b", "bb", "", "äb", "äBC", "n12", "aaaa", "zzz"):
         got = NI.find_names(spark, root, "g", q, props=["name"])
         assert rows(got, "NODE", "name") == rows(n.filter(name_matches(q)), "NODE", "name"), q
+    assert "Exchange" not in NI.postings(store.read_graph(spark, root, "g").nodes)._jdf.queryExecution().executedPlan().toString()
     plan = NI.find_names(spark, root, "g", "abca", "P")._jdf.queryExecution().executedPlan().toString()
     assert "In(gram, [abc,bca])" in plan
     store.write_graph(spark, store.read_graph(spark, root, "g"), root, "g")      # rebuilt: no stale index
