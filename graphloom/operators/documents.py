@@ -24,8 +24,9 @@ from ..functions.labels import canonical_id, python_strip, relation_id
 PARAGRAPH_SPLIT = r"(?U)\n\s*\n+"
 MODES = ["sequential", "parallel", "whole"]
 
-# Rule-based default extractor: capitalised word runs are entities.
-ENTITY_PATTERN = r"[A-Z][a-z]+(?: [A-Z][a-z]+)*"
+# Rule-based default extractor: capitalised word runs are entities. Possessive: the same matches as
+# greedy, but Java's matcher loops over the words of a run instead of calling itself for each.
+ENTITY_PATTERN = r"[A-Z][a-z]++(?: [A-Z][a-z]++)*+"
 RULE_RELATION = "NEXT_TO"
 RULE_AXIS = "ADJACENCY"
 
@@ -116,11 +117,11 @@ def rule_extract(chunk: Column, single_label: str | None = None) -> tuple[Column
         lbl = lambda n: F.lit(single_label)
     ents = F.transform(names, lambda n: F.struct(n.alias("name"), lbl(n).alias("label"),
                                                  empty_f.alias("facets"), empty_m.alias("attrs")))
-    rels = F.transform(
-        F.when(F.size(names) >= 2, F.sequence(F.lit(2), F.size(names))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.try_element_at(names, i - 1).alias("source"), F.try_element_at(names, i).alias("target"),
-                           F.lit(RULE_RELATION).alias("label"), F.lit(RULE_AXIS).alias("axis"),
-                           empty_m.alias("attrs")))
+    # Neighbours are paired array by array: inside a lambda the names would be searched for again for every relation.
+    n = F.greatest(F.size(names) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(names, 1, n), F.slice(names, 2, n), lambda a, b: F.struct(
+        a.alias("source"), b.alias("target"), F.lit(RULE_RELATION).alias("label"), F.lit(RULE_AXIS).alias("axis"), empty_m.alias("attrs")))
+    rels = F.coalesce(pairs, F.array().cast(f"array<{RELATION_T}>"))
     return ents, rels
 
 

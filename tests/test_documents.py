@@ -136,3 +136,15 @@ def test_chunk_turns_equals_assembled_documents(spark):
         got = rows(D.chunk_turns(turns, "doc_id", "turn", max_chunks=maxc, bucket=b), "doc_id", "chunk_idx", "chunk", "truncated")
         want = rows(D.chunk_documents(docs, max_chunks=maxc), "doc_id", "chunk_idx", "chunk", "truncated")
         assert got == want, (maxc, b)
+
+
+def test_rule_extractor_on_long_texts(spark):
+    """A long run of capitalised words is one match without recursion, and the names of a text are searched for
+    by row, not by relation."""
+    run = " ".join(["Abc"] * 5000)
+    ents, rels = D.rule_extract(F.col("t"))
+    got = spark.createDataFrame([(run + " x Def y Ghi",), ("",)], "t string").select("t", ents.alias("e"), rels.alias("r")).collect()
+    assert [[e["name"] for e in g["e"]] for g in got] == [[run, "Def", "Ghi"], []]
+    assert [[(r["source"], r["target"]) for r in g["r"]] for g in got] == [[(run, "Def"), ("Def", "Ghi")], []]
+    plan = spark.range(1).select(F.lit("A").alias("t")).select(rels.alias("r"))._jdf.queryExecution().analyzed().toString()
+    assert all("regexp_extract_all" not in part.split("namedlambdavariable")[0] for part in plan.split("lambdafunction(")[1:])
