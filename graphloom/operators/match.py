@@ -52,21 +52,23 @@ class E:
         return [self.type] if isinstance(self.type, str) else list(self.type)
 
 
-def node_frame(g: PropertyGraph, n: N, extra: list | None = None) -> DataFrame:
+def node_frame(g: PropertyGraph, n: N, extra: list | None = None, slim: bool = False) -> DataFrame:
+    """Nodes that fit: their id and their struct, ``slim``: without the id."""
     df = g.nodes
     if n.label is not None:
         df = df.filter(F.array_contains("labels", n.label))
     if n.where is not None:
         df = df.filter(n.where)
-    fields = ["NODE", "LABEL"] + [p for p in list(n.props) + list(extra or [])
-                                  if p not in ("NODE", "LABEL")]
+    fields = ["LABEL"] + [p for p in list(n.props) + list(extra or []) if p not in ("NODE", "LABEL")]
+    fields = fields if slim else ["NODE"] + fields
     return df.select(F.col("NODE").alias("_nk"),
                      F.struct(*[F.col(_q(f)).alias(f) for f in fields]).alias(n.alias))
 
 
-def edge_frame(g: PropertyGraph, e: E, alias: str) -> DataFrame:
+def edge_frame(g: PropertyGraph, e: E, alias: str, slim: bool = False) -> DataFrame:
     """Edges oriented for the hop: ``_near`` is the end at the previous node.
-    A graph stored by both ends is read from the copy that lies by ``_near``."""
+    A graph stored by both ends is read from the copy that lies by ``_near``.
+    ``slim``: the struct lacks what the ends and the pattern tell (:func:`_edge_fields`)."""
     t = e.types()
 
     def fitting(df: DataFrame) -> DataFrame:
@@ -76,15 +78,18 @@ def edge_frame(g: PropertyGraph, e: E, alias: str) -> DataFrame:
 
     df, by_dst = fitting(g.edges), fitting(g.meta["by_dst"]) if "by_dst" in g.meta else None
     by_dst = df if by_dst is None else by_dst
-    fields = ["ID", "src", "dst", "type"] + [p for p in e.props
-                                             if p not in ("ID", "src", "dst", "type")]
-    st = F.struct(*[F.col(_q(f)).alias(f) for f in fields]).alias(alias)
+    fields = ["ID"] + (["src", "dst", "type"] if not slim else [] if _one_type(e) else ["type"])
+    fields += [p for p in e.props if p not in ("ID", "src", "dst", "type")]
+    cols = [F.col(_q(f)).alias(f) for f in fields]
+    turned = slim and e.direction == "-"
+    st = F.struct(*cols, *([F.lit(True).alias("_fwd")] if turned else [])).alias(alias)
     if e.direction == "->":
         return df.select(F.col("src").alias("_near"), F.col("dst").alias("_far"), st)
     if e.direction == "<-":
         return by_dst.select(F.col("dst").alias("_near"), F.col("src").alias("_far"), st)
     # Undirected: both orientations, a self-loop only once.
     fwd = df.select(F.col("src").alias("_near"), F.col("dst").alias("_far"), st)
+    st = F.struct(*cols, *([F.lit(False).alias("_fwd")] if turned else [])).alias(alias)
     rev = (by_dst.filter(F.col("src") != F.col("dst"))
              .select(F.col("dst").alias("_near"), F.col("src").alias("_far"), st))
     return fwd.unionByName(rev)
@@ -94,44 +99,88 @@ EDGE_KEY = ["ID", "src", "dst", "type"]
 _FLIP = {"->": "<-", "<-": "->", "-": "-"}
 
 
-def choose_start(g: PropertyGraph, pattern: list) -> int:
-    """The node of a pattern from which the join chain makes the fewest rows,
-    by the stored counts of labels, types and their distinct ends.
+def _estimates(g: PropertyGraph, pattern: list) -> tuple | None:
+    """(rows of node i, rows a path of hop i becomes, edges that fit hop i) by the stored counts; None: no statistics.
 
-    A node keeps its label's count, and a tenth of it under a predicate (as
-    planners assume without histograms); a hop multiplies by the type's mean
-    degree at the near end, and by the share of nodes that fit at the far end.
-    Without statistics: 0."""
+    A node keeps its label's count, and a tenth of it under a predicate (as planners assume without histograms); a hop
+    multiplies by the type's mean degree at the near end, and by the share of nodes that fit at the far end (labels
+    are taken to follow the type)."""
     stats = g.meta.get("stats")
     if stats is None:
-        return 0
+        return None
     nodes, hops = pattern[0::2], pattern[1::2]
     total = max(stats["nodes"], 1)
+    share = lambda x: 0.1 if x.where is not None else 1.0
+    types = lambda e: [stats["types"].get(t, (0, 1, 1)) for t in (e.types() if e.types() is not None else stats["types"])]
+
+    def fit(i: int) -> float:
+        return (stats["labels"].get(nodes[i].label, 0) if nodes[i].label is not None else total) * share(nodes[i])
 
-    def fit(n: N) -> float:
-        return stats["labels"].get(n.label, 0) * (0.1 if n.where is not None else 1.0) if n.label is not None else total * (0.1 if n.where is not None else 1.0)
+    def grow(i: int, back: bool) -> float:
+        e, far = hops[i], nodes[i] if back else nodes[i + 1]
+        direction = _FLIP[e.direction] if back else e.direction
+        n = {d: sum(t[0] / max(t[k], 1) for t in types(e)) for k, d in ((1, "->"), (2, "<-"))}
+        return (n["->"] + n["<-"] if direction == "-" else n[direction]) * share(e) * share(far)
 
-    def degree(e: E, direction: str) -> float:
-        types = e.types() if e.types() is not None else list(stats["types"])
-        n = {d: sum(stats["types"].get(t, (0, 1, 1))[0] / max(stats["types"].get(t, (0, 1, 1))[k], 1) for t in types) for k, d in ((1, "->"), (2, "<-"))}
-        return (n["->"] + n["<-"] if direction == "-" else n[direction]) * (0.1 if e.where is not None else 1.0)
+    return fit, grow, lambda i: sum(t[0] for t in types(hops[i])) * share(hops[i])
 
-    def share(n: N) -> float:
-        """Of the nodes that such hops reach, those that fit: labels are taken to follow the type."""
-        return 0.1 if n.where is not None else 1.0
+
+def choose_start(g: PropertyGraph, pattern: list) -> int:
+    """The node of a pattern from which the join chain makes the fewest rows,
+    by the stored counts of labels, types and their distinct ends
+    (:func:`_estimates`). Without statistics: 0."""
+    known = _estimates(g, pattern)
+    if known is None:
+        return 0
+    fit, grow, _ = known
+    n_nodes = len(pattern[0::2])
 
     def cost(start: int) -> float:
-        rows = fit(nodes[start])
+        rows = fit(start)
         made = rows
-        for i in range(start, len(hops)):
-            rows *= degree(hops[i], hops[i].direction) * share(nodes[i + 1])
+        for i in range(start, n_nodes - 1):
+            rows *= grow(i, False)
             made += rows
         for i in range(start, 0, -1):
-            rows *= degree(hops[i - 1], _FLIP[hops[i - 1].direction]) * share(nodes[i - 1])
+            rows *= grow(i - 1, True)
             made += rows
         return made
 
-    return min(range(len(nodes)), key=lambda i: (cost(i), i))
+    return min(range(n_nodes), key=lambda i: (cost(i), i))
+
+
+def _leaf_first(g: PropertyGraph, pattern: list, start: int, leaf: int) -> bool:
+    """Whether the last hop of a chain, to node ``leaf``, joins its edges with that node before the paths: if the
+    statistics make the paths at least half as many as the edges. Edges that lie by their near end stay there."""
+    known = _estimates(g, pattern)
+    if known is None or "by_dst" in g.meta:
+        return False
+    fit, grow, fitting = known
+    rows = fit(start)
+    for i in range(start, leaf if leaf > start else len(pattern[0::2]) - 1):     # the right end is reached first
+        rows *= grow(i, False)
+    for i in range(start, leaf, -1):
+        rows *= grow(i - 1, True)
+    return 2 * rows >= fitting(leaf - 1 if leaf > start else leaf)
+
+
+def _fields(n: N) -> list:
+    """Fields of a node's struct beside its id."""
+    return ["LABEL"] + [p for p in n.props if p not in ("NODE", "LABEL")]
+
+
+def _one_type(e: E) -> bool:
+    return e.types() is not None and len(e.types()) == 1
+
+
+def _edge_fields(e: E, direction: str, alias: str, near: str, far: str) -> dict:
+    """The fields of a joined slim edge as columns of its path."""
+    st, near, far = F.col(_q(alias)), F.col(near), F.col(far)
+    src, dst = (near, far) if direction == "->" else (far, near)
+    if direction == "-":
+        src, dst = F.when(st["_fwd"], near).otherwise(far), F.when(st["_fwd"], far).otherwise(near)
+    return {"ID": st["ID"], "src": src, "dst": dst, "type": F.lit(e.types()[0]) if _one_type(e) else st["type"],
+            **{p: st[p] for p in e.props if p not in EDGE_KEY}}
 
 
 def match(g: PropertyGraph, pattern: list, where: Column | None = None,
@@ -164,31 +213,45 @@ def match(g: PropertyGraph, pattern: list, where: Column | None = None,
     for i in range(start, 0, -1):
         e = pattern[2 * i - 1]
         hops.append((nodes[i], e, _FLIP[e.direction], nodes[i - 1], f"_e{i - 1}"))
-    # Keys stay plain columns beside the structs: a scan's partitioning is known by them.
+    # A path carries each id once: node ids are plain columns (a scan's partitioning is known by them), edges carry
+    # their other fields, and the structs of nodes and edges are made at the end, with the edges' ends from the ids.
     at = {n.alias: f"_k{i}" for i, n in enumerate(nodes)}
-    cur = node_frame(g, nodes[start]).withColumnRenamed("_nk", at[nodes[start].alias])
-    edge_aliases: list[tuple[str, E]] = []
-    for anchor, e, direction, n, auto in hops:
+    cur = node_frame(g, nodes[start], slim=True).withColumnRenamed("_nk", at[nodes[start].alias])
+    edges: list[tuple[str, E, dict]] = []
+    for i, (anchor, e, direction, n, auto) in enumerate(hops):
         ea = e.alias or auto
-        oriented = E(e.alias, e.type, direction, e.where, e.props)
-        ed = edge_frame(g, oriented, ea)
-        cur = cur.join(ed, F.col(at[anchor.alias]) == F.col("_near")).drop("_near")
+        near, far = at[anchor.alias], at[n.alias]
+        # An anonymous node is only its id: edges end at nodes, no join is needed.
+        anonymous = n.alias.startswith("_") and n.label is None and n.where is None and not n.props
+        ed = edge_frame(g, E(e.alias, e.type, direction, e.where, e.props), ea, slim=True)
+        nd = node_frame(g, n, slim=True)
+        leaf = len(nodes) - 1 if i < len(nodes) - 1 - start else 0
+        first = not anonymous and n is nodes[leaf] and anchor is not nodes[start] and _leaf_first(g, pattern, start, leaf)
+        if first:       # an edge is narrower than a path: it moves to its far node before it joins
+            ed = ed.join(nd, F.col("_far") == F.col("_nk")).drop("_far").withColumnRenamed("_nk", "_far")
+        cur = cur.join(ed, F.col(near) == F.col("_near")).drop("_near").withColumnRenamed("_far", far)
+        fields = _edge_fields(e, direction, ea, near, far)
         # Relationship uniqueness (an edge at most once per match) between
         # hops whose type sets can overlap.
         if unique_edges:
-            for oa, oe in edge_aliases:
+            for _, oe, other in edges:
                 ta, tb = oe.types(), e.types()
                 if ta is None or tb is None or set(ta) & set(tb):
-                    same = [F.col(f"{oa}.{k}").eqNullSafe(F.col(f"{ea}.{k}")) for k in EDGE_KEY]
+                    same = [other[k].eqNullSafe(fields[k]) for k in EDGE_KEY]
                     cur = cur.filter(~(same[0] & same[1] & same[2] & same[3]))
-        edge_aliases.append((ea, e))
-        if n.alias.startswith("_") and n.label is None and n.where is None and not n.props:
-            # An anonymous node is only its id: edges end at nodes, no join is needed.
-            cur = cur.withColumn(n.alias, F.struct(F.col("_far").alias("NODE"))).withColumnRenamed("_far", at[n.alias])
-            continue
-        nd = node_frame(g, n)
-        cur = cur.join(nd, F.col("_far") == F.col("_nk")).drop("_far").withColumnRenamed("_nk", at[n.alias])
-    cur = cur.drop(*at.values())
+        edges.append((ea, e, fields))
+        if not anonymous and not first:
+            cur = cur.join(nd, F.col(far) == F.col("_nk")).drop(far).withColumnRenamed("_nk", far)
+    known = {n.alias: n for n in nodes}
+    done = {}
+    for alias, k in at.items():
+        others = _fields(known[alias]) if alias in cur.columns else []
+        done[alias] = F.struct(F.col(k).alias("NODE"), *[F.col(_q(alias))[f].alias(f) for f in others]).alias(alias)
+    for ea, _, fields in edges:
+        done[ea] = F.struct(*[c.alias(k) for k, c in fields.items()]).alias(ea)
+    order = [nodes[start].alias] + [x for (_, e, _, n, auto) in hops for x in (e.alias or auto, n.alias)]
+    cur = cur.select(*[done[x] for x in order])
+    edge_aliases = [(ea, e) for ea, e, _ in edges]
     if where is not None:
         cur = cur.filter(where)
     if not keep_anonymous:

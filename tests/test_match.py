@@ -122,3 +122,35 @@ def test_name_index_equals_the_scan(spark):
     assert "In(gram, [abc,bca])" in plan
     store.write_graph(spark, store.read_graph(spark, root, "g"), root, "g")      # rebuilt: no stale index
     assert not os.path.exists(store.table_path(root, "g", store.NAMES)) and NI.find_names(spark, root, "g", "abc").count() > 0
+
+
+def test_paths_carry_each_id_once_and_leaves_join_edges_first(spark):
+    """No join of the chain gets more than the ids of its paths; the last node joins the edges, not the paths."""
+    from graphloom.plans.q_graph import _paths
+    from graphloom.plans.tpch import tpch_graph
+    m = _paths(tpch_graph(spark, "/root/testdata/sf0.001")).select("c.NODE", "o.NODE", "p.NODE", "e1.ID", "e2.ID")
+    widths, todo = [], [m._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            widths += [c.output().size() for c in children]
+        todo += children
+    assert len(widths) == 8 and max(widths) <= 3
+
+
+def test_match_gives_whole_structs_for_any_order(spark):
+    """Ends, types and directions of edges come out of the ids of the path."""
+    g = tiny(spark)
+    g.meta["stats"] = {"nodes": 4, "labels": {"party": 2, "bank": 1, "Entity": 1, "tin": 1},
+                       "types": {"USES": (2, 2, 1), "HAS": (1, 1, 1), "SELF": (1, 1, 1)}}
+    pattern = [N("a", "party"), E("x", "USES"), N("b", "bank", props=["name"]), E("y", ["USES", "SELF"], direction="-"), N("c", props=["risk"])]
+    want = [("p1", "Acme", "e1", "p1", "b1", "USES", "e2", "p2", "b1", "USES", "p2", 90.0), ("p1", "Acme", "e1", "p1", "b1", "USES", "e4", "b1", "b1", "SELF", "b1", None),
+            ("p2", "Acme", "e2", "p2", "b1", "USES", "e1", "p1", "b1", "USES", "p1", 10.0), ("p2", "Acme", "e2", "p2", "b1", "USES", "e4", "b1", "b1", "SELF", "b1", None)]
+    assert M._leaf_first(g, pattern, 0, 2)
+    for start in (None, 0, 1, 2):
+        m = M.match(g, pattern, start=start)
+        assert sorted(m.columns) == ["a", "b", "c", "x", "y"]
+        assert m.schema["x"].dataType.fieldNames() == ["ID", "src", "dst", "type"]
+        assert sorted(map(tuple, m.select("a.NODE", "b.name", "x.*", "y.*", "c.NODE", "c.risk").collect()), key=lambda r: (r[0], r[6])) == sorted(want, key=lambda r: (r[0], r[6]))
+
