@@ -302,55 +302,45 @@ def result_subgraph(result: DataFrame) -> tuple[DataFrame, DataFrame]:
     not Entity. Returns (nodes[id, label], edges[id, src, dst, type]).
     """
     from pyspark.sql.types import ArrayType, StructType
-    node_parts, edge_parts = [], []
+    text = lambda c=None: (F.lit(None) if c is None else c).cast("string")
+
+    def node(x: Column, names: set) -> Column:
+        label = x["LABEL"] if "LABEL" in names else display_label(x["labels"]) if "labels" in names else F.lit(None)
+        return F.struct(F.lit(False).alias("edge"), text(x["NODE"]).alias("id"), text().alias("src"), text().alias("dst"), text(label).alias("label"))
+
+    def edge(x: Column, names: set) -> Column:
+        return F.struct(F.lit(True).alias("edge"), text(x["ID"]).alias("id"), text(x["src"]).alias("src"), text(x["dst"]).alias("dst"),
+                        text(x["type"] if "type" in names else None).alias("label"))
+
+    none = F.array().cast("array<struct<edge:boolean,id:string,src:string,dst:string,label:string>>")
+    each = lambda c, t, f: F.coalesce(F.transform(c, lambda x: f(x, set(t.fieldNames()))), none)
+    parts = []
     for f in result.schema.fields:
         dt = f.dataType
         c = F.col(_q(f.name))
         if isinstance(dt, StructType):
             names = set(dt.fieldNames())
             if {"nodes", "edges"} <= names:
-                node_parts.append(result.select(F.explode(c["nodes"]).alias("x")))
-                edge_parts.append(result.select(F.explode(c["edges"]).alias("x")))
+                parts += [each(c[k], dt[k].dataType.elementType, make) for k, make in (("nodes", node), ("edges", edge))]
             elif "NODE" in names:
-                node_parts.append(result.select(c.alias("x")))
+                parts.append(F.array(node(c, names)))
             elif {"ID", "src", "dst"} <= names:
-                edge_parts.append(result.select(c.alias("x")))
+                parts.append(F.array(edge(c, names)))
         elif isinstance(dt, ArrayType) and isinstance(dt.elementType, StructType):
             names = set(dt.elementType.fieldNames())
             if "NODE" in names:
-                node_parts.append(result.select(F.explode(c).alias("x")))
+                parts.append(each(c, dt.elementType, node))
             elif {"ID", "src", "dst"} <= names:
-                edge_parts.append(result.select(F.explode(c).alias("x")))
-
-    def _nodes(p):
-        names = p.schema["x"].dataType.fieldNames()
-        lbl = F.col("x.LABEL") if "LABEL" in names else (
-            display_label(F.col("x.labels")) if "labels" in names else F.lit(None).cast("string"))
-        return p.select(F.col("x.NODE").alias("id"), lbl.alias("label"))
-
-    def _edges(p):
-        names = p.schema["x"].dataType.fieldNames()
-        t = F.col("x.type") if "type" in names else F.lit(None).cast("string")
-        return p.select(F.col("x.ID").alias("id"), F.col("x.src").alias("src"),
-                        F.col("x.dst").alias("dst"), t.alias("type"))
-
-    spark = result.sparkSession
-    nodes = None
-    for p in node_parts:
-        q = _nodes(p)
-        nodes = q if nodes is None else nodes.unionByName(q)
-    edges = None
-    for p in edge_parts:
-        q = _edges(p)
-        edges = q if edges is None else edges.unionByName(q)
-    if nodes is None:
-        nodes = spark.createDataFrame([], "id string, label string")
-    if edges is None:
-        edges = spark.createDataFrame([], "id string, src string, dst string, type string")
+                parts.append(each(c, dt.elementType, edge))
+    # A row is read once for all its elements. Which kind a group is, is known only behind the shuffle, so that the plans of
+    # both results agree up to it and it is made once. Labels are keys: a minimum of texts would sort the rows before it.
+    found = (result.select(F.explode(F.concat(none, *parts)).alias("x")).select("x.*").groupBy("edge", "id", "src", "dst", "label")
+             .agg(F.max(F.when(F.col("edge"), 1)).alias("_e"), F.max(F.when(~F.col("edge"), 1)).alias("_n")))
     # Deterministic pick among duplicates: smallest label per id.
-    nodes = nodes.groupBy("id").agg(F.min("label").alias("label"))
+    nodes = found.filter(F.col("_n").isNotNull() & F.col("_e").isNull()).groupBy("id").agg(F.min("label").alias("label"))
     # An edge is its id, ends and type together: equal ids of different edges stay apart.
-    return nodes, edges.distinct()
+    edges = found.filter(F.col("_e").isNotNull() & F.col("_n").isNull()).select("id", "src", "dst", F.col("label").alias("type"))
+    return nodes, edges
 
 
 def hops_to_graph(hops: DataFrame, n_hops: int) -> tuple[DataFrame, DataFrame]:

@@ -154,3 +154,27 @@ def test_match_gives_whole_structs_for_any_order(spark):
         assert m.schema["x"].dataType.fieldNames() == ["ID", "src", "dst", "type"]
         assert sorted(map(tuple, m.select("a.NODE", "b.name", "x.*", "y.*", "c.NODE", "c.risk").collect()), key=lambda r: (r[0], r[6])) == sorted(want, key=lambda r: (r[0], r[6]))
 
+
+def test_result_subgraph_reads_its_rows_once(spark):
+    g = tiny(spark)
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        m = M.match(g, [N("a", "party"), E("r", "USES"), N("b", "bank")])
+        nodes, edges = M.result_subgraph(m.select("a", M.path_value(["a", "b"], ["r"]).alias("p")))
+        both = nodes.select("id", "label").unionByName(edges.select("id", F.col("type").alias("label")))
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert "ReusedExchange" in plan.split("Generate")[-1] and plan.count("Generate") == 1
+        assert rows(both) == [("b1", "bank"), ("e1", "USES"), ("e2", "USES"), ("p1", "party"), ("p2", "party")]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+
+
+def test_result_subgraph_of_arrays_and_missing_cells(spark):
+    """Cells that are null, lists with nulls, labels out of ``labels``, an id that is a node and an edge."""
+    df = spark.createDataFrame([((("n1", None),), None, [("k", "a", "b")]), (None, [("n1", ["Entity", "x"]), None], None)],
+                               "c struct<n:struct<NODE:string,LABEL:string>>, l array<struct<NODE:string,labels:array<string>>>, e array<struct<ID:string,src:string,dst:string>>")
+    nodes, edges = M.result_subgraph(df.select("c.n", "l", "e", F.struct(F.lit("k").alias("NODE"), F.lit("z").alias("LABEL")).alias("k")))
+    key = lambda r: tuple("" if x is None else x for x in r)
+    assert sorted(map(tuple, nodes.collect()), key=key) == [(None, None), ("k", "z"), ("n1", "x")]
+    assert rows(edges) == [("k", "a", "b", None)]
