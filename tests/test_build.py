@@ -111,3 +111,15 @@ def test_repeated_keys_and_dangling_ends_however_many(spark, monkeypatch):
     assert len(got) == len(seen[0][0]) == 70 and (got["a1"], got["a2"], got["a3"]) == (100, 7, 3)
     owns = {r[0]: r[4] for r in seen[0][1] if r[3] == "OWNS"}
     assert len(seen[0][1]) == 122 and owns["1"] == 50 and owns["2"] == 2 and owns["70"] == 3 and "99" not in owns
+
+
+def test_many_repeated_keys_are_told_apart_by_bits(spark, monkeypatch):
+    """More hashes of repeated keys than are broadcast: rows of other keys still do not go to the merge."""
+    df = spark.range(4000).select(F.concat(F.lit("k"), F.when(F.col("id") < 200, F.col("id") % 100).otherwise(F.col("id"))).alias("k"), "id")
+    for limit in (64, 7):
+        monkeypatch.setattr(B, "REPEATED", limit)
+        once, many = B._split_repeated(df, ["k"])
+        assert once is not None and once.columns == many.columns == ["k", "id"]
+        assert sorted(map(tuple, once.union(many).collect())) == sorted(map(tuple, df.collect()))
+        assert once.select("k").distinct().count() == once.count() and many.filter("id < 200").count() == 200
+        assert many.count() < 1200
